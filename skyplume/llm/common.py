@@ -48,16 +48,14 @@ def min_labels(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """For n nodes, each one's smallest node index that the links reach."""
     label = np.arange(n)
     while len(left):
-        low = np.minimum(label[left], label[right])
-        before = label.copy()
+        left, right = label[left], label[right]
+        open_ = left != right
+        left, right = left[open_], right[open_]
+        low = np.minimum(left, right)
         np.minimum.at(label, left, low)
         np.minimum.at(label, right, low)
         while not np.array_equal(label, label[label]):
             label = label[label]
-        if np.array_equal(before, label):
-            break
-        open_ = label[left] != label[right]
-        left, right = left[open_], right[open_]
     return label
 
 
