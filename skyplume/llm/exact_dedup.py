@@ -85,8 +85,10 @@ def exact_groups(docs: DataFrame, key=sha256_key, files_per_batch: int = 4096) -
     # State only grows, so a digest's last update is its greatest.
     keepers = found.groupBy("digest").agg(F.max("best").alias("best"), F.max("n_rows").alias("n_rows"))
     keepers = keepers.select(F.col("digest").alias("_digest"), (-F.col("best.neg_id")).alias("_keep_id"), F.col("best.n_points").alias("_keep_points"), F.col("n_rows").alias("_n_rows"))
-    rows = docs.withColumns({"_norm": normalised(F.col("text")), "_points": F.length(F.coalesce(F.col("text"), F.lit("")))}).withColumn("_digest", key(F.col("_norm")))
-    rows = rows.join(keepers, "_digest").withColumn("_kept", F.col("doc_id").eqNullSafe(F.col("_keep_id")) & (F.col("_points") == F.col("_keep_points")))
+    # Each text is shuffled once; what is derived from it is derived behind the shuffle.
+    rows = docs.withColumn("_digest", key(normalised(F.col("text")))).join(keepers, "_digest")
+    points = F.length(F.coalesce(F.col("text"), F.lit("")))
+    rows = rows.withColumns({"_norm": normalised(F.col("text")), "_kept": F.col("doc_id").eqNullSafe(F.col("_keep_id")) & (points == F.col("_keep_points"))})
     # Hits are compared in full with the text that stays.
     first = rows.filter(F.col("_kept") & (F.col("_n_rows") > 1)).groupBy("_digest").agg(F.min("_norm").alias("_keep_norm")).withColumnRenamed("_digest", "_d")
     rows = rows.join(first, F.col("_digest") == F.col("_d"), "left").withColumn("_same", F.col("_keep_norm").isNull() | (F.col("_norm") == F.col("_keep_norm")))
