@@ -42,9 +42,11 @@ def stream_keepers(spark: SparkSession, inbox: str, schema, state: str, updates:
     Each micro-batch overwrites its own folder under ``updates``, so a batch
     that is repeated after a failure leaves one copy.
     """
-    old = {k: spark.conf.get(k, None) for k in ("spark.sql.streaming.stateStore.providerClass", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled")}
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
-    spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
+    # Many small stores: disk space set aside ahead (4 MB a partition) would exceed what they hold.
+    wanted = {"spark.sql.streaming.stateStore.providerClass": ROCKS, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true", "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false"}
+    old = {k: spark.conf.get(k, None) for k in wanted}
+    for k, v in wanted.items():
+        spark.conf.set(k, v)
     try:
         seen = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(inbox)
         kept = seen.groupBy("digest").agg(F.max("rank").alias("best"), F.count("*").alias("n_rows"))
