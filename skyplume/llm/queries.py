@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyplume.llm import exact_dedup, mixing, secrets, sharding
+from skyplume.llm import exact_dedup, mixing, secrets, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mix,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
+    "op4_simhash": simhash.op4_simhash,
     "op5_sharding": sharding.op5_shard,
     "op7_secrets": secrets.op7_secrets,
 }
