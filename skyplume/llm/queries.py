@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyplume.llm import exact_dedup, mixing, secrets, sharding, simhash
+from skyplume.llm import binary_ids, exact_dedup, mixing, packing, secrets, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mix,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_simhash": simhash.op4_simhash,
     "op5_sharding": sharding.op5_shard,
+    "op6_binary_ids": binary_ids.op6_binary_ids,
     "op7_secrets": secrets.op7_secrets,
+    "op8_packing": packing.op8_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
