@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyplume.llm import binary_ids, exact_dedup, mixing, packing, secrets, sharding, simhash
+from skyplume.llm import binary_ids, exact_dedup, mixing, packing, quality, secrets, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mix,
@@ -16,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_binary_ids": binary_ids.op6_binary_ids,
     "op7_secrets": secrets.op7_secrets,
     "op8_packing": packing.op8_packing,
+    "op9_quality": quality.op9_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {
