@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyplume.llm import binary_ids, exact_dedup, mixing, packing, quality, secrets, sharding, simhash
+from skyplume.llm import binary_ids, embedding_dedup, exact_dedup, mixing, packing, quality, secrets, sharding, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mix,
@@ -17,6 +17,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_secrets": secrets.op7_secrets,
     "op8_packing": packing.op8_packing,
     "op9_quality": quality.op9_quality,
+    "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
 }
 
 ORACLE_SQL: dict[str, str] = {
