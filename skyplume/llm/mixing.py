@@ -62,7 +62,7 @@ def position_of(share: Column, tilt: Column) -> Column:
     return F.when(tilt == 0, share).otherwise((1 + tilt - root) / (2 * tilt))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), budget: float = 1.5, max_epochs: int = 2, tilts: tuple[float, ...] = TILTS) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), budget: float = 1.5, max_epochs: int = 2, tilts: tuple[float, ...] = TILTS, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs``: doc_id, source, size, source_size, target, taken, position, and ``takes``.
 
     ``takes`` lists the copies in the mix: pass, words and position of each; the
@@ -71,9 +71,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), budget: float =
     that the sort stays even. A null text is size 0, a null source is a source
     of its own and the last; equal doc_ids are ordered by size, and rows equal
     in both count as repeated rows whose order does not matter. An empty table
-    gives no rows. Other columns of ``docs`` are not read.
+    gives no rows. Other columns of ``docs`` are not read, but for those in
+    ``carry``, which the result has as well.
     """
-    sized = docs.select("doc_id", "source", word_count(F.col("text")).alias("size"))
+    sized = docs.select("doc_id", "source", *carry, word_count(F.col("text")).alias("size"))
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
     sized = sized.withColumn("_h", digest).withColumn("_slice", F.floor(F.conv(F.substring("_h", 1, 3), 16, 10).cast("int") * F.lit(SLICES) / 4096).cast("int"))
     targets = source_targets(sized, weights, budget, max_epochs, tilts)
@@ -92,7 +93,19 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), budget: float =
     takes = F.filter(F.array(*[F.struct(F.lit(p).alias("pass"), take(p).alias("words"), F.least(at(p), F.lit(1.0)).alias("position")) for p in passes]), lambda x: x["words"] > 0)
     rows = rows.withColumns({"taken": taken, "takes": takes})
     rows = rows.withColumn("position", F.when(F.col("taken") > 0, F.col("takes")[0]["position"]).otherwise(left_out))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "taken", "position", "takes")
+    return rows.select("doc_id", "source", "size", "source_size", "target", "taken", "position", "takes", *carry)
+
+
+def mixed_documents(docs: DataFrame, **params) -> DataFrame:
+    """The mix itself: a row of ``docs`` for each time it is taken, columns as they were, range-sorted by training position.
+
+    The copy at a target's edge is in whole or out, whichever is nearer.
+    """
+    mixed = mix(docs.withColumn("_text", F.xxhash64("text")), carry=("_text",), **params)
+    takes = mixed.select(F.col("doc_id").alias("_id"), "_text", "size", F.explode("takes").alias("t")).filter(F.col("t.words") * 2 >= F.col("size"))
+    takes = takes.select("_id", F.col("_text").alias("_hash"), F.col("t.position").alias("_position"))
+    rows = docs.join(takes, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")))
+    return rows.orderBy("_position", "doc_id").select(*docs.columns)
 
 
 def mix_sorted(docs: DataFrame, **params) -> DataFrame:

@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyplume.llm import binary_ids, embedding_dedup, exact_dedup, mixing, packing, quality, secrets, sharding, simhash
+from skyplume.llm import binary_ids, embedding_dedup, exact_dedup, mixing, packing, quality, secrets, sharding, simhash, substring_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mix,
+    "op2_substring_dedup": substring_dedup.op2_substrings,
     "op3_exact_dedup": exact_dedup.op3_exact_dedup,
     "op4_simhash": simhash.op4_simhash,
     "op5_sharding": sharding.op5_shard,
