@@ -1,57 +1,6 @@
-"""Queries of the library over the driver tables, and their DuckDB SQL."""
+"""All queries of the library over the driver tables."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from skyplume.functions import circular as C
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def query(name: str, sql: str | None = None):
-    """Registers a query under ``name``."""
-
-    def put(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return put
-
-
-@query(
-    "wind_summary",
-    """
-WITH e AS (SELECT event_type, value, ((value * 7) % 360 + 360) % 360 AS az FROM events)
-SELECT event_type, count(*) AS n,
-  round(((degrees(atan2(sum(value * sin(radians(az))), sum(value * cos(radians(az))))) % 360) + 360) % 360, 6) AS mean_dir,
-  round(degrees(sqrt(greatest(-2 * ln(greatest(sqrt(pow(avg(sin(radians(az))), 2) + pow(avg(cos(radians(az))), 2)), 1e-12)), 0))), 6) AS spread,
-  round(avg(value), 6) AS mean_speed, round(median(value), 6) AS median_speed, round(min(value), 6) AS min_speed, round(max(value), 6) AS max_speed
-FROM e GROUP BY event_type""",
-)
-def wind_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    az = F.pmod(F.col("value") * 7, F.lit(360.0))
-    return (
-        table(spark, sf_dir, "events")
-        .select("event_type", "value", az.alias("az"))
-        .groupBy("event_type")
-        .agg(
-            F.count("*").alias("n"),
-            F.round(C.circular_mean(F.col("az"), F.col("value")), 6).alias("mean_dir"),
-            F.round(C.circular_spread(F.col("az")), 6).alias("spread"),
-            F.round(F.avg("value"), 6).alias("mean_speed"),
-            F.round(F.percentile("value", F.lit(0.5)), 6).alias("median_speed"),
-            F.round(F.min("value"), 6).alias("min_speed"),
-            F.round(F.max("value"), 6).alias("max_speed"),
-        )
-    )
+from skyplume.jobs import geometry_jobs, join_jobs, series_jobs, station_jobs, stream_jobs  # noqa: F401
+from skyplume.jobs.registry import ORACLE_SQL, QUERIES  # noqa: F401
