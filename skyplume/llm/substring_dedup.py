@@ -70,23 +70,50 @@ def window_minima(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(tail[:n], head[w - 1 : w - 1 + n])
 
 
-def minimisers(text: bytes, window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, position) of the minimiser of each window of ``text``, each position once."""
-    places, hashes = [], []
-    for at in range(0, max(1, len(text) - window + 1), BATCH - window):
-        raw = np.frombuffer(text[at : at + BATCH], np.uint8)
+def minimisers(texts: list[bytes], window: int = WINDOW, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, position, hash) of the minimiser of each window of each text, each position once, in order.
+
+    Texts are hashed together, up to BATCH bytes; longer ones in stretches that
+    overlap by a window.
+    """
+    found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    low = np.uint64((1 << 21) - 1)
+
+    def run(held: list[tuple[int, int, bytes]]) -> None:
+        raw = np.frombuffer(b"".join(x for _, _, x in held), np.uint8)
         if len(raw) < window:
-            break
+            return
         h = gram_hashes(raw, gram)
-        low = np.uint64((1 << 21) - 1)
-        packed = (h & ~low) | np.arange(len(h), dtype=np.uint64)
-        p = np.unique(window_minima(packed, window - gram + 1) & low).astype(np.int64)
-        places.append(p + at)
-        hashes.append(h[p])
-    if not places:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    p, first = np.unique(np.concatenate(places), return_index=True)
-    return np.concatenate(hashes)[first].view(np.int64), p
+        least = window_minima((h & ~low) | np.arange(len(h), dtype=np.uint64), window - gram + 1)
+        sizes = np.array([len(x) for _, _, x in held])
+        ends = np.cumsum(sizes)
+        part = np.repeat(np.arange(len(held)), sizes)[: len(least)]
+        inside = np.arange(len(least)) + window <= ends[part]
+        p = np.unique(least[inside] & low).astype(np.int64)
+        k = part[p] if len(p) == 0 or p[-1] < len(part) else np.searchsorted(ends, p, side="right")
+        found.append((np.array([t for t, _, _ in held])[k], p - (ends - sizes)[k] + np.array([o for _, o, _ in held])[k], h[p]))
+
+    held, size = [], 0
+    for t, text in enumerate(texts):
+        for at in range(0, max(1, len(text) - window + 1), BATCH - window):
+            x = text[at : at + BATCH]
+            if size + len(x) > BATCH:
+                run(held)
+                held, size = [], 0
+            held.append((t, at, x))
+            size += len(x)
+    if held:
+        run(held)
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    t, p, h = (np.concatenate([f[k] for f in found]) for k in range(3))
+    again = np.concatenate(([False], (t[1:] == t[:-1]) & (p[1:] <= p[:-1])))
+    if again.any():  # stretches of one text may show a position twice
+        order = np.lexsort((p, t))
+        t, p, h = t[order], p[order], h[order]
+        once = np.concatenate(([True], (t[1:] != t[:-1]) | (p[1:] != p[:-1])))
+        t, p, h = t[once], p[once], h[once]
+    return t, p, h.view(np.int64)
 
 
 def suffix_array(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -97,16 +124,12 @@ def suffix_array(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     total, as Kasai's walk needs it.
     """
     n = len(raw)
-    wide = np.concatenate((raw, np.zeros(8, np.uint8))).astype(np.uint64)
-    key = np.zeros(n, np.uint64)
-    for k in range(8):
-        key = (key << np.uint64(8)) | wide[k : k + n]
-    order = np.argsort(key, kind="stable")
+    key = _words(raw, ">u8")[:n]
+    order = np.argsort(key)
     new = np.concatenate(([True], key[order][1:] != key[order][:-1]))
     # A group's rank is the place of its first suffix.
-    starts = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     rank = np.empty(n, np.int64)
-    rank[order] = starts
+    rank[order] = np.maximum.accumulate(np.where(new, np.arange(n), 0))
     done = 8
     while True:
         alone = np.concatenate((new[1:], [True])) & new
@@ -114,12 +137,11 @@ def suffix_array(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if not len(at):
             break
         s = order[at]
-        after = np.where(s + done < n, rank[np.minimum(s + done, n - 1)] + 1, 0)
-        again = np.lexsort((after, rank[s]))
-        s, after = s[again], after[again]
+        pair = rank[s] * (n + 1) + np.where(s + done < n, rank[np.minimum(s + done, n - 1)] + 1, 0)
+        again = np.argsort(pair)
+        s, pair = s[again], pair[again]
         order[at] = s
-        old = rank[s]
-        split = np.concatenate(([True], (old[1:] != old[:-1]) | (after[1:] != after[:-1])))
+        split = np.concatenate(([True], pair[1:] != pair[:-1]))
         new[at] = split
         rank[s] = np.maximum.accumulate(np.where(split, at, 0))
         done *= 2
@@ -128,27 +150,36 @@ def suffix_array(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, place
 
 
-def common_prefixes(raw: np.ndarray, order: np.ndarray, place: np.ndarray, first: np.ndarray, size: np.ndarray, most: int) -> np.ndarray:
-    """By place: bytes that a suffix has in common with the one before it, up to ``most``.
+def _words(raw: np.ndarray, kind: str) -> np.ndarray:
+    """The 8 bytes from each position on as one number; zeros beyond the end."""
+    padded = np.concatenate((raw, np.zeros(16, np.uint8)))
+    return np.lib.stride_tricks.sliding_window_view(padded, 8).copy().view(kind)[:, 0].astype(np.uint64)
+
+
+def common_prefixes(raw: np.ndarray, order: np.ndarray, place: np.ndarray, first: np.ndarray, walk: np.ndarray, most: int) -> np.ndarray:
+    """By place: bytes that a suffix has in common with the one before it, up to ``most``; 0 for suffixes beyond the walks.
 
     Kasai: a suffix has one byte less at least in common with its neighbour than
-    the suffix that starts one byte before it had. The walks along all pieces
-    (``first``, ``size``) go in step.
+    the suffix that starts one byte before it had. The walks, ``walk`` steps from
+    each ``first``, go side by side, eight bytes at a time.
     """
     n = len(raw)
-    padded = np.concatenate((raw, np.zeros(most + 8, np.uint8)))
+    words = np.concatenate((_words(raw, "<u8"), np.zeros(most + 16, np.uint64)))
     lcp, held = np.zeros(n, np.int64), np.zeros(len(first), np.int64)
-    for step in range(int(size.max(initial=0))):
-        live = np.flatnonzero(size > step)
+    for step in range(int(walk.max(initial=0))):
+        live = np.flatnonzero(walk > step)
         i = first[live] + step
         p = place[i]
-        j = np.where(p > 0, order[np.maximum(p - 1, 0)], n)
+        j = order[np.maximum(p - 1, 0)]
         h = np.maximum(held[live] - 1, 0)
-        go = np.arange(len(live))
+        go = np.flatnonzero(h < most)
         while len(go):
-            same = (padded[np.minimum(i[go] + h[go], n)] == padded[np.minimum(j[go] + h[go], n)]) & (j[go] < n) & (h[go] < most) & (i[go] + h[go] < n) & (j[go] + h[go] < n)
-            go = go[same]
-            h[go] += 1
+            differ = words[i[go] + h[go]] ^ words[j[go] + h[go]]
+            # Equal bytes before the lowest bit that differs.
+            bit = np.bitwise_count((differ & (~differ + np.uint64(1))) - np.uint64(1)).astype(np.int64)
+            h[go] += np.where(differ == 0, 8, bit >> 3)
+            go = go[(differ == 0) & (h[go] < most)]
+        h = np.where(p > 0, np.minimum(h, most), 0)
         held[live] = h
         lcp[p] = h
     return lcp
@@ -157,12 +188,12 @@ def common_prefixes(raw: np.ndarray, order: np.ndarray, place: np.ndarray, first
 def window_classes(pieces: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(piece, start, class) of every window of every piece; equal windows have equal classes."""
     size = np.array([len(p) for p in pieces])
-    raw = np.frombuffer(b"\0".join([*pieces, b""]), np.uint8)
+    # No UTF-8 text has the byte 255, so what two windows have in common lies within their pieces.
+    raw = np.frombuffer(b"\xff".join([*pieces, b""]), np.uint8)
     first = np.cumsum(size + 1) - size - 1
-    order, place = suffix_array(raw)
-    lcp = common_prefixes(raw, order, place, first, size, window)
-    label = np.cumsum(lcp < window)
     n = np.maximum(size - window + 1, 0)
+    order, place = suffix_array(raw)
+    label = np.cumsum(common_prefixes(raw, order, place, first, n, window) < window)
     piece = np.repeat(np.arange(len(pieces)), n)
     start = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     return piece, start, label[place[first[piece] + start]]
@@ -181,8 +212,10 @@ def document_anchors(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [minimisers(x, window, gram) for x in b.column("raw").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("kh"), b.column("kl"), pa.array([f[0] for f in found], pa.list_(pa.int64())), pa.array([f[1] for f in found], pa.list_(pa.int64()))], ["kh", "kl", "anchors", "places"])
+            t, p, h = minimisers(b.column("raw").to_pylist(), window, gram)
+            cuts = pa.array(np.searchsorted(t, np.arange(b.num_rows + 1)), pa.int32())
+            lists = [pa.ListArray.from_arrays(cuts, pa.array(x)) for x in (h, p)]
+            yield pa.RecordBatch.from_arrays([b.column("kh"), b.column("kl"), *lists], ["kh", "kl", "anchors", "places"])
 
     return docs.select("kh", "kl", "raw").filter(F.octet_length("raw") >= window).mapInArrow(run, "kh long, kl long, anchors array<long>, places array<long>")
 
@@ -193,12 +226,14 @@ def cut_pieces(docs: DataFrame, window: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = []
-            for kh, kl, raw, at in zip(*(b.column(c).to_pylist() for c in ("kh", "kl", "raw", "at")), strict=True):
-                for x in at:
-                    lo = max(0, x["place"] - reach)
-                    rows.append((kh, kl, x["anchor"], x["place"], x["place"] - lo, raw[lo : x["place"] + window]))
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()))], ["kh", "kl", "anchor", "place", "left", "piece"])
+            at = b.column("at")
+            x, count = at.flatten(), np.diff(at.offsets.to_numpy())
+            anchor, place = (x.field(c).to_numpy() for c in ("anchor", "place"))
+            lo = np.maximum(place - reach, 0)
+            texts = b.column("raw").to_pylist()
+            pieces = [texts[k][i:j] for k, i, j in zip(np.repeat(np.arange(len(texts)), count).tolist(), lo.tolist(), (place + window).tolist(), strict=True)]
+            keys = [np.repeat(b.column(c).to_numpy(), count) for c in ("kh", "kl")]
+            yield pa.RecordBatch.from_arrays([pa.array(keys[0]), pa.array(keys[1]), pa.array(anchor), pa.array(place), pa.array((place - lo).astype(np.int32)), pa.array(pieces, pa.binary())], ["kh", "kl", "anchor", "place", "left", "piece"])
 
     return docs.mapInArrow(run, "kh long, kl long, anchor long, place long, left int, piece binary")
 
@@ -208,8 +243,10 @@ def shard_windows(pdf: pd.DataFrame, window: int) -> tuple[pd.DataFrame, np.ndar
     piece, start, label = window_classes([bytes(p) for p in pdf["piece"]], window)
     w = pd.DataFrame({"piece": piece, "start": start, "anchor": pdf["anchor"].to_numpy()[piece], "shift": start - pdf["left"].to_numpy()[piece], "label": label, "n": pdf["n"].to_numpy()[piece]})
     # The same place against the anchor: one occurrence never meets itself.
-    total = w.groupby(["label", "anchor", "shift"], sort=False)["n"].transform("sum")
-    return w, total.to_numpy() >= 2
+    codes = np.unique(w["anchor"].to_numpy(), return_inverse=True)[1]
+    key = (label * (codes.max(initial=0) + 1) + codes) * (4 * window) + w["shift"].to_numpy() + 2 * window
+    back = np.unique(key, return_inverse=True)[1]
+    return w, np.bincount(back, w["n"].to_numpy())[back] >= 2
 
 
 def piece_runs(pdf: pd.DataFrame, w: pd.DataFrame, repeated: np.ndarray, window: int) -> pd.DataFrame:
@@ -250,7 +287,7 @@ def merge_parts(pdf: pd.DataFrame, window: int) -> pd.DataFrame:
 
 
 def covers(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
-    """(kh, kl, cover) of the rows of ``docs`` (kh, kl, raw) with repeated windows: array of place and runs."""
+    """(kh, kl, cover) of the rows of ``docs`` (kh, kl, raw) with repeated windows: from, to, from, to, ... that may overlap."""
     spark = docs.sparkSession
 
     def staged(df: DataFrame, label: str) -> DataFrame:
@@ -299,17 +336,14 @@ def covers(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard: int =
     result = outs[0]
     for o in outs[1:]:
         result = result.union(o)
-    return pieces.select("anchor", "pd", "kh", "kl", "place").join(result, ["anchor", "pd"]).groupBy("kh", "kl").agg(F.collect_list(F.struct("place", "runs")).alias("cover"))
+    return pieces.select("anchor", "pd", "kh", "kl", "place").join(result, ["anchor", "pd"]).groupBy("kh", "kl").agg(F.flatten(F.collect_list(F.transform("runs", lambda r: r + F.col("place")))).alias("cover"))
 
 
-def union_of(cover: list[dict], size: int) -> np.ndarray:
-    """Mask of the bytes that ``cover`` reaches."""
-    step = np.zeros(size + 1, np.int32)
-    for x in cover:
-        runs = np.asarray(x["runs"], np.int64) + x["place"]
-        np.add.at(step, runs[::2], 1)
-        np.add.at(step, runs[1::2], -1)
-    return np.cumsum(step[:-1]) > 0
+def union_of(cover: np.ndarray, size: int) -> np.ndarray:
+    """[from, to] rows of the union of ``cover`` (from, to, from, to, ...)."""
+    step = np.bincount(cover[::2], minlength=size + 1) - np.bincount(cover[1::2], minlength=size + 1)
+    inside = np.cumsum(step) > 0
+    return np.flatnonzero(np.diff(np.concatenate(([False], inside)).astype(np.int8))).reshape(-1, 2)
 
 
 def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
@@ -325,20 +359,20 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, sha
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            spans, kept = [], []
-            for text, cover in zip(b.column("raw").to_pylist(), b.column("cover").to_pylist(), strict=True):
-                if not cover:
-                    spans.append([])
-                    kept.append(text)
-                    continue
-                gone = union_of(cover, len(text))
-                edges = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))
-                spans.append([{"from": int(x), "to": int(y)} for x, y in edges.reshape(-1, 2)])
-                kept.append(np.frombuffer(text, np.uint8)[~gone].tobytes())
-            kind = pa.list_(pa.struct([("from", pa.int64()), ("to", pa.int64())]))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in b.column("raw").to_pylist()], pa.int64()), pa.array(spans, kind), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "removed", "kept"])
-
-    rows = keyed.join(found, ["kh", "kl"], "left").select(F.col("doc_id").cast("long").alias("doc_id"), "raw", "cover")
+            spans, kept, texts = [], [], b.column("raw").to_pylist()
+            cover = b.column("cover")
+            values, offsets = cover.values.to_numpy(), cover.offsets.to_numpy()
+            for text, lo, hi in zip(texts, offsets.tolist(), offsets[1:].tolist(), strict=False):
+                edges = union_of(values[lo:hi], len(text)).tolist() if hi > lo else []
+                spans.append(edges)
+                outer = [0, *(x for e in edges for x in e), len(text)]
+                kept.append(b"".join(text[x:y] for x, y in zip(outer[::2], outer[1::2], strict=True)) if edges else text)
+            cuts = pa.array(np.cumsum([0, *(len(x) for x in spans)]), pa.int32())
+            flat = np.array([e for x in spans for e in x], np.int64).reshape(-1, 2)
+            pairs = pa.StructArray.from_arrays([pa.array(flat[:, 0]), pa.array(flat[:, 1])], ["from", "to"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in texts], pa.int64()), pa.ListArray.from_arrays(cuts, pairs), pa.array(kept, pa.binary())], ["doc_id", "n_bytes", "removed", "kept"])
+
+    rows = keyed.join(found, ["kh", "kl"], "left").select(F.col("doc_id").cast("long").alias("doc_id"), "raw", F.coalesce("cover", F.array().cast("array<long>")).alias("cover"))
     return rows.mapInArrow(run, "doc_id long, n_bytes long, removed array<struct<from:long,to:long>>, kept binary")
 
 
