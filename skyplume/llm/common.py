@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,8 +41,30 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def bucket_count(n: int, per: int) -> int:
-    return max(1, -(-n // per))
+@contextmanager
+def freed_shuffles(spark: SparkSession) -> Iterator[None]:
+    """Within, the shuffle files of each finished job are removed; what jobs leave is checkpointed or written."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    old = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, old)
+
+
+def written(df: DataFrame, label: str) -> tuple[DataFrame, str]:
+    """``df`` written to the shared folder and read again, and its path."""
+    spark = df.sparkSession
+    path = fresh_path(spark, label)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Removes a folder that ``written`` made, once nothing reads it any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def min_labels(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -110,6 +133,3 @@ def tiled(rows: DataFrame, keys: list[str], home: str, ident: str, block: int) -
     deals = F.when(F.col("_nm").isNull(), one).when(F.col(home), F.concat(as_home, as_member)).otherwise(as_member)
     return out.withColumn("_t", F.explode(deals)).select(*rows.columns, "_t.hb", "_t.mb", "_t.role")
 
-
-def empty_like(columns: dict[str, str]) -> pd.DataFrame:
-    return pd.DataFrame({k: pd.Series(dtype=v) for k, v in columns.items()})

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyplume.llm.common import fresh_path, settled
+from skyplume.llm.common import discard, freed_shuffles, settled, written
 
 WINDOW = 200
 GRAM = 48
@@ -289,21 +289,23 @@ def merge_parts(pdf: pd.DataFrame, window: int) -> pd.DataFrame:
 def covers(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
     """(kh, kl, cover) of the rows of ``docs`` (kh, kl, raw) with repeated windows: from, to, from, to, ... that may overlap."""
     spark = docs.sparkSession
+    with freed_shuffles(spark):
+        pieces, runs = _covered_pieces(spark, docs, window, gram, shard)
+    return pieces.select("anchor", "pd", "kh", "kl", "place").join(runs, ["anchor", "pd"]).groupBy("kh", "kl").agg(F.flatten(F.collect_list(F.transform("runs", lambda r: r + F.col("place")))).alias("cover"))
 
-    def staged(df: DataFrame, label: str) -> DataFrame:
-        path = fresh_path(spark, label)
-        df.write.option("compression", "zstd").parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
 
-    found = staged(document_anchors(docs, window, gram), "anchors")
+def _covered_pieces(spark: SparkSession, docs: DataFrame, window: int, gram: int, shard: int) -> tuple[DataFrame, DataFrame]:
+    """All pieces, and (anchor, pd, runs) of those with repeated windows: from, to, ... against the anchor."""
+    found, found_at = written(document_anchors(docs, window, gram), "anchors")
     each = found.select("kh", "kl", F.explode(F.arrays_zip("anchors", "places")).alias("x")).select("kh", "kl", F.col("x.anchors").alias("anchor"), F.col("x.places").alias("place"))
     shared = found.select(F.explode("anchors").alias("anchor")).groupBy("anchor").count().filter("count > 1").select("anchor")
     at = each.join(shared, "anchor").groupBy("kh", "kl").agg(F.collect_set(F.struct("anchor", "place")).alias("at"))
     # Rows equal in all bytes and ids have one key: their pieces are cut once for each.
     cut = docs.join(at, ["kh", "kl"]).select("kh", "kl", "raw", "at")
-    pieces = staged(cut_pieces(cut, window, gram).withColumn("pd", F.xxhash64("left", "piece")), "pieces").filter(F.octet_length("piece") >= window)
+    pieces, _ = written(cut_pieces(cut, window, gram).withColumn("pd", F.xxhash64("left", "piece")).filter(F.octet_length("piece") >= window), "pieces")
+    discard(spark, found_at)
     different = pieces.groupBy("anchor", "left", "piece").agg(F.count("*").alias("n"), F.min("pd").alias("pd"))
-    different = staged(different, "different")
+    different, different_at = written(different, "different")
     per = settled(different.groupBy("anchor").agg(F.count("*").alias("k")))
     # Only anchors with more pieces than a shard holds; their number is checked.
     hot = per.filter(F.col("k") > shard).select(F.col("anchor").alias("_a"), F.ceil(F.col("k") / shard).cast("int").alias("parts"))
@@ -336,7 +338,9 @@ def covers(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard: int =
     result = outs[0]
     for o in outs[1:]:
         result = result.union(o)
-    return pieces.select("anchor", "pd", "kh", "kl", "place").join(result, ["anchor", "pd"]).groupBy("kh", "kl").agg(F.flatten(F.collect_list(F.transform("runs", lambda r: r + F.col("place")))).alias("cover"))
+    runs, _ = written(result, "runs")
+    discard(spark, different_at)
+    return pieces, runs
 
 
 def union_of(cover: np.ndarray, size: int) -> np.ndarray:
