@@ -112,13 +112,13 @@ m AS (SELECT p_brand, sum(w) AS mass, sum(w * u) / sum(w) AS mean_u, sum(w * v)
 c AS (SELECT p_brand, mass, mean_u, mean_v, sum(w * pow(u - mean_u, 2)) / sum(w) AS a, sum(w * pow(v - mean_v, 2)) / sum(w) AS b, sum(w * (u - mean_u) * (v - mean_v)) / sum(w) AS c
   FROM p JOIN m USING (p_brand) GROUP BY ALL)
 SELECT p_brand, mass, round(mean_u, 6) AS mean_u, round(mean_v, 6) AS mean_v, round((a + b) / 2 + sqrt(pow((a - b) / 2, 2) + c * c), 4) AS major, round((a + b) / 2 - sqrt(pow((a - b) / 2, 2) + c * c), 4) AS minor,
-  round(degrees(0.5 * atan2(2 * c, a - b)), 4) AS axis FROM c""",
+  round(degrees(0.5 * atan2(2 * c, a - b)), 4) + 0.0::DOUBLE AS axis FROM c""",
 )
 def weighted_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = fits.weighted_moments(table(spark, sf_dir, "part"), ["p_brand"], F.col("p_size"), F.col("p_retailprice"), F.col("p_partkey") % 7 + 1)
     cov = [F.col(c) for c in ("var_u", "var_v", "cov_uv")]
     major, minor = fits.eigenvalues(*cov)
-    return m.select("p_brand", "mass", F.round("mean_u", 6).alias("mean_u"), F.round("mean_v", 6).alias("mean_v"), F.round(major, 4).alias("major"), F.round(minor, 4).alias("minor"), F.round(fits.axis_of(*cov), 4).alias("axis"))
+    return m.select("p_brand", "mass", F.round("mean_u", 6).alias("mean_u"), F.round("mean_v", 6).alias("mean_v"), F.round(major, 4).alias("major"), F.round(minor, 4).alias("minor"), (F.round(fits.axis_of(*cov), 4) + 0.0).alias("axis"))
 
 
 @query(
@@ -135,12 +135,13 @@ def tip_height(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "mask_moments",
     f"""
-SELECT frame, count(*) AS area, round(avg(u), 6) AS mean_u, round(avg(v), 6) AS mean_v, round(var_pop(u), 6) AS var_u, round(var_pop(v), 6) AS var_v, round(covar_pop(u, v), 6) AS cov_uv,
-  round(count(*) FILTER (u = 0 OR u = 7 OR v = 0 OR v = 7) / 32, 6) AS border FROM ({ON_SQL}) GROUP BY frame""",
+SELECT frame, count(*) AS area, round(avg(u) + 1e-9::DOUBLE, 6) AS mean_u, round(avg(v) + 1e-9::DOUBLE, 6) AS mean_v, round(var_pop(u) + 1e-9::DOUBLE, 6) AS var_u, round(var_pop(v) + 1e-9::DOUBLE, 6) AS var_v, round(covar_pop(u, v) + 1e-9::DOUBLE, 6) + 0.0::DOUBLE AS cov_uv,
+  round(count(*) FILTER (u = 0 OR u = 7 OR v = 0 OR v = 7) / 32 + 1e-9::DOUBLE, 6) AS border FROM ({ON_SQL}) GROUP BY frame""",
 )
 def mask_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Many values are exact binary fractions: a hair above, they round the same way everywhere.
     m = masks.moments(on_pixels(spark, sf_dir), 8, 8)
-    return m.select("frame", "area", *[F.round(c, 6).alias(c) for c in ("mean_u", "mean_v", "var_u", "var_v", "cov_uv", "border")])
+    return m.select("frame", "area", *[(F.round(F.col(c) + 1e-9, 6) + 0.0).alias(c) for c in ("mean_u", "mean_v", "var_u", "var_v", "cov_uv", "border")])
 
 
 @query(

@@ -210,25 +210,25 @@ WITH t AS (SELECT user_id, event_id, {AZ_SQL} AS az FROM events),
 d AS (SELECT user_id, event_id, first_value(az) OVER w AS a, coalesce(((az - lag(az) OVER w + 180) % 360 + 360) % 360 - 180, 0) AS step FROM t WINDOW w AS (PARTITION BY user_id ORDER BY event_id)),
 u AS (SELECT user_id, event_id, a + sum(step) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS unwrapped FROM d)
 SELECT user_id, event_id, round(unwrapped, 4) AS unwrapped,
-  round(coalesce((lead(unwrapped) OVER w - lag(unwrapped) OVER w) / 2, lead(unwrapped) OVER w - unwrapped, unwrapped - lag(unwrapped) OVER w), 4) AS rate
+  round(coalesce((lead(unwrapped) OVER w - lag(unwrapped) OVER w) / 2, lead(unwrapped) OVER w - unwrapped, unwrapped - lag(unwrapped) OVER w), 4) + 0.0::DOUBLE AS rate
 FROM u WINDOW w AS (PARTITION BY user_id ORDER BY event_id)""",
 )
 def unwrap_gradient(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", azimuth().alias("az"))
     rows = S.unwrap(rows, "az", ["user_id"], ["event_id"])
-    return rows.select("user_id", "event_id", F.round("unwrapped", 4).alias("unwrapped"), F.round(S.gradient("unwrapped", ["user_id"], ["event_id"]), 4).alias("rate"))
+    return rows.select("user_id", "event_id", F.round("unwrapped", 4).alias("unwrapped"), (F.round(S.gradient("unwrapped", ["user_id"], ["event_id"]), 4) + 0.0).alias("rate"))
 
 
 @query(
     "trajectory",
     f"""
 WITH t AS (SELECT user_id, event_id, value * sin(radians({AZ_SQL})) AS e, value * cos(radians({AZ_SQL})) AS n FROM events)
-SELECT user_id, event_id, round(sum(e) OVER w - first_value(e) OVER w, 4) AS east, round(sum(n) OVER w - first_value(n) OVER w, 4) AS north FROM t
+SELECT user_id, event_id, round(sum(e) OVER w - first_value(e) OVER w, 4) + 0.0::DOUBLE AS east, round(sum(n) OVER w - first_value(n) OVER w, 4) + 0.0::DOUBLE AS north FROM t
 WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)""",
 )
 def trajectory(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("user_id", "event_id", "value", azimuth().alias("az"))
-    path = lambda c: F.round(S.running_path(F.col("value") * c, ["user_id"], ["event_id"]), 4)
+    path = lambda c: F.round(S.running_path(F.col("value") * c, ["user_id"], ["event_id"]), 4) + 0.0
     return rows.select("user_id", "event_id", path(C.sin_deg(F.col("az"))).alias("east"), path(C.cos_deg(F.col("az"))).alias("north"))
 
 

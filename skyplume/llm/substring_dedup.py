@@ -1,6 +1,6 @@
 """Repeated substrings by suffix arrays: removes each byte of a 200-byte string that also starts elsewhere.
 
-1. Anchors. Every 200-byte window has a minimiser: the 48-byte gram of smallest
+1. Anchors. Every 200-byte window has a minimiser: the 100-byte gram of smallest
    hash in it, the first of equals. Equal windows have equal minimisers at equal
    places, so only grams that occur twice in the corpus can lie in a repeated
    window; they are counted by hash.
@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from skyplume.llm.common import discard, freed_shuffles, settled, written
 
 WINDOW = 200
-GRAM = 48
+GRAM = 100
 #: Bytes that are hashed together; positions in them fit 21 bits.
 BATCH = 1 << 20
 #: Different pieces in a shard.
