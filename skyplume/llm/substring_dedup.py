@@ -258,32 +258,45 @@ def piece_runs(pdf: pd.DataFrame, w: pd.DataFrame, repeated: np.ndarray, window:
     return pd.DataFrame({"anchor": pdf["anchor"].to_numpy()[ids], "pd": pdf["pd"].to_numpy()[ids], "runs": pd.Series(runs, dtype=object)})
 
 
-def sorted_windows(pdf: pd.DataFrame, window: int) -> pd.DataFrame:
-    """A part of a hot anchor's pieces: its different windows in order of their fingerprints, with their pieces' count."""
-    w, _ = shard_windows(pdf, window)
-    raws = [np.frombuffer(bytes(p), np.uint8) for p in pdf["piece"]]
-    one = w.drop_duplicates(["label", "anchor", "shift"]).copy()
-    # Two hashes of 64 bits of one window of each class.
-    prints = np.zeros((len(one), 2), np.uint64)
-    for k, rows in one.reset_index(drop=True).groupby("piece"):
-        for c, h in enumerate((gram_hashes(raws[k], window), gram_hashes(raws[k][::-1], window)[::-1])):
-            prints[rows.index, c] = h[rows["start"].to_numpy()]
-    one["hi"], one["lo"] = prints[:, 0].view(np.int64), prints[:, 1].view(np.int64)
-    w = w.merge(one[["label", "anchor", "shift", "hi", "lo"]], on=["label", "anchor", "shift"])
-    w["pd"], w["part"] = pdf["pd"].to_numpy()[w["piece"].to_numpy()], pdf["part"].iloc[0]
-    return w[["anchor", "shift", "hi", "lo", "n", "pd", "part"]].sort_values(["hi", "lo"])
-
-
-def merge_parts(pdf: pd.DataFrame, window: int) -> pd.DataFrame:
-    """Windows of a range of fingerprints from all parts: those of each part are looked up in the merged order by binary search."""
-    codes = pdf[["hi", "lo", "shift", "anchor"]].to_numpy()
-    order = np.lexsort(codes.T)
-    codes, n = codes[order], pdf["n"].to_numpy()[order]
-    first = np.flatnonzero(np.concatenate(([True], (codes[1:] != codes[:-1]).any(axis=1))))
-    totals = np.add.reduceat(n, first)
-    run = np.searchsorted(first, np.arange(len(n)), side="right") - 1
-    hit = pdf.iloc[order][totals[run] >= 2]
-    return hit[["anchor", "pd", "shift"]]
+def part_windows(pdf: pd.DataFrame, window: int) -> pd.DataFrame:
+    """A part of a hot anchor's pieces: what it covers by itself (runs), and its different windows in order of their fingerprints.
+
+    A window row has its piece if the part has it once, else n = 2 and no piece:
+    it is covered already and only a partner for other parts.
+    """
+    w, repeated = shard_windows(pdf, window)
+    local = piece_runs(pdf, w, repeated & (pdf["n"].to_numpy()[w["piece"].to_numpy()] == 1), window)
+    one = w.assign(again=repeated).drop_duplicates(["label", "shift"])
+    # Two hashes of 64 bits, of the window and its place against the anchor.
+    raw = np.frombuffer(b"".join(pdf["piece"]), np.uint8)
+    first = np.cumsum([0, *(len(p) for p in pdf["piece"])])[:-1]
+    at = first[one["piece"].to_numpy()] + one["start"].to_numpy()
+    prints = [np.zeros(0, np.uint64)] * 2
+    if len(one):
+        prints = [_mix(_hash_at(raw, at, window, odd) + one["shift"].to_numpy().astype(np.uint64) * np.uint64(_ODD)) for odd in (_ODD, 0xC2B2AE3D27D4EB4F)]
+    again = one["again"].to_numpy()
+    anchor = pdf["anchor"].iloc[0]
+    rows = pd.DataFrame({"anchor": anchor, "pd": np.where(again, 0, pdf["pd"].to_numpy()[one["piece"].to_numpy()]), "shift": one["shift"].to_numpy(), "hi": prints[0].view(np.int64), "lo": prints[1].view(np.int64), "n": again + 1})
+    return pd.concat((local, rows.sort_values(["hi", "lo"])), ignore_index=True)[["anchor", "pd", "runs", "shift", "hi", "lo", "n"]].astype({"shift": "Int64", "hi": "Int64", "lo": "Int64", "n": "Int64"}).replace({"runs": {np.nan: None}})
+
+
+def _hash_at(raw: np.ndarray, at: np.ndarray, size: int, odd: int) -> np.ndarray:
+    """Polynomial hash of the ``size`` bytes at each of ``at``."""
+    out = np.zeros(len(at), np.uint64)
+    for k in range(size):
+        out = out * np.uint64(odd) + raw[at + k] + np.uint64(1)
+    return out
+
+
+def merge_parts(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Windows of a range of fingerprints from all parts: each is looked up in the merged order by binary search."""
+    order = np.lexsort((pdf["lo"].to_numpy(), pdf["hi"].to_numpy(), pdf["anchor"].to_numpy()))
+    keys = pdf[["anchor", "hi", "lo"]].to_numpy()[order]
+    first = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1))))
+    n = pdf["n"].to_numpy()[order]
+    group = np.searchsorted(first, np.arange(len(n)), side="right") - 1
+    hit = (np.add.reduceat(n, first)[group] >= 2) & (n == 1)
+    return pdf.iloc[order][hit][["anchor", "pd", "shift"]]
 
 
 def covers(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
@@ -299,11 +312,13 @@ def _covered_pieces(spark: SparkSession, docs: DataFrame, window: int, gram: int
     found, found_at = written(document_anchors(docs, window, gram), "anchors")
     each = found.select("kh", "kl", F.explode(F.arrays_zip("anchors", "places")).alias("x")).select("kh", "kl", F.col("x.anchors").alias("anchor"), F.col("x.places").alias("place"))
     shared = found.select(F.explode("anchors").alias("anchor")).groupBy("anchor").count().filter("count > 1").select("anchor")
+    shared, shared_at = written(shared, "shared")  # read again, so that a hot anchor can be split in the join
     at = each.join(shared, "anchor").groupBy("kh", "kl").agg(F.collect_set(F.struct("anchor", "place")).alias("at"))
     # Rows equal in all bytes and ids have one key: their pieces are cut once for each.
     cut = docs.join(at, ["kh", "kl"]).select("kh", "kl", "raw", "at")
     pieces, _ = written(cut_pieces(cut, window, gram).withColumn("pd", F.xxhash64("left", "piece")).filter(F.octet_length("piece") >= window), "pieces")
-    discard(spark, found_at)
+    for path in (found_at, shared_at):
+        discard(spark, path)
     different = pieces.groupBy("anchor", "left", "piece").agg(F.count("*").alias("n"), F.min("pd").alias("pd"))
     different, different_at = written(different, "different")
     per = settled(different.groupBy("anchor").agg(F.count("*").alias("k")))
@@ -326,20 +341,19 @@ def _covered_pieces(spark: SparkSession, docs: DataFrame, window: int, gram: int
     if n_hot:
         parts = rest.filter(F.col("k") > shard).join(F.broadcast(hot) if n_hot <= 50_000 else hot, F.col("anchor") == F.col("_a"))
         parts = parts.withColumn("part", F.pmod(F.col("pd"), F.col("parts")).cast("int")).drop("_a", "k")
-        windows = parts.groupBy("anchor", "part").applyInPandas(lambda pdf: sorted_windows(pdf, window), "anchor long, shift int, hi long, lo long, n long, pd long, part int")
-        # As many ranges of fingerprints as a window of each piece fills shards.
-        total = parts.count() * (window - gram)
-        ranges = windows.withColumn("range", F.shiftright("hi", 64 - max(1, int(total // (64 * shard)).bit_length())))
-        # Equal windows of a part are one row here: no range gets a hot window's pieces.
-        slim = ranges.groupBy("anchor", "range", "shift", "hi", "lo", "part").agg(F.sum("n").alias("n"), F.collect_set("pd").alias("pds"))
-        merged = slim.select("anchor", "range", "shift", "hi", "lo", "n", F.explode("pds").alias("pd"))
-        hits = merged.groupBy("range").applyInPandas(lambda pdf: merge_parts(pdf, window), "anchor long, pd long, shift int")
+        shown, shown_at = written(parts.groupBy("anchor", "part").applyInPandas(lambda pdf: part_windows(pdf, window), "anchor long, pd long, runs array<int>, shift int, hi long, lo long, n long"), "parts")
+        outs.append(shown.filter("runs is not null").select("anchor", "pd", "runs"))
+        # As many ranges of fingerprints as keep each to about 64 shards' windows; a window comes once from each part.
+        windows = shown.filter("runs is null").select("anchor", "pd", "shift", "hi", "lo", "n")
+        bits = max(1, int(windows.count() // (64 * shard)).bit_length())
+        hits = windows.withColumn("range", F.shiftright("hi", 64 - bits)).groupBy("range").applyInPandas(merge_parts, "anchor long, pd long, shift int")
         outs.append(hits.groupBy("anchor", "pd").agg(F.flatten(F.transform(F.array_sort(F.collect_set("shift")), lambda s: F.array(s, s + window))).alias("runs")))
     result = outs[0]
     for o in outs[1:]:
         result = result.union(o)
     runs, _ = written(result, "runs")
-    discard(spark, different_at)
+    for path in [different_at, *([shown_at] if n_hot else [])]:
+        discard(spark, path)
     return pieces, runs
 
 
