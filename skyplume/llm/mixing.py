@@ -115,7 +115,7 @@ def mix_sorted(docs: DataFrame, **params) -> DataFrame:
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return mix_sorted(docs).select("doc_id", "size", "source_size", "target", "taken", "source", F.round("position", 9).alias("position"))
+    return mix_sorted(docs).select("doc_id", "size", "source_size", "target", "taken", "source", (F.round("position", 9) + 0.0).alias("position"))
 
 
 OP1_SQL = """
@@ -147,6 +147,6 @@ inverted AS (
 SELECT doc_id, size, source_size, target, CAST(a + b AS BIGINT) AS taken, source,
   round(CASE WHEN a + b = 0 THEN 1 + coalesce((start - target) / nullif(source_size, 0), 0)
     ELSE least(CASE WHEN tilt = 0 THEN share
-      ELSE (1 + tilt - sqrt(greatest((1 + tilt) * (1 + tilt) - 4 * tilt * share, 0))) / (2 * tilt) END, 1) END, 9) AS position
+      ELSE (1 + tilt - sqrt(greatest((1 + tilt) * (1 + tilt) - 4 * tilt * share, 0))) / (2 * tilt) END, 1) END, 9) + 0.0::DOUBLE AS position
 FROM inverted
 """
