@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyplume.llm.common import SPACE, fresh_path, settled
+from skyplume.llm.common import SPACE, freed_shuffles, fresh_path, settled
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -63,16 +63,8 @@ def stream_keepers(spark: SparkSession, inbox: str, schema, state: str, updates:
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
-def exact_groups(docs: DataFrame, key=sha256_key, files_per_batch: int = 4096) -> DataFrame:
-    """All rows and columns of ``docs`` with _keep_id, _group_size, _kept, _norm.
-
-    Equal texts: identical once ASCII white space is deleted; null counts as
-    empty, so null and blank texts are one group. The row with the most code
-    points stays, then the smallest doc_id; a null doc_id comes last. Repeated
-    rows (same doc_id and text as the row that stays) are all marked as kept:
-    they are that document. An empty table gives no rows; columns of ``docs``
-    beginning with an underscore are replaced if the names clash.
-    """
+def stream_all(docs: DataFrame, key=sha256_key, files_per_batch: int = 4096) -> DataFrame:
+    """(_digest, _keep_id, _keep_points, _n_rows) of every digest of ``docs``, by the stream."""
     spark = docs.sparkSession
     inbox, state, updates = (fresh_path(spark, f"dedup-{x}") for x in ("inbox", "state", "updates"))
     arrivals(docs, key).write.parquet(inbox)
@@ -86,15 +78,36 @@ def exact_groups(docs: DataFrame, key=sha256_key, files_per_batch: int = 4096) -
         found = spark.createDataFrame([], changed)
     # State only grows, so a digest's last update is its greatest.
     keepers = found.groupBy("digest").agg(F.max("best").alias("best"), F.max("n_rows").alias("n_rows"))
-    keepers = keepers.select(F.col("digest").alias("_digest"), (-F.col("best.neg_id")).alias("_keep_id"), F.col("best.n_points").alias("_keep_points"), F.col("n_rows").alias("_n_rows"))
-    # Each text is shuffled once; what is derived from it is derived behind the shuffle.
-    rows = docs.withColumn("_digest", key(normalised(F.col("text")))).join(keepers, "_digest")
-    points = F.length(F.coalesce(F.col("text"), F.lit("")))
-    rows = rows.withColumns({"_norm": normalised(F.col("text")), "_kept": F.col("doc_id").eqNullSafe(F.col("_keep_id")) & (points == F.col("_keep_points"))})
+    return keepers.select(F.col("digest").alias("_digest"), (-F.col("best.neg_id")).alias("_keep_id"), F.col("best.n_points").alias("_keep_points"), F.col("n_rows").alias("_n_rows"))
+
+
+def exact_groups(docs: DataFrame, key=sha256_key, keepers: DataFrame | None = None) -> DataFrame:
+    """All rows and columns of ``docs`` with _keep_id, _kept, _n_rows, _norm, _digest, and _same: the bytes are those of the row that stays.
+
+    Equal texts: identical once ASCII white space is deleted; null counts as
+    empty, so null and blank texts are one group. The row with the most code
+    points stays, then the smallest doc_id; a null doc_id comes last. Repeated
+    rows (same doc_id and text as the row that stays) are all marked as kept:
+    they are that document. An empty table gives no rows; columns of ``docs``
+    with the names above are replaced.
+    """
+    keepers = stream_all(docs, key) if keepers is None else keepers
+    rows = with_keepers(docs, key, keepers).withColumn("_norm", normalised(F.col("text")))
     # Hits are compared in full with the text that stays.
     first = rows.filter(F.col("_kept") & (F.col("_n_rows") > 1)).groupBy("_digest").agg(F.min("_norm").alias("_keep_norm")).withColumnRenamed("_digest", "_d")
     rows = rows.join(first, F.col("_digest") == F.col("_d"), "left").withColumn("_same", F.col("_keep_norm").isNull() | (F.col("_norm") == F.col("_keep_norm")))
-    return rows.select(*[c for c in docs.columns if c not in ("_norm", "_keep_id", "_kept", "_same", "_n_rows", "_digest")], "_norm", "_digest", "_keep_id", "_kept", "_same", "_n_rows")
+    return rows.select(*[c for c in docs.columns if c not in ADDED], *ADDED)
+
+
+#: Columns that ``exact_groups`` adds.
+ADDED = ("_norm", "_digest", "_keep_id", "_kept", "_same", "_n_rows")
+
+
+def with_keepers(docs: DataFrame, key, keepers: DataFrame) -> DataFrame:
+    """``docs`` joined with the rows that stay. Each text is shuffled once; what is derived from it is derived behind the shuffle."""
+    rows = docs.withColumn("_digest", key(normalised(F.col("text")))).join(keepers, "_digest")
+    points = F.length(F.coalesce(F.col("text"), F.lit("")))
+    return rows.withColumn("_kept", F.col("doc_id").eqNullSafe(F.col("_keep_id")) & (points == F.col("_keep_points")))
 
 
 def resolve(rows: DataFrame) -> DataFrame:
@@ -114,11 +127,17 @@ def resolve(rows: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of equal texts, columns as they were."""
-    rows = exact_groups(docs)
-    odd = rows.filter(~F.col("_same"))
-    one = rows.filter(F.col("_same") & F.col("_kept")).dropDuplicates(["_digest"]).select(*docs.columns)
-    two = odd.groupBy("_digest", "_norm").agg(F.max_by(F.struct(*docs.columns), F.struct(F.length("text"), -F.col("doc_id"))).alias("_r")).select("_r.*")
-    return one.unionByName(two)
+    with freed_shuffles(docs.sparkSession):
+        keepers = settled(stream_all(docs))
+        # As a rule none; the check's shuffles are gone before the result's begin.
+        odd = settled(exact_groups(docs.select("doc_id", "text"), keepers=keepers).filter(~F.col("_same")).select("_digest", F.col("_norm").alias("_odd")).distinct())
+    rows = with_keepers(docs, sha256_key, keepers)
+    one = rows.filter("_kept").dropDuplicates(["_digest"]).select(*docs.columns)
+    if odd.isEmpty():
+        return one
+    lost = rows.join(odd, "_digest").filter(normalised(F.col("text")) == F.col("_odd"))
+    best = F.max_by(F.struct(*docs.columns), F.struct(F.length("text"), -F.col("doc_id")))
+    return one.unionByName(lost.groupBy("_digest", "_odd").agg(best.alias("_r")).select("_r.*"))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
