@@ -26,7 +26,7 @@ SAMPLE = 3000
 EPOCHS = 4
 THRESHOLD = 0.3
 #: Bytes that are hashed together.
-BATCH = 1 << 21
+BATCH = 1 << 19
 #: How many words back a word counts as seen a moment ago.
 RECENT = 8
 

@@ -19,9 +19,9 @@ from tokenizers import Tokenizer
 #: Characters below this are handled here: they are composed, and lower-casing them does not depend on neighbours.
 LIMIT = 0x250
 #: Units a worker remembers.
-KNOWN = 600_000
+KNOWN = 300_000
 #: Characters that are handled together.
-BATCH = 1 << 21
+BATCH = 1 << 19
 
 
 def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
