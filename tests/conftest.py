@@ -6,7 +6,11 @@ import os
 import sys
 from pathlib import Path
 
-import pytest
+# Before NumPy is loaded: its thread pool does not outlive the launch of the JVM.
+os.environ.setdefault("OMP_NUM_THREADS", "1")
+os.environ.setdefault("OPENBLAS_NUM_THREADS", "1")
+
+import pytest  # noqa: E402
 
 ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
