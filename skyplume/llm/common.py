@@ -35,6 +35,14 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/skyplume/{label}-{uuid.uuid4().hex}"
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def settled(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder, its lineage cut."""
     shared_dir(df.sparkSession)

@@ -131,13 +131,14 @@ def keep_first(docs: DataFrame) -> DataFrame:
         keepers = settled(stream_all(docs))
         # As a rule none; the check's shuffles are gone before the result's begin.
         odd = settled(exact_groups(docs.select("doc_id", "text"), keepers=keepers).filter(~F.col("_same")).select("_digest", F.col("_norm").alias("_odd")).distinct())
-    rows = with_keepers(docs, sha256_key, keepers)
-    one = rows.filter("_kept").dropDuplicates(["_digest"]).select(*docs.columns)
+    # The whole row travels in one column, whatever its columns are called.
+    rows = with_keepers(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text"), sha256_key, keepers)
+    one = rows.filter("_kept").dropDuplicates(["_digest"]).select("row.*")
     if odd.isEmpty():
         return one
     lost = rows.join(odd, "_digest").filter(normalised(F.col("text")) == F.col("_odd"))
-    best = F.max_by(F.struct(*docs.columns), F.struct(F.length("text"), -F.col("doc_id")))
-    return one.unionByName(lost.groupBy("_digest", "_odd").agg(best.alias("_r")).select("_r.*"))
+    best = F.max_by("row", F.struct(F.length("text"), -F.col("doc_id")))
+    return one.unionByName(lost.groupBy("_digest", "_odd").agg(best.alias("row")).select("row.*"))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -101,11 +101,11 @@ def mixed_documents(docs: DataFrame, **params) -> DataFrame:
 
     The copy at a target's edge is in whole or out, whichever is nearer.
     """
-    mixed = mix(docs.withColumn("_text", F.xxhash64("text")), carry=("_text",), **params)
-    takes = mixed.select(F.col("doc_id").alias("_id"), "_text", "size", F.explode("takes").alias("t")).filter(F.col("t.words") * 2 >= F.col("size"))
-    takes = takes.select("_id", F.col("_text").alias("_hash"), F.col("t.position").alias("_position"))
-    rows = docs.join(takes, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_hash")))
-    return rows.orderBy("_position", "doc_id").select(*docs.columns)
+    kept = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", "text", F.xxhash64("text").alias("text_hash"))
+    takes = mix(kept, carry=("text_hash",), **params).select("doc_id", "text_hash", "size", F.explode("takes").alias("take")).filter(F.col("take.words") * 2 >= F.col("size"))
+    takes = takes.select(F.col("doc_id").alias("take_id"), F.col("text_hash").alias("take_hash"), "take.position")
+    rows = kept.select("row", "doc_id", "text_hash").join(takes, F.col("doc_id").eqNullSafe(F.col("take_id")) & (F.col("text_hash") == F.col("take_hash")))
+    return rows.orderBy("position", "doc_id").select("row.*")
 
 
 def mix_sorted(docs: DataFrame, **params) -> DataFrame:

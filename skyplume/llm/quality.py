@@ -19,6 +19,9 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructType
+
+from skyplume.llm.common import free_name
 
 BITS = 18
 #: Labelled documents that the model is fitted on at most, first by the hash of doc_id.
@@ -184,24 +187,24 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, bits: int = BI
 
 
 def score(docs: DataFrame, model: bytes, threshold: float = THRESHOLD, bits: int = BITS) -> DataFrame:
-    """All columns of ``docs`` with ``_score`` (0 to 1) and ``_predicted``; a null text scores as an empty one."""
+    """All columns of ``docs`` with ``_score`` (0 to 1) and ``_predicted``; a null text scores as an empty one. Columns of these names are replaced."""
+    docs = docs.drop("_score", "_predicted")
+    raw = free_name(docs, "_raw")
     weights = docs.sparkSession.sparkContext.broadcast(model)  # 4 * 2^bits bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = np.frombuffer(weights.value, np.float32).astype(float)
         for b in batches:
-            texts = [x.as_py() or b"" for x in b.column("_text")]
+            texts = [x.as_py() or b"" for x in b.column(raw)]
             s = np.full(len(texts), w[-1])
             for at, count, d, f, v in features(texts, bits):
                 s[at : at + count] += np.bincount(d, w[f] * v, count)
             s = 1 / (1 + np.exp(-np.clip(s, -35, 35)))
-            kept = [k for k, name in enumerate(b.schema.names) if name != "_text"]
+            kept = [k for k, name in enumerate(b.schema.names) if name != raw]
             yield pa.RecordBatch.from_arrays([*[b.column(k) for k in kept], pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*[b.schema.names[k] for k in kept], "_score", "_predicted"])
 
-    from pyspark.sql.types import DoubleType, IntegerType, StructType
-
     schema = StructType([*docs.schema.fields]).add("_score", DoubleType()).add("_predicted", IntegerType())
-    return docs.withColumn("_text", F.col("text").cast("binary")).mapInArrow(run, schema)
+    return docs.withColumn(raw, F.col("text").cast("binary")).mapInArrow(run, schema)
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -330,8 +330,8 @@ def test_vectors(spark, tile):
     data += [(k, None, 0), (k + 1, [0.0] * 16, 0), (k + 2, [float("nan")] * 16, 0), (k + 3, [None] * 16, 0), (k + 4, [], 0), (k + 5, data[0][1], None), (k + 6, [1.0, 2.0], 0), (k + 7, [2.0, 4.0], 0), (k + 8, [1e-30] * 16, 2), (k + 9, [1e30] * 16, 2)]
     df = spark.createDataFrame([(*d, "clash", 1) for d in data], "vec_id long, embedding array<double>, label int, key string, n int")
     got = sorted(tuple(r) for r in embedding_dedup.near_vectors(df, tile=tile, leaf=20).collect())
-    v = pd.DataFrame(data, columns=["vec_id", "embedding", "label"]).astype({"label": object})
-    v["label"] = [None if x != x else x for x in v.label]
+    v = pd.DataFrame({"vec_id": [d[0] for d in data], "embedding": [d[1] for d in data], "label": pd.Series([d[2] for d in data], dtype=object)})
+
     v.loc[v.label.isna(), "label"] = [f"none{i}" for i in range(int(v.label.isna().sum()))]
     want = brute_vectors(v)
     links = sum(w[1] for w in want)
