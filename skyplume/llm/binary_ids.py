@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skyplume.llm.common import fresh_path
+from skyplume.llm.common import fresh_path, sliced
 from skyplume.llm.tokens import encoder
 
 SAMPLE, PREFIX, DICTIONARY = 400, 16_384, 32_768
@@ -85,7 +85,7 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49k.json",
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
         schema = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("first_token", pa.int64()), ("n_tokens", pa.int64()), ("dict_hash", pa.string()), ("min_id", pa.int64()), ("max_id", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("offsets", pa.list_(pa.int32())), ("payload", pa.binary())])
-        for b in batches:
+        for b in sliced(batches):
             for doc_id, x in zip(b.column("doc_id").to_pylist(), encoded(b, vocabulary, end_id), strict=True):
                 frames.append(pack.compress(x.tobytes()))
                 ids.append(doc_id)

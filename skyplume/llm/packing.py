@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skyplume.llm.common import settled
+from skyplume.llm.common import settled, sliced
 from skyplume.llm.tokens import encoder
 
 LENGTH = 2048
@@ -160,7 +160,7 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in sliced(batches):
             ids = encoder(vocabulary).ids([x or "" for x in b.column("text").to_pylist()])
             rows = [(doc_id, at, x[at : at + length], len(x)) for doc_id, x in zip(b.column("doc_id").to_pylist(), (np.append(x, np.uint32(end_id)).astype("<u4") for x in ids), strict=True) for at in range(0, len(x), length)]
             columns = [pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([len(r[2]) for r in rows], pa.int64()), pa.array([r[2].tobytes() for r in rows], pa.binary()), pa.array([r[3] for r in rows], pa.int64())]

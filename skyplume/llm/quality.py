@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructType
 
-from skyplume.llm.common import free_name
+from skyplume.llm.common import free_name, sliced
 
 BITS = 18
 #: Labelled documents that the model is fitted on at most, first by the hash of doc_id.
@@ -194,7 +194,7 @@ def score(docs: DataFrame, model: bytes, threshold: float = THRESHOLD, bits: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = np.frombuffer(weights.value, np.float32).astype(float)
-        for b in batches:
+        for b in sliced(batches):
             texts = [x.as_py() or b"" for x in b.column(raw)]
             s = np.full(len(texts), w[-1])
             for at, count, d, f, v in features(texts, bits):

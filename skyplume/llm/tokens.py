@@ -19,7 +19,7 @@ from tokenizers import Tokenizer
 #: Characters below this are handled here: they are composed, and lower-casing them does not depend on neighbours.
 LIMIT = 0x250
 #: Units a worker remembers.
-KNOWN = 300_000
+KNOWN = 200_000
 #: Characters that are handled together.
 BATCH = 1 << 19
 
