@@ -11,9 +11,10 @@ fingerprints with all that are replicated to it therefore loses no link.
 
 A similarity of 0.8 differs in some 15 % of the bits, beyond what one code can
 cover without replicating everything. ``similar_documents`` takes several
-independent codes over a wider fingerprint instead: one-bit blocks, radius 0,
-and as many codes as keep the chance to miss a pair at the threshold at a few
-per cent (less for closer pairs).
+independent codes over a wider fingerprint instead: one-bit blocks, radius 0.
+The bits of a code grow with the table, and the codes with the bits, so that
+the chance to miss a pair at the threshold stays within ``MISS`` whatever the
+table's size (less for closer pairs).
 
 Only distinct fingerprints are replicated and compared, so a group of copies is
 one row; an anchor with many distinct fingerprints is cut into tiles; and each
@@ -203,11 +204,45 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, width: int = 3, t
     return prints.join(by_fp, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 
-#: For ``similar_documents``: bits, codes, and the most bits that pairs of similarity 0.8 (38.9 on average) may differ in.
-WIDE, CODES, WIDE_DISTANCE = 4, 40, 43
+#: For ``similar_documents``: words, and the most bits that pairs of similarity 0.8 (38.8 on average) may differ in.
+WIDE, WIDE_DISTANCE = 4, 43
+#: Of pairs of similarity 0.8, the share that may meet at no anchor.
+MISS = 0.02
 
 
-def similar_documents(docs: DataFrame, width: int = 5, codes: int = CODES, distance: int = WIDE_DISTANCE, tile: int = TILE) -> DataFrame:
+def code_bits(n: int) -> int:
+    """Bits of a code for ``n`` distinct fingerprints: some dozens at each anchor."""
+    return min(40, max(6, round(math.log2(n + 2)) - 6))
+
+
+def code_count(bits: int, width: int = 64 * WIDE, miss: float = MISS) -> int:
+    """Codes of ``bits`` of ``width`` bits with which pairs of similarity 0.8 share no anchor in ``miss`` of the cases.
+
+    Two sets of that similarity are at a cosine of 8/9 at least; each bit
+    differs with the share of that angle.
+    """
+    p = math.acos(8 / 9) / math.pi
+    weight = np.array([math.comb(width, d) * p**d * (1 - p) ** (width - d) for d in range(width + 1)])
+    apart = 1 - np.array([math.comb(width - d, bits) / math.comb(width, bits) for d in range(width + 1)])
+    none, codes = weight * apart, 1
+    while none.sum() > miss:
+        none, codes = none * apart, codes + 1
+    return codes
+
+
+def code_places(bits: int, codes: int, width: int = 64 * WIDE) -> list[np.ndarray]:
+    """The bits that each code reads."""
+    return [np.random.default_rng(k).choice(width, bits, replace=False) for k in range(codes)]
+
+
+def code_anchors(fp: np.ndarray, places: list[np.ndarray]) -> Iterator[np.ndarray]:
+    """For each code the anchors of ``fp`` (rows of words); anchors of different codes differ."""
+    on = np.unpackbits(fp.view(np.uint8).reshape(len(fp), -1), axis=1, bitorder="little").astype(np.int64)
+    for k, at in enumerate(places):
+        yield on[:, at] @ (1 << np.arange(len(at), dtype=np.int64)) * len(places) + k
+
+
+def similar_documents(docs: DataFrame, width: int = 5, codes: int | None = None, distance: int = WIDE_DISTANCE, tile: int = TILE) -> DataFrame:
     """(doc_id, component_id) of every row: shingles of five words, similarity of about 0.8 or more.
 
     The share of bits that differ estimates the angle between two documents'
@@ -217,16 +252,15 @@ def similar_documents(docs: DataFrame, width: int = 5, codes: int = CODES, dista
     """
     prints = settled(fingerprints(docs, width, WIDE))
     firsts = settled(prints.groupBy("fp").agg(F.min("doc_id").alias("first")).withColumn("node", F.xxhash64("fp")))
-    bits = min(40, max(6, round(math.log2(firsts.count() + 2)) - 4))
-    places = [np.random.default_rng(k).choice(64 * WIDE, bits, replace=False) for k in range(codes)]
+    bits = code_bits(firsts.count())
+    places = code_places(bits, codes or code_count(bits))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        powers = 1 << np.arange(bits, dtype=np.int64)
         for pdf in batches:
             if len(pdf):
-                on = np.unpackbits(np.frombuffer(b"".join(pdf["fp"]), np.uint8).reshape(len(pdf), -1), axis=1, bitorder="little").astype(np.int64)
-                for k, at in enumerate(places):
-                    yield pdf.assign(anchor=on[:, at] @ powers * codes + k, own=True)
+                fp = np.frombuffer(b"".join(pdf["fp"]), np.uint64).reshape(len(pdf), -1)
+                for anchor in code_anchors(fp, places):
+                    yield pdf.assign(anchor=anchor, own=True)
 
     rows = firsts.select("node", "fp").mapInPandas(run, "node long, fp binary, anchor long, own boolean")
     comps = settled(components(star_links(rows, distance, tile)))

@@ -170,6 +170,28 @@ def test_similar_documents(spark, none):
     assert simhash.similar_documents(none).count() == 0
 
 
+def overlapping(rng, pairs, shared, own):
+    """Fingerprints of pairs of sets that share ``shared`` shingles and have ``own`` each besides."""
+
+    def prints(h):  # (sets, shingles) of hashes
+        bits = np.unpackbits(h.view(np.uint8).reshape(*h.shape, -1), axis=2, bitorder="little")
+        return np.packbits(bits.sum(axis=1, dtype=np.int64) * 2 > h.shape[1], axis=1, bitorder="little").view(np.uint64)
+
+    h = rng.integers(0, 2**64, (pairs, shared + 2 * own, simhash.WIDE), np.uint64)
+    return prints(h[:, : shared + own]), prints(np.concatenate([h[:, :shared], h[:, shared + own :]], axis=1))
+
+
+def test_codes_find_pairs_in_tables_of_any_size():
+    a, b = overlapping(np.random.default_rng(3), 1500, 160, 20)  # a similarity of 0.8
+    for n in (1_000, 100_000, 1_000_000, 10_000_000, 100_000_000):
+        bits = simhash.code_bits(n)
+        places = simhash.code_places(bits, simhash.code_count(bits))
+        met = np.zeros(len(a), bool)
+        for x, y in zip(simhash.code_anchors(a, places), simhash.code_anchors(b, places), strict=True):
+            met |= x == y
+        assert met.mean() > 0.965, (n, met.mean())
+
+
 # 6 and 8
 
 
