@@ -14,7 +14,9 @@ cover without replicating everything. ``similar_documents`` takes several
 independent codes over a wider fingerprint instead: one-bit blocks, radius 0.
 The bits of a code grow with the table, and the codes with the bits, so that
 the chance to miss a pair at the threshold stays within ``MISS`` whatever the
-table's size (less for closer pairs).
+table's size (less for closer pairs). Fingerprints only propose: what they join
+is a rough group, in which pairs are linked where their sets of shingles have
+the similarity exactly.
 
 Only distinct fingerprints are replicated and compared, so a group of copies is
 one row; an anchor with many distinct fingerprints is cut into tiles; and each
@@ -24,7 +26,7 @@ task hands on a star per connected group, not its pairs.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -33,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyplume.llm.common import components, min_labels, settled, tiled
+from skyplume.llm.common import components, min_labels, settled, sliced, tiled
 
 DISTANCE = 2
 #: Fingerprints in a tile's block.
@@ -43,15 +45,11 @@ CHUNK = 1 << 16
 SEED = 42
 
 
-def fingerprint(text: bytes, width: int = 3, wide: int = 1) -> np.ndarray:
-    """Fingerprint of whole UTF-8 text: ``wide`` words of 64 bits; no words: 0.
-
-    Word 0 counts the bits of the shingles' XXH64, the further words those of
-    remixed hashes.
-    """
+def shingle_hashes(text: bytes, width: int) -> Iterator[np.ndarray]:
+    """XXH64 of the shingles of whole UTF-8 text, some at a time; no words: none."""
     words = text.lower().split()  # A-Z only; splits at \\x20 and \\x09-\\x0D
     if not words:
-        return np.zeros(wide, np.uint64)
+        return
     line = b" ".join(words)
     ends = np.cumsum([len(w) + 1 for w in words]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
@@ -61,10 +59,21 @@ def fingerprint(text: bytes, width: int = 3, wide: int = 1) -> np.ndarray:
         starts, ends = starts[:1], ends[-1:]
     digest = xxhash.xxh64_intdigest
     n = len(starts)
-    ones = np.zeros((wide, 64), np.int64)
     for at in range(0, n, CHUNK):
         part = zip(starts[at : at + CHUNK].tolist(), ends[at : at + CHUNK].tolist(), strict=True)
-        h = np.fromiter((digest(line[a:b], SEED) for a, b in part), np.uint64, min(CHUNK, n - at))
+        yield np.fromiter((digest(line[a:b], SEED) for a, b in part), np.uint64, min(CHUNK, n - at))
+
+
+def shingle_set(text: bytes, width: int) -> np.ndarray:
+    """The different hashes of the text's shingles, ascending."""
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *shingle_hashes(text, width)]))
+
+
+def majority_bits(hashes: Iterable[np.ndarray], wide: int) -> np.ndarray:
+    """``wide`` words of the bits that most hashes have; word 0 counts the hashes as they are, the further words remixed ones."""
+    n, ones = 0, np.zeros((wide, 64), np.int64)
+    for h in hashes:
+        n += len(h)
         for k in range(wide):
             if k:
                 h = h * np.uint64(0x9E3779B97F4A7C15)
@@ -73,17 +82,26 @@ def fingerprint(text: bytes, width: int = 3, wide: int = 1) -> np.ndarray:
     return np.packbits(ones * 2 > n, axis=1, bitorder="little").view(np.uint64)[:, 0]
 
 
-def fingerprints(docs: DataFrame, width: int = 3, wide: int = 1) -> DataFrame:
-    """(doc_id, fp) of every row of ``docs``; fp is a long, or a binary of several words. A null text is empty."""
-    kind = "long" if wide == 1 else "binary"
+def fingerprint(text: bytes, width: int = 3, wide: int = 1) -> np.ndarray:
+    """Fingerprint of whole UTF-8 text: ``wide`` words of 64 bits; no words: 0."""
+    return majority_bits(shingle_hashes(text, width), wide)
+
+
+def set_fingerprint(text: bytes, width: int, wide: int = 1) -> np.ndarray:
+    """As ``fingerprint``, each shingle counted once however often it comes."""
+    h = shingle_set(text, width)
+    return majority_bits((h[at : at + CHUNK] for at in range(0, len(h), CHUNK)), wide)
+
+
+def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
+    """(doc_id, fp) of every row of ``docs``; a null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            raw = [fingerprint(x.as_py() or b"", width, wide).tobytes() for x in b.column(1)]
-            fps = pa.array(raw, pa.binary()) if wide > 1 else pa.array(np.frombuffer(b"".join(raw), np.int64))
-            yield pa.RecordBatch.from_arrays([b.column(0), fps], ["doc_id", "fp"])
+            raw = [fingerprint(x.as_py() or b"", width).tobytes() for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.frombuffer(b"".join(raw), np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, f"doc_id long, fp {kind}")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(run, "doc_id long, fp long")
 
 
 def block_masks(blocks: int) -> list[int]:
@@ -204,8 +222,12 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, width: int = 3, t
     return prints.join(by_fp, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
 
 
-#: For ``similar_documents``: words, and the most bits that pairs of similarity 0.8 (38.8 on average) may differ in.
-WIDE, WIDE_DISTANCE = 4, 43
+#: For ``similar_documents``: words, and the most bits that compared pairs may differ in (pairs of similarity 0.8: 38.8 on average, one in 1,000 more than 56).
+WIDE, WIDE_DISTANCE = 4, 56
+#: The similarity, as a fraction.
+ALIKE = (4, 5)
+#: Documents in a block of a large rough group, and bytes of shingles for a task.
+BLOCK, TASK_BYTES = 512, 16 << 20
 #: Of pairs of similarity 0.8, the share that may meet at no anchor.
 MISS = 0.02
 
@@ -242,16 +264,90 @@ def code_anchors(fp: np.ndarray, places: list[np.ndarray]) -> Iterator[np.ndarra
         yield on[:, at] @ (1 << np.arange(len(at), dtype=np.int64)) * len(places) + k
 
 
-def similar_documents(docs: DataFrame, width: int = 5, codes: int | None = None, distance: int = WIDE_DISTANCE, tile: int = TILE) -> DataFrame:
-    """(doc_id, component_id) of every row: shingles of five words, similarity of about 0.8 or more.
+def keyed_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, key, text): the text as bytes, none if null; rows of one key are equal."""
+    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
+    key = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null")).cast("binary"), F.lit(b" "), text)))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), text.alias("text"))
+
+
+def wide_fingerprints(docs: DataFrame, width: int) -> DataFrame:
+    """(doc_id, key, fp) of every row of ``docs``: the wide fingerprint of the set of shingles."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            fps = [set_fingerprint(x.as_py(), width, WIDE).tobytes() for x in b.column(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fps, pa.binary())], ["doc_id", "key", "fp"])
+
+    return keyed_texts(docs).mapInArrow(run, "doc_id long, key binary, fp binary")
+
+
+def alike(pairs: Iterator[tuple[np.ndarray, np.ndarray]], sets: list[np.ndarray]) -> list[tuple[int, int]]:
+    """The pairs of ``sets`` of similarity ``ALIKE`` or more that join what all such pairs join; the others of a joined group are not compared."""
+    size, root, found = np.array([len(x) for x in sets]), list(range(len(sets))), []
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        return x
+
+    part, whole = ALIKE
+    for i, j in pairs:
+        ok = np.minimum(size[i], size[j]) * whole >= np.maximum(size[i], size[j]) * part
+        for a, b in zip(i[ok].tolist(), j[ok].tolist(), strict=True):
+            ra, rb = find(a), find(b)
+            if ra != rb:
+                both = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
+                if both * whole >= (len(sets[a]) + len(sets[b]) - both) * part:
+                    root[rb] = ra
+                    found.append((a, b))
+    return found
+
+
+def exact_links(rough: DataFrame, docs: DataFrame, width: int, distance: int, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) over ``rough`` (node, component, fp, key) that join what the pairs of a component join whose sets of shingles are alike.
+
+    Each node's text is read back from ``docs`` by its key. A large component
+    comes in tiles.
+    """
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            sets = pa.array([shingle_set(x.as_py(), width).tobytes() for x in b.column(3)], pa.binary())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], sets], ["node", "component", "fp", "shingles"])
+
+    texts = keyed_texts(docs).select("key", "text")
+    rows = rough.join(texts, "key").dropDuplicates(["key"]).select("node", "component", "fp", "text")
+    rows = settled(rows.mapInArrow(shingled, "node long, component long, fp binary, shingles binary")).withColumn("own", F.lit(True))
+    # All rows are home rows, so blocks i, j meet as j, i too.
+    dealt = tiled(rows, ["component"], "own", "node", block).filter("hb <= mb")
+    total = dealt.agg(F.sum(F.length("shingles") + 100)).first()[0] or 0
+    dealt = dealt.withColumn("bin", F.pmod(F.xxhash64("component", "hb", "mb"), F.lit(total // TASK_BYTES + 1)))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        code = pd.util.hash_pandas_object(pdf[["component", "hb", "mb"]], index=False).to_numpy()
+        order = np.argsort(code, kind="stable")
+        fp = np.frombuffer(b"".join(pdf["fp"].to_numpy()[order]), np.uint64).reshape(len(pdf), -1)
+        node, role = pdf["node"].to_numpy()[order], pdf["role"].to_numpy()[order]
+        sets = [np.frombuffer(x, np.uint64) for x in pdf["shingles"].to_numpy()[order]]
+        found = np.array(alike(close_pairs(code[order], fp, role, distance), sets), np.int64).reshape(-1, 2)
+        return pd.DataFrame({"a": node[found[:, 0]], "b": node[found[:, 1]]})
+
+    return dealt.groupBy("bin").applyInPandas(run, "a long, b long")
+
+
+def similar_documents(docs: DataFrame, width: int = 5, codes: int | None = None, distance: int = WIDE_DISTANCE, tile: int = TILE, block: int = BLOCK) -> DataFrame:
+    """(doc_id, component_id) of every row: groups that pairs of similarity 0.8 or more join, by their sets of five-word shingles.
 
-    The share of bits that differ estimates the angle between two documents'
-    shingle counts; ``distance`` of 256 bits stands for a Jaccard similarity of
-    0.8 plus most of the estimate's spread. Treats nulls, blanks, repeated rows
-    and empty tables as ``near_duplicates`` does.
+    The share of bits that differ estimates the angle between two sets;
+    ``distance`` of 256 bits stands for a Jaccard similarity of 0.8 plus the
+    estimate's spread. Pairs within it make rough groups, in which the sets are
+    compared exactly: no pair below 0.8 is linked, and of pairs at 0.8 some two
+    in a hundred are missed. Treats nulls, blanks, repeated rows and empty
+    tables as ``near_duplicates`` does.
     """
-    prints = settled(fingerprints(docs, width, WIDE))
-    firsts = settled(prints.groupBy("fp").agg(F.min("doc_id").alias("first")).withColumn("node", F.xxhash64("fp")))
+    prints = settled(wide_fingerprints(docs, width))
+    firsts = settled(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("key").alias("key")).withColumn("node", F.xxhash64("fp")))
     bits = code_bits(firsts.count())
     places = code_places(bits, codes or code_count(bits))
 
@@ -263,7 +359,8 @@ def similar_documents(docs: DataFrame, width: int = 5, codes: int | None = None,
                     yield pdf.assign(anchor=anchor, own=True)
 
     rows = firsts.select("node", "fp").mapInPandas(run, "node long, fp binary, anchor long, own boolean")
-    comps = settled(components(star_links(rows, distance, tile)))
+    rough = components(star_links(rows, distance, tile)).join(firsts, "node").select("node", "component", "fp", "key")
+    comps = settled(components(exact_links(rough, docs, width, distance, block)))
     grouped = firsts.join(comps, "node", "left").select(F.col("fp").alias("_fp"), "first", F.coalesce("component", "node").alias("root"))
     least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
     return prints.join(grouped.join(least, "root"), F.col("fp") == F.col("_fp")).select("doc_id", "component_id")

@@ -192,6 +192,49 @@ def test_codes_find_pairs_in_tables_of_any_size():
         assert met.mean() > 0.965, (n, met.mean())
 
 
+def five_words(text):
+    part = text.split()
+    return {" ".join(part[k : k + 5]) for k in range(max(1, len(part) - 4))}
+
+
+def jaccard(x, y):
+    return len(x & y) / len(x | y)
+
+
+def test_similar_documents_have_the_similarity(spark):
+    rng = random.Random(17)
+    rows, alike = [], {}
+    for own in (30, 25, 20, 15):  # of 200 different shingles in both: similarities of 0.7, 0.75, 0.8 and 0.85
+        for k in range(25):
+            at = own * 1000 + k * 10
+            common = words(rng, 204 - 2 * own)
+            rows += [(at + c, " ".join([common, *(f"own{c}{k}" for k in range(own))])) for c in range(2)]
+            alike[at] = jaccard(*(five_words(t) for _, t in rows[-2:]))
+    line = words(rng, 8)  # counts of shingles agree, sets don't
+    rows += [(90_000 + k, f"{line} " * 60 + words(rng, 30)) for k in range(2)]
+    assert {round(x, 2) for x in alike.values()} == {0.7, 0.75, 0.8, 0.85}
+    kept = {r.doc_id for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(alike) <= kept and {90_000, 90_001} <= kept
+    assert all(at + 1 in kept for at, x in alike.items() if x < 0.8)
+    assert sum(at + 1 in kept for at, x in alike.items() if x >= 0.8) <= 3
+
+
+def test_similar_documents_in_large_groups(spark):
+    rng = random.Random(18)
+    base, rows = words(rng, 200).split(), []
+    for k in range(120):  # near copies of one document, alike or not
+        near = list(base)
+        for at in rng.sample(range(200), rng.randint(1, 8)):
+            near[at] = words(rng, 1) + "q"
+        rows.append((k, " ".join(near)))
+    sets = [five_words(t) for _, t in rows]
+    want = reach(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8])
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for block in (7, simhash.BLOCK):
+        found = {r.doc_id: r.component_id for r in simhash.similar_documents(docs, block=block).collect()}
+        assert [found[k] for k in range(len(rows))] == want
+
+
 # 6 and 8
 
 
