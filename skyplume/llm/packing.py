@@ -1,8 +1,10 @@
 """Packing documents into sequences by cutting-stock column generation.
 
-Documents are cut into full sequences and a rest. Rests are rounded up to
-classes of ``QUANTUM`` tokens; the histogram of the classes is all that the
-linear program sees, whatever the number of documents. Columns of the program
+Documents are cut into full sequences and a rest. Rests of up to ``EXACT``
+tokens have a class for each length; above, the classes widen with the length,
+so that less than one part in ``EXACT // 2`` of a rest is rounded up. The histogram
+of the classes is all that the linear program sees, whatever the number of
+documents. Columns of the program
 are patterns (how many rests of each class share a sequence); a knapsack
 dynamic program over the duals prices new ones. The solution's patterns are
 rounded down, what is left over is filled greedily, and the patterns are dealt
@@ -16,7 +18,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -24,7 +26,8 @@ from skyplume.llm.common import settled, sliced
 from skyplume.llm.tokens import encoder
 
 LENGTH = 2048
-QUANTUM = 16
+#: Rests of up to so many tokens are not rounded up.
+EXACT = 128
 #: Slices of each class's ranks.
 SLICES = 512
 MAX_COLUMNS = 600
@@ -144,11 +147,19 @@ def runs(plans: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, int, i
     return out
 
 
-def planned(counts: pd.DataFrame, length: int, quantum: int) -> pd.DataFrame:
+def size_class(size: Column, length: int = LENGTH, exact: int = EXACT) -> Column:
+    """The least length of a class that ``size`` fits: steps of 1 up to ``exact``, of 2 up to twice that, of 4 up to four times, and so on."""
+    out, step = size, 1
+    while exact * step < length:
+        out, step = F.when(size > exact * step, F.ceil(size / (2 * step)) * (2 * step)).otherwise(out), 2 * step
+    return F.when(size <= length, F.least(out, F.lit(length))).otherwise(size).cast("int")
+
+
+def planned(counts: pd.DataFrame, length: int) -> pd.DataFrame:
     """``runs`` of the plan for ``counts`` (_class, n)."""
-    if counts["_class"].isna().any() or (len(counts) and (counts["_class"].min() < 1 or counts["_class"].max() * quantum > length)):
+    if counts["_class"].isna().any() or (len(counts) and (counts["_class"].min() < 1 or counts["_class"].max() > length)):
         raise ValueError(f"a piece's length is not within 1 to {length}")
-    rows = runs(plan({int(c): int(n) for c, n in zip(counts["_class"], counts["n"], strict=True)}, length // quantum))
+    rows = runs(plan({int(c): int(n) for c, n in zip(counts["_class"], counts["n"], strict=True)}, length))
     return pd.DataFrame(rows, columns=["_c", "_first", "_end", "_a", "_sequence", "_slot"])
 
 
@@ -169,17 +180,17 @@ def tokenized_pieces(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", end
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, start long, length long, ids binary, doc_tokens long")
 
 
-def pack(pieces: DataFrame, order: list[str], length: int = LENGTH, quantum: int = QUANTUM) -> DataFrame:
+def pack(pieces: DataFrame, order: list[str], length: int = LENGTH) -> DataFrame:
     """``pieces`` (with a column ``length`` of 1 to ``length``) and their sequence_id and offset.
 
     ``order`` are the columns that tell pieces apart; pieces equal in all of them
     may change places. All columns are kept. An empty table gives no rows; a
     null or zero length has no place and is an error.
     """
-    rows = pieces.withColumn("_class", F.ceil(F.col("length") / quantum).cast("int")).withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(SLICES)).cast("int"))
+    rows = pieces.withColumn("_class", size_class(F.col("length"), length)).withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(SLICES)).cast("int"))
     slices = rows.groupBy("_class", "_slice").agg(F.count("*").alias("_n"))
-    # One task gets a row for each class, length / quantum of them whatever the input.
-    table = slices.groupBy("_class").agg(F.sum("_n").alias("n")).groupBy().applyInPandas(lambda pdf: planned(pdf, length, quantum), "_c int, _first long, _end long, _a long, _sequence long, _slot long")
+    # One task gets a row for each class, some hundreds whatever the input.
+    table = slices.groupBy("_class").agg(F.sum("_n").alias("n")).groupBy().applyInPandas(lambda pdf: planned(pdf, length), "_c int, _first long, _end long, _a long, _sequence long, _slot long")
     table = settled(table)  # also raises errors here
     before = slices.select(F.col("_class").alias("_c2"), F.col("_slice").alias("_s2"), (F.sum("_n").over(W.partitionBy("_class").orderBy("_slice")) - F.col("_n")).alias("_before"))
     rows = rows.withColumn("_rank", F.row_number().over(W.partitionBy("_class", "_slice").orderBy(*order)) - 1)

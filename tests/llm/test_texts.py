@@ -282,6 +282,15 @@ def check_packed(rows, docs):
     return sum(r.length for r in rows) / (packing.LENGTH * len(by))
 
 
+def test_packing_of_short_documents(spark):
+    for size, least in ((17, 0.97), (1, 0.97), (129, 0.94)):  # 15 pieces of 129 tokens are 94.5 % of a sequence
+        n = 40 * (packing.LENGTH // size)
+        rows = packing.pack(spark.range(n).select(F.col("id").alias("doc_id"), F.lit(size).cast("long").alias("length")), ["doc_id"]).collect()
+        assert len({r.doc_id for r in rows}) == len({(r.sequence_id, r.offset) for r in rows}) == n
+        assert max(r.offset for r in rows) + size <= packing.LENGTH
+        assert n * size / (packing.LENGTH * len({r.sequence_id for r in rows})) > least
+
+
 def test_packing(spark, odd, none):
     check_packed(packing.packed_digest(odd).collect(), odd.collect())
     assert packing.packed_digest(none).count() == 0
