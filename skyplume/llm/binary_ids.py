@@ -138,7 +138,8 @@ def read_ids(spark: SparkSession, path: str, only: list[int] | None = None) -> D
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.binary()))], ["doc_id", "part", "local_start", "ids"])
 
     rows = blocks.select("part", "first_token", "dict_hash", "doc_ids", "offsets", "payload").mapInArrow(run, "doc_id long, part int, local_start long, ids binary")
-    return rows.join(bases, F.col("part") == F.col("_part")).select("doc_id", (F.col("_base") + F.col("local_start")).alias("start"), "ids")
+    # One row a writer's task.
+    return rows.join(F.broadcast(bases), F.col("part") == F.col("_part")).select("doc_id", (F.col("_base") + F.col("local_start")).alias("start"), "ids")
 
 
 def op6_binary_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,9 +70,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), budget: float =
     row that the mix leaves out gets 1 + how far it is beyond the target, so
     that the sort stays even. A null text is size 0, a null source is a source
     of its own and the last; equal doc_ids are ordered by size, and rows equal
-    in both count as repeated rows whose order does not matter. An empty table
-    gives no rows. Other columns of ``docs`` are not read, but for those in
-    ``carry``, which the result has as well.
+    in both count as repeated rows whose order does not matter. Texts are counted
+    whole, however long. An empty table gives no rows. Other columns of ``docs``
+    are not read, but for those in ``carry``, which the result has as well.
     """
     sized = docs.select("doc_id", "source", *carry, word_count(F.col("text")).alias("size"))
     digest = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
@@ -81,9 +81,11 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), budget: float =
     slices = sized.groupBy("source", "_slice").agg(F.sum("size").alias("_words"))
     before = slices.withColumn("_before", F.sum("_words").over(W.partitionBy("source").orderBy("_slice")) - F.col("_words"))
     before = before.join(targets.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).drop("_s", "_words")
-    before = before.withColumnsRenamed({"source": "_s", "_slice": "_k"})
-    inner = W.partitionBy("source", "_slice").orderBy("_h", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
-    rows = sized.withColumn("_in", F.sum("size").over(inner) - F.col("size")).join(before, F.col("source").eqNullSafe(F.col("_s")) & (F.col("_slice") == F.col("_k")))
+    # The source without nulls, so that the join needs no other partitioning than the window.
+    known, name = F.col("source").isNotNull().alias("_known"), F.coalesce("source", F.lit("")).alias("_name")
+    before = before.select(known, name, "_slice", "_before", "source_size", "target", "tilt")
+    inner = W.partitionBy("_known", "_name", "_slice").orderBy("_h", "doc_id", "size").rowsBetween(W.unboundedPreceding, 0)
+    rows = sized.select("*", known, name).withColumn("_in", F.sum("size").over(inner) - F.col("size")).join(before, ["_known", "_name", "_slice"])
     rows = rows.withColumn("_start", F.col("_before") + F.col("_in"))
     take = lambda p: F.least(F.greatest(F.round(F.col("target")).cast("long") - p * F.col("source_size") - F.col("_start"), F.lit(0)), F.col("size"))
     at = lambda p: position_of(F.coalesce((p * F.col("source_size") + F.col("_start")) / F.nullif(F.col("target"), F.lit(0.0)), F.lit(0.0)), F.col("tilt"))
@@ -99,13 +101,14 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), budget: float =
 def mixed_documents(docs: DataFrame, **params) -> DataFrame:
     """The mix itself: a row of ``docs`` for each time it is taken, columns as they were, range-sorted by training position.
 
-    The copy at a target's edge is in whole or out, whichever is nearer.
+    The copy at a target's edge is in whole or out, whichever is nearer; a row of
+    size 0 is never taken. Each row, repeated ones too, travels through ``mix``
+    with its own takes, whatever its columns are called; texts of any length go
+    whole. Nulls, ties and empty tables are as in ``mix``.
     """
-    kept = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", "text", F.xxhash64("text").alias("text_hash"))
-    takes = mix(kept, carry=("text_hash",), **params).select("doc_id", "text_hash", "size", F.explode("takes").alias("take")).filter(F.col("take.words") * 2 >= F.col("size"))
-    takes = takes.select(F.col("doc_id").alias("take_id"), F.col("text_hash").alias("take_hash"), "take.position")
-    rows = kept.select("row", "doc_id", "text_hash").join(takes, F.col("doc_id").eqNullSafe(F.col("take_id")) & (F.col("text_hash") == F.col("take_hash")))
-    return rows.orderBy("position", "doc_id").select("row.*")
+    kept = docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "source", "text")
+    takes = mix(kept, carry=("row",), **params).select("row", "doc_id", "size", F.explode("takes").alias("take")).filter(F.col("take.words") * 2 >= F.col("size"))
+    return takes.orderBy("take.position", "doc_id").select("row.*")
 
 
 def mix_sorted(docs: DataFrame, **params) -> DataFrame:

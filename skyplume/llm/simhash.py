@@ -194,13 +194,19 @@ def star_links(rows: DataFrame, distance: int, tile: int, per_task: int = 100_00
     return dealt.groupBy("bin").applyInPandas(run, "a long, b long")
 
 
+def dealt_out(rows: DataFrame, n: int, per_task: int = 10_000) -> DataFrame:
+    """``rows`` in tasks of about ``per_task``, for each becomes many."""
+    return rows.repartition(n // per_task + 1, rows.columns[0])
+
+
 def links(fps: DataFrame, distance: int = DISTANCE, tile: int = TILE) -> DataFrame:
     """Edges (a, b) over distinct 64-bit fingerprints ``fps`` (fp) that join what close pairs join."""
-    blocks = block_count(fps.count())
+    n = fps.count()
+    blocks = block_count(n)
     home, others = anchors(F.col("fp"), blocks, distance)
     each = F.concat(F.array(F.struct(home.alias("anchor"), F.lit(True).alias("own"))), F.transform(others, lambda a: F.struct(a.alias("anchor"), F.lit(False).alias("own"))))
     raw = F.unhex(F.lpad(F.hex("fp"), 16, "0"))  # counting bits works in either byte order
-    rows = fps.select("fp", raw.alias("raw"), F.explode(each).alias("x"))
+    rows = dealt_out(fps, n).select("fp", raw.alias("raw"), F.explode(each).alias("x"))
     return star_links(rows.select(F.col("fp").alias("node"), F.col("raw").alias("fp"), "x.anchor", "x.own"), distance, tile)
 
 
@@ -264,11 +270,20 @@ def code_anchors(fp: np.ndarray, places: list[np.ndarray]) -> Iterator[np.ndarra
         yield on[:, at] @ (1 << np.arange(len(at), dtype=np.int64)) * len(places) + k
 
 
+def text_bytes(text: Column) -> Column:
+    """UTF-8 of the text, none if null."""
+    return F.coalesce(text.cast("binary"), F.lit(b""))
+
+
+def document_key(doc_id: Column, raw: Column) -> Column:
+    """Digest of doc_id and text together: rows of one key are equal in both."""
+    return F.unhex(F.sha2(F.concat(F.coalesce(doc_id.cast("long").cast("string"), F.lit("null")).cast("binary"), F.lit(b" "), raw), 256))
+
+
 def keyed_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, key, text): the text as bytes, none if null; rows of one key are equal."""
-    text = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
-    key = F.unhex(F.md5(F.concat(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null")).cast("binary"), F.lit(b" "), text)))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), key.alias("key"), text.alias("text"))
+    """(doc_id, key, text): the text as bytes."""
+    raw = text_bytes(F.col("text"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), document_key(F.col("doc_id"), raw).alias("key"), raw.alias("text"))
 
 
 def wide_fingerprints(docs: DataFrame, width: int) -> DataFrame:
@@ -337,7 +352,10 @@ def exact_links(rough: DataFrame, docs: DataFrame, width: int, distance: int, bl
 
 
 def similar_documents(docs: DataFrame, width: int = 5, codes: int | None = None, distance: int = WIDE_DISTANCE, tile: int = TILE, block: int = BLOCK) -> DataFrame:
-    """(doc_id, component_id) of every row: groups that pairs of similarity 0.8 or more join, by their sets of five-word shingles.
+    """(doc_id, component_id, key, group) of every row: groups that pairs of similarity 0.8 or more join, by their sets of five-word shingles.
+
+    component_id is the group's smallest doc_id, ``key`` tells doc_id and text
+    apart, ``group`` numbers the groups.
 
     The share of bits that differ estimates the angle between two sets;
     ``distance`` of 256 bits stands for a Jaccard similarity of 0.8 plus the
@@ -348,7 +366,8 @@ def similar_documents(docs: DataFrame, width: int = 5, codes: int | None = None,
     """
     prints = settled(wide_fingerprints(docs, width))
     firsts = settled(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("key").alias("key")).withColumn("node", F.xxhash64("fp")))
-    bits = code_bits(firsts.count())
+    n = firsts.count()
+    bits = code_bits(n)
     places = code_places(bits, codes or code_count(bits))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -358,22 +377,28 @@ def similar_documents(docs: DataFrame, width: int = 5, codes: int | None = None,
                 for anchor in code_anchors(fp, places):
                     yield pdf.assign(anchor=anchor, own=True)
 
-    rows = firsts.select("node", "fp").mapInPandas(run, "node long, fp binary, anchor long, own boolean")
+    rows = dealt_out(firsts.select("node", "fp"), n).mapInPandas(run, "node long, fp binary, anchor long, own boolean")
     rough = components(star_links(rows, distance, tile)).join(firsts, "node").select("node", "component", "fp", "key")
     comps = settled(components(exact_links(rough, docs, width, distance, block)))
     grouped = firsts.join(comps, "node", "left").select(F.col("fp").alias("_fp"), "first", F.coalesce("component", "node").alias("root"))
     least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
-    return prints.join(grouped.join(least, "root"), F.col("fp") == F.col("_fp")).select("doc_id", "component_id")
+    return prints.join(grouped.join(least, "root"), F.col("fp") == F.col("_fp")).select("doc_id", "component_id", "key", F.col("root").alias("group"))
 
 
 def keep_one(docs: DataFrame, **params) -> DataFrame:
-    """``docs`` with the document of smallest doc_id of each group of similar documents; columns as they were.
+    """``docs`` with one document of each group of similar documents: the smallest doc_id, nulls last, then the smallest key; columns as they were.
 
-    Rows without a doc_id stay: they can't be told apart.
+    Documents are told apart by doc_id and text together, so a doc_id that two
+    texts share loses only what is a copy; rows equal in both are one document
+    and stay or go together. Nulls, blanks and empty tables are as in
+    ``similar_documents``; very long texts are compared whole.
     """
     groups = similar_documents(docs, **params)
-    lost = groups.filter("doc_id <> component_id").select(F.col("doc_id").alias("_lost")).distinct()
-    return docs.join(lost, F.col("doc_id") == F.col("_lost"), "left_anti")
+    rank = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "key")
+    best = groups.groupBy("group").agg(F.min(rank)["key"].alias("stays"))
+    lost = groups.select("group", "key").distinct().join(best, "group").filter("key <> stays").select("key")
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), document_key(F.col("doc_id"), text_bytes(F.col("text"))).alias("key"))
+    return keyed.join(lost, "key", "left_anti").select("row.*")
 
 
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,8 +4,9 @@ The tokenizer's rules never join characters across white space or across a
 change between letters, digits and other characters (apart from contractions),
 so a text's ids are its units' ids in order. Units are found for a whole batch
 in NumPy, and only units that a worker has not met are given to the tokenizers
-library. Texts with characters for which this does not hold go to the library
-as they are.
+library. Units are looked up by a hash and then compared in full; a text with a
+unit whose hash is another unit's goes to the library as it is, as do texts with
+characters for which the above does not hold.
 """
 
 from __future__ import annotations
@@ -39,6 +40,24 @@ def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return kind, low, odd
 
 
+def differ(letters: np.ndarray, first: np.ndarray, last: np.ndarray, like: np.ndarray) -> np.ndarray:
+    """Which units (``first`` to ``last`` in ``letters``, 16 bits each) are not spelt as the unit of number ``like``; four letters at a time."""
+    size, there = last - first, first[like]
+    out = size != size[like]
+    words = np.lib.stride_tricks.sliding_window_view(np.concatenate((letters, np.zeros(4, np.uint16))), 4).copy().view(np.uint64)[:, 0]
+    mask = np.array([(1 << 16 * k) - 1 for k in range(1, 5)], np.uint64)
+    live = np.flatnonzero(~out & (first != there))
+    for k in range(0, int(size[live].max(initial=0)), 4):
+        live = live[size[live] > k]
+        if len(live) < 16 and k >= 64:  # some long units: whole
+            for i in live.tolist():
+                out[i] |= not np.array_equal(letters[first[i] : last[i]], letters[there[i] : there[i] + size[i]])
+            break
+        rest = mask[np.minimum(size[live] - k, 4) - 1]
+        out[live] |= (words[first[live] + k] & rest) != (words[there[live] + k] & rest)
+    return out
+
+
 class Encoder:
     """ids() as ``encode(text, add_special_tokens=False).ids`` for many texts."""
 
@@ -49,6 +68,7 @@ class Encoder:
         hidden = [b for b in range(256) if b < 33 or 126 < b < 161 or b == 173]
         self.stand_in = {b: chr(256 + n) for n, b in enumerate(hidden)}
         self.known: dict[int, int] = {}
+        self.spelt: list[str] = []
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         with np.errstate(over="ignore"):
@@ -65,24 +85,29 @@ class Encoder:
             return None
         return points
 
-    def _learn(self, key: int, unit: str) -> int:
-        if unit.isalpha():  # one word: the model alone, on the characters that stand for its bytes
-            ids = [t.id for t in self.library.model.tokenize(unit.encode().decode("latin-1").translate(self.stand_in))]
-        else:
-            ids = self.library.encode(unit, add_special_tokens=False).ids
-        at = len(self.known)
-        while self.used + len(ids) > len(self.flat):
+    def _unit_ids(self, unit: str) -> list[int]:
+        if not unit.isalpha():
+            return self.library.encode(unit, add_special_tokens=False).ids
+        # One word: the model alone, on the characters that stand for its bytes.
+        if not unit.isascii():
+            unit = unit.encode().decode("latin-1").translate(self.stand_in)
+        return [t.id for t in self.library.model.tokenize(unit)]
+
+    def _learn(self, fresh: list[list[int]]) -> None:
+        """Keeps the ids of the units that ``spelt`` ends with."""
+        sizes = np.array([len(x) for x in fresh], np.int64)
+        ends = self.used + np.cumsum(sizes)
+        at = len(self.spelt) - len(fresh)
+        while ends[-1] > len(self.flat):
             self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-        while at >= len(self.starts):
+        while len(self.spelt) > len(self.starts):
             self.starts, self.sizes = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.sizes))
-        self.flat[self.used : self.used + len(ids)] = ids
-        self.starts[at], self.sizes[at] = self.used, len(ids)
-        self.used += len(ids)
-        self.known[key] = at
-        return at
-
-    def _batch(self, parts: list[np.ndarray]) -> list[np.ndarray]:
-        """Ids of texts given as plain code points, together shorter than BATCH."""
+        self.flat[self.used : ends[-1]] = [i for x in fresh for i in x]
+        self.starts[at : at + len(fresh)], self.sizes[at : at + len(fresh)] = ends - sizes, sizes
+        self.used = int(ends[-1])
+
+    def _batch(self, parts: list[np.ndarray]) -> list[np.ndarray | None]:
+        """Ids of texts given as plain code points, together shorter than BATCH; None where a unit's hash is another's."""
         gap = np.array([32], np.uint32)
         points = np.concatenate([x for p in parts for x in (p, gap)])
         doc_end = np.cumsum([len(p) + 1 for p in parts])
@@ -108,17 +133,34 @@ class Encoder:
             key = (total[last] - total[first]) * self.inverse[first] + (last - first).astype(np.uint64)
         keys, where, back = np.unique(key, return_index=True, return_inverse=True)
         if len(self.known) > KNOWN:
-            self.known, self.used = {}, 0
-        known, at = self.known, np.empty(len(keys), np.int64)
-        for k, (key_, w) in enumerate(zip(keys.tolist(), where.tolist(), strict=True)):
-            found = known.get(key_)
-            at[k] = self._learn(key_, low[first[w] : last[w]].tobytes().decode("utf-32-le")) if found is None else found
-        unit = at[back]
+            self.known, self.spelt, self.used = {}, [], 0
+        letters = low.astype(np.uint16)
+        text = letters.tobytes().decode("utf-16-le")
+        known, spelt, at, wrong, fresh = self.known, self.spelt, [], np.zeros(len(keys), bool), []
+        for k, (key_, lo, hi) in enumerate(zip(keys.tolist(), first[where].tolist(), last[where].tolist(), strict=True)):
+            found, one = known.get(key_), text[lo:hi]
+            if found is None:
+                found = known[key_] = len(spelt)
+                spelt.append(one)
+                fresh.append(self._unit_ids(one))
+            elif spelt[found] != one:
+                wrong[k] = True
+            at.append(found)
+        if fresh:
+            self._learn(fresh)
+        other = wrong[back] | differ(letters, first, last, where[back])
+        unit = np.array(at)[back]
         sizes = self.sizes[unit]
         ends = np.cumsum(sizes)
         ids = self.flat[np.repeat(self.starts[unit] - (ends - sizes), sizes) + np.arange(ends[-1])]
         cut = np.concatenate(([0], ends))[np.searchsorted(first, doc_end)]
-        return np.split(ids, cut[:-1])
+        out: list[np.ndarray | None] = np.split(ids, cut[:-1])
+        for k in np.unique(np.searchsorted(doc_end, first[other], side="right")).tolist():
+            out[k] = None
+        return out
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def ids(self, texts: list[str]) -> list[np.ndarray]:
         out: list[np.ndarray | None] = [None] * len(texts)
@@ -128,13 +170,13 @@ class Encoder:
             nonlocal held, size
             if held:
                 for (k, _), x in zip(held, self._batch([p for _, p in held]), strict=True):
-                    out[k] = x
+                    out[k] = self._whole(texts[k]) if x is None else x
             held, size = [], 0
 
         for k, text in enumerate(texts):
             points = self._plain(text)
             if points is None:
-                out[k] = np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
+                out[k] = self._whole(text)
                 continue
             if size + len(points) + 1 > BATCH:
                 flush()

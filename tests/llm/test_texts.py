@@ -170,6 +170,34 @@ def test_similar_documents(spark, none):
     assert simhash.similar_documents(none).count() == 0
 
 
+def test_keep_one_tells_documents_by_id_and_text(spark):
+    rng = random.Random(5)
+    a, b = words(rng, 200), words(rng, 200)
+    near = a.rsplit(" ", 1)[0] + " end"
+    rows = [(1, a, "x"), (5, near, "x"), (5, b, "x"), (None, near, "x"), (None, b + " more", "x"), (None, words(rng, 90), "x"), (9, "", "x"), (9, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _lost string")
+    kept = simhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(str(tuple(r)[:2]) for r in kept.collect()) == sorted(map(str, [(1, a), (5, b), (None, rows[5][1]), (9, ""), (9, None)]))
+
+
+def test_keep_one_on_odd_rows(odd, none):
+    rows, kept = odd.collect(), simhash.keep_one(odd)
+    assert kept.columns == odd.columns and simhash.keep_one(none).count() == 0
+    sets = {(r.doc_id, r.text or ""): five_words(re.sub("[A-Z]", lambda m: m[0].lower(), r.text or "")) if (r.text or "").strip(" \t\n") else set() for r in rows}
+    docs = list(sets)
+    alike = lambda x, y: (not x and not y) or (bool(x and y) and jaccard(x, y) >= 0.8)
+    root = reach(len(docs), [(i, j) for i in range(len(docs)) for j in range(i) if alike(sets[docs[i]], sets[docs[j]])])
+    groups = {}
+    for d, g in zip(docs, root, strict=True):
+        groups.setdefault(g, []).append(d)
+    got = {(r.doc_id, r.text or "") for r in kept.collect()}
+    assert all(len(got & set(g)) == 1 for g in groups.values())
+    for g in groups.values():
+        known = [d[0] for d in g if d[0] is not None]
+        assert not known or min(known) in {d[0] for d in got & set(g)}
+
+
 def overlapping(rng, pairs, shared, own):
     """Fingerprints of pairs of sets that share ``shared`` shingles and have ``own`` each besides."""
 
@@ -245,6 +273,19 @@ def test_encoder_is_the_library():
     assert [x.tolist() for x in tokens.encoder("word_bpe_49k.json").ids(texts)] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_units_are_compared_in_full():
+    """Words whose polynomial hashes are equal: Thue-Morse words and their mirror images."""
+    encode = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    for n in (64, 1024, 2048, 4096):
+        word = lambda a, b, n=n: "".join(b if i.bit_count() & 1 else a for i in range(n))
+        texts = [word("a", "b") + " x " + word("b", "a"), "some words", word("b", "a"), word("a", "b"), word("b", "a") + word("a", "b")]
+        for part in (texts, texts[::-1], texts[2:3]):  # in one batch and across batches
+            assert [x.tolist() for x in encode.ids(part)] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in part]
+    letters = np.frombuffer("abcdefghijxabcdefghijyabcdabcd".encode("utf-16-le"), np.uint16)
+    first, last = np.array([0, 11, 22, 26, 0]), np.array([11, 22, 26, 30, 10])
+    assert tokens.differ(letters, first, last, np.array([0, 0, 2, 2, 0])).tolist() == [False, True, False, False, True]
+
+
 def test_id_files_round_trip(spark, odd, none):
     path = common.fresh_path(spark, "test-ids")
     binary_ids.write_ids(odd, path)
@@ -364,10 +405,66 @@ def test_features_do_not_depend_on_neighbours(monkeypatch):
     assert n == 4
     for k, (_, fk, vk) in enumerate(alone):
         assert sorted(zip(f[d == k].tolist(), v[d == k].tolist(), strict=True)) == sorted(zip(fk.tolist(), vk.tolist(), strict=True))
+    long = (words(random.Random(1), 400) + " " + "z" * 900 + " TWO two 12ab").encode()
+    whole = list(quality.features([b"a b", long, b"c"]))
     monkeypatch.setattr(quality, "BATCH", 300)
-    long = words(random.Random(1), 400).encode()
     parts = list(quality.features([b"a b", long, b"c"]))
-    assert [p[0] for p in parts] == [0, 1, 2] and len(parts[1][3]) > 300
+    assert [p[0] for p in whole] == [0] and [p[0] for p in parts] == [0, 1, 2]
+    _, _, d, f, v = whole[0]
+    for k, p in enumerate(parts):
+        assert sorted(zip(f[d == k].tolist(), v[d == k].tolist(), strict=True)) == sorted(zip(p[3].tolist(), p[4].tolist(), strict=True))
+
+
+def brute_word_grams(text):
+    """Values of the word 1- and 2-grams of plain lower-case text."""
+    w = text.split()
+    return [sorted(np.sqrt(c / n) for c in Counter(tuple(w[k : k + n_]) for k in range(len(w) - n_ + 1)).values()) for n_, n in ((1, len(w)), (2, len(w) - 1))]
+
+
+def test_values_are_roots_of_shares():
+    text = "one two one three two one four"
+    _, _, d, f, v = next(iter(quality.features([text.encode()], 30)))
+    singles, pairs = brute_word_grams(text)
+    assert sorted(v[:4]) == pytest.approx(singles) and sorted(v[4 : 4 + len(pairs)]) == pytest.approx(pairs)
+    for n in (10, 1000, 50_000):  # however often a word repeats, no value is above 1
+        assert next(iter(quality.features([b"word " * n])))[4].max() <= 1
+
+
+def test_training_is_ftrl():
+    """One feature at a time, by the published update."""
+    rng = np.random.default_rng(4)
+    rows = [(np.unique(rng.integers(0, 16, 5)), rng.random(16)) for _ in range(40)]
+    rows = [(i, v[: len(i)]) for i, v in rows]
+    labels = (rng.random(40) > 0.4).astype(float)
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.01, 0.1
+    z, n = [0.0] * 17, [0.0] * 17
+    weight = lambda i: 0.0 if abs(z[i]) <= l1 else -(z[i] - (l1 if z[i] > 0 else -l1)) / ((beta + n[i] ** 0.5) / alpha + l2)
+    order = np.random.default_rng(7)
+    for _ in range(2):
+        for k in order.permutation(40):
+            x = dict(zip(rows[k][0].tolist(), rows[k][1].tolist(), strict=True)) | {16: 1.0}
+            w = {i: weight(i) for i in x}
+            p = 1 / (1 + np.exp(-sum(w[i] * x[i] for i in x)))
+            for i in x:
+                g = (p - labels[k]) * x[i]
+                s = ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / alpha
+                z[i] += g - s * w[i]
+                n[i] += g * g
+    got = quality.train(rows, labels, 4, 2, alpha, beta, l1, l2)
+    assert got.tolist() == pytest.approx([weight(i) for i in range(17)])
+
+
+def test_score_is_a_sparse_dot_product(spark, odd):
+    weights = np.random.default_rng(2).normal(size=(1 << 10) + 1).astype(np.float32)
+    for r in quality.score(odd, weights.tobytes(), bits=10).collect():
+        _, _, _, f, v = next(iter(quality.features([(r.text or "").encode()], 10)))
+        assert r._score == pytest.approx(1 / (1 + np.exp(-(float(weights[-1]) + sum(float(weights[i]) * x for i, x in zip(f, v, strict=True))))))
+
+
+def test_accepted_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "a b", 0.123, "p", "r")], "doc_id long, text string, _score double, _predicted string, _raw string")
+    blank = np.zeros((1 << quality.BITS) + 1, np.float32).tobytes()
+    assert [tuple(r) for r in quality.accepted(docs, blank).collect()] == [(1, "a b", 0.123, "p", "r")]
 
 
 # 10
