@@ -4,20 +4,34 @@ Documents arrive as a stream of small rows: digest of the normalised text,
 stable identifier, code points and content locator. A streaming aggregation
 keyed by digest keeps, in RocksDB and without expiry, the row that stays and
 the number of rows seen; each micro-batch writes what changed. Because the
-state never expires, later batches meet the first copy of a text however old.
-Texts are never in the state: on a hit the row's full bytes are compared with
-those that the locator of the row that stays points to, and rows whose bytes
-differ (a collision of digests) are grouped by their bytes.
+state never expires, later runs meet the first copy of a text however old.
+
+Texts are never in the state. The locator is the number of the run that brought
+the text; ``runs`` says where that run's texts are stored. On a hit full bytes
+are compared: the texts of a run are compared with each other behind one
+shuffle, and with the text of the row that stood before the run, which is read
+from where its locator points. Rows whose bytes differ (a collision of digests)
+are grouped by their bytes.
+
+A digest with more than ``HOT`` rows (or 1 in 50,000 of all) is dealt out over
+salts for the comparison, and its state is broadcast instead of shuffled to;
+by their size there are 50,000 such digests at most.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skyplume.llm.common import SPACE, freed_shuffles, fresh_path, settled
+from skyplume.llm.common import SPACE, discard, freed_shuffles, fresh_path, settled
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Rows of a digest beyond which it is dealt out.
+HOT = 1000
+BEST = "best struct<n_points:int,neg_id:bigint,run:int>"
 
 
 def normalised(text: Column) -> Column:
@@ -26,18 +40,23 @@ def normalised(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), " \t\n\x0b\x0c\r", "")
 
 
+def points(text: Column) -> Column:
+    return F.length(F.coalesce(text, F.lit("")))
+
+
 def sha256_key(norm: Column) -> Column:
     return F.unhex(F.sha2(norm, 256))
 
 
-def arrivals(docs: DataFrame, key=sha256_key) -> DataFrame:
-    """What the stream reads of each row. ``locator``: file and doc_id; ``rank``: greatest for the row that stays."""
-    n = F.length(F.coalesce(F.col("text"), F.lit("")))
-    return docs.select(key(normalised(F.col("text"))).alias("digest"), F.struct(n.alias("n_points"), (-F.col("doc_id")).alias("neg_id"), F.input_file_name().alias("locator")).alias("rank"))
+def arrivals(docs: DataFrame, run: int = 0, key=sha256_key) -> DataFrame:
+    """What the stream reads of each row. ``rank``: greatest for the row that stays; its ``run`` is the locator."""
+    norm = normalised(F.col("text"))
+    rank = F.struct(points(F.col("text")).alias("n_points"), (-F.col("doc_id").cast("long")).alias("neg_id"), F.lit(run).alias("run"))
+    return docs.select(key(norm).alias("digest"), rank.alias("rank"), sha256_key(norm).alias("sha"))
 
 
 def stream_keepers(spark: SparkSession, inbox: str, schema, state: str, updates: str, files_per_batch: int = 4096) -> None:
-    """Runs the stream over all files now in ``inbox``; started again with the same folders, it reads the new ones only.
+    """Runs the stream over all files now in the folders of ``inbox``; started again with the same folders, it reads the new ones only.
 
     Each micro-batch overwrites its own folder under ``updates``, so a batch
     that is repeated after a failure leaves one copy.
@@ -48,7 +67,7 @@ def stream_keepers(spark: SparkSession, inbox: str, schema, state: str, updates:
     for k, v in wanted.items():
         spark.conf.set(k, v)
     try:
-        seen = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(inbox)
+        seen = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(f"{inbox}/*")
         kept = seen.groupBy("digest").agg(F.max("rank").alias("best"), F.count("*").alias("n_rows"))
         query = (
             kept.writeStream.outputMode("update")
@@ -63,87 +82,159 @@ def stream_keepers(spark: SparkSession, inbox: str, schema, state: str, updates:
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
-def stream_all(docs: DataFrame, key=sha256_key, files_per_batch: int = 4096) -> DataFrame:
-    """(_digest, _keep_id, _keep_points, _n_rows) of every digest of ``docs``, by the stream."""
-    spark = docs.sparkSession
-    inbox, state, updates = (fresh_path(spark, f"dedup-{x}") for x in ("inbox", "state", "updates"))
-    arrivals(docs, key).write.parquet(inbox)
-    stream_keepers(spark, inbox, arrivals(docs, key).schema, state, updates, files_per_batch)
-    changed = "digest binary, best struct<n_points:int,neg_id:bigint,locator:string>, n_rows bigint, batch bigint"
+def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Parquet rows under ``path``; none if nothing is there yet."""
     try:
-        found = spark.read.schema(changed).parquet(updates)
-    except Exception as e:  # no batch ran: the inbox had no rows
+        return spark.read.schema(schema).parquet(path)
+    except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        found = spark.createDataFrame([], changed)
+        return spark.createDataFrame([], schema)
+
+
+def keepers(spark: SparkSession, home: str) -> DataFrame:
+    """(digest, best, n_rows) of every digest that the runs under ``home`` have seen."""
+    changed = stored(spark, f"{home}/updates", f"digest binary, {BEST}, n_rows bigint, batch bigint")
     # State only grows, so a digest's last update is its greatest.
-    keepers = found.groupBy("digest").agg(F.max("best").alias("best"), F.max("n_rows").alias("n_rows"))
-    return keepers.select(F.col("digest").alias("_digest"), (-F.col("best.neg_id")).alias("_keep_id"), F.col("best.n_points").alias("_keep_points"), F.col("n_rows").alias("_n_rows"))
+    return changed.groupBy("digest").agg(F.max("best").alias("best"), F.max("n_rows").alias("n_rows"))
+
 
+class Run:
+    """One run over ``docs``: brings them to the state under ``home`` and decides on each row.
 
-def exact_groups(docs: DataFrame, key=sha256_key, keepers: DataFrame | None = None) -> DataFrame:
-    """All rows and columns of ``docs`` with _keep_id, _kept, _n_rows, _norm, _digest, and _same: the bytes are those of the row that stays.
+    ``content`` is a Parquet folder that has the rows' doc_id and text, for later
+    runs to read; where it is None and ``home`` is given, they are written under
+    ``home``. Without ``home`` the run starts an empty state of its own.
+    """
+
+    def __init__(self, docs: DataFrame, home: str | None = None, content: str | None = None, key=sha256_key, hot: int = HOT, files_per_batch: int = 4096):
+        self.spark, self.key, self.alone = docs.sparkSession, key, home is None
+        self.docs, self.home = docs.select("doc_id", "text"), home or fresh_path(docs.sparkSession, "dedup")
+        spark, self.runs = self.spark, f"{self.home}/runs"
+        # One row a run.
+        self.content = {r["run"]: r["content"] for r in stored(spark, self.runs, "run int, content string").collect()}
+        self.number = len(self.content)
+        self.before = settled(keepers(spark, self.home)) if self.number else None
+        if not content and not self.alone:
+            content = f"{self.home}/content/run-{self.number}"
+            self.docs.write.mode("overwrite").parquet(content)
+        rows = arrivals(self.docs, self.number, key)
+        rows.write.mode("overwrite").parquet(f"{self.home}/inbox/run-{self.number}")
+        if content:
+            spark.createDataFrame([(self.number, content)], "run int, content string").coalesce(1).write.mode("append").parquet(self.runs)
+        stream_keepers(spark, f"{self.home}/inbox", rows.schema, f"{self.home}/state", f"{self.home}/updates", files_per_batch)
+        self.arrived = spark.read.schema(rows.schema).parquet(f"{self.home}/inbox/run-{self.number}")
+        self.keepers = settled(keepers(spark, self.home))
+        self.limit = max(hot, (self.keepers.agg(F.sum("n_rows")).first()[0] or 0) // 50_000)
+        self.hot = settled(self.keepers.filter(F.col("n_rows") > self.limit))
+
+    def close(self) -> None:
+        """Removes what a run without a home has written."""
+        if self.alone:
+            discard(self.spark, self.home)
+
+    def texts(self, docs: DataFrame, run: int) -> DataFrame:
+        return docs.select(self.key(normalised(F.col("text"))).alias("digest"), normalised(F.col("text")).alias("norm"), F.col("doc_id").cast("long").alias("doc_id"), points(F.col("text")).alias("n_points"), F.lit(run).alias("run"))
+
+    def earlier(self, run: int) -> DataFrame:
+        return self.texts(self.spark.read.schema("doc_id long, text string").parquet(self.content[run]), run)
+
+    def collisions(self) -> DataFrame:
+        """Digests whose rows' bytes are not all equal, or not those of the row that stood before the run; those of earlier runs among them."""
+        salts = F.ceil(F.col("n_rows") / self.limit).cast("int")
+        hot = F.broadcast(self.hot.select(F.col("digest").alias("_d"), salts.alias("salts")))  # 50,000 rows at most
+        rows = self.texts(self.docs, self.number).select("digest", "norm").join(hot, F.col("digest") == F.col("_d"), "left")
+        rows = rows.select("digest", F.coalesce(F.pmod(F.monotonically_increasing_id(), F.col("salts")), F.lit(0)).cast("int").alias("salt"), "norm")
+        if self.before is not None:
+            stood = self.before.join(self.arrived.select("digest").distinct(), "digest").select(F.col("digest").alias("_k"), F.col("best.run").alias("_run"), (-F.col("best.neg_id")).alias("_id"), F.col("best.n_points").alias("_n"))
+            for run in sorted(r["_run"] for r in stood.select("_run").distinct().collect()):
+                old = self.earlier(run).join(stood.filter(F.col("_run") == run), (F.col("digest") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("n_points") == F.col("_n"))).select("digest", "norm")
+                old = old.join(hot, F.col("digest") == F.col("_d"), "left")
+                rows = rows.union(old.select("digest", F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"), "norm"))
+        first = F.first("norm").over(W.partitionBy("digest", "salt").orderBy("digest"))
+        part = rows.withColumn("first", first).groupBy("digest", "salt").agg(F.bool_or(F.col("norm") != F.col("first")).alias("bad"), F.first("first").alias("first"))
+        # What is left of a digest are its salts' first texts.
+        part = settled(part.join(hot, F.col("digest") == F.col("_d"), "left").select("digest", "bad", F.when(F.col("salts") > 1, F.col("first")).alias("first")))
+        apart = part.filter("first is not null").groupBy("digest").agg((F.min("first") != F.max("first")).alias("bad")).filter("bad")
+        found = part.filter("bad").select("digest").union(apart.select("digest"))
+        # Once different texts share a digest they do so in all later runs.
+        if self.number:
+            found = found.union(stored(self.spark, f"{self.home}/collisions", "digest binary"))
+        found = settled(found.distinct())
+        if not self.alone:
+            found.write.mode("append").parquet(f"{self.home}/collisions")
+        return found
+
+    def decided(self) -> DataFrame:
+        """(doc_id, keep_id, group_size, kept, text_sha256) of every row of the run."""
+        state = self.keepers.select(F.col("digest").alias("_k"), "best", "n_rows")
+        hot = F.broadcast(self.hot.select(F.col("digest").alias("_k"), "best", "n_rows"))
+        rows = self.arrived.join(hot, F.col("digest") == F.col("_k"))
+        rows = rows.union(self.arrived.join(hot.select("_k"), F.col("digest") == F.col("_k"), "left_anti").join(state.filter(F.col("n_rows") <= self.limit), F.col("digest") == F.col("_k")))
+        same = F.col("rank.neg_id").eqNullSafe(F.col("best.neg_id")) & (F.col("rank.n_points") == F.col("best.n_points"))
+        rows = rows.select("digest", (-F.col("rank.neg_id")).alias("doc_id"), (-F.col("best.neg_id")).alias("keep_id"), F.col("n_rows").alias("group_size"), same.alias("kept"), F.lower(F.hex("sha")).alias("text_sha256"))
+        bad = self.collisions()
+        if bad.isEmpty():
+            return rows.drop("digest")
+        odd, best = self.regrouped(bad)
+        mine = odd.filter(F.col("run") == self.number).join(best, ["digest", "norm"])
+        kept = F.col("doc_id").eqNullSafe(-F.col("best.neg_id")) & (F.col("n_points") == F.col("best.n_points"))
+        return rows.join(bad, "digest", "left_anti").drop("digest").union(mine.select("doc_id", -F.col("best.neg_id"), "n", kept, F.sha2("norm", 256)))
+
+    def regrouped(self, bad: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """All runs' texts of the digests ``bad``, and the row that stays by digest and bytes."""
+        runs = [self.texts(self.docs, self.number), *[self.earlier(k) for k in self.content if k != self.number]]
+        odd = reduce(DataFrame.union, runs).join(bad, "digest")
+        return odd, odd.groupBy("digest", "norm").agg(F.max(F.struct("n_points", (-F.col("doc_id")).alias("neg_id"))).alias("best"), F.count("*").alias("n"))
+
+
+def exact_groups(docs: DataFrame, home: str | None = None, content: str | None = None, key=sha256_key, hot: int = HOT) -> DataFrame:
+    """(doc_id, keep_id, group_size, kept, text_sha256) of every row of ``docs``.
 
     Equal texts: identical once ASCII white space is deleted; null counts as
     empty, so null and blank texts are one group. The row with the most code
     points stays, then the smallest doc_id; a null doc_id comes last. Repeated
     rows (same doc_id and text as the row that stays) are all marked as kept:
-    they are that document. An empty table gives no rows; columns of ``docs``
-    with the names above are replaced.
+    they are that document. With a ``home`` groups reach over all runs so far.
+    Texts of any length are compared whole; an empty table gives no rows; other
+    columns are not read, whatever they are called.
+    """
+    with freed_shuffles(docs.sparkSession):
+        run = Run(docs, home, content, key, hot)
+        out = settled(run.decided())
+    run.close()
+    return out
+
+
+def keep_first(docs: DataFrame, key=sha256_key, hot: int = HOT) -> DataFrame:
+    """``docs`` with one row of each group of equal texts, columns as they were, whatever they are called.
+
+    The row that stays is that of ``exact_groups``; of repeated rows any one.
     """
-    keepers = stream_all(docs, key) if keepers is None else keepers
-    rows = with_keepers(docs, key, keepers).withColumn("_norm", normalised(F.col("text")))
-    # Hits are compared in full with the text that stays.
-    first = rows.filter(F.col("_kept") & (F.col("_n_rows") > 1)).groupBy("_digest").agg(F.min("_norm").alias("_keep_norm")).withColumnRenamed("_digest", "_d")
-    rows = rows.join(first, F.col("_digest") == F.col("_d"), "left").withColumn("_same", F.col("_keep_norm").isNull() | (F.col("_norm") == F.col("_keep_norm")))
-    return rows.select(*[c for c in docs.columns if c not in ADDED], *ADDED)
-
-
-#: Columns that ``exact_groups`` adds.
-ADDED = ("_norm", "_digest", "_keep_id", "_kept", "_same", "_n_rows")
-
-
-def with_keepers(docs: DataFrame, key, keepers: DataFrame) -> DataFrame:
-    """``docs`` joined with the rows that stay. Each text is shuffled once; what is derived from it is derived behind the shuffle."""
-    rows = docs.withColumn("_digest", key(normalised(F.col("text")))).join(keepers, "_digest")
-    points = F.length(F.coalesce(F.col("text"), F.lit("")))
-    return rows.withColumn("_kept", F.col("doc_id").eqNullSafe(F.col("_keep_id")) & (points == F.col("_keep_points")))
-
-
-def resolve(rows: DataFrame) -> DataFrame:
-    """(doc_id, keep_id, group_size, kept, text_sha256) of ``exact_groups``, digests that collide regrouped by their bytes."""
-    slim = rows.select("doc_id", "_digest", "_keep_id", "_kept", "_same", "_n_rows", F.sha2("_norm", 256).alias("text_sha256"), F.length(F.coalesce(F.col("text"), F.lit(""))).alias("_points"), F.when(~F.col("_same"), F.col("_norm")).alias("_bytes"))
-    slim = settled(slim)
-    bad = slim.filter(~F.col("_same"))
-    if bad.isEmpty():
-        return slim.select("doc_id", F.col("_keep_id").alias("keep_id"), F.col("_n_rows").alias("group_size"), F.col("_kept").alias("kept"), "text_sha256")
-    odd = bad.groupBy("_digest", F.col("_bytes").alias("_b")).agg(F.max(F.struct("_points", -F.col("doc_id"))).alias("_best"), F.count("*").alias("_n"))
-    rest = bad.groupBy("_digest").agg(F.count("*").alias("_odd"))
-    good = slim.filter("_same").join(rest, "_digest", "left").select("doc_id", F.col("_keep_id").alias("keep_id"), (F.col("_n_rows") - F.coalesce("_odd", F.lit(0))).alias("group_size"), F.col("_kept").alias("kept"), "text_sha256")
-    regrouped = bad.join(odd.withColumnRenamed("_digest", "_d"), (F.col("_digest") == F.col("_d")) & (F.col("_bytes") == F.col("_b")))
-    keep_id = -F.col("_best")["col2"]
-    return good.union(regrouped.select("doc_id", keep_id.alias("keep_id"), F.col("_n").alias("group_size"), (F.col("doc_id").eqNullSafe(keep_id) & (F.col("_points") == F.col("_best._points"))).alias("kept"), "text_sha256"))
-
-
-def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of equal texts, columns as they were."""
     with freed_shuffles(docs.sparkSession):
-        keepers = settled(stream_all(docs))
-        # As a rule none; the check's shuffles are gone before the result's begin.
-        odd = settled(exact_groups(docs.select("doc_id", "text"), keepers=keepers).filter(~F.col("_same")).select("_digest", F.col("_norm").alias("_odd")).distinct())
-    # The whole row travels in one column, whatever its columns are called.
-    rows = with_keepers(docs.select(F.struct(*docs.columns).alias("row"), "doc_id", "text"), sha256_key, keepers)
-    one = rows.filter("_kept").dropDuplicates(["_digest"]).select("row.*")
-    if odd.isEmpty():
-        return one
-    lost = rows.join(odd, "_digest").filter(normalised(F.col("text")) == F.col("_odd"))
-    best = F.max_by("row", F.struct(F.length("text"), -F.col("doc_id")))
-    return one.unionByName(lost.groupBy("_digest", "_odd").agg(best.alias("row")).select("row.*"))
+        run = Run(docs, key=key, hot=hot)
+        bad = run.collisions()
+        stays = run.keepers.join(bad, "digest", "left_anti").select("digest", "best.n_points", "best.neg_id", F.lit(b"").alias("bytes"))
+        collide = not bad.isEmpty()
+        if collide:
+            stays = stays.union(run.regrouped(bad)[1].select("digest", "best.n_points", "best.neg_id", F.col("norm").cast("binary")))
+        stays = settled(stays.select("digest", "n_points", F.col("neg_id").isNotNull().alias("known"), F.coalesce("neg_id", F.lit(0)).alias("neg_id"), "bytes"))
+    norm = normalised(F.col("text"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), key(norm).alias("digest"), points(F.col("text")).alias("n_points"), F.col("doc_id").isNotNull().alias("known"), F.coalesce(-F.col("doc_id").cast("long"), F.lit(0)).alias("neg_id"), norm.alias("norm"))
+    if collide:
+        rows = rows.join(bad.withColumn("bad", F.lit(True)), "digest", "left").withColumn("bytes", F.when(F.col("bad"), F.col("norm").cast("binary")).otherwise(F.lit(b"")))
+    else:
+        rows = rows.withColumn("bytes", F.lit(b""))
+    # By id as well, so that the copies of a text are dealt out.
+    keys = ["digest", "n_points", "known", "neg_id", "bytes"]
+    out = rows.select("row", *keys).join(stays, keys, "left_semi").dropDuplicates(keys).select("row.*")
+    run.close()
+    return out
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return resolve(exact_groups(docs))
+    path = f"{sf_dir}/documents.parquet"
+    return exact_groups(spark.read.parquet(path), content=path)
 
 
 OP3_SQL = f"""

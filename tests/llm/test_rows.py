@@ -83,36 +83,42 @@ def weak_key(norm):
 def test_exact_dedup(odd, none):
     want = brute_exact(odd.collect())
     for key in (exact_dedup.sha256_key, weak_key):  # the weak one has many collisions
-        got = sorted((tuple(r) for r in exact_dedup.resolve(exact_dedup.exact_groups(odd, key)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()), key=str)
-        assert got == want
-    kept = exact_dedup.keep_first(odd)
-    assert kept.columns == odd.columns
-    texts = [SPACE.sub("", r.text or "") for r in kept.collect()]
-    assert len(texts) == len(set(texts)) == len({w[4] for w in want})
-    assert exact_dedup.resolve(exact_dedup.exact_groups(none)).count() == 0
-
-
-def test_stream_remembers_earlier_runs(spark, tmp_path):
-    """State has no expiry: a copy that arrives in a later run joins the first run's group."""
-    inbox, state, updates = (f"file://{tmp_path}/{x}" for x in ("inbox", "state", "updates"))
-    for i, text in enumerate(["a b", "ab", "zz"]):
-        rows = exact_dedup.arrivals(spark.createDataFrame([(i, text)], "doc_id long, text string"))
-        rows.write.mode("append").parquet(inbox)
-        exact_dedup.stream_keepers(spark, inbox, rows.schema, state, updates)
-    last = spark.read.parquet(updates).groupBy("digest").agg(F.max("best").alias("b"), F.max("n_rows").alias("n"))
-    assert sorted((r.b.neg_id, r.n) for r in last.collect()) == [(-2, 1), (0, 2)]
-
-
-def test_shards(odd, none):
-    rows = sharding.shard(odd, 8).collect()
-    assert len(rows) == odd.count()
-    slots = defaultdict(list)
-    for r in rows:
-        slots[r.shard].append(r.slot)
-    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
-    want = sorted((str(r.doc_id), len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in odd.collect())
-    assert sorted((str(r.doc_id), r.size, r.text_crc32) for r in rows) == want
-    assert sharding.shard(none).count() == 0
+        for hot in (1000, 2):
+            got = sorted((tuple(r) for r in exact_dedup.exact_groups(odd, key=key, hot=hot).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()), key=str)
+            assert got == want
+            kept = exact_dedup.keep_first(odd, key, hot)
+            assert kept.columns == odd.columns
+            texts = [(SPACE.sub("", r.text or ""), r.doc_id) for r in kept.collect()]
+            assert sorted(texts, key=str) == sorted({(n, w[1]) for n, w in ((SPACE.sub("", r.text or ""), next(x for x in want if x[0] == r.doc_id and x[4] == hashlib.sha256(SPACE.sub("", r.text or "").encode()).hexdigest())) for r in odd.collect())}, key=str)
+    assert exact_dedup.exact_groups(none).count() == 0 and exact_dedup.keep_first(none).count() == 0
+
+
+def test_collisions_are_only_those_of_bytes(odd):
+    assert exact_dedup.Run(odd).collisions().count() == 0
+    clash = exact_dedup.Run(odd, key=weak_key, hot=2).collisions().count()
+    groups = defaultdict(set)
+    for r in odd.collect():
+        norm = SPACE.sub("", r.text or "")
+        groups[zlib.crc32(norm.encode()) % 5].add(norm)
+    assert clash == sum(len(g) > 1 for g in groups.values())
+
+
+@pytest.mark.parametrize("key", [exact_dedup.sha256_key, weak_key])
+def test_later_runs_meet_earlier_texts(spark, tmp_path, key):
+    """State has no expiry: a copy that arrives in a later run joins the first run's group, and its bytes are compared with the text of that run."""
+    home, runs = f"file://{tmp_path}/home", [[(5, "a b"), (6, "cd"), (7, "e")], [(1, "ab"), (8, "zz"), (9, "c d")], [(2, "a b"), (3, "q"), (4, "z z")]]
+    seen = []
+    for k, rows in enumerate(runs):
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        path = None
+        if k == 1:  # texts that lie elsewhere are read from there
+            path = f"file://{tmp_path}/elsewhere"
+            docs.write.parquet(path)
+        seen += docs.collect()
+        ids = {r[0] for r in rows}
+        got = exact_dedup.exact_groups(docs, home, path, key, hot=1)
+        assert sorted((tuple(r) for r in got.collect()), key=str) == [w for w in brute_exact(seen) if w[0] in ids]
+    assert exact_dedup.Run(spark.createDataFrame([(90, "x")], "doc_id long, text string"), home, key=key).number == 3
 
 
 def brute_ring(rows, shards, cells=sharding.CELLS):
