@@ -19,15 +19,17 @@ from tokenizers import Tokenizer
 
 #: Characters below this are handled here: they are composed, and lower-casing them does not depend on neighbours.
 LIMIT = 0x250
-#: Units a worker remembers.
-KNOWN = 200_000
+#: Units a worker remembers, some 60 bytes each.
+KNOWN = 1_000_000
+#: Units that wait to be merged into the sorted ones.
+RECENT = 1 << 16
 #: Characters that are handled together.
 BATCH = 1 << 19
 
 
 def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """For each character: class (0 space, 1 letter, 2 digit, 3 other), lower case, and whether the library has to see the text."""
-    kind, low, odd = np.zeros(LIMIT, np.uint8), np.arange(LIMIT, dtype=np.uint32), np.zeros(LIMIT, bool)
+    kind, low, odd = np.zeros(LIMIT, np.uint8), np.arange(LIMIT, dtype=np.uint16), np.zeros(LIMIT, bool)
     import unicodedata
 
     for i in range(LIMIT):
@@ -40,22 +42,105 @@ def _classes() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return kind, low, odd
 
 
-def differ(letters: np.ndarray, first: np.ndarray, last: np.ndarray, like: np.ndarray) -> np.ndarray:
-    """Which units (``first`` to ``last`` in ``letters``, 16 bits each) are not spelt as the unit of number ``like``; four letters at a time."""
-    size, there = last - first, first[like]
-    out = size != size[like]
-    words = np.lib.stride_tricks.sliding_window_view(np.concatenate((letters, np.zeros(4, np.uint16))), 4).copy().view(np.uint64)[:, 0]
-    mask = np.array([(1 << 16 * k) - 1 for k in range(1, 5)], np.uint64)
-    live = np.flatnonzero(~out & (first != there))
-    for k in range(0, int(size[live].max(initial=0)), 4):
-        live = live[size[live] > k]
-        if len(live) < 16 and k >= 64:  # some long units: whole
-            for i in live.tolist():
-                out[i] |= not np.array_equal(letters[first[i] : last[i]], letters[there[i] : there[i] + size[i]])
-            break
-        rest = mask[np.minimum(size[live] - k, 4) - 1]
-        out[live] |= (words[first[live] + k] & rest) != (words[there[live] + k] & rest)
-    return out
+#: Odd multipliers that spread a unit's words over its hash.
+SPREAD, STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
+
+
+class Units:
+    """Runs ``first`` to ``last`` of ``letters`` (8 or 16 bits each), read a word of 8 bytes at a time."""
+
+    def __init__(self, letters: np.ndarray, first: np.ndarray, last: np.ndarray):
+        self.letters, self.first, self.last, self.size = letters, first, last, last - first
+        self.per = 8 // letters.itemsize
+        padded = np.concatenate((letters, np.zeros(self.per, letters.dtype))).view(np.uint8)
+        self.words = np.lib.stride_tricks.as_strided(padded, (len(letters), 8), (letters.itemsize, 1)).copy().view(np.uint64)[:, 0]
+        self.mask = np.array([(1 << 8 * letters.itemsize * k) - 1 for k in range(1, self.per + 1)], np.uint64)
+
+    def _word(self, at: np.ndarray, unit: np.ndarray, k: int) -> np.ndarray:
+        """Letters k to k + per of the units, read from ``at``."""
+        return self.words[at + k] & self.mask[np.minimum(self.size[unit] - k, self.per) - 1]
+
+    def hashes(self) -> np.ndarray:
+        live = np.arange(len(self.first))
+        h = self._word(self.first, live, 0) * SPREAD + self.size.astype(np.uint64)
+        h ^= h >> np.uint64(29)
+        for k in range(self.per, int(self.size.max(initial=0)), self.per):
+            live = live[self.size[live] > k]
+            x = (h[live] + self._word(self.first[live], live, k)) * STEP
+            h[live] = x ^ (x >> np.uint64(31))
+        return h * STEP
+
+    def told(self, which: np.ndarray) -> np.ndarray:
+        """First and second word and length of some units: all of a unit of up to two words."""
+        out = np.zeros((3, len(which)), np.uint64)
+        out[0] = self._word(self.first[which], which, 0)
+        more = which[self.size[which] > self.per]
+        out[1, self.size[which] > self.per] = self._word(self.first[more], more, self.per)
+        out[2] = self.size[which] * 2 + (self.letters.itemsize - 1)
+        return out
+
+    def differ(self, like: np.ndarray) -> np.ndarray:
+        """Which units are not spelt as the unit of number ``like``."""
+        there = self.first[like]
+        out = self.size != self.size[like]
+        live = np.flatnonzero(~out & (self.first != there))
+        for k in range(0, int(self.size[live].max(initial=0)), self.per):
+            live = live[self.size[live] > k]
+            if len(live) < 16 and k >= 64:  # some long units: whole
+                for i in live.tolist():
+                    n = self.size[i]
+                    out[i] |= not np.array_equal(self.letters[self.first[i] : self.first[i] + n], self.letters[there[i] : there[i] + n])
+                break
+            out[live] |= self._word(self.first[live], live, k) != self._word(there[live], live, k)
+        return out
+
+
+class Store:
+    """Units by hash in sorted runs, with what tells them apart and their ids. Up to two words of letters are held, of longer units the letters as well."""
+
+    def __init__(self):
+        none = np.zeros(0, np.uint64)
+        self.runs = [(none, np.zeros(0, np.int64)), (none, np.zeros(0, np.int64))]
+        self.n, self.used = 0, 0
+        self.told = np.zeros((3, 1 << 14), np.uint64)
+        self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
+        self.flat = np.zeros(1 << 16, np.uint32)
+        self.long: dict[int, str] = {}
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Numbers of the units that have the sorted ``keys``; -1 for none."""
+        out = np.full(len(keys), -1)
+        for held, number in self.runs:
+            if len(held):
+                at = np.minimum(np.searchsorted(held, keys), len(held) - 1)
+                hit = held[at] == keys
+                out[hit] = number[at[hit]]
+        return out
+
+    def add(self, keys: np.ndarray, told: np.ndarray, ids: list[list[int]]) -> np.ndarray:
+        """Remembers new units; their numbers."""
+        number = np.arange(self.n, self.n + len(keys))
+        sizes = np.array([len(x) for x in ids], np.int64)
+        ends = self.used + np.cumsum(sizes)
+        while ends[-1] > len(self.flat):
+            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
+        while self.n + len(keys) > len(self.starts):
+            self.starts, self.sizes = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.sizes))
+            self.told = np.concatenate((self.told, np.zeros_like(self.told)), axis=1)
+        self.flat[self.used : ends[-1]] = [i for x in ids for i in x]
+        self.starts[number], self.sizes[number] = ends - sizes, sizes
+        self.told[:, number] = told
+        self.n, self.used = self.n + len(keys), int(ends[-1])
+        self.runs[1] = self._merged(self.runs[1], (keys, number))
+        if len(self.runs[1][0]) > RECENT:
+            self.runs = [self._merged(*self.runs), (keys[:0], number[:0])]
+        return number
+
+    @staticmethod
+    def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        keys = np.concatenate((a[0], b[0]))
+        order = np.argsort(keys, kind="stable")
+        return keys[order], np.concatenate((a[1], b[1]))[order]
 
 
 class Encoder:
@@ -67,23 +152,11 @@ class Encoder:
         # Byte-level vocabularies write a byte as its Latin-1 character if that is visible, else as the next free one from 256.
         hidden = [b for b in range(256) if b < 33 or 126 < b < 161 or b == 173]
         self.stand_in = {b: chr(256 + n) for n, b in enumerate(hidden)}
-        self.known: dict[int, int] = {}
-        self.spelt: list[str] = []
-        self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
-        self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
-        with np.errstate(over="ignore"):
-            self.power = np.cumprod(np.full(BATCH + 2, 0x9E3779B97F4A7C15, np.uint64))
-            self.inverse = np.cumprod(np.full(BATCH + 2, pow(0x9E3779B97F4A7C15, -1, 1 << 64), np.uint64))
-            mixed = np.arange(1, LIMIT + 1, dtype=np.uint64) * np.uint64(0xBF58476D1CE4E5B9)
-        self.code = mixed ^ (mixed >> np.uint64(31))
-
-    def _plain(self, text: str) -> np.ndarray | None:
-        if "<|" in text or len(text) >= BATCH:
-            return None
-        points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-        if len(points) and (points.max() >= LIMIT or self.odd[points].any()):
-            return None
-        return points
+        self.store = Store()
+
+    def _plain(self, text: str) -> bool:
+        points = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), np.uint16)
+        return not len(points) or bool(points.max() < LIMIT and not self.odd[points].any())
 
     def _unit_ids(self, unit: str) -> list[int]:
         if not unit.isalpha():
@@ -93,68 +166,56 @@ class Encoder:
             unit = unit.encode().decode("latin-1").translate(self.stand_in)
         return [t.id for t in self.library.model.tokenize(unit)]
 
-    def _learn(self, fresh: list[list[int]]) -> None:
-        """Keeps the ids of the units that ``spelt`` ends with."""
-        sizes = np.array([len(x) for x in fresh], np.int64)
-        ends = self.used + np.cumsum(sizes)
-        at = len(self.spelt) - len(fresh)
-        while ends[-1] > len(self.flat):
-            self.flat = np.concatenate((self.flat, np.zeros_like(self.flat)))
-        while len(self.spelt) > len(self.starts):
-            self.starts, self.sizes = (np.concatenate((x, np.zeros_like(x))) for x in (self.starts, self.sizes))
-        self.flat[self.used : ends[-1]] = [i for x in fresh for i in x]
-        self.starts[at : at + len(fresh)], self.sizes[at : at + len(fresh)] = ends - sizes, sizes
-        self.used = int(ends[-1])
-
-    def _batch(self, parts: list[np.ndarray]) -> list[np.ndarray | None]:
-        """Ids of texts given as plain code points, together shorter than BATCH; None where a unit's hash is another's."""
-        gap = np.array([32], np.uint32)
-        points = np.concatenate([x for p in parts for x in (p, gap)])
-        doc_end = np.cumsum([len(p) + 1 for p in parts])
+    def _batch(self, texts: list[str]) -> list[np.ndarray | None]:
+        """Ids of texts, together shorter than BATCH; None for those that the library has to see whole."""
+        text = " ".join(texts) + " "
+        points = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), np.uint16)
+        if points.max() >= LIMIT or self.odd[points].any():
+            plain = [k for k, t in enumerate(texts) if self._plain(t)]
+            out: list[np.ndarray | None] = [None] * len(texts)
+            for k, x in zip(plain, self._batch([texts[k] for k in plain]) if plain else [], strict=True):
+                out[k] = x
+            return out
+        doc_end = np.cumsum([len(t) + 1 for t in texts])
         kind, low = self.kind[points], self.low[points]
         edge = np.concatenate(([True], kind[1:] != kind[:-1]))
         # A contraction may take letters along: words with an apostrophe stay whole.
-        if (points == 39).any():
-            space = kind == 0
-            word = np.cumsum(space)
-            quoted = np.zeros(word[-1] + 1, bool)
-            quoted[word[points == 39]] = True
-            inner = quoted[word] & ~space
-            before = np.concatenate(([True], space[:-1]))
-            edge = np.where(inner, before, edge)
+        quotes = np.flatnonzero(points == 39)
+        if len(quotes):
+            space = np.flatnonzero(kind == 0)
+            at = np.unique(np.searchsorted(space, quotes))
+            start, stop = np.where(at > 0, space[at - 1] + 1, 0), space[at]
+            n = stop - start - 1
+            edge[np.repeat(start + 1 - (np.cumsum(n) - n), n) + np.arange(n.sum())] = False
         first = np.flatnonzero(edge)
         last = np.append(first[1:], len(points))
         solid = kind[first] != 0
         first, last = first[solid], last[solid]
         if not len(first):
-            return [np.zeros(0, np.uint32) for _ in parts]
-        with np.errstate(over="ignore"):
-            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(self.code[low] * self.power[: len(points)])))
-            key = (total[last] - total[first]) * self.inverse[first] + (last - first).astype(np.uint64)
-        keys, where, back = np.unique(key, return_index=True, return_inverse=True)
-        if len(self.known) > KNOWN:
-            self.known, self.spelt, self.used = {}, [], 0
-        letters = low.astype(np.uint16)
-        text = letters.tobytes().decode("utf-16-le")
-        known, spelt, at, wrong, fresh = self.known, self.spelt, [], np.zeros(len(keys), bool), []
-        for k, (key_, lo, hi) in enumerate(zip(keys.tolist(), first[where].tolist(), last[where].tolist(), strict=True)):
-            found, one = known.get(key_), text[lo:hi]
-            if found is None:
-                found = known[key_] = len(spelt)
-                spelt.append(one)
-                fresh.append(self._unit_ids(one))
-            elif spelt[found] != one:
-                wrong[k] = True
-            at.append(found)
-        if fresh:
-            self._learn(fresh)
-        other = wrong[back] | differ(letters, first, last, where[back])
-        unit = np.array(at)[back]
-        sizes = self.sizes[unit]
+            return [np.zeros(0, np.uint32) for _ in texts]
+        units = Units(low.astype(np.uint8) if low.max() < 256 else low, first, last)
+        keys, where, back = np.unique(units.hashes(), return_index=True, return_inverse=True)
+        if self.store.n > KNOWN:
+            self.store = Store()
+        store, text = self.store, low.tobytes().decode("utf-16-le")
+        told = units.told(where)
+        at = store.find(keys)
+        wrong = (at >= 0) & (store.told[:, at] != told).any(axis=0)
+        lo, hi, long = first[where], last[where], units.size[where] > 2 * units.per
+        for k in np.flatnonzero(long & (at >= 0) & ~wrong).tolist():
+            wrong[k] = store.long[int(at[k])] != text[lo[k] : hi[k]]
+        fresh = np.flatnonzero(at < 0)
+        if len(fresh):
+            at[fresh] = store.add(keys[fresh], told[:, fresh], [self._unit_ids(text[i:j]) for i, j in zip(lo[fresh].tolist(), hi[fresh].tolist(), strict=True)])
+            for k in fresh[long[fresh]].tolist():
+                store.long[int(at[k])] = text[lo[k] : hi[k]]
+        other = wrong[back] | units.differ(where[back])
+        unit = at[back]
+        sizes = store.sizes[unit]
         ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(self.starts[unit] - (ends - sizes), sizes) + np.arange(ends[-1])]
+        ids = store.flat[np.repeat(store.starts[unit] - (ends - sizes), sizes) + np.arange(ends[-1])]
         cut = np.concatenate(([0], ends))[np.searchsorted(first, doc_end)]
-        out: list[np.ndarray | None] = np.split(ids, cut[:-1])
+        out = np.split(ids, cut[:-1])
         for k in np.unique(np.searchsorted(doc_end, first[other], side="right")).tolist():
             out[k] = None
         return out
@@ -169,21 +230,19 @@ class Encoder:
         def flush() -> None:
             nonlocal held, size
             if held:
-                for (k, _), x in zip(held, self._batch([p for _, p in held]), strict=True):
-                    out[k] = self._whole(texts[k]) if x is None else x
+                for k, x in zip(held, self._batch([texts[k] for k in held]), strict=True):
+                    out[k] = x
             held, size = [], 0
 
         for k, text in enumerate(texts):
-            points = self._plain(text)
-            if points is None:
-                out[k] = self._whole(text)
+            if len(text) >= BATCH or "<|" in text:
                 continue
-            if size + len(points) + 1 > BATCH:
+            if size + len(text) + 1 > BATCH:
                 flush()
-            held.append((k, points))
-            size += len(points) + 1
+            held.append(k)
+            size += len(text) + 1
         flush()
-        return out
+        return [self._whole(t) if x is None else x for t, x in zip(texts, out, strict=True)]
 
 
 @cache

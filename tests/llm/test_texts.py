@@ -281,9 +281,20 @@ def test_units_are_compared_in_full():
         texts = [word("a", "b") + " x " + word("b", "a"), "some words", word("b", "a"), word("a", "b"), word("b", "a") + word("a", "b")]
         for part in (texts, texts[::-1], texts[2:3]):  # in one batch and across batches
             assert [x.tolist() for x in encode.ids(part)] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in part]
-    letters = np.frombuffer("abcdefghijxabcdefghijyabcdabcd".encode("utf-16-le"), np.uint16)
-    first, last = np.array([0, 11, 22, 26, 0]), np.array([11, 22, 26, 30, 10])
-    assert tokens.differ(letters, first, last, np.array([0, 0, 2, 2, 0])).tolist() == [False, True, False, False, True]
+    for kind in ("latin-1", "utf-16-le"):
+        letters = np.frombuffer("abcdefghijxabcdefghijyabcdabcd".encode(kind), np.uint8 if kind == "latin-1" else np.uint16)
+        units = tokens.Units(letters, np.array([0, 11, 22, 26, 0]), np.array([11, 22, 26, 30, 10]))
+        assert units.differ(np.array([0, 0, 2, 2, 0])).tolist() == [False, True, False, False, True]
+        h = units.hashes()
+        assert h[2] == h[3] and len(set(h.tolist())) == 4
+
+
+def test_colliding_units_go_to_the_library(monkeypatch):
+    monkeypatch.setattr(tokens.Units, "hashes", lambda self: self.size.astype(np.uint64))
+    encode = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["one two six", "cat dog", "one", "", "four five"]
+    for part in (texts, texts[::-1]):
+        assert [x.tolist() for x in encode.ids(part)] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in part]
 
 
 def test_id_files_round_trip(spark, odd, none):
