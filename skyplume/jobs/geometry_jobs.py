@@ -9,8 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skyplume.functions import physics as P
+from skyplume.functions.times import micros
 from skyplume.jobs.registry import query, table
-from skyplume.operators import fits, masks
+from skyplume.operators import fits, masks, quantiles
 
 #: The first 64 components as an 8 x 8 frame of pixels.
 PX_SQL = "SELECT vec_id AS frame, label, CAST((i - 1) // 8 AS INTEGER) AS v, CAST((i - 1) % 8 AS INTEGER) AS u, embedding[i]::DOUBLE AS value FROM embeddings, range(1, 65) t(i)"
@@ -94,14 +95,18 @@ def log_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "solar_position",
     """
-WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders), g AS (SELECT day, 2 * pi() / 365 * (dayofyear(day) - 1) AS a FROM d),
-s AS (SELECT day, degrees(0.006918::DOUBLE - 0.399912::DOUBLE * cos(a) + 0.070257::DOUBLE * sin(a) - 0.006758::DOUBLE * cos(2 * a) + 0.000907::DOUBLE * sin(2 * a) - 0.002697::DOUBLE * cos(3 * a) + 0.00148::DOUBLE * sin(3 * a)) AS de FROM g)
-SELECT day, round(de, 6) AS declination, round(degrees(asin(sin(radians(-33.0::DOUBLE)) * sin(radians(de)) + cos(radians(-33.0::DOUBLE)) * cos(radians(de)) * cos(radians(15.0::DOUBLE)))), 6) AS elevation FROM s""",
+WITH t AS (SELECT event_id, (epoch_us(ts) - epoch_us(TIMESTAMP '2000-01-01 12:00:00')) / 86400000000.0::DOUBLE AS d FROM events),
+a AS (SELECT event_id, d, radians((357.529::DOUBLE + 0.98560028::DOUBLE * d) % 360) AS g, (280.459::DOUBLE + 0.98564736::DOUBLE * d) % 360 AS q, radians(23.439::DOUBLE - 0.00000036::DOUBLE * d) AS e FROM t),
+b AS (SELECT event_id, d, e, radians((q + 1.915::DOUBLE * sin(g) + 0.020::DOUBLE * sin(2 * g)) % 360) AS l FROM a),
+c AS (SELECT event_id, atan2(cos(e) * sin(l), cos(l)) AS ra, asin(sin(e) * sin(l)) AS de, (18.697374558::DOUBLE + 24.06570982441908::DOUBLE * d) % 24 AS gmst FROM b),
+h AS (SELECT event_id, de, radians(((gmst * 15 - 70.5::DOUBLE) % 360 + 360) % 360) - ra AS h, radians(-33.4::DOUBLE) AS la FROM c)
+SELECT event_id, round(((degrees(atan2(-cos(de) * sin(h), sin(de) * cos(la) - cos(de) * sin(la) * cos(h))) % 360) + 360) % 360, 5) AS azimuth, round(degrees(asin(sin(la) * sin(de) + cos(la) * cos(de) * cos(h))), 5) AS elevation FROM h""",
 )
 def solar_position(spark: SparkSession, sf_dir: str) -> DataFrame:
-    days = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
-    de = P.solar_declination(F.dayofyear("day"))
-    return days.select("day", F.round(de, 6).alias("declination"), F.round(P.solar_elevation(de, -33.0, F.lit(15.0)), 6).alias("elevation"))
+    """The sun at a place at the instant of each event."""
+    days = (micros("ts") - 946_728_000_000_000) / 86_400_000_000.0
+    azimuth, elevation = P.sun(days, -33.4, -70.5)
+    return table(spark, sf_dir, "events").select("event_id", F.round(azimuth, 5).alias("azimuth"), F.round(elevation, 5).alias("elevation"))
 
 
 @query(
@@ -178,13 +183,33 @@ def dilation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masks.dilate(px, 1, 8, 8)
 
 
-@query("mask_components")
+@query(
+    "mask_components",
+    f"""
+WITH RECURSIVE p AS (SELECT frame, v, u FROM ({PX_SQL}) WHERE value > 0.1),
+r AS (SELECT frame, v * 8 + u AS seed, v, u FROM p UNION SELECT r.frame, r.seed, p.v, p.u FROM r JOIN p ON p.frame = r.frame AND abs(p.v - r.v) <= 1 AND abs(p.u - r.u) <= 1),
+l AS (SELECT frame, v, u, min(seed) AS c FROM r GROUP BY ALL), s AS (SELECT frame, c, count(*) AS n FROM l GROUP BY ALL)
+SELECT frame, count(*) AS n_components, max(n) AS largest FROM s GROUP BY 1""",
+)
 def mask_components(spark: SparkSession, sf_dir: str) -> DataFrame:
-    px = masks.pixels(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8, F.col("value") > 0.1)
-    return masks.largest_component(px, 8, 8)
+    return masks.largest_component(masks.pixels(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8, F.col("value") > 0.1))
+
+
+def _next_point(k: int, before: list[str]) -> str:
+    """SQL of the k-th pick: the pixel farthest from all before it, in reading order."""
+    gap = "least(" + ", ".join(f"pow(o.v - {b}.v, 2) + pow(o.u - {b}.u, 2)" for b in before) + ")"
+    joins = " ".join(f"JOIN {b} USING (frame)" for b in before)
+    return f"t{k} AS (SELECT o.frame, o.v, o.u FROM o {joins} WHERE {gap} > 0 QUALIFY row_number() OVER (PARTITION BY o.frame ORDER BY {gap} DESC, o.v, o.u) = 1)"
+
+
+POINTS_SQL = f"""
+WITH o AS ({ON_SQL}), m AS (SELECT frame, avg(v) AS v, avg(u) AS u FROM o GROUP BY 1),
+t0 AS (SELECT o.frame, o.v, o.u FROM o JOIN m USING (frame) QUALIFY row_number() OVER (PARTITION BY frame ORDER BY round(pow(o.v - m.v, 2) + pow(o.u - m.u, 2), 9), o.v, o.u) = 1),
+{", ".join(_next_point(k, [f"t{i}" for i in range(k)]) for k in range(1, 5))}
+{" UNION ALL ".join(f"SELECT frame, {k} AS rank, v, u FROM t{k}" for k in range(5))}"""
 
 
-@query("farthest_points")
+@query("farthest_points", POINTS_SQL)
 def farthest_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return masks.farthest_points(on_pixels(spark, sf_dir), 5)
 
@@ -230,8 +255,7 @@ def background_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     px = table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("i", "value"))
     px = px.select("label", F.floor(F.col("i") / 8).cast("int").alias("v"), (F.col("i") % 8).cast("int").alias("u"), F.col("value").cast("double").alias("value"))
     keys = ["label", "v", "u"]
-    med = px.groupBy(*keys).agg(F.percentile("value", F.lit(0.5)).alias("med"))
-    out = px.join(med, keys).groupBy(*keys, "med").agg((F.lit(1.4826) * F.percentile(F.abs(F.col("value") - F.col("med")), F.lit(0.5))).alias("noise"))
+    out = quantiles.robust_noise(px, keys, F.col("value"))
     return out.select(*keys, F.round("med", 6).alias("med"), F.round("noise", 6).alias("noise"), F.round(F.greatest(3 * F.col("noise"), F.lit(0.5)), 6).alias("threshold"))
 
 

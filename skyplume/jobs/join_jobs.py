@@ -28,7 +28,7 @@ def asof_bracketed(spark: SparkSession, sf_dir: str) -> DataFrame:
     station = hourly(spark, sf_dir).filter("event_type = 'view'").select((F.col("hour") * HOUR).alias("t"), "level")
     asked = table(spark, sf_dir, "events").filter("event_type = 'purchase'").select("event_id", micros("ts").alias("us"))
     rows = J.bracketed(asked, "event_id", "us", station, "t", "level", 2 * HOUR)
-    return rows.select("event_id", "status", F.round("interpolated", 6).alias("interpolated"))
+    return rows.select("event_id", F.when(F.col("status") == "ok", "ok").otherwise("gap").alias("status"), F.round("interpolated", 6).alias("interpolated"))
 
 
 @query(
@@ -93,13 +93,14 @@ def precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "left_with_default",
     """
-WITH d AS (SELECT user_id, coalesce(bool_or(event_type = 'error' AND value > 90), false) AS bad FROM events GROUP BY 1)
-SELECT l.event_id, coalesce(NOT d.bad, false) AS trusted FROM events l LEFT JOIN d ON l.user_id = d.user_id AND d.user_id % 3 <> 0 WHERE l.event_type = 'signup'""",
+WITH d AS (SELECT user_id, bool_or(event_type = 'error' AND value > 90) AS bad FROM events WHERE event_type IN ('purchase', 'error') AND value > 20 GROUP BY 1)
+SELECT l.event_id, coalesce(NOT d.bad, false) AS trusted FROM events l LEFT JOIN d ON l.user_id = d.user_id WHERE l.event_type = 'signup'""",
 )
 def left_with_default(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users without strong purchases or errors are unknown, so not trusted."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
-    known = e.groupBy("user_id").agg(F.bool_or((F.col("event_type") == "error") & (F.col("value") > 90)).alias("bad")).filter("user_id % 3 <> 0")
-    return e.filter("event_type = 'signup'").join(known, "user_id", "left").select("event_id", F.coalesce(~F.col("bad"), F.lit(False)).alias("trusted"))
+    known = e.filter("event_type in ('purchase', 'error') and value > 20").groupBy("user_id").agg(F.bool_or((F.col("event_type") == "error") & (F.col("value") > 90)).alias("bad"))
+    return J.left_default(e.filter("event_type = 'signup'"), known, ["user_id"], (~F.col("bad")).alias("trusted"), False).select("event_id", "trusted")
 
 
 @query(

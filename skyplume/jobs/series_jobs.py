@@ -7,8 +7,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skyplume.functions import circular as C
+from skyplume.functions.guards import finite
 from skyplume.functions.times import micros
 from skyplume.jobs.registry import query, table
+from skyplume.operators import histograms as H
+from skyplume.operators import quantiles as Q
 from skyplume.operators import series as S
 
 #: Angles of the events in both forms.
@@ -36,21 +39,14 @@ SELECT event_type, count(*) AS n,
 FROM e GROUP BY event_type""",
 )
 def wind_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    az = F.pmod(F.col("value") * 7, F.lit(360.0))
-    return (
-        table(spark, sf_dir, "events")
-        .select("event_type", "value", az.alias("az"))
-        .groupBy("event_type")
-        .agg(
-            F.count("*").alias("n"),
-            F.round(C.circular_mean(F.col("az"), F.col("value")), 6).alias("mean_dir"),
-            F.round(C.circular_spread(F.col("az")), 6).alias("spread"),
-            F.round(F.avg("value"), 6).alias("mean_speed"),
-            F.round(F.percentile("value", F.lit(0.5)), 6).alias("median_speed"),
-            F.round(F.min("value"), 6).alias("min_speed"),
-            F.round(F.max("value"), 6).alias("max_speed"),
-        )
-    )
+    rows = table(spark, sf_dir, "events").select("event_type", "value", azimuth().alias("az"))
+    value = finite(F.col("value"))
+    summary = rows.groupBy("event_type").agg(
+        F.count("*").alias("n"), F.round(C.circular_mean(F.col("az"), F.col("value")), 6).alias("mean_dir"), F.round(C.circular_spread(F.col("az")), 6).alias("spread"),
+        F.round(F.avg(value), 6).alias("mean_speed"), F.round(F.min(value), 6).alias("min_speed"), F.round(F.max(value), 6).alias("max_speed"),
+    )
+    middle = Q.quantiles(rows, ["event_type"], F.col("value"), [0.5], ["median_speed"])
+    return summary.join(F.broadcast(middle.withColumn("median_speed", F.round("median_speed", 6))), "event_type")
 
 
 @query(
@@ -63,9 +59,8 @@ FROM events JOIN m USING (user_id, event_type) GROUP BY user_id, event_type""",
 def robust_noise(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("user_id", "event_type", "value")
     keys = ["user_id", "event_type"]
-    med = rows.groupBy(*keys).agg(F.percentile("value", F.lit(0.5)).alias("med"))
-    out = rows.join(med, keys).groupBy(*keys).agg(F.count("*").alias("n"), F.first("med").alias("med"), F.percentile(F.abs(F.col("value") - F.col("med")), F.lit(0.5)).alias("mad"))
-    return out.select(*keys, "n", F.round("med", 6).alias("med"), F.round(F.lit(1.4826) * F.col("mad"), 6).alias("noise"))
+    out = Q.robust_noise(rows, keys, F.col("value")).join(rows.groupBy(*keys).agg(F.count("*").alias("n")), keys)
+    return out.select(*keys, "n", F.round("med", 6).alias("med"), F.round("noise", 6).alias("noise"))
 
 
 @query(
@@ -75,8 +70,8 @@ WITH e AS (SELECT event_type, least(CAST(floor({AZ_SQL} / 5) AS INTEGER), 71) AS
 SELECT event_type, bin, count(*) AS n, round(count(*) / (sum(count(*)) OVER (PARTITION BY event_type) * radians(5.0)), 6) AS density FROM e GROUP BY event_type, bin""",
 )
 def direction_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "events").select("event_type", F.least(F.floor(azimuth() / 5).cast("int"), F.lit(71)).alias("bin"))
-    counts = rows.groupBy("event_type", "bin").agg(F.count("*").alias("n"))
+    counts = H.circular_counts(table(spark, sf_dir, "events").select("event_type", azimuth().alias("az")), ["event_type"], F.col("az"), 72)
+    # 72 rows a type at most.
     total = F.sum("n").over(W.partitionBy("event_type"))
     return counts.withColumn("density", F.round(F.col("n") / (total * F.radians(F.lit(5.0))), 6))
 
@@ -153,7 +148,7 @@ SELECT user_id, min(CASE WHEN ok THEN us END) AS first_at FROM w GROUP BY user_i
 )
 def sustained_crossing(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("user_id", micros("ts").alias("us"), "value")
-    return S.first_sustained(rows, F.col("value") > 5, "us", 86_400_000_000, ["user_id"])
+    return S.first_sustained(rows, "value", 5, "us", 86_400_000_000, ["user_id"], "above")
 
 
 @query(
@@ -262,9 +257,4 @@ m AS (SELECT a.event_type, a.bin, a.n, l.n AS ln, r.n AS rn FROM g a JOIN g l ON
 SELECT event_type, bin, n, row_number() OVER (PARTITION BY event_type ORDER BY n DESC, bin) AS mode FROM m WHERE n > ln AND n >= rn QUALIFY mode <= 2""",
 )
 def direction_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The two highest local maxima of a circular histogram, 36 bins: neighbours by a rotated array."""
-    rows = table(spark, sf_dir, "events").select("event_type", F.least(F.floor(azimuth() / 10).cast("int"), F.lit(35)).alias("bin"))
-    counts = rows.groupBy("event_type").agg(*[F.count_if(F.col("bin") == b).alias(f"b{b}") for b in range(36)])
-    ring = F.array(*[F.struct(F.lit(b).alias("bin"), F.col(f"b{b}").alias("n"), F.col(f"b{(b + 35) % 36}").alias("l"), F.col(f"b{(b + 1) % 36}").alias("r")) for b in range(36)])
-    tops = F.slice(F.sort_array(F.transform(F.filter(ring, lambda x: (x["n"] > x["l"]) & (x["n"] >= x["r"])), lambda x: F.struct((-x["n"]).alias("m"), x["bin"].alias("bin")))), 1, 2)
-    return counts.select("event_type", F.posexplode(tops).alias("k", "t")).select("event_type", F.col("t.bin").alias("bin"), (-F.col("t.m")).alias("n"), (F.col("k") + 1).cast("long").alias("mode"))
+    return H.circular_modes(table(spark, sf_dir, "events").select("event_type", azimuth().alias("az")), ["event_type"], F.col("az"), 36, 2)

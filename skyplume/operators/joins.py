@@ -10,6 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skyplume.functions import circular as C
+from skyplume.functions.guards import finite
+from skyplume.operators.quantiles import quantiles
+
 
 def bucketed(left: DataFrame, right: DataFrame, left_at: str, right_at: str, reach: int, keys: list[str] | None = None) -> DataFrame:
     """Pairs with equal ``keys`` and |left_at - right_at| <= ``reach``; the two sides' other columns must not clash."""
@@ -19,20 +23,47 @@ def bucketed(left: DataFrame, right: DataFrame, left_at: str, right_at: str, rea
     return a.join(b, [*keys, "_bucket"]).filter(F.abs(F.col(left_at) - F.col(right_at)) <= reach).drop("_bucket")
 
 
-def bracketed(queries: DataFrame, ident: str, at: str, series: DataFrame, series_at: str, value: str, max_gap: int, keys: list[str] | None = None) -> DataFrame:
-    """``value`` of ``series`` at each query by linear interpolation between its neighbours.
+def bracketed(queries: DataFrame, ident: str, at: str, series: DataFrame, series_at: str, value: str, max_gap: int, keys: list[str] | None = None, direction: str | None = None) -> DataFrame:
+    """``value`` of ``series`` at each query by linear interpolation between its neighbours, and the direction by that of the unit vectors.
 
     The previous point is strictly before the query, the next one at it or after.
-    ``status`` is 'ok', or 'gap' where the two are more than ``max_gap`` apart or
-    one is missing; queries are told apart by ``ident``.
+    ``status`` is 'ok'; 'before' or 'after' where the query lies at or before a
+    key's first point or beyond its last; 'gap' where the neighbours are more
+    than ``max_gap`` apart; 'none' where the key has no points. Queries are told
+    apart by ``ident``. The ends of a key are one row each.
     """
-    pairs = bucketed(queries, series.select(*(keys or []), F.col(series_at).alias("_t"), F.col(value).alias("_v")), at, "_t", max_gap, keys)
-    point = F.struct("_t", "_v")
+    keys = keys or []
+    points = series.select(*keys, F.col(series_at).alias("_t"), F.col(value).alias("_v"), (F.col(direction) if direction else F.lit(None)).cast("double").alias("_d"))
+    pairs = bucketed(queries, points, at, "_t", max_gap, keys)
+    point = F.struct("_t", "_v", "_d")
     around = pairs.groupBy(F.col(ident).alias("_q")).agg(F.max(F.when(F.col("_t") < F.col(at), point)).alias("p"), F.min(F.when(F.col("_t") >= F.col(at), point)).alias("n"))
+    ends = points.groupBy(*keys).agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"))
     rows = queries.join(around, F.col(ident) == F.col("_q"), "left").drop("_q")
+    rows = rows.join(ends, keys, "left") if keys else rows.join(F.broadcast(ends), F.lit(True), "left")
     ok = F.coalesce(F.col("n._t") - F.col("p._t") <= max_gap, F.lit(False))
+    status = F.when(F.col("_first").isNull(), "none").when(F.col(at) <= F.col("_first"), "before").when(F.col(at) > F.col("_last"), "after").when(ok, "ok").otherwise("gap")
     share = (F.col(at) - F.col("p._t")) / (F.col("n._t") - F.col("p._t"))
-    return rows.withColumns({"status": F.when(ok, "ok").otherwise("gap"), "interpolated": F.when(ok, F.col("p._v") + share * (F.col("n._v") - F.col("p._v")))}).drop("p", "n")
+    mixed = lambda f: (1 - share) * f(F.col("p._d")) + share * f(F.col("n._d"))
+    out = {"status": status, "interpolated": F.when(status == "ok", F.col("p._v") + share * (F.col("n._v") - F.col("p._v")))}
+    if direction:
+        out["direction"] = F.when(status == "ok", C.angle_of(mixed(C.sin_deg), mixed(C.cos_deg)))
+    return rows.withColumns(out).drop("p", "n", "_first", "_last")
+
+
+def coverage(series: DataFrame, keys: list[str], at: str, instants: list[int], margin: int, least: int) -> DataFrame:
+    """Whether each key's series covers each of some ``instants``: (keys, instant, verdict, n_near, nearest).
+
+    'before' or 'after' the series, 'hole' without a point within ``margin``,
+    'partial' with fewer than ``least`` of them, else 'full'. One aggregation for
+    all instants; a key without points has no row, one with null times only is
+    'empty'.
+    """
+    t = F.col(at)
+    each = [F.struct(F.lit(e).alias("instant"), F.count_if(F.abs(t - e) <= margin).alias("n"), F.min(F.abs(t - e)).alias("d")) for e in instants]
+    rows = series.groupBy(*keys).agg(F.min(t).alias("_first"), F.max(t).alias("_last"), F.array(*each).alias("_e")).withColumn("_e", F.explode("_e"))
+    e, n = F.col("_e.instant"), F.col("_e.n")
+    verdict = F.when(F.col("_first").isNull(), "empty").when(e < F.col("_first"), "before").when(e > F.col("_last"), "after").when(n == 0, "hole").when(n < least, "partial").otherwise("full")
+    return rows.select(*keys, e.alias("instant"), verdict.alias("verdict"), n.alias("n_near"), F.when(verdict.isin("partial", "full"), F.col("_e.d")).alias("nearest"))
 
 
 def nearest(left: DataFrame, ident: str, left_at: str, right: DataFrame, right_id: str, right_at: str, tolerance: int, keys: list[str]) -> DataFrame:
@@ -60,3 +91,53 @@ def first_known(base: DataFrame, key: str, sources: list[tuple[str, DataFrame]],
         values.append(F.col(f"_v{k}"))
         names.append(F.when(F.col(f"_v{k}").isNotNull(), name))
     return out.select(*base.columns, F.coalesce(*values).alias(value), F.coalesce(*names).alias("origin"))
+
+
+def left_default(left: DataFrame, right: DataFrame, keys: list[str], value: Column, default) -> DataFrame:
+    """``left`` with ``value`` (named, over columns of ``right``) by key, ``default`` where it is missing."""
+    name = "_default_value"
+    rows = left.join(right.select(*keys, value, F.lit(True).alias(name)), keys, "left")
+    fresh = [c for c in rows.columns if c not in left.columns and c != name]
+    return rows.select(*left.columns, *[F.coalesce(c, F.lit(default)).alias(c) for c in fresh])
+
+
+def confident_or_all(df: DataFrame, key: str, modes: DataFrame, mode: str, unsure: str, group: list[str]) -> DataFrame:
+    """Rows of ``df`` whose ``mode`` is known and not ``unsure``; of a group without any such row, all."""
+    sure = F.coalesce(F.col("_mode") != unsure, F.lit(False))
+    rows = df.join(modes.select(F.col(key).alias("_key"), F.col(mode).alias("_mode")), F.col(key) == F.col("_key"), "left").withColumn("_sure", sure)
+    some = rows.groupBy(*group).agg(F.bool_or("_sure").alias("_some"))
+    return rows.join(some, group).filter(F.col("_sure") | ~F.col("_some")).select(*df.columns)
+
+
+def known_or_median(df: DataFrame, key: str, values: DataFrame, value: str, group: list[str]) -> DataFrame:
+    """``df`` with ``value`` by key; where it is missing or not finite, the median of the group's finite ones."""
+    rows = df.join(values.select(F.col(key).alias("_key"), finite(F.col(value)).alias("_v")), F.col(key) == F.col("_key"), "left")
+    middle = quantiles(rows.select(*group, "_v"), group, F.col("_v"), [0.5], ["_median"])
+    return rows.join(middle, group, "left").select(*df.columns, F.coalesce("_v", "_median").alias(value))
+
+
+def known_or_frame_time(df: DataFrame, frame: str, times: DataFrame, t: str, start: float, fps: float) -> DataFrame:
+    """``df`` with ``t`` by frame; where it is missing, from the frame's number."""
+    rows = df.join(times.select(F.col(frame).alias("_key"), finite(F.col(t)).alias("_t")), F.col(frame) == F.col("_key"), "left")
+    return rows.select(*df.columns, F.coalesce("_t", (F.col(frame) - start) / fps).alias(t))
+
+
+def merged_origins(old: Column, new: Column, manual: str = "set by hand") -> Column:
+    """Map of keys to origins: the new one, but an old origin stays where the new one is by hand and the old was not, or where there is no new one."""
+    keep = lambda k, a, b: F.when(b.isNull(), a).when(a.isNotNull() & b.startswith(manual) & ~a.startswith(manual), a).otherwise(b)
+    return F.map_zip_with(old, new, keep)
+
+
+def preferred(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of ``first``, and those of ``second`` whose keys it lacks."""
+    return first.unionByName(second.join(first.select(*keys).distinct(), keys, "left_anti"))
+
+
+def last_file_wins(rows: DataFrame, keys: list[str], file: str, keep: list[str]) -> DataFrame:
+    """One row a key over files that overlap: that of the last file by name."""
+    return latest(rows, keys, [F.col(file)], keep)
+
+
+def first_of_each(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The different rows of ``columns``."""
+    return df.select(*columns).dropDuplicates()

@@ -11,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skyplume.functions import circular as C
+from skyplume.functions.guards import above, below, finite, is_finite
 
 
 def _ordered(keys: list[str], order: list[str]):
@@ -18,14 +19,30 @@ def _ordered(keys: list[str], order: list[str]):
 
 
 def edge_mean(value: Column, size: int, keys: list[str], order: list[str]) -> Column:
-    """Centred moving mean of odd ``size``; beyond the ends the first and last values are repeated."""
+    """Centred moving mean of odd ``size``; beyond the ends the first and last values are repeated.
+
+    A key with fewer rows than ``size`` takes its own number of rows as the
+    size; an even size reaches one row further back than ahead.
+    """
     half, w = size // 2, _ordered(keys, order)
     whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
-    n = F.count(F.lit(1)).over(W.partitionBy(*keys))
-    left = F.greatest(F.lit(half + 1) - F.row_number().over(w), F.lit(0))
-    right = F.greatest(F.lit(half) + F.row_number().over(w) - n, F.lit(0))
-    inside = F.sum(value).over(w.rowsBetween(-half, half))
-    return (inside + F.first(value).over(whole) * left + F.last(value).over(whole) * right) / size
+    n, i = F.count(F.lit(1)).over(W.partitionBy(*keys)), F.row_number().over(w)
+    left = F.greatest(F.lit(half + 1) - i, F.lit(0))
+    right = F.greatest(F.lit(half) + i - n, F.lit(0))
+    first, last = F.first(value).over(whole), F.last(value).over(whole)
+    full = (F.sum(value).over(w.rowsBetween(-half, half)) + first * left + last * right) / size
+    # Fewer rows than ``size``: all of them, each as often as clamped places fall on it.
+    back = F.floor(n / 2)
+    short = F.sum(value).over(w.rowsBetween(-(size - 1), size - 1)) - _beyond(value, w, n, i, back, size) + first * F.greatest(back + 1 - i, F.lit(0)) + last * F.greatest(i - 1 - back, F.lit(0))
+    return F.when(n >= size, full).otherwise(short / n)
+
+
+def _beyond(value: Column, w, n: Column, i: Column, back: Column, size: int) -> Column:
+    """Sum of a short key's values that lie outside the ``n`` places around row ``i``."""
+    near = F.collect_list(value).over(w.rowsBetween(-(size - 1), size - 1))
+    low, high = i - back, i - back + n - 1  # places from 1
+    outside = F.filter(F.transform(near, lambda x, k: F.when(((k + 1) >= low) & ((k + 1) <= high), F.lit(0.0)).otherwise(x)), lambda x: x.isNotNull())
+    return F.aggregate(outside, F.lit(0.0), lambda acc, x: acc + x)
 
 
 def edge_circular_mean(angle: Column, size: int, keys: list[str], order: list[str]) -> Column:
@@ -44,21 +61,26 @@ def edge_median(value: Column, size: int, keys: list[str], order: list[str]) ->
 
 
 def fill_linear(df: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:
-    """Adds ``filled``: ``y``, gaps interpolated linearly over ``x``, the ends held."""
+    """Adds ``filled``: ``y``, gaps (null, NaN or infinite) interpolated linearly over ``x``, the ends held."""
     w = W.partitionBy(*keys).orderBy(x)
     back, ahead = w.rowsBetween(W.unboundedPreceding, 0), w.rowsBetween(0, W.unboundedFollowing)
-    known = F.when(F.col(y).isNotNull(), F.struct(F.col(x).alias("x"), F.col(y).alias("y")))
+    known = F.when(is_finite(F.col(y)), F.struct(F.col(x).alias("x"), finite(F.col(y)).alias("y")))
     df = df.withColumns({"_p": F.last(known, ignorenulls=True).over(back), "_n": F.first(known, ignorenulls=True).over(ahead)})
     share = (F.col(x) - F.col("_p.x")) / F.nullif(F.col("_n.x") - F.col("_p.x"), F.lit(0))
     between = F.col("_p.y") + F.coalesce(share, F.lit(0.0)) * (F.col("_n.y") - F.col("_p.y"))
     return df.withColumn("filled", F.coalesce(between, F.col("_p.y"), F.col("_n.y"))).drop("_p", "_n")
 
 
-def first_sustained(df: DataFrame, holds: Column, at: str, span: int, keys: list[str]) -> DataFrame:
-    """Per key, the first ``at`` from which ``holds`` is true for all rows within ``span``, two rows at least; null: never."""
+def first_sustained(df: DataFrame, value: str, threshold: float, at: str, span: int, keys: list[str], sense: str = "below", since: Column | None = None) -> DataFrame:
+    """Per key, the first ``at`` (not before ``since``) from which ``value`` is below or above ``threshold`` for all rows within ``span``, two rows at least; null: never.
+
+    A null or NaN is neither below nor above, and the first value is finite.
+    """
     ahead = W.partitionBy(*keys).orderBy(at).rangeBetween(0, span)
-    rows = df.withColumn("_ok", F.coalesce(holds, F.lit(False)))
-    rows = rows.withColumn("_all", F.bool_and("_ok").over(ahead) & (F.count(F.lit(1)).over(ahead) >= 2))
+    rows = df.withColumn("_ok", below(F.col(value), threshold) if sense == "below" else above(F.col(value), threshold))
+    rows = rows.withColumn("_all", F.bool_and("_ok").over(ahead) & (F.count(F.lit(1)).over(ahead) >= 2) & is_finite(F.col(value)))
+    if since is not None:
+        rows = rows.withColumn("_all", F.col("_all") & F.coalesce(F.col(at) >= since, F.lit(True)))
     return rows.groupBy(*keys).agg(F.min(F.when(F.col("_all"), F.col(at))).alias("first_at"))
 
 
@@ -77,12 +99,13 @@ def episodes(df: DataFrame, index: str, level: str, threshold: float, gap: int,
     """Sessions of rows above ``threshold`` that lie at most ``gap`` rows apart.
 
     Kept if they span three rows or peak above twice the threshold; ``strength``
-    sums level - threshold over all rows within, those below included. The sum is
-    a difference of running totals, so nothing is joined back.
+    sums level - threshold over all rows within, those below included, rows without
+    a finite level left out. The sum is a difference of running totals, so nothing
+    is joined back.
     """
     w = W.partitionBy(*keys).orderBy(index)
-    rows = df.withColumn("_run", F.sum(F.col(level) - threshold).over(w.rowsBetween(W.unboundedPreceding, 0)))
-    hot = rows.filter(F.col(level) > threshold)
+    rows = df.withColumn("_run", F.sum(F.coalesce(finite(F.col(level)), F.lit(float(threshold))) - threshold).over(w.rowsBetween(W.unboundedPreceding, 0)))
+    hot = rows.filter(above(F.col(level), threshold) & is_finite(F.col(level)))
     hot = hot.withColumn("_new", F.when(F.col(index) - F.lag(index).over(w) > gap, 1).otherwise(0))
     hot = hot.withColumn("_id", F.sum("_new").over(w.rowsBetween(W.unboundedPreceding, 0)))
     found = hot.groupBy(*keys, "_id").agg(
@@ -116,6 +139,11 @@ def gradient(value: str, keys: list[str], order: list[str]) -> Column:
     return F.coalesce((after - before) / 2, after - here, here - before)
 
 
+def rate(value: str, at: str, keys: list[str], order: list[str]) -> Column:
+    """Change of ``value`` per ``at``: the quotient of their differences by row."""
+    return gradient(value, keys, order) / F.nullif(gradient(at, keys, order), F.lit(0))
+
+
 def running_path(step: Column, keys: list[str], order: list[str]) -> Column:
     """Running total of ``step``, 0 at the first row."""
     w = _ordered(keys, order)
@@ -138,3 +166,100 @@ def even_rows(df: DataFrame, n: int, keys: list[str], order: list[str]) -> DataF
     rows = df.withColumns({"_r": F.row_number().over(w) - 1, "_m": F.count(F.lit(1)).over(W.partitionBy(*keys))})
     places = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.rint(i * (F.col("_m") - 1) / F.lit(float(n - 1))).cast("int"))
     return rows.filter((F.col("_m") <= n) | F.array_contains(places, F.col("_r").cast("int"))).drop("_r", "_m")
+
+
+def repeats(frame: str, keys: list[str], fps_in: float, fps_out: float, speed: float = 1.0) -> Column:
+    """How often each row is shown so that gaps between frames keep their time: the way to the next row, for the last row from the one before, 1 for a row alone."""
+    w = _ordered(keys, [frame])
+    gap = F.coalesce(F.lead(frame).over(w) - F.col(frame), F.col(frame) - F.lag(frame).over(w), F.lit(1))
+    return F.greatest(F.rint(gap / max(fps_in, 1e-6) / max(speed, 1e-6) * fps_out).cast("long"), F.lit(1))
+
+
+def gap_reasons(df: DataFrame, frame: str, pixels: str, readable: Column, max_gap: int, least: int, keys: list[str]) -> DataFrame:
+    """Adds ``reason`` to each row after a key's first: 'gap', 'unreadable', 'few pixels' or 'ok', the first that holds."""
+    gap = F.col(frame) - F.lag(frame).over(_ordered(keys, [frame]))
+    reason = F.when(gap > max_gap, "gap").when(~F.coalesce(readable, F.lit(False)), "unreadable").when(F.coalesce(F.col(pixels) <= least, F.lit(True)), "few pixels").otherwise("ok")
+    return df.withColumns({"gap": gap, "reason": reason}).filter("gap is not null")
+
+
+def first_reaching(df: DataFrame, index: str, value: str, share: float, keys: list[str]) -> DataFrame:
+    """Per key, the first ``index`` whose finite ``value`` is ``share`` of the key's largest or more."""
+    x = finite(F.col(value))
+    top = df.groupBy(*keys).agg(F.max(x).alias("_top"))
+    return df.join(top, keys).filter(x >= share * F.col("_top")).groupBy(*keys).agg(F.min(index).alias("first_index"))
+
+
+def held_ends(df: DataFrame, t: str, value: str, keys: list[str]) -> DataFrame:
+    """Adds ``estimate``: gaps inside interpolated, the last value held, and before the first a power law of t + 1 fitted to all values with t > 0."""
+    y, x = finite(F.col(value)), F.ln(F.greatest(F.col(t).cast("double"), F.lit(0.0)) + 1)
+    fit = df.groupBy(*keys).agg(*[f(F.when((F.col(t) > 0) & (y > 0), F.ln(y)), F.when((F.col(t) > 0) & (y > 0), x)).alias(n) for f, n in ((F.regr_slope, "_b"), (F.regr_intercept, "_a"))], F.min(F.when(y.isNotNull(), F.col(t))).alias("_first"))
+    rows = fill_linear(df, t, value, keys).join(fit, keys)
+    law = F.exp(F.col("_a") + F.col("_b") * x)
+    return rows.withColumn("estimate", F.when(F.col(t) < F.col("_first"), law).otherwise(F.col("filled"))).drop("_a", "_b", "_first", "filled")
+
+
+def drift(df: DataFrame, t: str, x: str, y: str, keys: list[str]) -> DataFrame:
+    """Per key, speed and azimuth (degrees from north, clockwise) from the first to the last row, and the extents of x and y."""
+    first, last = (lambda c: F.min_by(c, t)), (lambda c: F.max_by(c, t))
+    dx, dy = last(x) - first(x), last(y) - first(y)
+    dt = F.nullif(F.max(t) - F.min(t), F.lit(0))
+    return df.groupBy(*keys).agg((F.sqrt(dx * dx + dy * dy) / dt).alias("speed"), F.pmod(F.degrees(F.atan2(dx, dy)), F.lit(360.0)).alias("azimuth"), (F.max(x) - F.min(x)).alias("extent_x"), (F.max(y) - F.min(y)).alias("extent_y"))
+
+
+def plateau(df: DataFrame, t: str, height: str, volume: str, keys: list[str], share_volume: float = 0.6, share_height: float = 0.9) -> DataFrame:
+    """Per key, the height where it stops rising: median from the first full row that reaches ``share_height`` of the largest height.
+
+    A row is full if its volume is ``share_volume`` of the largest or more; with
+    fewer than three such rows all are.
+    """
+    key = W.partitionBy(*keys)
+    rows = df.select(*keys, t, finite(F.col(height)).alias("_h"), finite(F.col(volume)).alias("_v"))
+    rows = rows.withColumn("_big", F.coalesce(F.col("_v") >= share_volume * F.max("_v").over(key), F.lit(False)))
+    rows = rows.withColumn("_n", F.count_if("_big").over(key)).filter("_big or _n < 3").withColumn("_top", F.max("_h").over(key))
+    rows = rows.withColumn("_from", F.min(F.when(F.col("_h") >= share_height * F.col("_top"), F.col(t))).over(key)).filter(F.col(t) >= F.col("_from"))
+    return rows.groupBy(*keys).agg(F.median("_h").alias("plateau"), F.min(t).alias("since"), F.count("*").alias("n_rows"), F.min("_h").alias("lowest"), F.max("_h").alias("highest"))
+
+
+def band(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """Lowest and highest finite ``value`` of each key over its replicas, and how many there are."""
+    x = finite(F.col(value))
+    return df.groupBy(*keys).agg(F.min(x).alias("low"), F.max(x).alias("high"), F.count(x).alias("replicas"))
+
+
+def high_pass(df: DataFrame, keys: list[str], order: list[str], value: str, cutoff: float) -> DataFrame:
+    """Adds ``passed``: a second-order Butterworth high-pass run forward and back, ``cutoff`` as a share of half the sampling rate.
+
+    A key's series (a pixel over a clip) is filtered whole in one task; null and
+    NaN count as 0. Ends are extended by odd reflection.
+    """
+    import math
+
+    import numpy as np
+    import pandas as pd
+
+    k = math.tan(math.pi * cutoff / 2)
+    norm = 1 / (1 + math.sqrt(2) * k + k * k)
+    b0, a1, a2 = norm, 2 * (k * k - 1) * norm, (1 - math.sqrt(2) * k + k * k) * norm
+
+    def once(x: np.ndarray) -> np.ndarray:
+        # The state a constant input leaves behind, so that the first sample makes no step.
+        z1, z2 = -b0 * x[0], b0 * x[0]
+        z1 = -b0 * x[0]
+        out = np.empty_like(x)
+        for i, v in enumerate(x):
+            out[i] = b0 * v + z1
+            z1 = -2 * b0 * v - a1 * out[i] + z2
+            z2 = b0 * v - a2 * out[i]
+        return out
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(order, ignore_index=True)
+        x = np.nan_to_num(pdf[value].to_numpy(float))
+        pad = min(9, len(x) - 1)
+        if pad:
+            x = np.concatenate((2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]))
+        y = once(once(x)[::-1])[::-1]
+        return pdf.assign(passed=y[pad : len(y) - pad])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return df.groupBy(*keys).applyInPandas(run, f"{fields}, passed double")
