@@ -12,8 +12,10 @@
    by Kasai's walk, run along all pieces at once. Neighbours with 200 bytes in
    common are one window; it is repeated if its pieces occur twice.
 4. Merging. An anchor with more pieces than a shard holds is dealt to several;
-   each hands on its windows in sorted order, and shards are merged by binary
-   search for what occurs in two of them.
+   each hands on its windows in the order of their fingerprints, and shards are
+   merged by binary search for what occurs in two of them, a range of
+   fingerprints at a time. Windows that meet are compared in full; where
+   fingerprints deceive, windows meet again by their bytes.
 5. What is covered is joined back to the documents.
 
 No step compares shards pairwise, and no key's rows come together unbounded.
@@ -261,7 +263,7 @@ def piece_runs(pdf: pd.DataFrame, w: pd.DataFrame, repeated: np.ndarray, window:
 def part_windows(pdf: pd.DataFrame, window: int) -> pd.DataFrame:
     """A part of a hot anchor's pieces: what it covers by itself (runs), and its different windows in order of their fingerprints.
 
-    A window row has its piece if the part has it once, else n = 2 and no piece:
+    A window row has one piece that shows it; n = 2 where the part has it again:
     it is covered already and only a partner for other parts.
     """
     w, repeated = shard_windows(pdf, window)
@@ -276,8 +278,8 @@ def part_windows(pdf: pd.DataFrame, window: int) -> pd.DataFrame:
         prints = [_mix(_hash_at(raw, at, window, odd) + one["shift"].to_numpy().astype(np.uint64) * np.uint64(_ODD)) for odd in (_ODD, 0xC2B2AE3D27D4EB4F)]
     again = one["again"].to_numpy()
     anchor = pdf["anchor"].iloc[0]
-    rows = pd.DataFrame({"anchor": anchor, "pd": np.where(again, 0, pdf["pd"].to_numpy()[one["piece"].to_numpy()]), "shift": one["shift"].to_numpy(), "hi": prints[0].view(np.int64), "lo": prints[1].view(np.int64), "n": again + 1})
-    return pd.concat((local, rows.sort_values(["hi", "lo"])), ignore_index=True)[["anchor", "pd", "runs", "shift", "hi", "lo", "n"]].astype({"shift": "Int64", "hi": "Int64", "lo": "Int64", "n": "Int64"}).replace({"runs": {np.nan: None}})
+    rows = pd.DataFrame({"anchor": anchor, "pd": pdf["pd"].to_numpy()[one["piece"].to_numpy()], "shift": one["shift"].to_numpy(), "hi": prints[0].view(np.int64), "lo": prints[1].view(np.int64), "n": again + 1})
+    return pd.concat((local, rows.sort_values(["hi", "lo"])), ignore_index=True).assign(part=int(pdf["part"].iloc[0]))[["anchor", "part", "pd", "runs", "shift", "hi", "lo", "n"]].astype({"shift": "Int64", "hi": "Int64", "lo": "Int64", "n": "Int64"}).replace({"runs": {np.nan: None}})
 
 
 def _hash_at(raw: np.ndarray, at: np.ndarray, size: int, odd: int) -> np.ndarray:
@@ -289,14 +291,49 @@ def _hash_at(raw: np.ndarray, at: np.ndarray, size: int, odd: int) -> np.ndarray
 
 
 def merge_parts(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Windows of a range of fingerprints from all parts: each is looked up in the merged order by binary search."""
-    order = np.lexsort((pdf["lo"].to_numpy(), pdf["hi"].to_numpy(), pdf["anchor"].to_numpy()))
-    keys = pdf[["anchor", "hi", "lo"]].to_numpy()[order]
-    first = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1))))
-    n = pdf["n"].to_numpy()[order]
-    group = np.searchsorted(first, np.arange(len(n)), side="right") - 1
-    hit = (np.add.reduceat(n, first)[group] >= 2) & (n == 1)
-    return pdf.iloc[order][hit][["anchor", "pd", "shift"]]
+    """Windows of a range of fingerprints from all parts: those that another part has as well, with the piece of the first that has it.
+
+    Each part comes in order. Parts are merged one by one: a part's windows are
+    looked up in what is merged already by binary search, and new ones are put in
+    their places.
+    """
+    pdf = pdf.sort_values(["part", "anchor", "hi", "lo"], ignore_index=True)
+    key = np.rec.fromarrays([pdf[c].to_numpy(np.int64) for c in ("anchor", "hi", "lo")], names="anchor,hi,lo")
+    # One number for each different key, in the keys' order.
+    code = np.unique(key, return_inverse=True)[1].astype(np.int64)
+    n, pd_ = pdf["n"].to_numpy(), pdf["pd"].to_numpy()
+    merged, first = np.zeros(0, np.int64), np.zeros(0, np.int64)  # codes, and the row that has each first
+    seen = n.astype(np.int64).copy()
+    like = np.arange(len(pdf))
+    cuts = np.flatnonzero(np.diff(pdf["part"].to_numpy())) + 1
+    for lo, hi in zip([0, *cuts], [*cuts, len(pdf)], strict=True):
+        if hi == lo:
+            continue
+        mine = np.arange(lo, hi)
+        at = np.searchsorted(merged, code[mine])
+        found = (at < len(merged)) & (merged[np.minimum(at, max(len(merged) - 1, 0))] == code[mine]) if len(merged) else np.zeros(len(mine), bool)
+        like[mine[found]] = first[at[found]]
+        like[first[at[found]]] = mine[found]
+        np.add.at(seen, first[at[found]], 1)
+        merged, first = np.insert(merged, at[~found], code[mine[~found]]), np.insert(first, at[~found], mine[~found])
+    # A window alone is its own partner; its number is its part's.
+    hit = (seen >= 2) | (like != np.arange(len(pdf)))
+    return pdf[["anchor", "pd", "shift"]].assign(like=pd_[like], own=n == 1)[hit]
+
+
+def same_windows(hits: DataFrame, pieces: DataFrame, window: int) -> DataFrame:
+    """(anchor, pd, shift) of the ``hits`` whose bytes are those of the piece that they are ``like``; the others meet again by their bytes."""
+    known = pieces.select("anchor", "pd", "left", "piece").dropDuplicates(["anchor", "pd"])
+    grouped = hits.filter("own").groupBy("anchor", "pd", "like").agg(F.collect_set("shift").alias("shifts"))
+    rows = grouped.join(known, ["anchor", "pd"]).join(known.select("anchor", F.col("pd").alias("like"), F.col("left").alias("left2"), F.col("piece").alias("piece2")), ["anchor", "like"])
+    cut = lambda piece, left, at: F.substring(F.col(piece), F.col(left) + at + 1, F.lit(window))
+    same = F.filter("shifts", lambda x: cut("piece", "left", x) == cut("piece2", "left2", x))
+    rows = rows.select("anchor", "pd", "shifts", same.alias("same"))
+    odd = rows.filter(F.size("same") < F.size("shifts")).select("anchor", F.explode(F.array_except("shifts", "same")).alias("shift")).distinct()
+    # As a rule none.
+    again = hits.join(odd, ["anchor", "shift"]).join(known, ["anchor", "pd"]).withColumn("bytes", cut("piece", "left", F.col("shift")))
+    again = again.groupBy("anchor", "shift", "bytes").agg(F.collect_set("pd").alias("pds"), F.bool_and("own").alias("once")).filter((F.size("pds") > 1) | ~F.col("once"))
+    return rows.select("anchor", "pd", F.explode("same").alias("shift")).union(again.select("anchor", F.explode("pds").alias("pd"), "shift")).distinct()
 
 
 def covers(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
@@ -341,12 +378,13 @@ def _covered_pieces(spark: SparkSession, docs: DataFrame, window: int, gram: int
     if n_hot:
         parts = rest.filter(F.col("k") > shard).join(F.broadcast(hot) if n_hot <= 50_000 else hot, F.col("anchor") == F.col("_a"))
         parts = parts.withColumn("part", F.pmod(F.col("pd"), F.col("parts")).cast("int")).drop("_a", "k")
-        shown, shown_at = written(parts.groupBy("anchor", "part").applyInPandas(lambda pdf: part_windows(pdf, window), "anchor long, pd long, runs array<int>, shift int, hi long, lo long, n long"), "parts")
+        shown, shown_at = written(parts.groupBy("anchor", "part").applyInPandas(lambda pdf: part_windows(pdf, window), "anchor long, part int, pd long, runs array<int>, shift int, hi long, lo long, n long"), "parts")
         outs.append(shown.filter("runs is not null").select("anchor", "pd", "runs"))
         # As many ranges of fingerprints as keep each to about 64 shards' windows; a window comes once from each part.
-        windows = shown.filter("runs is null").select("anchor", "pd", "shift", "hi", "lo", "n")
+        windows = shown.filter("runs is null").select("anchor", "part", "pd", "shift", "hi", "lo", "n")
         bits = max(1, int(windows.count() // (64 * shard)).bit_length())
-        hits = windows.withColumn("range", F.shiftright("hi", 64 - bits)).groupBy("range").applyInPandas(merge_parts, "anchor long, pd long, shift int")
+        hits = windows.withColumn("range", F.shiftright("hi", 64 - bits)).groupBy("range").applyInPandas(merge_parts, "anchor long, pd long, shift int, like long, own boolean")
+        hits = same_windows(hits, parts, window)
         outs.append(hits.groupBy("anchor", "pd").agg(F.flatten(F.transform(F.array_sort(F.collect_set("shift")), lambda s: F.array(s, s + window))).alias("runs")))
     result = outs[0]
     for o in outs[1:]:

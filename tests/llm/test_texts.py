@@ -87,6 +87,18 @@ def test_substrings(spark, odd, none, shard):
     assert substring_dedup.without_repeats(none).count() == 0
 
 
+def test_windows_are_compared_in_full(spark, monkeypatch):
+    """With fingerprints that are all alike, parts still meet by their bytes only."""
+    merge = substring_dedup.merge_parts
+    monkeypatch.setattr(substring_dedup, "merge_parts", lambda pdf: merge(pdf.assign(hi=0, lo=pdf["shift"].to_numpy())))
+    rng = random.Random(8)
+    shared = words(rng, 80).encode()[:260].decode(errors="ignore")
+    docs = spark.createDataFrame([(i, f"{words(rng, 3)} {shared} {words(rng, 60)}") for i in range(8)], "doc_id long, text string")
+    rows = substring_dedup.without_repeats(docs, shard=1).collect()
+    got = sorted((str(r.doc_id), r.n_bytes, r.n_bytes - len(r.kept), len(r.removed), hashlib.sha256(r.kept).hexdigest()) for r in rows)
+    assert got == brute_repeats([(r.doc_id, r.text.encode()) for r in docs.collect()])
+
+
 def test_suffix_array_and_prefixes():
     rng = random.Random(1)
     raw = "".join(rng.choice("ab") for _ in range(900)).encode() + b"ab" * 300
@@ -522,6 +534,49 @@ def test_vectors(spark, tile):
     assert embedding_dedup.near_vectors(df.filter("false")).count() == 0
 
 
+def test_routes_of_a_tree():
+    rng = np.random.default_rng(3)
+    x = embedding_dedup.units(rng.normal(size=(3000, 24)))
+    spill = embedding_dedup.SPILL / 24**0.5
+    splits = embedding_dedup.fit_node(x, len(x), 0, 1, spill, 100)
+    row, node, own, done = embedding_dedup.route(x, np.ones(len(x), bool), splits, 0, 1, spill)
+    assert sorted(row[own].tolist()) == list(range(len(x))) and len(set(zip(row.tolist(), node.tolist(), strict=True))) == len(row)
+    assert len(row) < 1.5 * len(x)
+    # Each node splits its own vectors in halves, along its own direction.
+    sizes = Counter(node[own].tolist())
+    assert max(sizes.values()) <= 100 and len(set(np.round(splits[2:8], 9))) == 6
+    tight = embedding_dedup.units(np.ones((500, 24)) + rng.normal(size=(500, 24)) * 0.001)
+    assert np.isnan(embedding_dedup.fit_node(tight, 500, 0, 1, spill, 100)).all()
+
+
+def test_trees_follow_from_the_depth():
+    counts = [embedding_dedup.tree_count(200 * 2**d) for d in (0, 1, 8, 20, 30)]
+    assert counts == sorted(counts) and counts[0] == 1 and counts[-1] < 40
+
+
+def test_spills_stay_few_in_many_dimensions():
+    rng = np.random.default_rng(5)
+    for dim in (64, 768):
+        x = embedding_dedup.units(rng.normal(size=(2000, dim)))
+        spill = embedding_dedup.SPILL / dim**0.5
+        splits = embedding_dedup.fit_node(x, len(x), 0, 1, spill, 30)
+        row = embedding_dedup.route(x, np.ones(len(x), bool), splits, 0, 1, spill)[0]
+        assert len(row) / len(x) < 1.06**6 * 1.05  # 1.06 a level are 3.2 leaves at depth 20
+
+
+def test_recall_of_pairs_at_the_threshold(spark):
+    """Pairs of cosine just above 0.98 in trees several levels deep."""
+    rng = np.random.default_rng(7)
+    a = embedding_dedup.units(rng.normal(size=(1500, 64)))
+    b = embedding_dedup.units(rng.normal(size=(1500, 64)))
+    b = embedding_dedup.units(b - (a * b).sum(axis=1, keepdims=True) * a)
+    near = 0.9805 * a + np.sqrt(1 - 0.9805**2) * b
+    x = np.concatenate((a, near))
+    df = spark.createDataFrame([(i, row.tolist(), 1) for i, row in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in embedding_dedup.near_vectors(df, leaf=20).collect()}
+    assert sum(got.values()) >= 0.99 * 3000 and max(got.values()) == 1
+
+
 def test_vector_recall(spark):
     got = embedding_dedup.op10_embedding_dedup(spark, SF).toPandas().sort_values("vec_id")
     v = spark.read.parquet(f"{SF}/embeddings.parquet").toPandas()
