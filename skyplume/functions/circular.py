@@ -41,8 +41,9 @@ def resultant(angle: Column, weight: Column | None = None) -> Column:
 
 
 def circular_spread(angle: Column, weight: Column | None = None) -> Column:
-    """Aggregate: circular standard deviation in degrees."""
-    return F.degrees(F.sqrt(F.greatest(-2 * F.ln(F.greatest(resultant(angle, weight), F.when(F.count(finite(angle)) > 0, F.lit(1e-12)))), F.lit(0.0))))
+    """Aggregate: circular standard deviation in degrees; null where no row counts."""
+    r = resultant(angle, weight)
+    return F.when(r.isNotNull(), F.degrees(F.sqrt(F.greatest(-2 * F.ln(F.greatest(r, F.lit(1e-12))), F.lit(0.0)))))
 
 
 def von_mises(angle: Column, nonzero: Column, least: int = 10) -> tuple[Column, Column, Column]:

@@ -194,12 +194,14 @@ WITH f AS (SELECT l_suppkey AS cloud, l_orderkey // 50 AS t, sum(l_quantity) AS
 o AS (SELECT *, v >= 0.6 * max(v) OVER (PARTITION BY cloud) AS big FROM f),
 p AS (SELECT * FROM o QUALIFY big OR count(*) FILTER (big) OVER (PARTITION BY cloud) < 3),
 q AS (SELECT *, min(CASE WHEN h >= 0.9 * top THEN t END) OVER (PARTITION BY cloud) AS since FROM (SELECT *, max(h) OVER (PARTITION BY cloud) AS top FROM p))
-SELECT cloud, round(median(h), 6) AS plateau, min(t) AS since, count(*) AS n_rows, round(min(h), 6) AS lowest, round(max(h), 6) AS highest FROM q WHERE t >= since GROUP BY 1""",
+SELECT cloud, round(median(h) + 1e-9::DOUBLE, 6) AS plateau, min(t) AS since, count(*) AS n_rows, round(min(h) + 1e-9::DOUBLE, 6) AS lowest, round(max(h) + 1e-9::DOUBLE, 6) AS highest FROM q WHERE t >= since GROUP BY 1""",
 )
 def plateau_height(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("cloud"), F.expr("l_orderkey div 50").alias("t")).agg(F.sum("l_quantity").alias("v"), (F.avg("l_extendedprice") / 1000).alias("h"))
     out = series.plateau(rows, "t", "h", "v", ["cloud"])
-    return out.select("cloud", F.round("plateau", 6).alias("plateau"), "since", "n_rows", F.round("lowest", 6).alias("lowest"), F.round("highest", 6).alias("highest"))
+    # A hair above, so that halves round the same way everywhere.
+    up = lambda c: F.round(F.col(c) + 1e-9, 6).alias(c)
+    return out.select("cloud", up("plateau"), "since", "n_rows", up("lowest"), up("highest"))
 
 
 @query("replica_band", f"SELECT user_id, CAST(floor(epoch_us(ts) / 3600000000.0) AS BIGINT) AS hour, min(value) AS low, max(value) AS high, count(*) AS replicas FROM ({LOST_SQL}) WHERE NOT isnan(value) GROUP BY ALL")
@@ -274,12 +276,12 @@ def radial_rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 WITH p AS (SELECT l_suppkey AS cloud, CAST(floor(l_quantity / 10) AS INTEGER) AS k, l_extendedprice / 1000 AS x, l_discount * 100 AS y FROM lineitem),
 g AS (SELECT cloud, k, min(x) AS a0, max(x) AS a1, min(0.6::DOUBLE * x + 0.8::DOUBLE * y) AS b0, max(0.6::DOUBLE * x + 0.8::DOUBLE * y) AS b1 FROM p GROUP BY ALL HAVING count(*) >= 3)
-SELECT cloud, k, round(0.5 * least(a1 - a0, b1 - b0), 6) AS radius, round((a0 + a1) / 2, 6) AS x, round(((b0 + b1) / 2 - 0.6::DOUBLE * (a0 + a1) / 2) / 0.8::DOUBLE, 6) AS y FROM g""",
+SELECT cloud, k, round(0.5 * least(a1 - a0, b1 - b0) + 1e-9::DOUBLE, 6) AS radius, round((a0 + a1) / 2 + 1e-9::DOUBLE, 6) AS x, round(((b0 + b1) / 2 - 0.6::DOUBLE * (a0 + a1) / 2) / 0.8::DOUBLE + 1e-9::DOUBLE, 6) AS y FROM g""",
 )
 def level_radii(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("cloud"), F.floor(F.col("l_quantity") / 10).cast("int").alias("k"), (F.col("l_extendedprice") / 1000).alias("x"), (F.col("l_discount") * 100).alias("y"))
     out = fits.level_radii(rows, ["cloud"], "k", "x", "y", (1.0, 0.0), (0.6, 0.8))
-    return out.select("cloud", "k", *[F.round(c, 6).alias(c) for c in ("radius", "x", "y")])
+    return out.select("cloud", "k", *[F.round(F.col(c) + 1e-9, 6).alias(c) for c in ("radius", "x", "y")])
 
 
 @query("time_axis", "SELECT event_id, round((event_id - 120) / 29.97::DOUBLE, 6) AS t FROM events WHERE round((event_id - 120) / 29.97::DOUBLE, 6) BETWEEN 0 AND 60")

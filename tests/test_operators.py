@@ -61,10 +61,10 @@ def test_fill_linear_is_numpy_interp(spark):
 def test_first_sustained_needs_two_rows_and_the_closed_end(spark):
     rows = [(1, 0, 9), (1, 10, 1), (1, 20, 9), (1, 25, 9), (1, 30, 9), (1, 41, 0), (2, 0, 9)]
     df = frame(spark, rows, "k int, t long, v int")
-    got = {r.k: r.first_at for r in series.first_sustained(df, F.col("v") > 5, "t", 10, ["k"]).collect()}
+    got = {r.k: r.first_at for r in series.first_sustained(df, "v", 5, "t", 10, ["k"], "above").collect()}
     assert got == {1: 20, 2: None}
     nulls = frame(spark, [(1, 0, None), (1, 5, 9)], "k int, t long, v int")
-    assert series.first_sustained(nulls, F.col("v") > 5, "t", 10, ["k"]).first().first_at is None
+    assert series.first_sustained(nulls, "v", 5, "t", 10, ["k"], "above").first().first_at is None
 
 
 def test_longest_run_takes_the_first_of_equals(spark):
@@ -104,7 +104,7 @@ def test_bracketed_is_strict_on_the_left(spark):
     s = frame(spark, [(0, 1.0), (10, 2.0), (50, 3.0)], "t long, v double")
     q = frame(spark, [(1, 0), (2, 5), (3, 10), (4, 30), (5, 60)], "id int, at long")
     got = {r.id: (r.status, r.interpolated) for r in joins.bracketed(q, "id", "at", s, "t", "v", 20).collect()}
-    assert got == {1: ("gap", None), 2: ("ok", 1.5), 3: ("ok", 2.0), 4: ("gap", None), 5: ("gap", None)}
+    assert got == {1: ("before", None), 2: ("ok", 1.5), 3: ("ok", 2.0), 4: ("gap", None), 5: ("after", None)}
 
 
 def test_nearest_breaks_ties_by_id_and_keeps_the_tolerance(spark):
@@ -135,7 +135,7 @@ def test_weighted_moments_are_numpy_cov(spark):
 def test_mask_operators(spark):
     grid = np.array([[1, 1, 0, 0], [0, 0, 0, 1], [1, 0, 0, 1], [0, 0, 0, 0]])
     px = frame(spark, [(1, int(v), int(u)) for v, u in zip(*np.nonzero(grid), strict=True)], "frame long, v int, u int")
-    r = masks.largest_component(px, 4, 4).first()
+    r = masks.largest_component(px).first()
     assert (r.n_components, r.largest) == (3, 2)
     grown = {(x.v, x.u) for x in masks.dilate(px, 1, 4, 4).collect()}
     want = {(v + a, u + b) for v, u in zip(*np.nonzero(grid), strict=True) for a in (-1, 0, 1) for b in (-1, 0, 1) if 0 <= v + a < 4 and 0 <= u + b < 4}
@@ -144,7 +144,7 @@ def test_mask_operators(spark):
     far = masks.farthest_points(px, 9).collect()
     assert len(far) == 5 and len({(x.v, x.u) for x in far}) == 5
     empty = px.filter("false")
-    assert masks.largest_component(empty, 4, 4).count() == 0 and masks.overlap(px, empty).first().dice == 0
+    assert masks.largest_component(empty).count() == 0 and masks.overlap(px, empty).first().dice == 0
 
 
 def test_boxes(spark, tmp_path):
