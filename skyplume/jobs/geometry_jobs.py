@@ -5,13 +5,12 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skyplume.functions import physics as P
 from skyplume.functions.times import micros
 from skyplume.jobs.registry import query, table
-from skyplume.operators import fits, masks, quantiles
+from skyplume.operators import fits, masks, quantiles, reports
 
 #: The first 64 components as an 8 x 8 frame of pixels.
 PX_SQL = "SELECT vec_id AS frame, label, CAST((i - 1) // 8 AS INTEGER) AS v, CAST((i - 1) % 8 AS INTEGER) AS u, embedding[i]::DOUBLE AS value FROM embeddings, range(1, 65) t(i)"
@@ -33,11 +32,8 @@ SELECT label, n, round(CASE WHEN cos(g) * mx + sin(g) * my < 0 THEN -cos(g) ELSE
 def flow_axis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Principal axis of a vector field, turned towards its mean."""
     x, y = F.col("embedding")[0].cast("double"), F.col("embedding")[1].cast("double")
-    s = table(spark, sf_dir, "embeddings").groupBy("label").agg(
-        F.count("*").alias("n"), F.avg(x).alias("mx"), F.avg(y).alias("my"), F.var_samp(x).alias("sxx"), F.var_samp(y).alias("syy"), F.covar_samp(x, y).alias("sxy"))
-    g = F.radians(fits.axis_of(F.col("sxx"), F.col("syy"), F.col("sxy")))
-    side = F.when(F.cos(g) * F.col("mx") + F.sin(g) * F.col("my") < 0, -1.0).otherwise(1.0)
-    return s.select("label", "n", F.round(side * F.cos(g), 6).alias("ax"), F.round(side * F.sin(g), 6).alias("ay"))
+    out = fits.principal_axis(table(spark, sf_dir, "embeddings").select("label", x.alias("x"), y.alias("y")), ["label"], "x", "y")
+    return out.select("label", "n", F.round("ax", 6).alias("ax"), F.round("ay", 6).alias("ay"))
 
 
 @query(
@@ -240,7 +236,21 @@ def top_by_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The highest level with enough pixels and half of them lit."""
     every = masks.pixels(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8, F.lit(True)).withColumn("value", F.col("value").cast("double"))
     levels = every.groupBy("frame", F.floor(F.abs("value") * 32).alias("k")).agg(F.avg((F.col("value") > 0).cast("int")).alias("share"), F.count("*").alias("n"))
-    return levels.groupBy("frame").agg(F.max(F.when((F.col("n") >= 5) & (F.col("share") >= 0.5), F.col("k"))).alias("top"), F.count("*").alias("levels"))
+    return reports.top_level(levels, ["frame"], "k", "n", "share", 5, 0.5).select("frame", "top", "levels")
+
+
+@query(
+    "limited_tops",
+    f"""
+WITH x AS (SELECT frame, CAST(floor(abs(value) * 32) AS BIGINT) AS k, value > 0 AS lit FROM ({PX_SQL})), l AS (SELECT frame, k, avg(lit::INTEGER) AS share, count(*) AS n FROM x GROUP BY ALL),
+t AS (SELECT frame, max(k) FILTER (n >= 3 AND share >= 0.4) AS top FROM l GROUP BY 1)
+SELECT frame, top, CASE WHEN top IS NOT NULL THEN NOT EXISTS (SELECT 1 FROM l WHERE l.frame = t.frame AND l.k = t.top + 1) END AS limited FROM t""",
+)
+def limited_tops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tops, and whether nothing was measured above them."""
+    every = masks.pixels(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", 8, F.lit(True)).withColumn("value", F.col("value").cast("double"))
+    levels = every.groupBy("frame", F.floor(F.abs("value") * 32).alias("k")).agg(F.avg((F.col("value") > 0).cast("int")).alias("share"), F.count("*").alias("n"))
+    return reports.top_level(levels, ["frame"], "k", "n", "share", 3, 0.4).select("frame", "top", "limited")
 
 
 @query(
@@ -269,7 +279,6 @@ SELECT frame, round(max(m), 6) AS peak, round(median(m), 6) AS typical FROM b GR
 def block_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Change between a label's frames by blocks of 4 x 4 pixels."""
     px = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("frame"), "label", F.posexplode("embedding").alias("i", "value"))
-    step = F.abs(F.col("value").cast("double") - F.lag(F.col("value").cast("double")).over(W.partitionBy("label", "i").orderBy("frame")))
-    blocks = px.select("frame", F.floor(F.floor(F.col("i") / 8) / 4).alias("bv"), F.floor((F.col("i") % 8) / 4).alias("bu"), step.alias("d")).dropna(subset=["d"])
-    means = blocks.groupBy("frame", "bv", "bu").agg(F.avg("d").alias("m"))
-    return means.groupBy("frame").agg(F.round(F.max("m"), 6).alias("peak"), F.round(F.percentile("m", F.lit(0.5)), 6).alias("typical"))
+    block = [F.floor(F.floor(F.col("i") / 8) / 4), F.floor((F.col("i") % 8) / 4)]
+    out = reports.block_change(px, ["label"], "frame", ["i"], F.col("value").cast("double"), block)
+    return out.select("frame", F.round("peak", 6).alias("peak"), F.round("typical", 6).alias("typical"))

@@ -9,6 +9,7 @@ from skyplume.functions.times import micros
 from skyplume.jobs.registry import query, table
 from skyplume.jobs.series_jobs import HOURLY_SQL, hourly
 from skyplume.operators import joins as J
+from skyplume.operators import reports
 
 HOUR = 3_600_000_000
 
@@ -127,8 +128,7 @@ SELECT l_orderkey, round(sum(CASE WHEN l_linenumber = 1 THEN l_quantity END), 6)
 def telemetry_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entity-attribute-value rows to columns with unit scaling."""
     rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity")
-    wide = rows.groupBy("l_orderkey").pivot("l_linenumber", [1, 2, 3]).sum("l_quantity")
-    return wide.select("l_orderkey", F.round("1", 6).alias("p1"), F.round(F.col("2") * 0.1, 6).alias("p2"), F.round(F.degrees("3"), 6).alias("p3"))
+    return reports.scaled_fields(rows, "l_orderkey", "l_linenumber", "l_quantity", {1: ("p1", lambda c: F.round(c, 6)), 2: ("p2", lambda c: F.round(c * 0.1, 6)), 3: ("p3", lambda c: F.round(F.degrees(c), 6))})
 
 
 @query(
@@ -136,8 +136,5 @@ def telemetry_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT l_suppkey, l_orderkey, l_linenumber, l_extendedprice FROM lineitem QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey) <= 8",
 )
 def top_by_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("l_suppkey").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber", "l_partkey")
     rows = table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice")
-    return rows.withColumn("_r", F.row_number().over(w)).filter("_r <= 8").drop("_r", "l_partkey")
+    return reports.top_rows(rows, ["l_suppkey"], [F.desc("l_extendedprice"), F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_partkey")], 8).drop("place", "l_partkey")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyplume.jobs.registry import query, table
+from skyplume.operators import reports
 
 
 @query(
@@ -17,9 +18,7 @@ SELECT g.o_custkey, g.month FROM g ANTI JOIN m ON g.o_custkey = m.o_custkey AND
 )
 def month_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Months without a record between each station's first and last."""
-    months = table(spark, sf_dir, "orders").select("o_custkey", F.to_date(F.date_trunc("month", "o_orderdate")).alias("month")).distinct()
-    every = months.groupBy("o_custkey").agg(F.explode(F.sequence(F.min("month"), F.max("month"), F.expr("interval 1 month"))).alias("month"))
-    return every.join(months, ["o_custkey", "month"], "left_anti")
+    return reports.missing_months(table(spark, sf_dir, "orders"), ["o_custkey"], "o_orderdate")
 
 
 @query(
@@ -29,10 +28,9 @@ WITH c AS (SELECT o_custkey, min(o_orderdate) AS a, max(o_orderdate) AS b, count
 SELECT o_custkey, CASE WHEN b < '1996-01-01' THEN 'before' WHEN a > '1996-12-31' THEN 'after' WHEN n = 0 THEN 'hole' WHEN a > '1996-01-01' OR b < '1996-12-31' THEN 'partial' ELSE 'full' END AS verdict FROM c""",
 )
 def coverage_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    at, lo, hi = F.col("o_orderdate"), F.lit("1996-01-01").cast("timestamp"), F.lit("1996-12-31").cast("timestamp")
-    c = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.min(at).alias("a"), F.max(at).alias("b"), F.count_if(at.between(lo, hi)).alias("n"))
-    verdict = F.when(F.col("b") < lo, "before").when(F.col("a") > hi, "after").when(F.col("n") == 0, "hole").when((F.col("a") > lo) | (F.col("b") < hi), "partial").otherwise("full")
-    return c.select("o_custkey", verdict.alias("verdict"))
+    """How each customer's orders lie to a year; coverage of an instant is ``coverage_by_margin``."""
+    day = lambda d: F.lit(d).cast("timestamp")
+    return reports.range_verdict(table(spark, sf_dir, "orders"), ["o_custkey"], "o_orderdate", day("1996-01-01"), day("1996-12-31"))
 
 
 @query(
@@ -46,8 +44,7 @@ def detail_and_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem")
     values = [F.round(F.avg("l_quantity"), 6).alias("quantity"), F.round(F.avg("l_discount"), 6).alias("discount")]
     inside = F.col("l_shipdate").between(F.lit("1996-01-01").cast("timestamp"), F.lit("1997-12-31").cast("timestamp"))
-    detail = rows.groupBy(F.col("l_returnflag").alias("name")).agg(*values)
-    return detail.unionByName(rows.filter(inside).agg(*values).withColumn("name", F.lit("AVERAGE")))
+    return reports.with_summary(rows.withColumn("name", F.col("l_returnflag")), "name", values, inside, "AVERAGE")
 
 
 @query(
@@ -60,9 +57,8 @@ SELECT user_id, array_to_string(flags, '; ') AS flags, CASE len([x FOR x IN flag
 def quality_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.avg("value").alias("m"), F.max("value").alias("hi"), F.stddev_pop("value").alias("sd"))
     cv = F.col("sd") / F.nullif(F.col("m"), F.lit(0.0))
-    flags = F.filter(F.array(F.when(F.col("n") < 60, "few rows"), F.when(F.col("hi") > 150, "spike"), F.when(cv > 1.1, "unsteady"), F.when(F.col("m") > 20, "[i] strong")), lambda x: x.isNotNull())
-    grave = F.size(F.filter(flags, lambda x: ~x.startswith("[i]")))
-    return c.select("user_id", F.array_join(flags, "; ").alias("flags"), F.when(grave == 0, "ok").when(grave <= 2, "check").otherwise("doubtful").alias("grade"))
+    flags = {"few rows": F.col("n") < 60, "spike": F.col("hi") > 150, "unsteady": cv > 1.1, "[i] strong": F.col("m") > 20}
+    return reports.flagged(c, flags).select("user_id", "flags", "grade")
 
 
 @query(
@@ -93,11 +89,9 @@ SELECT p_partkey, CASE WHEN p_type LIKE '%E' THEN 'native' WHEN p_size >= 40 THE
 )
 def unit_inference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A unit told from the name, else from the size; and a verdict of three states."""
-    native = F.col("p_type").endswith("E") | (F.col("p_size") >= 40)
-    return table(spark, sf_dir, "part").select(
-        "p_partkey", F.when(native, "native").otherwise("work").alias("unit"), F.when(native, F.col("p_size") * 0.5).otherwise(F.col("p_size").cast("double")).alias("work_px"),
-        F.when(F.col("p_retailprice") < 950, True).when(F.col("p_retailprice") > 1050, False).alias("fits"),
-    )
+    size = F.col("p_size")
+    native = reports.is_native(F.col("p_type"), size, 40, ("E",))
+    return table(spark, sf_dir, "part").select("p_partkey", F.when(native, "native").otherwise("work").alias("unit"), reports.working_pixels(size, native, 0.5).alias("work_px"), reports.fits(F.col("p_retailprice"), 950, 1050).alias("fits"))
 
 
 @query(
@@ -116,8 +110,5 @@ FROM events GROUP BY event_type, user_id QUALIFY place <= 15""",
 )
 def steadiness_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The 15 first of each type: those with too few rows, then the steadiest."""
-    from pyspark.sql import Window as W
-
-    c = table(spark, sf_dir, "events").groupBy("event_type", "user_id").agg(F.count("*").alias("n"), F.round(F.stddev_pop("value") / F.nullif(F.avg("value"), F.lit(0.0)), 6).alias("cv"))
-    w = W.partitionBy("event_type").orderBy((F.col("n") < 15).desc(), F.col("cv").asc_nulls_last(), "user_id")
-    return c.withColumn("place", F.row_number().over(w).cast("long")).filter("place <= 15").drop("n")
+    rows = reports.steadiest(table(spark, sf_dir, "events").select("event_type", "user_id", "value"), ["event_type"], "user_id", F.col("value"), 15, 15)
+    return rows.withColumn("place", F.col("place").cast("long"))

@@ -96,16 +96,22 @@ def world_sigmas(px: DataFrame, keys: list[str], camera, z: Column, weight: Colu
     return m.select(*keys, "n_used", F.col("mean_u").alias("east"), F.col("mean_v").alias("north"), root(major).alias("major"), root(minor).alias("minor"), azimuth.alias("azimuth"))
 
 
-def projected_speed(df: DataFrame, keys: list[str], fx: str, fy: str, gap: Column) -> DataFrame:
-    """Per key, the principal axis of a flow field, turned towards its mean, and the median flow along it over ``gap`` (constant within a key)."""
-    rows = df.select(*keys, finite(F.col(fx)).alias("_x"), finite(F.col(fy)).alias("_y"), gap.alias("_gap")).dropna(subset=["_x", "_y"])
-    s = rows.groupBy(*keys).agg(F.avg("_x").alias("mx"), F.avg("_y").alias("my"), F.var_samp("_x").alias("sxx"), F.var_samp("_y").alias("syy"), F.covar_samp("_x", "_y").alias("sxy"), F.max("_gap").alias("_gap"))
+def principal_axis(df: DataFrame, keys: list[str], fx: str, fy: str) -> DataFrame:
+    """Per key, the principal axis (ax, ay) of a vector field, turned towards its mean, and the number of finite vectors."""
+    rows = df.select(*keys, finite(F.col(fx)).alias("_x"), finite(F.col(fy)).alias("_y")).dropna(subset=["_x", "_y"])
+    s = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.avg("_x").alias("mx"), F.avg("_y").alias("my"), F.var_samp("_x").alias("sxx"), F.var_samp("_y").alias("syy"), F.covar_samp("_x", "_y").alias("sxy"))
     g = F.radians(axis_of(F.col("sxx"), F.col("syy"), F.col("sxy")))
     side = F.when(F.cos(g) * F.col("mx") + F.sin(g) * F.col("my") < 0, -1.0).otherwise(1.0)
-    axes = s.select(*keys, (side * F.cos(g)).alias("ax"), (side * F.sin(g)).alias("ay"), "_gap")
-    along = rows.drop("_gap").join(axes, keys)
+    return s.select(*keys, "n", (side * F.cos(g)).alias("ax"), (side * F.sin(g)).alias("ay"))
+
+
+def projected_speed(df: DataFrame, keys: list[str], fx: str, fy: str, gap: Column) -> DataFrame:
+    """Per key, ``principal_axis`` and the median flow along it over ``gap`` (constant within a key)."""
+    axes = principal_axis(df, keys, fx, fy)
+    along = df.select(*keys, F.col(fx).alias("_x"), F.col(fy).alias("_y"), gap.alias("_gap")).join(axes, keys)
+    gaps = along.groupBy(*keys).agg(F.max("_gap").alias("_gap"))
     speed = quantiles(along, keys, F.col("_x") * F.col("ax") + F.col("_y") * F.col("ay"), [0.5], ["speed"])
-    return speed.join(axes, keys).select(*keys, "ax", "ay", (F.col("speed") / F.col("_gap")).alias("speed"))
+    return speed.join(axes, keys).join(gaps, keys).select(*keys, "ax", "ay", (F.col("speed") / F.col("_gap")).alias("speed"))
 
 
 def level_radii(df: DataFrame, keys: list[str], level: str, x: str, y: str, first: tuple[float, float], second: tuple[float, float], least: int = 3) -> DataFrame:
