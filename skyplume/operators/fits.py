@@ -24,9 +24,11 @@ def weighted_moments(df: DataFrame, keys: list[str], u: Column, v: Column, w: Co
 
     Two passes: the second is about the mean, so that large coordinates lose no digits.
     """
-    rows = df.select(*keys, finite(u).alias("_u"), finite(v).alias("_v"), finite(w).alias("_w")).dropna(subset=["_u", "_v", "_w"])
+    # Rows that don't count weigh nothing: a filter would be pushed down and copy the expressions of u, v and w into it.
+    rows = df.select(*keys, finite(u).alias("_u"), finite(v).alias("_v"), finite(w).alias("_w0"))
+    rows = rows.select(*keys, "_u", "_v", F.when(F.col("_u").isNotNull() & F.col("_v").isNotNull(), F.col("_w0")).alias("_w"))
     total = F.nullif(F.sum("_w"), F.lit(0.0))
-    means = rows.groupBy(*keys).agg(F.sum("_w").alias("mass"), (F.sum(F.col("_w") * F.col("_u")) / total).alias("mean_u"), (F.sum(F.col("_w") * F.col("_v")) / total).alias("mean_v"))
+    means = rows.groupBy(*keys).agg(F.sum("_w").alias("mass"), (F.sum(F.col("_w") * F.col("_u")) / total).alias("mean_u"), (F.sum(F.col("_w") * F.col("_v")) / total).alias("mean_v")).filter("mass is not null")
     du, dv = F.col("_u") - F.col("mean_u"), F.col("_v") - F.col("mean_v")
     about = lambda x: (F.sum(F.col("_w") * x) / total)
     return rows.join(means, keys).groupBy(*keys, "mass", "mean_u", "mean_v").agg(about(du * du).alias("var_u"), about(dv * dv).alias("var_v"), about(du * dv).alias("cov_uv"))
@@ -87,8 +89,8 @@ def world_sigmas(px: DataFrame, keys: list[str], camera, z: Column, weight: Colu
     at = [c.alias(f"_{axis}{k}") for k, (a, b) in places.items() for axis, c in zip("xy", camera.on_plane(a, b, z), strict=True)]
     rows = px.select(*keys, *at, finite(weight).alias("_weight"))
     area = 4 * F.abs((F.col("_xu") - F.col("_x")) * (F.col("_yv") - F.col("_y")) - (F.col("_yu") - F.col("_y")) * (F.col("_xv") - F.col("_x")))
-    rows = rows.select(*keys, "_x", "_y", (F.col("_weight") * area).alias("_w")).filter(F.col("_w") > 0)
-    enough = rows.groupBy(*keys).agg(F.count("*").alias("n_used")).filter(F.col("n_used") >= least)
+    rows = rows.select(*keys, "_x", "_y", (F.col("_weight") * area).alias("_w")).select(*keys, "_x", "_y", F.when(F.col("_w") > 0, F.col("_w")).alias("_w"))
+    enough = rows.groupBy(*keys).agg(F.count("_w").alias("n_used")).filter(F.col("n_used") >= least)
     m = weighted_moments(rows, keys, F.col("_x"), F.col("_y"), F.col("_w")).join(enough, keys)
     major, minor = eigenvalues(F.col("var_u"), F.col("var_v"), F.col("cov_uv"))
     azimuth = F.pmod(90 - axis_of(F.col("var_u"), F.col("var_v"), F.col("cov_uv")), F.lit(180.0))
