@@ -323,17 +323,20 @@ def merge_parts(pdf: pd.DataFrame) -> pd.DataFrame:
 
 def same_windows(hits: DataFrame, pieces: DataFrame, window: int) -> DataFrame:
     """(anchor, pd, shift) of the ``hits`` whose bytes are those of the piece that they are ``like``; the others meet again by their bytes."""
-    known = pieces.select("anchor", "pd", "left", "piece").dropDuplicates(["anchor", "pd"])
+    # Pieces that share a number in an anchor are all compared.
+    known = pieces.select("anchor", "pd", "left", "piece")
     grouped = hits.filter("own").groupBy("anchor", "pd", "like").agg(F.collect_set("shift").alias("shifts"))
     rows = grouped.join(known, ["anchor", "pd"]).join(known.select("anchor", F.col("pd").alias("like"), F.col("left").alias("left2"), F.col("piece").alias("piece2")), ["anchor", "like"])
     cut = lambda piece, left, at: F.substring(F.col(piece), F.col(left) + at + 1, F.lit(window))
     same = F.filter("shifts", lambda x: cut("piece", "left", x) == cut("piece2", "left2", x))
-    rows = rows.select("anchor", "pd", "shifts", same.alias("same"))
-    odd = rows.filter(F.size("same") < F.size("shifts")).select("anchor", F.explode(F.array_except("shifts", "same")).alias("shift")).distinct()
-    # As a rule none.
+    rows = settled(rows.select("anchor", "pd", "like", same.alias("same"), F.array_except("shifts", same).alias("odd")))
+    found = rows.select("anchor", "pd", F.explode("same").alias("shift"))
+    odd = rows.select("anchor", F.explode("odd").alias("shift")).distinct()
+    if odd.isEmpty():
+        return found
     again = hits.join(odd, ["anchor", "shift"]).join(known, ["anchor", "pd"]).withColumn("bytes", cut("piece", "left", F.col("shift")))
     again = again.groupBy("anchor", "shift", "bytes").agg(F.collect_set("pd").alias("pds"), F.bool_and("own").alias("once")).filter((F.size("pds") > 1) | ~F.col("once"))
-    return rows.select("anchor", "pd", F.explode("same").alias("shift")).union(again.select("anchor", F.explode("pds").alias("pd"), "shift")).distinct()
+    return found.union(again.select("anchor", F.explode("pds").alias("pd"), "shift"))
 
 
 def covers(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard: int = SHARD) -> DataFrame:
@@ -376,21 +379,22 @@ def _covered_pieces(spark: SparkSession, docs: DataFrame, window: int, gram: int
     cold = rest.filter(F.col("k") <= shard).withColumn("bin", F.pmod(F.xxhash64("anchor"), F.lit(bins)))
     outs.append(cold.groupBy("bin").applyInPandas(run, known))
     if n_hot:
-        parts = rest.filter(F.col("k") > shard).join(F.broadcast(hot) if n_hot <= 50_000 else hot, F.col("anchor") == F.col("_a"))
-        parts = parts.withColumn("part", F.pmod(F.col("pd"), F.col("parts")).cast("int")).drop("_a", "k")
+        parts = different.join(F.broadcast(hot) if n_hot <= 50_000 else hot, F.col("anchor") == F.col("_a"))
+        parts = parts.withColumn("part", F.pmod(F.col("pd"), F.col("parts")).cast("int")).drop("_a")
         shown, shown_at = written(parts.groupBy("anchor", "part").applyInPandas(lambda pdf: part_windows(pdf, window), "anchor long, part int, pd long, runs array<int>, shift int, hi long, lo long, n long"), "parts")
         outs.append(shown.filter("runs is not null").select("anchor", "pd", "runs"))
         # As many ranges of fingerprints as keep each to about 64 shards' windows; a window comes once from each part.
         windows = shown.filter("runs is null").select("anchor", "part", "pd", "shift", "hi", "lo", "n")
         bits = max(1, int(windows.count() // (64 * shard)).bit_length())
         hits = windows.withColumn("range", F.shiftright("hi", 64 - bits)).groupBy("range").applyInPandas(merge_parts, "anchor long, pd long, shift int, like long, own boolean")
+        hits, hits_at = written(hits, "hits")
         hits = same_windows(hits, parts, window)
         outs.append(hits.groupBy("anchor", "pd").agg(F.flatten(F.transform(F.array_sort(F.collect_set("shift")), lambda s: F.array(s, s + window))).alias("runs")))
     result = outs[0]
     for o in outs[1:]:
         result = result.union(o)
     runs, _ = written(result, "runs")
-    for path in [different_at, *([shown_at] if n_hot else [])]:
+    for path in [different_at, *([shown_at, hits_at] if n_hot else [])]:
         discard(spark, path)
     return pieces, runs
 
