@@ -66,8 +66,8 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49k.json",
 
     Each document's ids end with ``end_id``; a null text is empty. Rows are in
     ascending order of doc_id, nulls first, equal doc_ids by the checksum of
-    their text. An empty table makes files without blocks. Other columns are not
-    read.
+    their text. Texts of any length are one document. An empty table makes files
+    without blocks. Other columns are not read.
     """
     spark = docs.sparkSession
     raw = sample_dictionary(docs, vocabulary, end_id)

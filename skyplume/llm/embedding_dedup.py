@@ -230,7 +230,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, trees: int | None =
     null, empty or zero or hold a null or non-finite component: they have no
     links and are their own component. n_links counts other rows, copies
     included; rows repeated with the same vec_id count each other as copies do.
-    An empty table gives no rows. Other columns are not read.
+    Vectors of any length are compared with those of their length. An empty table
+    gives no rows. Other columns are not read.
     """
     rows = settled(clean(vectors))
     good = rows.filter("usable").withColumn("key", F.sha2(F.to_json(F.struct("label", "embedding")), 256))

@@ -211,7 +211,13 @@ def sequences(packed: DataFrame, pad_id: int = 0, length: int = LENGTH) -> DataF
 
 
 def packed_digest(docs: DataFrame) -> DataFrame:
-    """Every piece of ``docs`` with its place and its ids' checksum; tokenized once, and only small rows are shuffled."""
+    """Every piece of ``docs`` with its place and its ids' checksum; tokenized once, and only small rows are shuffled.
+
+    A null text is empty, so its one piece is the end id; very long texts are cut
+    into as many pieces as they need. Rows equal in id and text are packed as
+    often as they are, a null doc_id stays null; an empty table gives no rows.
+    Columns but doc_id and text are not read, whatever they are called.
+    """
     pieces = settled(tokenized_pieces(docs).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens"))
     return pack(pieces, ["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
 

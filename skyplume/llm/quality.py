@@ -223,7 +223,7 @@ def score(docs: DataFrame, model: bytes, threshold: float = THRESHOLD, bits: int
 
 
 def accepted(docs: DataFrame, model: bytes, threshold: float = THRESHOLD) -> DataFrame:
-    """Rows of ``docs`` that score ``threshold`` or more, columns as they were, whatever they are called."""
+    """Rows of ``docs`` that score ``threshold`` or more, columns as they were, whatever they are called; nulls, repeats and empty tables as in ``score``."""
     names = free_name(docs, "_score"), free_name(docs, "_predicted")
     return score(docs, model, threshold, names=names).filter(F.col(names[1]) == 1).select(*docs.columns)
 

@@ -101,8 +101,8 @@ def secret_spans(docs: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULES)
     """doc_id, blob, spans of every row of ``docs``; spans sorted by start, then kind.
 
     A null text is empty and has no spans; rows with equal text share one blob,
-    repeated rows come back as often as they are; an empty table gives no rows.
-    Other columns are not read.
+    repeated rows come back as often as they are; texts of any length are scanned
+    whole; an empty table gives no rows. Other columns are not read.
     """
     found = scan_unseen(docs.select("text"), ledger, rules)
     keep = reduce(lambda a, b: a | b, [(F.col("rule") == r.name) & (F.col("rule_version") == r.version) for r in rules])

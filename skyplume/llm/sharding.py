@@ -57,7 +57,8 @@ def shard(docs: DataFrame, shards: int = 8, cells: int = CELLS, slack: float = S
     shard's rows from 0 in ring order: cells are numbered from their counts, rows
     within a cell by a window, so no task gets a whole shard. Rows equal in ring
     position are ordered by doc_id, crc and size; fully repeated rows get slots
-    in any order. An empty table gives no rows. Other columns are not read.
+    in any order. Texts of any length count whole. An empty table gives no rows.
+    Other columns are not read.
     """
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select("doc_id", (F.octet_length(raw) + 1).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))

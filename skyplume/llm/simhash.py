@@ -216,8 +216,9 @@ def near_duplicates(docs: DataFrame, distance: int = DISTANCE, width: int = 3, t
     component_id is the smallest doc_id reachable by links, the document's own
     included. Null, empty and blank texts have fingerprint 0 and link with each
     other and with whatever lies near 0. Repeated rows come back as often as
-    they are; a null doc_id is never a component's id unless all are null. An
-    empty table gives no rows. Other columns are not read.
+    they are; a null doc_id is never a component's id unless all are null. Texts
+    of any length are read whole. An empty table gives no rows. Other columns are
+    not read.
     """
     prints = settled(fingerprints(docs, width))
     firsts = settled(prints.groupBy("fp").agg(F.min("doc_id").alias("first")))

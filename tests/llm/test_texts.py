@@ -588,6 +588,43 @@ def test_vector_recall(spark):
 # Pipeline
 
 
+def test_stages_on_odd_and_empty_tables(spark, odd, none):
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        for docs in (odd, none):
+            out = stage(spark, docs, SF)
+            assert out.columns == docs.columns, name
+            assert (out.count() == 0) == (docs is none), name
+    assert corpus_pipeline.pack_sequences(spark, none, SF).count() == 0
+
+
+def test_stages_are_their_plain_versions(spark):
+    """Each stage on the whole of what the one before kept: scores, white space, shingle sets, word counts."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = quality.fit(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    weights = np.frombuffer(model, np.float32).astype(float)
+
+    def plain_score(text):
+        _, _, _, f, v = next(iter(quality.features([(text or "").encode()])))
+        return 1 / (1 + np.exp(-(weights[-1] + sum(weights[f] * v))))
+
+    good = corpus_pipeline.reject_low_quality(spark, docs, SF)
+    rows = good.collect()
+    assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in docs.collect() if plain_score(r.text) >= 0.3)
+    first = {}
+    for r in rows:
+        norm, key = re.sub(r"[\x20\x09-\x0D]", "", r.text or ""), (-len(r.text or ""), r.doc_id)
+        first[norm] = min(first.get(norm, key), key)
+    single = corpus_pipeline.drop_exact_copies(spark, good, SF)
+    rows = single.collect()
+    assert sorted(r.doc_id for r in rows) == sorted(k[1] for k in first.values())
+    sets = [five_words(re.sub("[A-Z]", lambda m: m[0].lower(), r.text or "")) for r in rows]
+    root = reach(len(rows), [(i, j) for i in range(len(rows)) for j in range(i) if jaccard(sets[i], sets[j]) >= 0.8])
+    want = {k: min(r.doc_id for r, x in zip(rows, root, strict=True) if x == k) for k in set(root)}
+    apart = corpus_pipeline.drop_near_copies(spark, single, SF).collect()
+    kept, wanted = {r.doc_id for r in apart}, set(want.values())
+    assert wanted <= kept and len(kept - wanted) <= 0.1 * (len(rows) - len(wanted))  # recall of 0.9 at least, and no clean document is lost
+
+
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     sizes, at = [docs.count()], docs
