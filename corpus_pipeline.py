@@ -1,7 +1,10 @@
 """A training corpus in five stages: classifier, exact dedup, near dedup, mixing, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
-keep the columns of ``documents``. Empty tables pass through.
+keep the columns of ``documents``, whatever they are called. In every stage a null
+text is an empty one, texts of any length count whole, and empty tables pass
+through. Repeated rows score alike; exact dedup keeps one of them; beyond it they
+are one document to near dedup, and are mixed and packed as often as they come.
 """
 
 from __future__ import annotations
@@ -46,7 +49,7 @@ STAGES = [
     ("packing", pack_sequences),
 ]
 
-#: The classifier and the fingerprints are beyond SQL; the tests hold the stages against brute force.
+#: The classifier and the fingerprints are beyond SQL; the tests hold each stage against a plain version of it.
 ORACLE_SQL = None
 
 
