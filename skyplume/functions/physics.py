@@ -40,6 +40,7 @@ def sun(days: Column, latitude: float, longitude: float) -> tuple[Column, Column
     time gives the hour angle.
     """
     turn = lambda x: F.radians(F.pmod(x, F.lit(360.0)))
+    # The almanac's coefficients.
     anomaly = turn(357.529 + 0.98560028 * days)
     ecliptic = turn(F.pmod(280.459 + 0.98564736 * days, F.lit(360.0)) + 1.915 * F.sin(anomaly) + 0.020 * F.sin(2 * anomaly))
     tilt = F.radians(23.439 - 0.00000036 * days)

@@ -50,7 +50,7 @@ def flagged(df: DataFrame, flags: dict[str, Column]) -> DataFrame:
     return df.withColumns({"flags": F.array_join(found, "; "), "grade": F.when(grave == 0, "ok").when(grave <= 2, "check").otherwise("doubtful")})
 
 
-#: Ends of names that say a length is in native pixels.
+#: Ends of names that say a length is in native pixels.
 NATIVE = ("_nat", "_native", "_nativo", "_4k")
 
 

@@ -9,10 +9,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Both schemas of a calibration: flat upper-case keys, or a list of pivots.
-CALIBRATION = "VIDEO string, video string, T0_SUBFRAME double, PIVOT_X_NAT double, PIVOT_Y_NAT double, PPM_NAT double, blast_frame int, pixels_per_meter double, pivots array<struct<x:double,y:double,t0:double,ppm:double>>"
-
-
 def calibrations(df: DataFrame, keys: list[str], text: str) -> DataFrame:
     """Calibration JSON of either schema as (keys, schema, video, blast_frame, t0, pivot_x, pivot_y, ppm); one that fits neither has a null schema."""
     # JSON keys differ by case only, so they are picked by path.
@@ -105,7 +101,7 @@ def telemetry(samples: DataFrame, ident: str, data: str) -> DataFrame:
     return samples.select(ident, data).mapInPandas(run, f"{ident} {samples.schema[ident].dataType.simpleString()}, path string, place int, value double")
 
 
-#: Path, name and how a value is scaled: radians to degrees, millimetres to metres, tenths of a degree to degrees.
+#: Fixed values of the message format. Path, name and how a value is scaled: radians to degrees, millimetres to metres, tenths of a degree to degrees.
 TELEMETRY = {
     ".3.3.4.1.2": ("lat_deg", "radians"), ".3.3.4.1.3": ("lon_deg", "radians"), ".3.3.4.2": ("absolute_altitude_m", "milli"),
     ".3.3.3.3": ("drone_yaw_deg", "tenths"), ".3.3.3.1": ("drone_pitch_deg", "tenths"), ".3.3.3.2": ("drone_roll_deg", "tenths"),

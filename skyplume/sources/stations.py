@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from skyplume.functions.guards import finite
 
-#: Metres per second in a knot.
+#: Fixed value: metres per second in a knot.
 KNOT = 0.514444
 
 
@@ -90,7 +90,7 @@ def first_table(page: str) -> tuple[list[str], list[list[str]]]:
     return ([c.lower() for c in rows[0]], rows[1:]) if rows else ([], [])
 
 
-#: How the columns of a monthly table begin.
+#: Fixed values of the file format: how the columns of a monthly table begin.
 PREFIXES = ("fecha", "hora", "dd", "ff")
 
 
@@ -130,6 +130,7 @@ def joined_months(tables: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys, "ts").agg(F.max_by(F.struct("dir", "vel", "misnamed"), "file").alias("_l")).select(*keys, "ts", "_l.*")
 
 
+#: Fixed values of the file format: fields of a registry.
 REGISTRY = "esquema string, estaciones array<struct<id:string,nombre:string,fuente:string,carpeta:string,patron:array<string>,patron_dir:array<string>,patron_vel:array<string>,lat:double,lon:double,alt:double,z_ref:double>>"
 
 
