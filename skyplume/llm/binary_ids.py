@@ -29,6 +29,8 @@ from skyplume.llm.tokens import encoder
 
 SAMPLE, PREFIX, DICTIONARY = 400, 16_384, 32_768
 BLOCK = 1 << 17
+#: Bytes of text that a writer's task takes, as long as that makes no more than PARTS tasks.
+PART, PARTS = 1 << 24, 20_000
 BLOCKS = "part int, seq int, first_token long, n_tokens long, dict_hash string, min_id long, max_id long, doc_ids array<long>, offsets array<int>, payload binary"
 
 
@@ -97,7 +99,9 @@ def write_ids(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49k.json",
         if ids:
             yield block()
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", F.crc32(F.col("text").cast("binary")))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = min(PARTS, size // PART + 1)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", F.crc32(F.col("text").cast("binary")))
     rows.mapInArrow(run, BLOCKS).write.option("compression", "none").parquet(f"{path}/blocks")
 
 
@@ -138,7 +142,7 @@ def read_ids(spark: SparkSession, path: str, only: list[int] | None = None) -> D
                 yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], kind) for k, kind in enumerate((pa.int64(), pa.int32(), pa.int64(), pa.binary()))], ["doc_id", "part", "local_start", "ids"])
 
     rows = blocks.select("part", "first_token", "dict_hash", "doc_ids", "offsets", "payload").mapInArrow(run, "doc_id long, part int, local_start long, ids binary")
-    # One row a writer's task.
+    # One row a writer's task: PARTS at most.
     return rows.join(F.broadcast(bases), F.col("part") == F.col("_part")).select("doc_id", (F.col("_base") + F.col("local_start")).alias("start"), "ids")
 
 
