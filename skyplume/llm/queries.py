@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from skyplume.llm import binary_ids, embedding_dedup, exact_dedup, mixing, packing, quality, secrets, sharding, simhash, substring_dedup
+from skyplume.llm import binary_ids, embedding_dedup, exact_dedup, filter_audit, hard_negatives, mixing, packing, quality, secrets, sharding, simhash, substring_dedup, topk_search
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_mixing": mixing.op1_mix,
@@ -19,10 +19,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_packing": packing.op8_packing,
     "op9_quality": quality.op9_quality,
     "op10_embedding_dedup": embedding_dedup.op10_embedding_dedup,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_hard_negatives": hard_negatives.op12_hard_negatives,
+    "op13_topk_search": topk_search.op13_topk_search,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_mixing": mixing.OP1_SQL,
     "op3_exact_dedup": exact_dedup.OP3_SQL,
     "op7_secrets": secrets.OP7_SQL,
+    "op11_filter_audit": filter_audit.OP11_SQL,
+    "op12_hard_negatives": hard_negatives.OP12_SQL,
+    "op13_topk_search": topk_search.OP13_SQL,
 }
