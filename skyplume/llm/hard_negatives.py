@@ -158,10 +158,9 @@ def hard_negatives(vectors: DataFrame, is_anchor: Column, positives: int = POSIT
     picked = picked.withColumn("place", F.row_number().over(order("anchor_rid"))).filter(F.col("place") <= positives)
     # A few positives an anchor.
     known = picked.groupBy("anchor_rid").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "vec_id", "score"))), lambda p: F.struct(p["vec_id"].alias("vec_id"), p["score"].alias("score"))).alias("positives"))
-    every = rows.join(known, F.col("rid") == F.col("anchor_rid"), "left").drop("anchor_rid").withColumn("anchor", F.col("positives").isNotNull())
-    every = settled(every).withColumn("every", F.lit(0))
+    every = rows.join(known, F.col("rid") == F.col("anchor_rid"), "left").drop("anchor_rid").withColumns({"anchor": F.col("positives").isNotNull(), "every": F.lit(0)})
     kinds = "anchor_rid long, anchor_id long, place long, positive_id long, positive_score long, rid long, negative_id long, negative_score long"
-    found = tiled(every, ["every"], "anchor", "rid", tile).groupBy("hb", "mb").applyInArrow(lambda t: tile_negatives(t, negatives, scale, low, high), kinds)
+    found = tiled(settled(every), ["every"], "anchor", "rid", tile).groupBy("hb", "mb").applyInArrow(lambda t: tile_negatives(t, negatives, scale, low, high), kinds)
     rank = F.row_number().over(W.partitionBy("anchor_rid", "place").orderBy(F.desc("negative_score"), F.asc_nulls_last("negative_id"), "rid"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= negatives).select("anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score")
 

@@ -99,8 +99,8 @@ def best_matches(vectors: DataFrame, is_query: Column, k: int = BEST, scale: int
     scaling raise an error.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), F.coalesce(is_query, F.lit(False)).alias("query"))
-    rows = settled(rows.filter(whole(F.col("embedding"))).withColumn("rid", F.monotonically_increasing_id()))
-    tiles = tiled(rows.withColumn("every", F.lit(0)), ["every"], "query", "rid", tile or tile_rows(rows))
+    rows = settled(rows.filter(whole(F.col("embedding"))).withColumns({"rid": F.monotonically_increasing_id(), "every": F.lit(0)}))
+    tiles = tiled(rows, ["every"], "query", "rid", tile or tile_rows(rows))
     found = tiles.groupBy("hb", "mb").applyInArrow(lambda t: tile_best(t, k, scale), "query_rid long, query_id long, rid long, vec_id long, score long")
     place = F.row_number().over(W.partitionBy("query_rid").orderBy(F.desc("score"), F.asc_nulls_last("vec_id"), "rid"))
     return found.withColumn("rank", place).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
