@@ -28,11 +28,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyplume.llm.common import SPACE
+from skyplume.llm.common import SPACE, settled
 
 #: Filters by name, in the order of their bits; ``E`` is about other rows and comes with ``failures``.
 NAMES = "ABCDE"
 MEASURES = ("", "good_", "toxic_")
+#: Rows of a text beyond which they are not brought together.
+HOT = 1000
 
 
 def text_failures(text: Column) -> Column:
@@ -43,7 +45,7 @@ def text_failures(text: Column) -> Column:
     return reduce(lambda a, b: a + b, [F.when(c, 1 << i).otherwise(0) for i, c in enumerate(checks)])
 
 
-def failures(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def failures(docs: DataFrame, labels: DataFrame, hot: int = HOT) -> DataFrame:
     """(part, mask, good, toxic) of every row of ``docs`` (doc_id, text, lang): the filters it fails as bits, and its labels.
 
     A null text is empty, a null lang is the part ''. E fails where the same text
@@ -54,10 +56,16 @@ def failures(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang"), F.lit("")).alias("part"), F.unhex(F.sha2(text, 256)).alias("digest"), text_failures(text).alias("mask"))
-    first = rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").select(F.col("digest").alias("_d"), "first_id")
+    first = settled(rows.groupBy("digest").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1"))
+    # Texts with very many rows are known everywhere, and their rows go on without meeting; by their size there are 50,000 at most.
+    limit = max(hot, (first.agg(F.sum("n")).first()[0] or 0) // 50_000)
+    many = F.broadcast(first.filter(F.col("n") > limit).select(F.col("digest").alias("_h"), F.col("first_id").alias("_hot_id")))
+    rows = rows.join(many, F.col("digest") == F.col("_h"), "left")
+    rows = rows.withColumn("digest", F.when(F.col("_h").isNull(), F.col("digest")).otherwise(F.monotonically_increasing_id().cast("string").cast("binary")))
+    few = first.filter(F.col("n") <= limit).select(F.col("digest").alias("_d"), "first_id")
     marks = labels.groupBy(F.col("doc_id").cast("long").alias("_l")).agg(F.max((F.col("quality") == 1).cast("int")).alias("good"), F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
-    # Both joins keep all rows of the left side, so that Spark can split a hot digest or id.
-    rows = rows.join(first, F.col("digest") == F.col("_d"), "left").withColumn("mask", F.col("mask") + F.when(F.col("doc_id") > F.col("first_id"), 16).otherwise(0))
+    # Both joins keep all rows of the left side, so that Spark can split a repeated id.
+    rows = rows.join(few, F.col("digest") == F.col("_d"), "left").withColumn("mask", F.col("mask") + F.when(F.col("doc_id") > F.coalesce("_hot_id", "first_id"), 16).otherwise(0))
     rows = rows.select("doc_id", "part", "mask").join(marks, F.col("doc_id") == F.col("_l"), "left")
     return rows.select("part", "mask", F.coalesce("good", F.lit(0)).alias("good"), F.coalesce("toxic", F.lit(0)).alias("toxic"))
 
