@@ -52,15 +52,24 @@ def usable(raw: bytes) -> zstandard.ZstdCompressionDict | None:
     return zstandard.ZstdCompressionDict(raw) if len(raw) >= 8 else None
 
 
+def sampled(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of the ``SAMPLE`` documents that come first by the hash of their id; of several with an id, the text that is least.
+
+    Ids are chosen alone, so that no task gets more texts than its own documents
+    and its share of the sample. Where ids repeat there may be fewer.
+    """
+    first = docs.select(F.col("doc_id").alias("_id")).orderBy(F.xxhash64("_id"), "_id").limit(SAMPLE).distinct()
+    return docs.select("doc_id", "text").join(F.broadcast(first), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+
+
 def sample_dictionary(docs: DataFrame, vocabulary: str, end_id: int) -> bytes:
-    """Trained on the ``SAMPLE`` documents that come first by the hash of their id; the driver gets SAMPLE x PREFIX bytes at most."""
+    """Trained on the documents of ``sampled``; the driver gets SAMPLE x PREFIX bytes at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             yield pa.RecordBatch.from_arrays([pa.array([x.tobytes()[:PREFIX] for x in encoded(b, vocabulary, end_id)], pa.binary())], ["raw"])
 
-    some = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
-    return train(sorted(bytes(r["raw"]) for r in some.mapInArrow(run, "raw binary").collect()))
+    return train(sorted(bytes(r["raw"]) for r in sampled(docs).mapInArrow(run, "raw binary").collect()))
 
 
 def write_ids(docs: DataFrame, path: str, vocabulary: str = "word_bpe_49k.json", end_id: int = 2) -> None:
