@@ -6,7 +6,9 @@ so a text's ids are its units' ids in order. Units are found for a whole batch
 in NumPy, and only units that a worker has not met are given to the tokenizers
 library. Units are looked up by a hash and then compared in full; a text with a
 unit whose hash is another unit's goes to the library as it is, as do texts with
-characters for which the above does not hold.
+characters for which the above does not hold and texts with a unit of more than
+``LONG`` letters, which are seldom met again. What a worker remembers is bounded by
+its bytes.
 """
 
 from __future__ import annotations
@@ -19,8 +21,12 @@ from tokenizers import Tokenizer
 
 #: Characters below this are handled here: they are composed, and lower-casing them does not depend on neighbours.
 LIMIT = 0x250
-#: Units a worker remembers, some 60 bytes each.
-KNOWN = 1_000_000
+#: Letters of a unit that is remembered, at most.
+LONG = 256
+#: Bytes of units that a worker remembers before it starts anew: letters, ids and what finds them.
+KNOWN = 96 << 20
+#: Bytes that a unit takes besides its ids and, if it is longer than two words, its letters.
+UNIT = 72
 #: Units that wait to be merged into the sorted ones.
 RECENT = 1 << 16
 #: Characters that are handled together.
@@ -101,7 +107,7 @@ class Store:
     def __init__(self):
         none = np.zeros(0, np.uint64)
         self.runs = [(none, np.zeros(0, np.int64)), (none, np.zeros(0, np.int64))]
-        self.n, self.used = 0, 0
+        self.n, self.used, self.bytes = 0, 0, 0
         self.told = np.zeros((3, 1 << 14), np.uint64)
         self.starts, self.sizes = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
         self.flat = np.zeros(1 << 16, np.uint32)
@@ -131,11 +137,16 @@ class Store:
         self.starts[number], self.sizes[number] = ends - sizes, sizes
         self.told[:, number] = told
         self.n, self.used = self.n + len(keys), int(ends[-1])
+        self.bytes += UNIT * len(keys) + 4 * int(sizes.sum())
         self.runs[1] = self._merged(self.runs[1], (keys, number))
         if len(self.runs[1][0]) > RECENT:
             self.runs = [self._merged(*self.runs), (keys[:0], number[:0])]
         return number
 
+    def keep_letters(self, number: int, unit: str) -> None:
+        self.long[number] = unit
+        self.bytes += UNIT + len(unit) * (1 if unit.isascii() else 2)
+
     @staticmethod
     def _merged(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         keys = np.concatenate((a[0], b[0]))
@@ -193,9 +204,17 @@ class Encoder:
         first, last = first[solid], last[solid]
         if not len(first):
             return [np.zeros(0, np.uint32) for _ in texts]
+        long = last - first > LONG
+        if long.any():
+            seldom = set(np.searchsorted(doc_end, first[long], side="right").tolist())
+            rest = [k for k in range(len(texts)) if k not in seldom]
+            out = [None] * len(texts)
+            for k, x in zip(rest, self._batch([texts[k] for k in rest]) if rest else [], strict=True):
+                out[k] = x
+            return out
         units = Units(low.astype(np.uint8) if low.max() < 256 else low, first, last)
         keys, where, back = np.unique(units.hashes(), return_index=True, return_inverse=True)
-        if self.store.n > KNOWN:
+        if self.store.bytes > KNOWN:
             self.store = Store()
         store, text = self.store, low.tobytes().decode("utf-16-le")
         told = units.told(where)
@@ -208,7 +227,7 @@ class Encoder:
         if len(fresh):
             at[fresh] = store.add(keys[fresh], told[:, fresh], [self._unit_ids(text[i:j]) for i, j in zip(lo[fresh].tolist(), hi[fresh].tolist(), strict=True)])
             for k in fresh[long[fresh]].tolist():
-                store.long[int(at[k])] = text[lo[k] : hi[k]]
+                store.keep_letters(int(at[k]), text[lo[k] : hi[k]])
         other = wrong[back] | units.differ(where[back])
         unit = at[back]
         sizes = store.sizes[unit]
