@@ -86,8 +86,10 @@ def scan_unseen(versions: DataFrame, ledger: str, rules: tuple[Rule, ...] = RULE
     # One text for each blob; copies in a map task are dropped before the shuffle.
     blobs = fresh.groupBy("blob").agg(F.any_value("text").alias("text"), *([F.any_value(done).alias("_done")] if seen is not None else []))
     wanted = [F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("rule_version"), spans_of(F.col("text"), r, kinds.get(r.name, len(RULES) + i)).alias("spans")) for i, r in enumerate(rules)]
-    pending = F.array(*wanted) if seen is None else F.filter(F.array(*wanted), lambda x: ~F.array_contains(F.col("_done"), F.concat_ws("@", x["rule"], x["rule_version"])))
-    blobs.select("blob", F.explode(pending).alias("f")).select("blob", "f.*").write.mode("append").parquet(ledger)
+    if seen is not None:
+        # A pair that was seen is not scanned: what stands behind a condition is evaluated where it holds.
+        wanted = [F.when(~F.array_contains("_done", f"{r.name}@{r.version}"), w) for r, w in zip(rules, wanted, strict=True)]
+    blobs.select("blob", F.explode(F.array(*wanted)).alias("f")).filter("f is not null").select("blob", "f.*").write.mode("append").parquet(ledger)
     return spark.read.schema(LEDGER).parquet(ledger)
 
 
