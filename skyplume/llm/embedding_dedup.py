@@ -53,8 +53,7 @@ def clean(vectors: DataFrame) -> DataFrame:
     """vec_id, label, embedding (doubles), ``usable``: labelled, not null, not zero, all components finite."""
     x = F.col("embedding").cast("array<double>")
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
-    norm = F.aggregate(x, F.lit(0.0), lambda a, v: a + v * v)
-    usable = F.col("label").isNotNull() & x.isNotNull() & ~F.coalesce(bad, F.lit(True)) & (norm > 0)
+    usable = F.col("label").isNotNull() & x.isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists(x, lambda v: v != 0)
     return vectors.select("vec_id", "label", x.alias("embedding"), F.coalesce(usable, F.lit(False)).alias("usable"))
 
 
