@@ -86,6 +86,15 @@ def discard(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """Gives a folder another name."""
+    where, there = (spark._jvm.org.apache.hadoop.fs.Path(x) for x in (path, to))
+    files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(there.getParent())
+    if not files.rename(where, there):
+        raise OSError(f"{path} could not become {to}")
+
+
 def min_labels(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """For n nodes, each one's smallest node index that the links reach."""
     label = np.arange(n)

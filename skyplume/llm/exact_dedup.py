@@ -13,6 +13,9 @@ shuffle, and with the text of the row that stood before the run, which is read
 from where its locator points. Rows whose bytes differ (a collision of digests)
 are grouped by their bytes.
 
+A run may be brought again after a failure at any point: it is known by its
+content until it has finished, and its rows are counted once.
+
 A digest with more than ``HOT`` rows (or 1 in 50,000 of all) is dealt out over
 salts for the comparison, and its state is broadcast instead of shuffled to;
 by their size there are 50,000 such digests at most.
@@ -20,17 +23,20 @@ by their size there are 50,000 such digests at most.
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from skyplume.llm.common import SPACE, discard, freed_shuffles, fresh_path, settled
+from skyplume.llm.common import SPACE, discard, freed_shuffles, fresh_path, move, settled
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Rows of a digest beyond which it is dealt out.
 HOT = 1000
+RUNS = "run int, mark string, content string, batches bigint"
 BEST = "best struct<n_points:int,neg_id:bigint,run:int>"
 
 
@@ -92,9 +98,15 @@ def stored(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def keepers(spark: SparkSession, home: str) -> DataFrame:
-    """(digest, best, n_rows) of every digest that the runs under ``home`` have seen."""
-    changed = stored(spark, f"{home}/updates", f"digest binary, {BEST}, n_rows bigint, batch bigint")
+def changes(spark: SparkSession, home: str) -> DataFrame:
+    return stored(spark, f"{home}/updates", f"digest binary, {BEST}, n_rows bigint, batch bigint")
+
+
+def keepers(spark: SparkSession, home: str, batches: int | None = None) -> DataFrame:
+    """(digest, best, n_rows) of every digest that the runs under ``home`` have seen, or that they had seen after some ``batches``."""
+    changed = changes(spark, home)
+    if batches is not None:
+        changed = changed.filter(F.col("batch") < batches)
     # State only grows, so a digest's last update is its greatest.
     return changed.groupBy("digest").agg(F.max("best").alias("best"), F.max("n_rows").alias("n_rows"))
 
@@ -110,28 +122,65 @@ class Run:
     def __init__(self, docs: DataFrame, home: str | None = None, content: str | None = None, key=sha256_key, hot: int = HOT, files_per_batch: int = 4096):
         self.spark, self.key, self.alone = docs.sparkSession, key, home is None
         self.docs, self.home = docs.select("doc_id", "text"), home or fresh_path(docs.sparkSession, "dedup")
-        spark, self.runs = self.spark, f"{self.home}/runs"
+        spark = self.spark
         # One row a run.
-        self.content = {r["run"]: r["content"] for r in stored(spark, self.runs, "run int, content string").collect()}
-        self.number = len(self.content)
-        self.before = settled(keepers(spark, self.home)) if self.number else None
-        if not content and not self.alone:
-            content = f"{self.home}/content/run-{self.number}"
-            self.docs.write.mode("overwrite").parquet(content)
-        rows = arrivals(self.docs, self.number, key)
-        rows.write.mode("overwrite").parquet(f"{self.home}/inbox/run-{self.number}")
-        if content:
-            spark.createDataFrame([(self.number, content)], "run int, content string").coalesce(1).write.mode("append").parquet(self.runs)
-        stream_keepers(spark, f"{self.home}/inbox", rows.schema, f"{self.home}/state", f"{self.home}/updates", files_per_batch)
-        self.arrived = spark.read.schema(rows.schema).parquet(f"{self.home}/inbox/run-{self.number}")
+        self.runs = {} if self.alone else {r["run"]: r for r in stored(spark, f"{self.home}/runs", RUNS).collect()}
+        self.content = {k: r["content"] for k, r in self.runs.items()}
+        self.number = len(self.runs)
+        schema = arrivals(self.docs, 0, key).schema
+        stream = lambda: stream_keepers(spark, f"{self.home}/inbox", schema, f"{self.home}/state", f"{self.home}/updates", files_per_batch)
+        if self.alone:
+            arrivals(self.docs, 0, key).write.parquet(self.inbox())
+        else:
+            self.enter(content, stream)
+        self.before = settled(keepers(spark, self.home, self.runs[self.number]["batches"])) if self.number else None
+        stream()
+        self.arrived = spark.read.schema(schema).parquet(self.inbox())
         self.keepers = settled(keepers(spark, self.home))
         self.limit = max(hot, (self.keepers.agg(F.sum("n_rows")).first()[0] or 0) // 50_000)
         self.hot = settled(self.keepers.filter(F.col("n_rows") > self.limit))
 
+    def inbox(self) -> str:
+        return f"{self.home}/inbox/run-{self.number}"
+
+    def enter(self, content: str | None, stream: Callable[[], None]) -> None:
+        """Brings the rows to the inbox and registers the run, so that the same rows brought again after a failure are the same run.
+
+        Rows are written aside first and marked by their content. A run that was
+        registered with this mark and never finished is taken up where it stood:
+        its rows are in the inbox, and the stream knows which of them it has
+        counted. Otherwise they become the next run, after the stream has counted
+        what unfinished ones have left; what an attempt left in the next run's place
+        before it was registered has not been streamed and is replaced.
+        """
+        spark, aside = self.spark, f"{self.home}/aside/{uuid.uuid4().hex}"
+        arrivals(self.docs, self.number, self.key).write.parquet(aside)
+        told = [F.sum(F.xxhash64(F.lit(seed), "digest", "rank.n_points", "rank.neg_id").cast("decimal(38,0)")) for seed in (1, 2)]
+        mark = ":".join(map(str, spark.read.parquet(aside).agg(F.count("*"), *told).first()))
+        done = {r["run"] for r in stored(spark, f"{self.home}/finished", "run int").collect()}
+        open_ = [k for k, r in self.runs.items() if r["mark"] == mark and k not in done]
+        if open_:
+            self.number = open_[0]
+            discard(spark, aside)
+            return
+        discard(spark, self.inbox())
+        if set(self.runs) - done:
+            stream()
+        if not content:
+            content = f"{self.home}/content/run-{self.number}"
+            self.docs.write.mode("overwrite").parquet(content)
+        move(spark, aside, self.inbox())
+        batches = changes(spark, self.home).agg(F.coalesce(F.max("batch") + 1, F.lit(0))).first()[0]
+        row = spark.createDataFrame([(self.number, mark, content, batches)], RUNS)
+        row.coalesce(1).write.mode("append").parquet(f"{self.home}/runs")
+        self.runs[self.number], self.content[self.number] = row.first(), content
+
     def close(self) -> None:
-        """Removes what a run without a home has written."""
+        """Marks the run as finished; one without a home leaves nothing."""
         if self.alone:
             discard(self.spark, self.home)
+        else:
+            self.spark.createDataFrame([(self.number,)], "run int").coalesce(1).write.mode("append").parquet(f"{self.home}/finished")
 
     def texts(self, docs: DataFrame, run: int) -> DataFrame:
         return docs.select(self.key(normalised(F.col("text"))).alias("digest"), normalised(F.col("text")).alias("norm"), F.col("doc_id").cast("long").alias("doc_id"), points(F.col("text")).alias("n_points"), F.lit(run).alias("run"))
