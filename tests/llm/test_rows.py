@@ -121,6 +121,47 @@ def test_later_runs_meet_earlier_texts(spark, tmp_path, key):
     assert exact_dedup.Run(spark.createDataFrame([(90, "x")], "doc_id long, text string"), home, key=key).number == 3
 
 
+class Lost(Exception):
+    """The driver is gone."""
+
+
+@pytest.mark.parametrize("key", [exact_dedup.sha256_key, weak_key])
+@pytest.mark.parametrize("step", ["discard", "move", "settled", "stream_keepers", "counted", "decided", "close"])
+def test_a_run_that_failed_is_taken_up(spark, tmp_path, monkeypatch, step, key):
+    """Whatever a run was about to do when it failed, the same rows brought again, with other rows between or not, give what one clean run gives."""
+    home = f"file://{tmp_path}/home"
+    runs = [[(5, "a b"), (6, "cd"), (6, "cd")], [(1, "ab"), (8, "zz"), (9, "c d   ")], [(2, "a b"), (4, "z z")]]
+    tables = [spark.createDataFrame(rows, "doc_id long, text string") for rows in runs]
+    exact_dedup.exact_groups(tables[0], home, None, key, hot=1)
+
+    def fails(*args, **more):
+        raise Lost
+
+    def counts(*args, plain=exact_dedup.stream_keepers, **more):
+        plain(*args, **more)
+        raise Lost
+
+    with monkeypatch.context() as m:
+        if step == "counted":
+            m.setattr(exact_dedup, "stream_keepers", counts)
+        elif step in ("decided", "close"):
+            m.setattr(exact_dedup.Run, step, fails)
+        else:
+            m.setattr(exact_dedup, step, fails)
+        with pytest.raises(Lost):
+            exact_dedup.exact_groups(tables[1], home, None, key, hot=1)
+    seen = [*tables[0].collect(), *tables[1].collect()]
+    for k in (1, 2):
+        seen += tables[k].collect() if k == 2 else []
+        ids = {r[0] for r in runs[k]}
+        got = exact_dedup.exact_groups(tables[k], home, None, key, hot=1)
+        assert sorted((tuple(r) for r in got.collect()), key=str) == [w for w in brute_exact(seen) if w[0] in ids]
+    # The same rows brought on purpose a second time are another run.
+    seen += tables[2].collect()
+    got = exact_dedup.exact_groups(tables[2], home, None, key, hot=1)
+    assert {r.doc_id: r.group_size for r in got.collect()} == {w[0]: w[2] for w in brute_exact(seen) if w[0] in (2, 4)}
+
+
 def brute_ring(rows, shards, cells=sharding.CELLS):
     """Cell by cell, by walking the ring point by point."""
     points = sorted((int(hashlib.md5(f"shard-{s}/{v}".encode()).hexdigest()[:8], 16), s) for s in range(shards) for v in range(sharding.VNODES))
@@ -189,3 +230,19 @@ def test_ledger_scans_only_what_it_has_not_seen(spark, tmp_path):
     rows = secrets.secret_spans(two, ledger, newer)
     assert size() == 3 * len(secrets.RULES) + 3
     assert sorted((r.doc_id, len(r.spans)) for r in rows.collect()) == [(1, 1), (2, 1), (3, 0), (4, 1)]
+
+
+def test_pairs_that_were_seen_are_not_scanned(spark, tmp_path, monkeypatch):
+    """A rule that fails wherever it is evaluated: blobs that have it in the ledger do not meet it, new ones do."""
+    ledger = f"file://{tmp_path}/ledger"
+    docs = spark.createDataFrame([(1, "password=abcdef"), (2, "x")], "doc_id long, text string")
+    secrets.secret_spans(docs, ledger)
+    spans_of, newer = secrets.spans_of, (*secrets.RULES[:2], secrets.Rule("hex", "[0-9a-f]{30,}", 0, 30, "2"))
+
+    def trap(text, rule, kind):
+        return spans_of(text, rule, kind) if rule.version == "2" else F.raise_error(F.concat(F.lit("scanned again: "), text)).cast("array<struct<start:int,kind:int,end:int>>")
+
+    monkeypatch.setattr(secrets, "spans_of", trap)
+    assert secrets.secret_spans(docs, ledger, newer).count() == 2
+    with pytest.raises(Exception, match="scanned again: new"):
+        secrets.secret_spans(spark.createDataFrame([(3, "new")], "doc_id long, text string"), ledger, newer)

@@ -301,6 +301,36 @@ def test_units_are_compared_in_full():
         assert h[2] == h[3] and len(set(h.tolist())) == 4
 
 
+def test_memory_of_units_is_bounded_by_bytes(monkeypatch):
+    """Long units are not kept, and short ones only up to a number of bytes."""
+    rng = random.Random(5)
+    encode = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"))
+    blob = lambda n: "".join(rng.choice("abcdefghij") for _ in range(n))
+    texts = [f"before {blob(5000)} after" for _ in range(20)] + ["before after", blob(tokens.LONG), blob(tokens.LONG + 1)]
+    assert [x.tolist() for x in encode.ids(texts)] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in texts]
+    assert encode.store.n == 3 and encode.store.bytes < 3000 and sum(map(len, encode.store.long.values())) == tokens.LONG
+    monkeypatch.setattr(tokens, "KNOWN", 100_000)
+    monkeypatch.setattr(tokens, "BATCH", 20_000)
+    most = 0
+    for _ in range(20):
+        part = [" ".join(blob(rng.randint(1, 200)) for _ in range(100))]
+        assert [x.tolist() for x in encode.ids(part)] == [LIBRARY.encode(t, add_special_tokens=False).ids for t in part]
+        most = max(most, encode.store.bytes)
+    assert 100_000 < most < 250_000
+
+
+def test_sample_is_of_ids_and_its_texts(spark, odd, monkeypatch):
+    monkeypatch.setattr(binary_ids, "SAMPLE", 12)
+    some = binary_ids.sampled(odd)
+    order = {r.doc_id: (h, r.doc_id is not None, r.doc_id or 0) for r in odd.select("doc_id").distinct().collect() for h in [odd.sparkSession.sql(f"select xxhash64({'cast(null as bigint)' if r.doc_id is None else f'{r.doc_id}L'})").first()[0]]}
+    ids = sorted((r.doc_id for r in odd.collect()), key=lambda i: order[i])[:12]
+    rows = some.collect()
+    assert sorted(map(str, (r.doc_id for r in rows))) == sorted(map(str, set(ids)))
+    assert all(r.text == min((x.text for x in odd.collect() if x.doc_id == r.doc_id and x.text is not None), default=None) for r in rows)
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "TakeOrderedAndProject" in plan and not any("text" in line for line in plan.splitlines() if "TakeOrderedAndProject" in line)
+
+
 def test_colliding_units_go_to_the_library(monkeypatch):
     monkeypatch.setattr(tokens.Units, "hashes", lambda self: self.size.astype(np.uint64))
     encode = tokens.Encoder(public_tokenizers.path("word_bpe_49k.json"))
@@ -498,7 +528,8 @@ def brute_vectors(v):
     unit = []
     for x in v.embedding:
         ok = x is not None and len(x) and all(c is not None and np.isfinite(c) for c in x) and any(c != 0 for c in x)
-        unit.append(np.array(x, float) / np.linalg.norm(np.array(x, float)) if ok else None)
+        x = np.array(x, float) / max(abs(c) for c in x) if ok else None  # squares of tiny components would be zero
+        unit.append(x / np.linalg.norm(x) if ok else None)
     for i in range(n):
         for j in range(i):
             if unit[i] is not None and unit[j] is not None and len(unit[i]) == len(unit[j]) and v.label[i] == v.label[j] and unit[i] @ unit[j] >= 0.98:
@@ -521,7 +552,7 @@ def test_vectors(spark, tile):
     rows += [(rows[0][0] + rng.normal(size=16) * 0.03, 0) for _ in range(60)]
     data = [(i, [float(x) for x in e], l) for i, (e, l) in enumerate(rows)]
     k = len(data)
-    data += [(k, None, 0), (k + 1, [0.0] * 16, 0), (k + 2, [float("nan")] * 16, 0), (k + 3, [None] * 16, 0), (k + 4, [], 0), (k + 5, data[0][1], None), (k + 6, [1.0, 2.0], 0), (k + 7, [2.0, 4.0], 0), (k + 8, [1e-30] * 16, 2), (k + 9, [1e30] * 16, 2)]
+    data += [(k, None, 0), (k + 1, [0.0] * 16, 0), (k + 2, [float("nan")] * 16, 0), (k + 3, [None] * 16, 0), (k + 4, [], 0), (k + 5, data[0][1], None), (k + 6, [1.0, 2.0], 0), (k + 7, [2.0, 4.0], 0), (k + 8, [1e-30] * 16, 2), (k + 9, [1e30] * 16, 2), (k + 10, [1e-170, 0.0], 2), (k + 11, [3e-300, 0.0], 2), (k + 12, [5e-324, 0.0], 2), (k + 13, [0.0, -0.0], 2)]
     df = spark.createDataFrame([(*d, "clash", 1) for d in data], "vec_id long, embedding array<double>, label int, key string, n int")
     got = sorted(tuple(r) for r in embedding_dedup.near_vectors(df, tile=tile, leaf=20).collect())
     v = pd.DataFrame({"vec_id": [d[0] for d in data], "embedding": [d[1] for d in data], "label": pd.Series([d[2] for d in data], dtype=object)})
@@ -531,6 +562,7 @@ def test_vectors(spark, tile):
     links = sum(w[1] for w in want)
     assert sum(g[1] for g in got) >= 0.9 * links and all(g[1] <= w[1] for g, w in zip(got, want, strict=True))
     assert sum(g != w for g, w in zip(got, want, strict=True)) <= 0.02 * len(want)
+    assert [g[1] for g in got if g[0] >= k + 10] == [2, 2, 2, 0]  # tiny is not zero
     assert embedding_dedup.near_vectors(df.filter("false")).count() == 0
 
 
