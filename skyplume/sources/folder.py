@@ -21,6 +21,14 @@ def shared(spark: SparkSession, label: str) -> str:
     return f"{found.rstrip('/')}/skyplume/{label}-{uuid.uuid4().hex}"
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the shared folder, its lineage cut."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared(spark, "checkpoints"))
+    return df.checkpoint(eager=True)
+
+
 def parameter_hash(parameters: dict, digits: int = 8) -> str:
     """The first hexadecimal digits of the MD5 of the parameters as JSON with sorted keys."""
     return hashlib.md5(json.dumps(parameters, sort_keys=True, default=str).encode()).hexdigest()[:digits]
