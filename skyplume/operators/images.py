@@ -1,46 +1,31 @@
-"""Frames as grey levels: (frame, v, u, value). Filters meet neighbours through shuffles by pixel, not through whole frames."""
+"""Frames as grey levels: (frame, v, u, value)."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyplume.functions.guards import finite
 from skyplume.functions.physics import sigmoid
+from skyplume.operators import frames
 from skyplume.operators.quantiles import quantiles
 
 
-def neighbours(px: DataFrame, reach: int, height: int, width: int) -> DataFrame:
-    """(frame, v, u, dv, du, value): each pixel's box of neighbours; beyond the border the border's pixel is repeated."""
-    steps = F.sequence(F.lit(-reach), F.lit(reach))
-    # A pixel on the border also stands for those beyond it.
-    along = lambda c, n: F.flatten(F.transform(F.sequence(F.greatest(F.col(c) - reach, F.lit(0)), F.least(F.col(c) + reach, F.lit(n - 1))), lambda t: F.transform(F.filter(steps, lambda d: F.least(F.greatest(t + d, F.lit(0)), F.lit(n - 1)) == F.col(c)), lambda d: F.struct(t.cast("int").alias("t"), d.alias("d")))))
-    rows = px.select("frame", "u", "value", F.explode(along("v", height)).alias("a")).select("frame", F.col("a.t").alias("v"), F.col("a.d").alias("dv"), "u", "value")
-    return rows.select("frame", "v", "dv", "value", F.explode(along("u", width)).alias("b")).select("frame", "v", F.col("b.t").alias("u"), "dv", F.col("b.d").alias("du"), "value")
-
-
 def convolved(px: DataFrame, kernel: list[list[float]], height: int, width: int, name: str = "value") -> DataFrame:
-    """Correlation with an odd square ``kernel``."""
-    reach = len(kernel) // 2
-    weight = F.element_at(F.array(*[F.lit(float(x)) for row in kernel for x in row]), (F.col("dv") + reach) * len(kernel) + F.col("du") + reach + 1)
-    return neighbours(px, reach, height, width).groupBy("frame", "v", "u").agg(F.sum(weight * F.col("value")).alias(name))
+    """Correlation with an odd square ``kernel``; beyond the border the border's pixel is repeated."""
+    weights = np.array(kernel, float)
+    return frames.filtered(px, height, width, lambda a: frames.correlated(a, weights), name)
 
 
 def blurred_median(px: DataFrame, reach: int, height: int, width: int) -> DataFrame:
-    """Median of each pixel's box; a box is bounded by its size."""
-    return neighbours(px, reach, height, width).groupBy("frame", "v", "u").agg(F.median("value").alias("value"))
-
-
-#: Derivatives across and down.
-SOBEL_U = [[-1, 0, 1], [-2, 0, 2], [-1, 0, 1]]
-SOBEL_V = [[-1, -2, -1], [0, 0, 0], [1, 2, 1]]
+    """Median of each pixel's box."""
+    return frames.filtered(px, height, width, lambda a: frames.median_box(a, reach))
 
 
 def edges(px: DataFrame, height: int, width: int) -> DataFrame:
     """(frame, v, u, value): squared length of the Sobel gradient."""
-    weigh = lambda k: F.element_at(F.array(*[F.lit(float(x)) for row in k for x in row]), (F.col("dv") + 1) * 3 + F.col("du") + 2)
-    g = neighbours(px, 1, height, width).groupBy("frame", "v", "u").agg(*[F.sum(weigh(k) * F.col("value")).alias(n) for k, n in ((SOBEL_U, "gu"), (SOBEL_V, "gv"))])
-    return g.select("frame", "v", "u", (F.col("gu") * F.col("gu") + F.col("gv") * F.col("gv")).alias("value"))
+    return frames.filtered(px, height, width, lambda a: frames.correlated(a, frames.SOBEL_U) ** 2 + frames.correlated(a, frames.SOBEL_V) ** 2)
 
 
 def photometric_fit(px: DataFrame, background: DataFrame, limits: tuple[float, float] = (0.5, 2.0)) -> DataFrame:

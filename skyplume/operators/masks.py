@@ -6,6 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -45,9 +46,18 @@ def vote(px: DataFrame, group: str, n: DataFrame) -> DataFrame:
     return px.groupBy(group, "v", "u").agg(F.count("*").alias("votes")).join(n, group).filter(F.col("votes") >= F.ceil(F.col("n_frames") / 2)).select(group, "v", "u", "votes")
 
 
-def dilate(px: DataFrame, reach: int, height: int, width: int) -> DataFrame:
-    """Pixels within a box of ``reach`` of one that is on: an explode and a distinct, no inequality join."""
-    steps = F.array(*[F.struct(F.lit(dv).alias("dv"), F.lit(du).alias("du")) for dv in range(-reach, reach + 1) for du in range(-reach, reach + 1)])
+def ellipse(reach: int) -> list[tuple[int, int]]:
+    """(down, across) of the steps of a disc drawn row by row: half a row's width is the root of what the height leaves, halves to even."""
+    half = {dv: round(math.sqrt(reach * reach - dv * dv)) for dv in range(-reach, reach + 1)}
+    return [(dv, du) for dv, n in half.items() for du in range(-n, n + 1)]
+
+
+def dilate(px: DataFrame, reach: int, height: int, width: int, shape: str = "box") -> DataFrame:
+    """Pixels within a box or an ellipse of ``reach`` of one that is on: an explode and a distinct, no inequality join."""
+    if shape not in ("box", "ellipse"):
+        raise ValueError(f"shape is 'box' or 'ellipse', not {shape!r}")
+    near = ellipse(reach) if shape == "ellipse" else [(dv, du) for dv in range(-reach, reach + 1) for du in range(-reach, reach + 1)]
+    steps = F.array(*[F.struct(F.lit(dv).alias("dv"), F.lit(du).alias("du")) for dv, du in near])
     grown = px.select("frame", "v", "u", F.explode(steps).alias("d")).select("frame", (F.col("v") + F.col("d.dv")).alias("v"), (F.col("u") + F.col("d.du")).alias("u"))
     return grown.filter(F.col("v").between(0, height - 1) & F.col("u").between(0, width - 1)).distinct()
 
@@ -237,22 +247,32 @@ def rectangles(boxes: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def packed(px: DataFrame, height: int, width: int) -> DataFrame:
-    """(frame, h, w, bits): pixels as bits, by rows, the first pixel the highest bit; a frame is height * width / 8 bytes."""
-    i = F.col("v") * width + F.col("u")
-    byte = px.select("frame", F.floor(i / 8).cast("int").alias("_b"), F.element_at(F.array(*[F.lit(128 >> k) for k in range(8)]), (i % 8 + 1).cast("int")).alias("_x"))
-    byte = byte.groupBy("frame", "_b").agg(F.bit_or("_x").alias("_x"))
-    held = byte.groupBy("frame").agg(F.map_from_entries(F.collect_list(F.struct("_b", "_x"))).alias("_m"))
-    size = -(-height * width // 8)
-    text = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.lpad(F.hex(F.coalesce(F.col("_m")[k], F.lit(0))), 2, "0")), "")
-    return held.select("frame", F.lit(height).alias("h"), F.lit(width).alias("w"), F.unhex(text).alias("bits"))
+    """(frame, h, w, bits): pixels as bits, by rows, the first pixel the highest bit; a frame is height * width / 8 bytes.
+
+    Pixels beyond the frame are left out; a frame without pixels is not there.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        on = np.zeros(height * width, bool)
+        on[table.column("v").to_numpy() * width + table.column("u").to_numpy()] = True
+        return pa.table({"frame": table.column("frame").slice(0, 1), "h": pa.array([height], pa.int32()), "w": pa.array([width], pa.int32()), "bits": pa.array([np.packbits(on).tobytes()], pa.binary())})
+
+    inside = px.select("frame", F.col("v").cast("long").alias("v"), F.col("u").cast("long").alias("u")).filter(F.col("v").between(0, height - 1) & F.col("u").between(0, width - 1))
+    return inside.groupBy("frame").applyInArrow(run, f"frame {px.schema['frame'].dataType.simpleString()}, h int, w int, bits binary")
 
 
 def unpacked(sets: DataFrame) -> DataFrame:
     """(frame, v, u) of the pixels that are on in ``packed`` rows."""
-    text = F.hex("bits")
-    digit = lambda k: F.conv(F.substring(text, k + 1, F.lit(1)), 16, 10).cast("int")
-    bits = F.transform(F.sequence(F.lit(0), F.col("h") * F.col("w") - 1), lambda i: F.struct(i.alias("i"), F.getbit(digit(F.floor(i / 4).cast("int")), (3 - i % 4).cast("int")).alias("on")))
-    return sets.select("frame", "w", F.explode(F.filter(bits, lambda x: x["on"] == 1)["i"]).alias("i")).select("frame", F.floor(F.col("i") / F.col("w")).cast("int").alias("v"), (F.col("i") % F.col("w")).cast("int").alias("u"))
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):
+                h, w = b.column(1)[i].as_py(), b.column(2)[i].as_py()
+                at = np.flatnonzero(np.unpackbits(np.frombuffer(b.column(3)[i].as_py(), np.uint8), count=h * w))
+                frame = b.column(0).take(pa.array(np.full(len(at), i)))
+                yield pa.RecordBatch.from_arrays([frame, pa.array(at // w, pa.int32()), pa.array(at % w, pa.int32())], ["frame", "v", "u"])
+
+    return sets.select("frame", "h", "w", "bits").mapInArrow(run, f"frame {sets.schema['frame'].dataType.simpleString()}, v int, u int")
 
 
 def polygon_pixels(polygons: DataFrame, keys: list[str], points: str, height: int, width: int) -> DataFrame:
