@@ -11,6 +11,7 @@ from skyplume.jobs.series_jobs import AZ_SQL, azimuth
 from skyplume.operators import joins
 from skyplume.sinks import text as sinks
 from skyplume.sources import boxes, records, stations
+from skyplume.sources.files import write_files
 from skyplume.sources.folder import kept, shared
 
 STATION_SQL = f"SELECT user_id AS station, date_trunc('hour', ts) AS ts, round(avg({AZ_SQL}), 3) AS dir, round(avg(value), 3) AS vel FROM events GROUP BY ALL"
@@ -21,10 +22,13 @@ def hourly_wind(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def write_station_csvs(rows: DataFrame, value: str, path: str) -> None:
-    """A folder a station of semicolon CSVs with decimal commas; weak values are blank, and each file begins with a header."""
+    """A semicolon CSV with decimal commas for each station and month; weak values are blank, and each file begins with a header."""
     number = F.when(F.col(value) < 2, "").otherwise(F.regexp_replace(F.format_string("%.3f", value), r"\.", ","))
     line = F.concat_ws(";", F.date_format("ts", "yyMMdd"), F.date_format("ts", "HHmm"), number, F.lit(""))
-    rows.select("station", line.alias("FECHA (YYMMDD);HORA (HHMM);valor;")).repartition("station").write.partitionBy("station").option("header", True).option("quote", "\u0000").option("sep", "\u0001").option("encoding", "ISO-8859-1").csv(path)
+    name = F.concat(F.lit("station_"), F.col("station").cast("string"), F.date_format("ts", "_yyyyMM"), F.lit(".csv"))
+    # The lines of a month.
+    files = rows.groupBy(name.alias("name")).agg(F.array_join(F.sort_array(F.collect_list(line)), "\n").alias("_text"))
+    write_files(files.select("name", F.encode(F.concat(F.lit("FECHA (YYMMDD);HORA (HHMM);valor;\n"), "_text", F.lit("\n")), "ISO-8859-1").alias("content")), path)
 
 
 @query(
@@ -37,8 +41,8 @@ def sinca_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     for value in ("dir", "vel"):
         path = shared(spark, f"series-{value}")
         write_station_csvs(rows, value, path)
-        found = stations.read_series(spark, f"{path}/*/*.csv")
-        read[value] = found.select(F.regexp_extract("file", "station=([0-9]+)/", 1).cast("long").alias("station"), "ts", "value")
+        found = stations.read_series(spark, f"{path}/*.csv")
+        read[value] = found.select(F.regexp_extract("file", "station_([0-9]+)_", 1).cast("long").alias("station"), "ts", "value")
     both = stations.wind_series(read["dir"], read["vel"], ["station"])
     lost = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
     return both.select("station", micros("ts").alias("us"), lost("dir"), lost("vel"))

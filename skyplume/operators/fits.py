@@ -90,8 +90,11 @@ def world_sigmas(px: DataFrame, keys: list[str], camera, z: Column, weight: Colu
     rows = px.select(*keys, *at, finite(weight).alias("_weight"))
     area = 4 * F.abs((F.col("_xu") - F.col("_x")) * (F.col("_yv") - F.col("_y")) - (F.col("_yu") - F.col("_y")) * (F.col("_xv") - F.col("_x")))
     rows = rows.select(*keys, "_x", "_y", (F.col("_weight") * area).alias("_w")).select(*keys, "_x", "_y", F.when(F.col("_w") > 0, F.col("_w")).alias("_w"))
-    enough = rows.groupBy(*keys).agg(F.count("_w").alias("n_used")).filter(F.col("n_used") >= least)
-    m = weighted_moments(rows, keys, F.col("_x"), F.col("_y"), F.col("_w")).join(enough, keys)
+    # One pass over all rows, about the point below the camera: clouds lie within some kilometres of it, so that squares keep their digits.
+    x, y, w = F.col("_x") - camera.centre[0], F.col("_y") - camera.centre[1], F.col("_w")
+    sums = rows.groupBy(*keys).agg(F.count(w).alias("n_used"), F.sum(w).alias("_m"), *[F.sum(w * e).alias(n) for e, n in ((x, "_sx"), (y, "_sy"), (x * x, "_sxx"), (y * y, "_syy"), (x * y, "_sxy"))]).filter(F.col("n_used") >= least)
+    mx, my = F.col("_sx") / F.col("_m"), F.col("_sy") / F.col("_m")
+    m = sums.select(*keys, "n_used", (mx + camera.centre[0]).alias("mean_u"), (my + camera.centre[1]).alias("mean_v"), *[(F.col(s) / F.col("_m") - p).alias(n) for s, p, n in (("_sxx", mx * mx, "var_u"), ("_syy", my * my, "var_v"), ("_sxy", mx * my, "cov_uv"))])
     major, minor = eigenvalues(F.col("var_u"), F.col("var_v"), F.col("cov_uv"))
     azimuth = F.pmod(90 - axis_of(F.col("var_u"), F.col("var_v"), F.col("cov_uv")), F.lit(180.0))
     root = lambda s: F.sqrt(F.greatest(s, F.lit(0.0)))

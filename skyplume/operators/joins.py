@@ -8,6 +8,7 @@ bucket, so that a hot key is dealt out over its buckets.
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skyplume.functions import circular as C
@@ -31,12 +32,23 @@ def bracketed(queries: DataFrame, ident: str, at: str, series: DataFrame, series
     key's first point or beyond its last; 'gap' where the neighbours are more
     than ``max_gap`` apart; 'none' where the key has no points. Queries are told
     apart by ``ident``. The ends of a key are one row each.
+
+    Queries and points are lined up within buckets of ``max_gap``, so that each row
+    is ordered once however dense the series is; what a bucket lacks at its edge
+    comes from the ends of the buckets next to it.
     """
     keys = keys or []
-    points = series.select(*keys, F.col(series_at).alias("_t"), F.col(value).alias("_v"), (F.col(direction) if direction else F.lit(None)).cast("double").alias("_d"))
-    pairs = bucketed(queries, points, at, "_t", max_gap, keys)
-    point = F.struct("_t", "_v", "_d")
-    around = pairs.groupBy(F.col(ident).alias("_q")).agg(F.max(F.when(F.col("_t") < F.col(at), point)).alias("p"), F.min(F.when(F.col("_t") >= F.col(at), point)).alias("n"))
+    points = series.select(*keys, F.col(series_at).alias("_t"), F.col(value).alias("_v"), (F.col(direction) if direction else F.lit(None)).cast("double").alias("_d")).dropna(subset=["_t", *keys])
+    bucket = lambda t: F.floor(t / max_gap)
+    dots = points.select(*keys, F.col("_t").alias("_at"), F.lit(1).alias("_kind"), F.struct("_t", "_v", "_d").alias("_p"))
+    asked = queries.select(*keys, F.col(at).alias("_at"), F.lit(0), F.lit(None).cast(dots.schema["_p"].dataType), F.col(ident).alias("_q"))
+    line = dots.withColumn("_q", F.lit(None).cast(queries.schema[ident].dataType)).union(asked).withColumn("_b", bucket(F.col("_at")))
+    order = W.partitionBy(*keys, "_b").orderBy("_at", "_kind", "_p")  # a query comes before the points of its time
+    line = line.withColumns({"p": F.last("_p", True).over(order.rowsBetween(W.unboundedPreceding, 0)), "n": F.first("_p", True).over(order.rowsBetween(0, W.unboundedFollowing))}).filter("_kind = 0").drop("_at", "_kind", "_p")
+    edges = dots.groupBy(*keys, bucket(F.col("_at")).alias("_b")).agg(F.max("_p").alias("_last"), F.min("_p").alias("_first"))
+    for d, edge, side in ((1, "_last", "p"), (-1, "_first", "n")):
+        line = line.join(edges.select(*keys, (F.col("_b") + d).alias("_b"), edge), [*keys, "_b"], "left").withColumn(side, F.coalesce(side, edge)).drop(edge)
+    around = line.select("_q", "p", "n")
     ends = points.groupBy(*keys).agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"))
     rows = queries.join(around, F.col(ident) == F.col("_q"), "left").drop("_q")
     rows = rows.join(ends, keys, "left") if keys else rows.join(F.broadcast(ends), F.lit(True), "left")
