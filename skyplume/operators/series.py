@@ -234,31 +234,10 @@ def high_pass(df: DataFrame, keys: list[str], order: list[str], value: str, cuto
     together, a moment at a time. Null and NaN count as 0. Ends are extended by odd
     reflection.
     """
-    import math
-
     import numpy as np
     import pyarrow as pa
 
-    k = math.tan(math.pi * cutoff / 2)
-    norm = 1 / (1 + math.sqrt(2) * k + k * k)
-    b0, a1, a2 = norm, 2 * (k * k - 1) * norm, (1 - math.sqrt(2) * k + k * k) * norm
-
-    def once(x: np.ndarray) -> np.ndarray:
-        # The state a constant input leaves behind, so that the first sample makes no step.
-        z1, z2 = -b0 * x[0], b0 * x[0]
-        out = np.empty_like(x)
-        for i, v in enumerate(x):
-            out[i] = b0 * v + z1
-            z1 = -2 * b0 * v - a1 * out[i] + z2
-            z2 = b0 * v - a2 * out[i]
-        return out
-
-    def both_ways(x: np.ndarray) -> np.ndarray:
-        pad = min(9, len(x) - 1)
-        if pad:
-            x = np.concatenate((2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]))
-        y = once(once(x)[::-1])[::-1]
-        return y[pad : len(y) - pad]
+    from skyplume.operators.frames import passed_high
 
     def run(table: pa.Table) -> pa.Table:
         table = table.sort_by([(c, "ascending") for c in ("_key", *order)])
@@ -268,7 +247,7 @@ def high_pass(df: DataFrame, keys: list[str], order: list[str], value: str, cuto
         out = np.empty_like(x)
         for n in np.unique(size).tolist():
             at = first[size == n][None, :] + np.arange(n)[:, None]
-            out[at] = both_ways(x[at])
+            out[at] = passed_high(x[at], cutoff)
         return table.drop_columns(["_key", "_block"]).append_column("passed", pa.array(out))
 
     # Keys are told apart whole; the hash only deals them out.
