@@ -184,22 +184,26 @@ def pack(pieces: DataFrame, order: list[str], length: int = LENGTH) -> DataFrame
     """``pieces`` (with a column ``length`` of 1 to ``length``) and their sequence_id and offset.
 
     ``order`` are the columns that tell pieces apart; pieces equal in all of them
-    may change places. All columns are kept. An empty table gives no rows; a
-    null or zero length has no place and is an error.
+    may change places. All columns are kept, whatever they are called; those called
+    sequence_id or offset are replaced. An empty table gives no rows; a null or
+    zero length has no place and is an error.
     """
-    rows = pieces.withColumn("_class", size_class(F.col("length"), length)).withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(SLICES)).cast("int"))
+    kept = [c for c in pieces.columns if c.lower() not in ("sequence_id", "offset")]
+    by = [f"_by{k}" for k in range(len(order))]
+    rows = pieces.select(F.struct(*kept).alias("_row"), F.col("length").alias("_length"), *[F.col(c).alias(b) for c, b in zip(order, by, strict=True)])
+    rows = rows.withColumn("_class", size_class(F.col("_length"), length)).withColumn("_slice", F.pmod(F.xxhash64(*by), F.lit(SLICES)).cast("int"))
     slices = rows.groupBy("_class", "_slice").agg(F.count("*").alias("_n"))
     # One task gets a row for each class, some hundreds whatever the input.
     table = slices.groupBy("_class").agg(F.sum("_n").alias("n")).groupBy().applyInPandas(lambda pdf: planned(pdf, length), "_c int, _first long, _end long, _a long, _sequence long, _slot long")
     table = settled(table)  # also raises errors here
     before = slices.select(F.col("_class").alias("_c2"), F.col("_slice").alias("_s2"), (F.sum("_n").over(W.partitionBy("_class").orderBy("_slice")) - F.col("_n")).alias("_before"))
-    rows = rows.withColumn("_rank", F.row_number().over(W.partitionBy("_class", "_slice").orderBy(*order)) - 1)
+    rows = rows.withColumn("_rank", F.row_number().over(W.partitionBy("_class", "_slice").orderBy(*by)) - 1)
     rows = rows.join(before, (F.col("_class") == F.col("_c2")) & (F.col("_slice") == F.col("_s2"))).withColumn("_rank", F.col("_rank") + F.col("_before"))
     rows = rows.join(F.broadcast(table), (F.col("_class") == F.col("_c")) & (F.col("_rank") >= F.col("_first")) & (F.col("_rank") < F.col("_end")))
     at = F.col("_rank") - F.col("_first")
-    rows = rows.withColumns({"sequence_id": F.col("_sequence") + F.floor(at / F.col("_a")).cast("long"), "_place": F.col("_slot") + at % F.col("_a")})
-    rows = rows.withColumn("offset", F.sum("length").over(W.partitionBy("sequence_id").orderBy("_place")) - F.col("length"))
-    return rows.select(*pieces.columns, "sequence_id", "offset")
+    rows = rows.withColumns({"_id": F.col("_sequence") + F.floor(at / F.col("_a")).cast("long"), "_place": F.col("_slot") + at % F.col("_a")})
+    offset = F.sum("_length").over(W.partitionBy("_id").orderBy("_place")) - F.col("_length")
+    return rows.withColumn("_offset", offset).select("_row.*", F.col("_id").alias("sequence_id"), F.col("_offset").alias("offset"))
 
 
 def sequences(packed: DataFrame, pad_id: int = 0, length: int = LENGTH) -> DataFrame:
