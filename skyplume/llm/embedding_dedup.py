@@ -50,11 +50,11 @@ LEAF = 200
 
 
 def clean(vectors: DataFrame) -> DataFrame:
-    """vec_id, label, embedding (doubles), ``usable``: labelled, not null, not zero, all components finite."""
+    """vec_id, label (as text), embedding (doubles), ``usable``: labelled, not null, not zero, all components finite."""
     x = F.col("embedding").cast("array<double>")
     bad = F.exists(x, lambda v: v.isNull() | F.isnan(v) | (F.abs(v) == float("inf")))
     usable = F.col("label").isNotNull() & x.isNotNull() & ~F.coalesce(bad, F.lit(True)) & F.exists(x, lambda v: v != 0)
-    return vectors.select("vec_id", "label", x.alias("embedding"), F.coalesce(usable, F.lit(False)).alias("usable"))
+    return vectors.select("vec_id", F.col("label").cast("string").alias("label"), x.alias("embedding"), F.coalesce(usable, F.lit(False)).alias("usable"))
 
 
 def units(x: np.ndarray) -> np.ndarray:
@@ -121,7 +121,7 @@ def forest(units_: DataFrame, trees: int, spill: float, leaf: int, rounds: int =
     """(vec_id, label, dim, tree, node, own): the leaves that the vectors of ``units_`` (vec_id, label, dim, unit) live in and visit."""
     live = units_.select("vec_id", "label", "dim", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"), F.lit(1).cast("long").alias("node"), F.lit(True).alias("own"))
     leaves = None
-    held = "label int, dim int, tree int, node long, "
+    held = "label string, dim int, tree int, node long, "
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         first = pdf.iloc[0]
@@ -218,7 +218,7 @@ def unit_rows(classes: DataFrame) -> DataFrame:
                 x = units(np.stack(part["embedding"].to_numpy()))
                 yield part.drop(columns=["embedding"]).assign(dim=dim, unit=[row.tobytes() for row in x])[["vec_id", "label", "dim", "n", "unit"]]
 
-    return classes.select("vec_id", "label", "n", "embedding").mapInPandas(run, "vec_id long, label int, dim int, n long, unit binary")
+    return classes.select("vec_id", "label", "n", "embedding").mapInPandas(run, "vec_id long, label string, dim int, n long, unit binary")
 
 
 def near_vectors(vectors: DataFrame, cosine: float = COSINE, trees: int | None = None, spill: float = SPILL, leaf: int = LEAF, tile: int = TILE) -> DataFrame:
@@ -230,7 +230,8 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, trees: int | None =
     links and are their own component. n_links counts other rows, copies
     included; rows repeated with the same vec_id count each other as copies do.
     Vectors of any length are compared with those of their length. An empty table
-    gives no rows. Other columns are not read.
+    gives no rows. Labels may be of any type that has a text. Other columns are not
+    read, whatever they are called.
     """
     rows = settled(clean(vectors))
     good = rows.filter("usable").withColumn("key", F.sha2(F.to_json(F.struct("label", "embedding")), 256))
