@@ -403,6 +403,21 @@ def test_sequences_hold_the_ids(odd):
     assert sum(ids.values()) == sum(want.values())
 
 
+def test_pack_keeps_columns_of_any_name(spark):
+    names = ["_class", "_slice", "_rank", "_row", "_length", "_by0", "_c", "_a", "_id", "_place", "_offset", "_n", "_before", "offset", "sequence_id", "text"]
+    rows = [(k, 1 + 37 * k % 900, *[f"mine{k}"] * len(names)) for k in range(60)]
+    out = packing.pack(spark.createDataFrame(rows, "id long, length int, " + ", ".join(f"{n} string" for n in names)), ["id"])
+    assert out.columns == ["id", "length", *(n for n in names if n not in ("offset", "sequence_id")), "sequence_id", "offset"]
+    got = out.collect()
+    assert len(got) == 60 and all(r[n] == f"mine{r.id}" for r in got for n in names if n not in ("offset", "sequence_id")) and all(r["length"] == 1 + 37 * r.id % 900 for r in got)
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append((r.offset, r["length"]))
+    for parts in by.values():
+        parts.sort()
+        assert [o for o, _ in parts] == np.cumsum([0, *(n for _, n in parts)])[:-1].tolist() and sum(n for _, n in parts) <= packing.LENGTH
+
+
 def test_plan_takes_each_piece_once():
     rng = np.random.default_rng(0)
     for n in (1, 5, 500, 20000):
@@ -566,6 +581,12 @@ def test_vectors(spark, tile):
     assert embedding_dedup.near_vectors(df.filter("false")).count() == 0
 
 
+def test_labels_of_other_types(spark):
+    rows = [(k, [1.0, 0.01 * k], "ab"[k % 2] if k < 6 else None) for k in range(8)]
+    got = embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id, r.kept) for r in got) == [(k, 2, k % 2, k < 2) for k in range(6)] + [(6, 0, 6, True), (7, 0, 7, True)]
+
+
 def test_routes_of_a_tree():
     rng = np.random.default_rng(3)
     x = embedding_dedup.units(rng.normal(size=(3000, 24)))
