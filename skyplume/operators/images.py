@@ -49,7 +49,7 @@ def candidates(heat: Column, new: Column, least_heat: float, least_new: float) -
     return F.coalesce((finite(heat) > least_heat) & (finite(new) > least_new), F.lit(False))
 
 
-#: Weight, centre and slope of what speaks for shadow: darkness, lost saturation, little red, lost edges.
+#: Weight, centre and slope of what speaks for shadow: darkness, saturation that is not lost, little red, edges that are not lost.
 SHADOW = {"dark": (0.35, 80.0, -0.08), "saturation": (0.25, 30.0, -0.10), "red": (0.20, 120.0, -0.06), "edges": (0.20, 20.0, -0.12)}
 
 
