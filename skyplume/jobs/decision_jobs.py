@@ -130,3 +130,46 @@ def refined_spreads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     out = refine.refined(refine.on_right_plane(rows, CAMERA, 20.0, "z", "up"), ["clip"], CAMERA, 70.0, "ratio")
     return out.select("p_partkey", F.round("factor", 6).alias("factor"), F.round("east", 4).alias("east"), F.round("north", 4).alias("north"), *[F.round(c, 5).alias(c) for c in ("along", "across", "vertical")], "rounds", F.round("change", 6).alias("change"))
+
+
+SIGMA_SQL = "sqrt(greatest(CASE WHEN t <= e THEN {s0} + {k} * pow(t, {a}) ELSE {s0} + {k} * pow(e, {a}) + {k} * {a} * pow(e, {a} - 1) * (t - e) END, 1e-6))"
+LAWS = {"along": ("10 + s_nationkey", "1.5::DOUBLE", "1.2::DOUBLE"), "across": ("8.0::DOUBLE", "1 + s_nationkey / 25", "1.0::DOUBLE"), "up": ("4.0::DOUBLE", "0.8::DOUBLE", "1.1::DOUBLE")}
+
+
+@query(
+    "concentrations",
+    f"""
+WITH c AS (SELECT s_suppkey, s_nationkey, abs(s_acctbal) + 10 AS m, 20 + s_suppkey % 30::DOUBLE AS h, 5 + s_nationkey::DOUBLE AS e FROM supplier),
+g AS (SELECT *, greatest(e / 200, 0.05) AS f, greatest(10 * e, 150) AS l FROM c), t AS (SELECT g.*, i, f * pow(l / f, i / 39.0::DOUBLE) AS t FROM g, range(40) r(i)),
+s AS (SELECT *, {", ".join(f"{SIGMA_SQL.format(s0=f'({a})', k=f'({b})', a=f'({c})')} AS {n}" for n, (a, b, c) in LAWS.items())} FROM t),
+d AS (SELECT *, m / (pow(2 * pi(), 1.5) * along * across * up) AS q FROM s)
+SELECT s_suppkey, CAST(i AS INTEGER) AS i, round(t, 6) AS t, round(q * (1 + exp(-2 * h * h / (up * up))), 8) AS cloud, round(q * (exp(-pow(1.5 - h, 2) / (2 * up * up)) + exp(-pow(1.5 + h, 2) / (2 * up * up))), 8) AS receptor FROM d""",
+)
+def concentrations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Puffs over time in their middle: at the cloud's height and where one breathes."""
+    from skyplume.operators.fits import concentration_series
+
+    n, x = F.col("s_nationkey"), lambda v: F.lit(float(v))
+    laws = {"along": (10.0 + n, x(1.5), x(1.2)), "across": (x(8), 1 + n / 25.0, x(1)), "up": (x(4), x(0.8), x(1.1))}
+    out = concentration_series(table(spark, sf_dir, "supplier"), ["s_suppkey"], F.abs("s_acctbal") + 10, 20.0 + F.col("s_suppkey") % 30, laws, 5.0 + n, n=40)
+    return out.select("s_suppkey", "i", F.round("t", 6).alias("t"), F.round("cloud", 8).alias("cloud"), F.round("receptor", 8).alias("receptor"))
+
+
+@query(
+    "coverage_of_instants",
+    """
+WITH p AS (SELECT user_id, epoch_us(ts) // 1000000 AS t FROM events), q AS (SELECT DISTINCT o_custkey % 40 AS user_id, epoch_us(o_orderdate::TIMESTAMP) // 1000000 % 2764800 + 1703980800 AS instant FROM orders),
+e AS (SELECT user_id, min(t) AS lo, max(t) AS hi FROM p GROUP BY 1),
+n AS (SELECT q.user_id, q.instant, count(p.t) AS n, min(abs(p.t - q.instant)) AS d FROM q LEFT JOIN p ON p.user_id = q.user_id AND abs(p.t - q.instant) <= 43200 GROUP BY ALL),
+v AS (SELECT n.*, CASE WHEN lo IS NULL THEN 'empty' WHEN instant < lo THEN 'before' WHEN instant > hi THEN 'after' WHEN n = 0 THEN 'hole' WHEN n < 3 THEN 'partial' ELSE 'full' END AS verdict FROM n LEFT JOIN e USING (user_id))
+SELECT user_id, instant, verdict, n AS n_near, CASE WHEN verdict IN ('partial', 'full') THEN d END AS nearest FROM v""",
+)
+def coverage_of_instants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each user's events cover a table of moments, half a day either way."""
+    from skyplume.functions.times import micros
+    from skyplume.operators.joins import coverage_at
+
+    seconds = lambda c: F.floor(micros(c) / 1_000_000)
+    points = table(spark, sf_dir, "events").select("user_id", seconds("ts").alias("t"))
+    asked = table(spark, sf_dir, "orders").select((F.col("o_custkey") % 40).alias("user_id"), (F.floor(F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))) % 2_764_800 + 1_703_980_800).alias("instant"))
+    return coverage_at(points, ["user_id"], "t", asked, 43_200, 3)

@@ -148,3 +148,22 @@ def radial_rings(df: DataFrame, keys: list[str], x: Column, y: Column, rings: in
     rows = per.join(F.broadcast(population.filter(F.col("ring") < rings)), "ring", "left").join(total, keys).join(F.broadcast(everywhere))
     share = F.col("n") / F.greatest(F.coalesce("pixels", F.lit(1)), F.lit(1))
     return rows.select(*keys, "ring", "n", share.alias("share"), (share >= at_least * F.greatest(F.col("_n") / F.col("_pixels"), F.lit(1e-6))).alias("bright"))
+
+
+def concentration_series(clouds: DataFrame, keys: list[str], mass: Column, height: Column, laws: dict[str, tuple[Column, Column, Column]], t_end: Column, receptor: float = 1.5, n: int = 400) -> DataFrame:
+    """(keys, i, t, cloud, receptor): concentration in the middle of each row's puff at ``n`` times that grow by a constant factor, at the cloud's height and at the receptor's.
+
+    ``laws``: (s0, k, alpha) of the growth along, across and up ("along", "across", "up"), measured
+    until ``t_end`` and carried on in a line. Times go from a 200th of ``t_end`` (0.05 at
+    least) to ten times it (150 at least).
+    """
+    from skyplume.functions import physics as P
+
+    first, last = F.greatest(t_end / 200, F.lit(0.05)), F.greatest(10 * t_end, F.lit(150.0))
+    parts = {f"_{name}{i}": c for name, law in laws.items() for i, c in enumerate(law)}
+    rows = clouds.select(*keys, first.alias("_f"), last.alias("_l"), t_end.alias("_e"), mass.alias("_m"), height.alias("_h"), *[c.alias(a) for a, c in parts.items()])
+    rows = rows.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("t", F.col("_f") * F.pow(F.col("_l") / F.col("_f"), F.col("i") / F.lit(float(n - 1))))
+    sigma = {name: P.grown_sigma(F.col("t"), *[F.col(f"_{name}{i}") for i in range(3)], F.col("_e")) for name in laws}
+    rows = rows.select(*keys, "i", "t", "_m", "_h", *[c.alias(f"_s{name}") for name, c in sigma.items()])
+    at = lambda z: P.puff(F.col("_m"), F.lit(0.0), F.lit(0.0), z, F.col("_h"), F.col("_salong"), F.col("_sacross"), F.col("_sup"))
+    return rows.select(*keys, "i", "t", at(F.col("_h")).alias("cloud"), at(F.lit(float(receptor))).alias("receptor"))

@@ -78,6 +78,21 @@ def coverage(series: DataFrame, keys: list[str], at: str, instants: list[int], m
     return rows.select(*keys, e.alias("instant"), verdict.alias("verdict"), n.alias("n_near"), F.when(verdict.isin("partial", "full"), F.col("_e.d")).alias("nearest"))
 
 
+def coverage_at(series: DataFrame, keys: list[str], at: str, instants: DataFrame, margin: int, least: int) -> DataFrame:
+    """``coverage`` for a table of ``instants`` (keys, instant): each key's own, however many; a key without points is 'empty' here.
+
+    Points and instants meet in buckets of ``margin``, and each key's ends are one row.
+    """
+    asked = instants.select(*keys, "instant").distinct()
+    points = series.select(*keys, F.col(at).alias("_t"))
+    ends = points.groupBy(*keys).agg(F.min("_t").alias("_first"), F.max("_t").alias("_last"))
+    near = bucketed(asked, points, "instant", "_t", margin, keys).groupBy(*keys, "instant").agg(F.count("*").alias("_n"), F.min(F.abs(F.col("_t") - F.col("instant"))).alias("_d"))
+    rows = asked.join(ends, keys, "left").join(near, [*keys, "instant"], "left").withColumn("_n", F.coalesce("_n", F.lit(0)))
+    e, n = F.col("instant"), F.col("_n")
+    verdict = F.when(F.col("_first").isNull(), "empty").when(e < F.col("_first"), "before").when(e > F.col("_last"), "after").when(n == 0, "hole").when(n < least, "partial").otherwise("full")
+    return rows.select(*keys, "instant", verdict.alias("verdict"), n.alias("n_near"), F.when(verdict.isin("partial", "full"), F.col("_d")).alias("nearest"))
+
+
 def nearest(left: DataFrame, ident: str, left_at: str, right: DataFrame, right_id: str, right_at: str, tolerance: int, keys: list[str]) -> DataFrame:
     """(ident, right_id, distance): the nearest row of ``right`` within ``tolerance``; ties: the smaller right_id."""
     pairs = bucketed(left, right, left_at, right_at, tolerance, keys)

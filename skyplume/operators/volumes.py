@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyplume.functions.camera import Camera
-from skyplume.operators.masks import FACES, component_labels
+from skyplume.operators.masks import FACES, component_labels, dilate
 
 #: Rows of pixels that a task sums at once.
 BAND = 256
@@ -145,3 +145,41 @@ def regularized(voxels: DataFrame, shape: tuple[int, int, int], domain: DataFram
     """(keys, v, u, k): the voxels of ``cleaned_frames``; of a grid with gaps only those in ``domain`` (v, u, k)."""
     rows = cleaned_frames(voxels, shape, keys=keys, **how).select(*keys, F.explode("cells").alias("_c")).select(*keys, "_c.*")
     return rows if domain is None else rows.join(domain.select("v", "u", "k"), ["v", "u", "k"], "left_semi").select(*keys, "v", "u", "k")
+
+
+def density_fields(voxels: DataFrame, shape: tuple[int, int, int], smooth: float = 1.2, top: float = 0.09, keys: tuple[str, ...] = ("frame",), least: float = 1e-6) -> DataFrame:
+    """(keys, v, u, k, density): each frame's voxels blurred along the three axes, its densest cell at ``top``; cells below ``least`` are left out.
+
+    Beyond the grid the field is mirrored. Without ``smooth`` all voxels have ``top``.
+    """
+    inside = voxels.filter(" and ".join(f"{c} >= 0 and {c} < {n}" for c, n in zip("vuk", shape, strict=True)))
+    reach = int(4 * smooth + 0.5)
+    weight = np.exp(-(np.arange(-reach, reach + 1) ** 2) / (2 * smooth * smooth)) if smooth > 0 else np.ones(1)
+    weight = weight / weight.sum()
+
+    def run(table: pa.Table) -> pa.Table:
+        cells = np.stack([table.column(c).to_numpy() for c in "vuk"], axis=1)
+        low, high = np.maximum(cells.min(axis=0) - reach, 0), np.minimum(cells.max(axis=0) + reach + 1, shape)
+        field = np.zeros(high - low)
+        field[tuple((cells - low).T)] = 1.0
+        for axis in range(3):
+            # Mirrored where the grid ends, nothing where only the crop does.
+            ends = (reach, "symmetric") if low[axis] == 0 else (reach, "constant"), (reach, "symmetric") if high[axis] == shape[axis] else (reach, "constant")
+            for side, (n, how) in enumerate(ends):
+                field = np.pad(field, [((n, 0) if side == 0 else (0, n)) if i == axis else (0, 0) for i in range(3)], mode=how)
+            n = field.shape[axis] - 2 * reach
+            field = sum(w * np.take(field, np.arange(i, i + n), axis=axis) for i, w in enumerate(weight))
+        field = field * (top / field.max())
+        at = np.argwhere(field >= least)
+        first = pa.array(np.zeros(len(at), np.int64))
+        there = at + low
+        return pa.table({**{k: table.column(k).combine_chunks().take(first) for k in keys}, **{c: pa.array(there[:, i], pa.int32()) for i, c in enumerate("vuk")}, "density": field[tuple(at.T)]})
+
+    kinds = ", ".join(f"`{k}` {voxels.schema[k].dataType.simpleString()}" for k in keys)
+    return inside.select(*keys, *[F.col(c).cast("int").alias(c) for c in "vuk"]).groupBy(*keys).applyInArrow(run, f"{kinds}, v int, u int, k int, density double")
+
+
+def outside_grid(gas: DataFrame, seen: DataFrame, height: int, width: int, reach: int = 4) -> DataFrame:
+    """(frame, share): how much of each frame's gas (frame, v, u) lies beyond the pixels in which any voxel of the grid is seen (v, u), widened by a box of ``reach``."""
+    covered = dilate(seen.select(F.lit(0).alias("frame"), "v", "u").distinct(), reach, height, width).select("v", "u", F.lit(1).alias("_in"))
+    return gas.join(covered, ["v", "u"], "left").groupBy("frame").agg(((F.count("*") - F.count("_in")) / F.count("*")).alias("share"))

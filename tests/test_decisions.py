@@ -148,3 +148,60 @@ def test_a_camera_overhead_adds_nothing():
     assert tangent == pytest.approx(0, abs=1e-7)
     tangent, along, across = refine.sight(Camera.at(100.0, (0.0, 0.0, 9.0), 30.0, -45.0, 10, 10), 30.0)
     assert (tangent, along, across) == pytest.approx((1, 1, 0), abs=1e-9)
+
+
+# Streams
+
+
+def test_sessions_as_a_stream_with_late_rows(spark, tmp_path):
+    """Files that arrive one by one: sessions come out once the watermark has passed them, a row that is late but within it counts, one beyond it is dropped."""
+    from skyplume.streaming.episodes import session_counts
+
+    at = lambda minutes: pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=minutes)
+    files = [[(1, at(0), 1.0), (1, at(20), 2.0), (2, at(5), 7.0)], [(1, at(40), 4.0), (2, at(300), 1.0)], [(1, at(130), 8.0), (3, at(290), 2.0)], [(4, at(900), 1.0), (2, at(10), 99.0)], [(4, at(2000), 1.0)]]
+    schema = "user_id long, ts timestamp, value double"
+    for k, rows in enumerate(files):
+        frame = pd.DataFrame(rows, columns=["user_id", "ts", "value"])
+        spark.createDataFrame(frame, schema).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in/*")
+    query = session_counts(stream, "30 minutes", "200 minutes").writeStream.format("memory").queryName("sessions").outputMode("append").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    got = sorted((r.user_id, r.n, r.total, (r.end_us - r.start_us) // 60_000_000) for r in spark.table("sessions").collect())
+    # 1: 0, 20 and 40 are one session, 130 (late, within 200 minutes of 300) another; 2: 10 is 290 minutes late.
+    assert got == [(1, 1, 8.0, 30), (1, 3, 7.0, 70), (2, 1, 1.0, 30), (2, 1, 7.0, 30), (3, 1, 2.0, 30), (4, 1, 1.0, 30)]
+    spark.sql("drop view sessions")
+
+
+# Fields and series
+
+
+def test_density_fields(spark):
+    from skyplume.operators import volumes
+
+    rng = np.random.default_rng(8)
+    shape = (9, 8, 12)
+    solids = {1: {tuple(map(int, c)) for c in np.argwhere(rng.random(shape) < 0.05)}, 2: {(4, 4, 5)}, 3: {(0, 0, 0)}}
+    df = spark.createDataFrame([(f, *c) for f, s in solids.items() for c in s] + [(2, 99, 0, 0)], "frame long, v int, u int, k int")
+    got = {}
+    for r in volumes.density_fields(df, shape, 0.8, 0.09).collect():
+        got.setdefault(r.frame, {})[r.v, r.u, r.k] = r.density
+    mirror = lambda i, n: i if 0 <= i < n else (-1 - i if i < 0 else 2 * n - 1 - i)
+    w = np.exp(-(np.arange(-3, 4) ** 2) / (2 * 0.64))
+    w /= w.sum()
+    for f, solid in solids.items():
+        a = np.zeros(shape)
+        for c in solid:
+            a[c] = 1
+        for axis, n in enumerate(shape):
+            a = sum(w[d + 3] * np.take(a, [mirror(i + d, n) for i in range(n)], axis=axis) for d in range(-3, 4))
+        a *= 0.09 / a.max()
+        assert got[f] == {tuple(map(int, c)): pytest.approx(a[tuple(c)]) for c in np.argwhere(a >= 1e-6)}
+    assert {tuple(r)[1:] for r in volumes.density_fields(df.filter("frame = 2"), shape, 0.0).collect()} == {(4, 4, 5, 0.09)}
+
+
+def test_gas_outside_the_grid(spark):
+    from skyplume.operators import volumes
+
+    gas = spark.createDataFrame([(1, 0, k) for k in range(10)] + [(2, 0, 1)], "frame long, v int, u int")
+    seen = spark.createDataFrame([(0, 1), (0, 1), (0, 2)], "v int, u int")
+    assert {r.frame: r.share for r in volumes.outside_grid(gas, seen, 5, 20, 2).collect()} == {1: 0.5, 2: 0.0}
