@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Deletes these to compare texts; separates words elsewhere.
@@ -95,6 +95,25 @@ def move(spark: SparkSession, path: str, to: str) -> None:
         raise OSError(f"{path} could not become {to}")
 
 
+def seeded(seed: int, key: Column) -> Column:
+    return F.xxhash64(F.lit(seed), key)
+
+
+def numbered(rows: DataFrame, key: str, name: str, hashed: Callable[[int, Column], Column] = seeded, rounds: int = 50) -> DataFrame:
+    """``rows``, each with a ``key`` of its own, and a number for it under ``name``: no two keys have the same, and reruns give the same.
+
+    Numbers are hashes of 64 bits; the few keys whose numbers meet are hashed anew
+    until none do.
+    """
+    out = settled(rows.withColumn(name, hashed(0, F.col(key))))
+    for seed in range(1, rounds):
+        clash = settled(out.groupBy(name).agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col(name).alias("_clash")))
+        if clash.isEmpty():
+            return out
+        out = settled(out.join(clash, F.col(name) == F.col("_clash"), "left").withColumn(name, F.when(F.col("_clash").isNotNull(), hashed(seed, F.col(key))).otherwise(F.col(name))).drop("_clash"))
+    raise RuntimeError(f"numbers still meet after {rounds} rounds")
+
+
 def min_labels(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """For n nodes, each one's smallest node index that the links reach."""
     label = np.arange(n)

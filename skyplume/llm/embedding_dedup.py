@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyplume.llm.common import components, min_labels, settled, tiled
+from skyplume.llm.common import components, min_labels, numbered, settled, tiled
 
 COSINE = 0.98
 #: Half-width of a split's spill, times the root of the dimension: some 6 % of a node's vectors go to both sides.
@@ -238,7 +238,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, trees: int | None =
     keyed = settled(good.select("vec_id", "label", "embedding", "key"))
     classes = keyed.groupBy("key").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("n"), F.any_value("label").alias("label"), F.any_value("embedding").alias("embedding"))
     # A vec_id with several vectors names the first of them here; each class has a number of its own.
-    classes = settled(classes.withColumn("number", F.xxhash64("key")))
+    classes = numbered(classes, "key", "number")
     vecs = settled(unit_rows(classes.select(F.col("number").alias("vec_id"), "label", "n", "embedding")))
     largest = vecs.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
     trees = trees or tree_count(largest, leaf)

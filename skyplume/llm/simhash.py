@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyplume.llm.common import components, min_labels, settled, sliced, tiled
+from skyplume.llm.common import components, min_labels, numbered, settled, sliced, tiled
 
 DISTANCE = 2
 #: Fingerprints in a tile's block.
@@ -362,11 +362,12 @@ def similar_documents(docs: DataFrame, width: int = 5, codes: int | None = None,
     ``distance`` of 256 bits stands for a Jaccard similarity of 0.8 plus the
     estimate's spread. Pairs within it make rough groups, in which the sets are
     compared exactly: no pair below 0.8 is linked, and of pairs at 0.8 some two
-    in a hundred are missed. Treats nulls, blanks, repeated rows and empty
+    in a hundred are missed. Sets whose 256 bits are all equal are taken as alike.
+    Treats nulls, blanks, repeated rows and empty
     tables as ``near_duplicates`` does.
     """
     prints = settled(wide_fingerprints(docs, width))
-    firsts = settled(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("key").alias("key")).withColumn("node", F.xxhash64("fp")))
+    firsts = numbered(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("key").alias("key")), "fp", "node")
     n = firsts.count()
     bits = code_bits(n)
     places = code_places(bits, codes or code_count(bits))
