@@ -58,6 +58,18 @@ def test_components(spark):
     assert got == {i: want[i] for a, b in pairs if a != b for i in (a, b)}
 
 
+def test_numbers_of_keys_never_meet(spark):
+    rows = spark.range(400).select(F.concat(F.lit("key"), F.col("id").cast("string")).alias("key"), "id")
+    weak = lambda seed, key: F.pmod(F.xxhash64(F.lit(seed), key), F.lit(600 + 1000 * seed)) + F.lit(10**6 * seed)
+    got = {r.key: r.number for r in common.numbered(rows, "key", "number", weak).collect()}
+    assert len(got) == len(set(got.values())) == 400 and max(got.values()) > 10**6
+    assert got == {r.key: r.number for r in common.numbered(rows.repartition(3), "key", "number", weak).collect()}
+    plain = {r.key: r.number for r in common.numbered(rows, "key", "number").collect()}
+    assert plain == {r.key: r.n for r in rows.select("key", F.xxhash64(F.lit(0), "key").alias("n")).collect()}
+    with pytest.raises(RuntimeError, match="meet"):
+        common.numbered(rows, "key", "number", lambda seed, key: F.lit(1), 3)
+
+
 # 2
 
 
