@@ -147,23 +147,27 @@ def mask_texture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("frame", "area", *[F.round(c, 6 if c in ("texture", "edge_distance", "edge_share", "cut") else 5).alias(c) for c in out.columns[2:]])
 
 
-SIDE = 48
+SIDE, TILES = 48, 36
 
 
-def mosaic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(v, u, value): the first 36 arrays of 8 x 8 as one picture of 48 x 48."""
-    rows = table(spark, sf_dir, "embeddings").filter("vec_id < 36").select("vec_id", F.posexplode("embedding").alias("i", "x"))
-    v, u = F.floor(F.col("vec_id") / 6) * 8 + F.floor(F.col("i") / 8), F.col("vec_id") % 6 * 8 + F.col("i") % 8
-    return rows.select(v.cast("int").alias("v"), u.cast("int").alias("u"), (F.col("x").cast("double") * 200 + 128).alias("value"))
+def mosaics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(frame, v, u, value): each 36 arrays of 8 x 8 as one picture of 48 x 48; a picture that lacks a tile is left out."""
+    rows = table(spark, sf_dir, "embeddings").select(F.floor(F.col("vec_id") / TILES).alias("frame"), (F.col("vec_id") % TILES).alias("tile"), "embedding")
+    whole = rows.groupBy("frame").agg(F.countDistinct("tile").alias("_n")).filter(F.col("_n") == TILES).select("frame")
+    rows = rows.join(whole, "frame").select("frame", "tile", F.posexplode("embedding").alias("i", "x"))
+    v, u = F.floor(F.col("tile") / 6) * 8 + F.floor(F.col("i") / 8), F.col("tile") % 6 * 8 + F.col("i") % 8
+    return rows.select("frame", v.cast("int").alias("v"), u.cast("int").alias("u"), (F.col("x").cast("double") * 200 + 128).alias("value"))
 
 
-@query("frame_moves", "SELECT DISTINCT CAST(label AS INTEGER) AS frame, CAST(label % 5 - 2 AS DOUBLE) AS across, CAST(label % 3 - 1 AS DOUBLE) AS down, 0.0::DOUBLE AS degrees, true AS converged FROM embeddings")
+@query(
+    "frame_moves",
+    "SELECT vec_id // 36 AS frame, CAST(any_value(vec_id // 36) % 5 - 2 AS DOUBLE) AS across, CAST(any_value(vec_id // 36) % 3 - 1 AS DOUBLE) AS down, 0.0::DOUBLE AS degrees, true AS converged FROM embeddings GROUP BY 1 HAVING count(DISTINCT vec_id % 36) = 36",
+)
 def frame_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A picture moved by what each label says, and the move found again."""
-    back = mosaic(spark, sf_dir)
-    labels = table(spark, sf_dir, "embeddings").select(F.col("label").cast("int").alias("frame")).distinct()
-    # Where the picture is (v, u) the moved one has (v - down, u - across); ten labels.
-    moved = back.join(F.broadcast(labels), F.lit(True)).select("frame", (F.col("v") - (F.col("frame") % 3 - 1)).alias("v"), (F.col("u") - (F.col("frame") % 5 - 2)).alias("u"), "value")
+    """Each picture moved by what its number says, and the move found again."""
+    back = mosaics(spark, sf_dir)
+    # Where the picture is (v, u) the moved one has (v - down, u - across).
+    moved = back.select("frame", (F.col("v") - (F.col("frame") % 3 - 1)).cast("int").alias("v"), (F.col("u") - (F.col("frame") % 5 - 2)).cast("int").alias("u"), "value")
     out = frames.registered(moved, back, SIDE, SIDE, sigma=2.0)
     near = lambda c: (F.round(c, 1) + 0.0).alias(c)
     return out.select("frame", near("across"), near("down"), near("degrees"), "converged")

@@ -59,12 +59,12 @@ def month_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     line = lambda dd: F.concat(F.lit("<tr>"), cell(F.date_format("ts", "dd-MM-yyyy")), cell(F.date_format("ts", "HH:mm")), cell(F.format_string("%.3f", dd)), cell(F.format_string("%.3f", "vel")), F.lit("</tr>"))
     head = "<html><body><table><tr><th>Fecha</th><th>Hora UTC</th><th>dd (grados)</th><th>ff (kt)</th></tr>"
     path = shared(spark, "months")
+    name = F.concat(F.lit("station_"), F.col("station").cast("string"), F.date_format("ts", "_yyyyMM"))
     for k, dd in enumerate((F.col("dir") + 1, F.col("dir"))):
-        pages = rows.groupBy("station").agg(F.concat(F.lit(head), F.array_join(F.sort_array(F.collect_list(line(dd))), ""), F.lit("<tr><td>none</td><td></td><td>x</td><td></td></tr></table></body></html>")).alias("page"))
-        pages.select("station", "page").write.partitionBy("station").option("lineSep", "\n").text(f"{path}/part-{k}")
-    found = stations.read_months(spark, f"{path}/*/*/*.txt").withColumn("station", F.regexp_extract("file", "station=([0-9]+)/", 1).cast("long"))
-    # Spark names files itself: their order is that of their folders.
-    found = found.withColumn("file", F.concat(F.regexp_extract("file", "(part-[0-9])/station", 1), F.lit("/"), F.col("station").cast("string")))
+        # The rows of a month.
+        pages = rows.groupBy(F.concat(name, F.lit(f"_{k}.xls")).alias("name")).agg(F.concat(F.lit(head), F.array_join(F.sort_array(F.collect_list(line(dd))), ""), F.lit("<tr><td>none</td><td></td><td>x</td><td></td></tr></table></body></html>")).alias("page"))
+        write_files(pages.select("name", F.encode("page", "UTF-8").alias("content")), path)
+    found = stations.read_months(spark, f"{path}/*.xls").withColumn("station", F.regexp_extract("file", "station_([0-9]+)_", 1).cast("long"))
     out = stations.joined_months(found, ["station"])
     return out.select("station", micros("ts").alias("us"), F.round("dir", 3).alias("dir"), F.round("vel", 6).alias("vel"), F.lit("knots").alias("unit"))
 

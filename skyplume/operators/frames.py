@@ -259,7 +259,8 @@ MOVE = "degrees double, across double, down double, correlation double, converge
 def registered(px: DataFrame, background: DataFrame, height: int, width: int, **how) -> DataFrame:
     """(frame, degrees, across, down, correlation, converged) of ``aligned`` for each frame of ``px`` (frame, v, u, value) against ``background`` (v, u, value).
 
-    The background is one frame: its array goes along with each of the others.
+    The background is one frame, whose array goes along with each of the others; where
+    it has a column ``frame``, each frame has its own, and frames without one are left out.
     """
 
     def pack(table: pa.Table) -> pa.Table:
@@ -276,6 +277,9 @@ def registered(px: DataFrame, background: DataFrame, height: int, width: int, **
             kinds = [*[pa.float64()] * 4, pa.bool_()]
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)]], ["frame", *(x.split()[0] for x in MOVE.split(", "))])
 
-    back = packed(background.withColumn("frame", F.lit(0))).select(F.col("pixels").alias("back"))  # one row of a frame's size
-    both = packed(px).join(F.broadcast(back))
+    if "frame" in background.columns:
+        both = packed(px).join(packed(background).withColumnRenamed("pixels", "back"), "frame")
+    else:
+        back = packed(background.withColumn("frame", F.lit(0))).select(F.col("pixels").alias("back"))  # one row of a frame's size
+        both = packed(px).join(F.broadcast(back))
     return both.select("frame", "pixels", "back").mapInArrow(run, f"frame {px.schema['frame'].dataType.simpleString()}, {MOVE}")

@@ -65,10 +65,14 @@ def bilinear(points: DataFrame, grid: Grid, cells: DataFrame, ident: str, x: str
     return points.select(ident).join(found, ident, "left")
 
 
-def held(cells: DataFrame, grid: Grid, most: int = 50_000_000) -> np.ndarray:
-    """The grid as an array (iy, ix), NaN where there is no cell; its size is checked first."""
-    if grid.nx * grid.ny > most:
-        raise ValueError(f"a grid of {grid.nx} x {grid.ny} cells is more than is held at once")
+#: Bytes of ground that are held at once: 8 million cells.
+HELD = 64 << 20
+
+
+def held(cells: DataFrame, grid: Grid, most: int = HELD) -> np.ndarray:
+    """The grid as an array (iy, ix), NaN where there is no cell; its bytes are checked first."""
+    if 8 * grid.nx * grid.ny > most:
+        raise ValueError(f"a grid of {grid.nx} x {grid.ny} cells is more than is held at once: take a window of it")
     out = np.full((grid.ny, grid.nx), np.nan)
     rows = cells.filter(F.col("ix").between(0, grid.nx - 1) & F.col("iy").between(0, grid.ny - 1)).select("ix", "iy", finite(F.col("z")).alias("z")).toPandas()
     out[rows["iy"], rows["ix"]] = rows["z"].astype(float)

@@ -30,7 +30,7 @@ def missing_months(df: DataFrame, keys: list[str], at: str) -> DataFrame:
 
 
 def range_verdict(df: DataFrame, keys: list[str], at: str, low: Column, high: Column) -> DataFrame:
-    """(keys, verdict): whether rows lie 'before' or 'after' a range, leave a 'hole', cover it in 'partial' or in 'full'."""
+    """(keys, verdict): whether a key's rows lie 'before' or 'after' a whole range, leave a 'hole', cover it in 'partial' or in 'full'; single instants are judged by ``joins.coverage`` and ``coverage_at``."""
     t = F.col(at)
     c = df.groupBy(*keys).agg(F.min(t).alias("_a"), F.max(t).alias("_b"), F.count_if(t.between(low, high)).alias("_n"))
     verdict = F.when(F.col("_b") < low, "before").when(F.col("_a") > high, "after").when(F.col("_n") == 0, "hole").when((F.col("_a") > low) | (F.col("_b") < high), "partial").otherwise("full")
