@@ -99,7 +99,30 @@ def rays_through_gas(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rasters.crosses(x.select("frame", "i", "j", "k").withColumnsRenamed({"i": "vi", "j": "vj", "k": "vk"}), ["frame", "vi", "vj", "vk"], ["vi", "vj", "vk"], (0.6, 0.0, 0.8), [1.0, 2.0, 3.0, 4.0], x.filter("density > 0.2").select("frame", "i", "j", "k"), ["frame"]).withColumnsRenamed({"vi": "i", "vj": "j", "vk": "k"})
 
 
-@query("rays_on_terrain")
+def height_sql(rays: str, columns: str, more: str = "") -> str:
+    """``columns`` of ``rays`` (x, y) with ``h``, the height between the four cells around; null off the grid or where one is missing."""
+    return f"""
+  SELECT {columns}, (a.z * (1 - (fx - i)) + b.z * (fx - i)) * (1 - (fy - j)) + (e.z * (1 - (fx - i)) + f.z * (fx - i)) * (fy - j) AS h
+  FROM (SELECT *, CASE WHEN fx BETWEEN 0 AND 39 AND fy BETWEEN 0 AND 24 THEN least(floor(fx), 38) END AS i, least(floor(fy), 23) AS j FROM (SELECT *, (x - 1000) / 5 AS fx, (y - 2000) / 5 AS fy FROM {rays}) {more})
+  LEFT JOIN d a ON a.ix = i AND a.iy = j LEFT JOIN d b ON b.ix = i + 1 AND b.iy = j LEFT JOIN d e ON e.ix = i AND e.iy = j + 1 LEFT JOIN d f ON f.ix = i + 1 AND f.iy = j + 1"""
+
+
+#: The first step at which a ray has gone below the ground, halved 25 times.
+HITS_SQL = f"""
+WITH RECURSIVE d AS (SELECT ix, iy, z FROM ({DEM_SQL}) WHERE z <> -9999), p AS (SELECT id, x, y, (id // 100 - 25) / 50 AS dx, (id % 100 - 5) / 20 AS dy FROM ({PLACES_SQL})),
+r AS (SELECT id, x AS x0, y AS y0, dx / n AS dx, dy / n AS dy, -1 / n AS dz FROM (SELECT *, sqrt(dx * dx + dy * dy + 1) AS n FROM p)),
+s AS ({height_sql("(SELECT *, x0 + k * 2 * dx AS x, y0 + k * 2 * dy AS y FROM r, range(201) t(k))", "id, k, 150 + k * 2 * dz AS z")}),
+o AS (SELECT id, k, z - h AS now, lag(z - h) OVER (PARTITION BY id ORDER BY k) AS before FROM s), c AS (SELECT id, min(k) AS k FROM o WHERE before > 0 AND before * now <= 0 GROUP BY 1),
+b AS (
+  SELECT id, (k - 1) * 2.0::DOUBLE AS lo, k * 2.0::DOUBLE AS hi, 0 AS n FROM c
+  UNION ALL
+  SELECT id, CASE WHEN coalesce(150 + m * dz - h <= 0, false) THEN lo ELSE m END, CASE WHEN coalesce(150 + m * dz - h <= 0, false) THEN m ELSE hi END, n + 1
+  FROM ({height_sql("(SELECT b.id, lo, hi, n, (lo + hi) / 2 AS m, dz, x0 + (lo + hi) / 2 * dx AS x, y0 + (lo + hi) / 2 * dy AS y FROM b JOIN r ON r.id = b.id WHERE n < 25)", "id, lo, hi, n, m, dz")}))
+SELECT r.id, round((lo + hi) / 2, 5) AS t, round(x0 + (lo + hi) / 2 * dx, 5) AS x, round(y0 + (lo + hi) / 2 * dy, 5) AS y, round(150 + (lo + hi) / 2 * dz, 5) AS z FROM r LEFT JOIN b ON b.id = r.id AND n = 25
+"""
+
+
+@query("rays_on_terrain", HITS_SQL)
 def rays_on_terrain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where rays from each place first meet the terrain."""
     rays = points(spark, sf_dir).select("id", "x", "y", F.lit(150.0).alias("z"), ((F.col("q") - 25) / 50.0).alias("dx"), ((F.col("d") - 5) / 20.0).alias("dy"), F.lit(-1.0).alias("dz"))
