@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyplume.functions.camera import Camera
+from skyplume.jobs.geometry_jobs import PX_SQL
+from skyplume.jobs.image_jobs import passed_sql
 from skyplume.jobs.mask_jobs import all_pixels
 from skyplume.jobs.registry import query, table
 from skyplume.jobs.series_jobs import AZ_SQL, azimuth
@@ -96,9 +98,18 @@ def front_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("l_suppkey", "n", F.round("slope", 5).alias("slope"), F.round("intercept", 4).alias("intercept"), F.round("r2", 6).alias("r2"), F.round("zero_frame", 4).alias("zero_frame"), F.round("pixels_per_metre", 6).alias("pixels_per_metre"))
 
 
-@query("brightness_pulses")
+PULSE_SQL = passed_sql(f"SELECT v * 8 + u AS series, frame, value * 200 AS value, row_number() OVER (PARTITION BY v, u ORDER BY frame) - 1 AS i FROM ({PX_SQL})", 0.3)
+
+
+@query(
+    "brightness_pulses",
+    PULSE_SQL + """, p AS (SELECT series, series % 8 * 2 // 8 AS strip, stddev_pop(value) * 1.5 AS own FROM q WHERE frame < 30 GROUP BY ALL), c AS (SELECT strip, median(own) AS cap FROM p GROUP BY 1),
+o AS (SELECT series, least(own, cap) AS floor FROM p JOIN c USING (strip)), a AS (SELECT series, frame, abs(passed) AS x FROM h),
+w AS (SELECT *, lag(x, 1) OVER s AS b1, lag(x, 2) OVER s AS b2, lead(x, 1) OVER s AS a1, lead(x, 2) OVER s AS a2 FROM a WINDOW s AS (PARTITION BY series ORDER BY frame))
+SELECT frame, CAST(series // 8 AS INTEGER) AS v, CAST(series % 8 AS INTEGER) AS u, round(x, 6) AS strength FROM w JOIN o USING (series) WHERE x > b1 AND x > b2 AND x > a1 AND x > a2 AND x > floor""",
+)
 def brightness_pulses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pulses of all pixels over all frames, against floors from the first of them (a plain version is in the tests)."""
+    """Pulses of all pixels over all frames, against floors from the first thirty."""
     px = all_pixels(spark, sf_dir).select("frame", "v", "u", (F.col("value") * 200).alias("value"))
     return shock.pulses(px, shock.noise_floors(px.filter("frame < 30"), 8, 1.5, 2), 0.3).withColumn("strength", F.round("strength", 6))
 

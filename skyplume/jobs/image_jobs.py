@@ -106,9 +106,9 @@ def best_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fit.groupBy("label").agg(best, F.round(F.max("correlation"), 6).alias("correlation")).select("label", (-F.col("_b.f")).alias("frame"), "correlation")
 
 
-def filter_sql(name: str, source: str) -> str:
+def filter_sql(name: str, source: str, cutoff: float) -> str:
     """A pass of the filter over ``source`` (series, i, x), i from 0, as a table (series, i, x): one step of all series at a time."""
-    k = math.tan(math.pi * 0.1)
+    k = math.tan(math.pi * cutoff / 2)
     n = 1 / (1 + math.sqrt(2) * k + k * k)
     b, a1, a2 = (f"({x!r})::DOUBLE" for x in (n, 2 * (k * k - 1) * n, (1 - math.sqrt(2) * k + k * k) * n))
     return f"""
@@ -119,22 +119,26 @@ def filter_sql(name: str, source: str) -> str:
 {name} AS (SELECT series, i, y AS x FROM {name}_r WHERE i >= 0)"""
 
 
-#: Series of pixels with nine reflected moments at either end, filtered forward and back.
-HIGH_SQL = f"""
-WITH RECURSIVE q AS (SELECT label * 64 + v * 8 + u AS series, frame, value, row_number() OVER (PARTITION BY label, v, u ORDER BY frame) - 1 AS i FROM ({PX_SQL})),
+def passed_sql(series: str, cutoff: float) -> str:
+    """Tables to go on with: ``series`` (q: series, frame, value, i), its ends (m) and the filtered series h (series, frame, value, passed), with nine reflected moments at either end."""
+    return f"""
+WITH RECURSIVE q AS ({series}),
 m AS (SELECT series, count(*) AS n, least(9, count(*) - 1) AS pad, max(value) FILTER (i = 0) AS a, arg_max(value, i) AS b FROM q GROUP BY 1),
 e AS (
   SELECT series, i + pad AS i, value AS x FROM q JOIN m USING (series)
   UNION ALL SELECT series, pad - i, 2 * a - value FROM q JOIN m USING (series) WHERE i BETWEEN 1 AND pad
   UNION ALL SELECT series, pad + 2 * n - 2 - i, 2 * b - value FROM q JOIN m USING (series) WHERE i BETWEEN n - 1 - pad AND n - 2),
-{filter_sql("f", "e")},
+{filter_sql("f", "e", cutoff)},
 t AS (SELECT series, n + 2 * pad - 1 - i AS i, x FROM f JOIN m USING (series)),
-{filter_sql("g", "t")}
-SELECT CAST(q.series // 64 AS INTEGER) AS label, q.frame, CAST(q.series % 64 // 8 AS INTEGER) AS v, CAST(q.series % 8 AS INTEGER) AS u, round(g.x, 6) + 0.0 AS passed FROM q JOIN m USING (series) JOIN g ON g.series = q.series AND g.i = n + 2 * pad - 1 - (q.i + pad)
+{filter_sql("g", "t", cutoff)},
+h AS (SELECT q.series, q.frame, q.value, g.x AS passed FROM q JOIN m USING (series) JOIN g ON g.series = q.series AND g.i = n + 2 * pad - 1 - (q.i + pad))
 """
 
 
-@query("high_passed", HIGH_SQL)
+HIGH_SQL = passed_sql(f"SELECT label * 64 + v * 8 + u AS series, frame, value, row_number() OVER (PARTITION BY label, v, u ORDER BY frame) - 1 AS i FROM ({PX_SQL})", 0.2)
+
+
+@query("high_passed", HIGH_SQL + "SELECT CAST(series // 64 AS INTEGER) AS label, frame, CAST(series % 64 // 8 AS INTEGER) AS v, CAST(series % 8 AS INTEGER) AS u, round(passed, 6) + 0.0 AS passed FROM h")
 def high_passed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each pixel's fast changes over a label's frames."""
     px = all_pixels(spark, sf_dir).select("label", "frame", "v", "u", "value")
