@@ -41,7 +41,7 @@ def sinca_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     for value in ("dir", "vel"):
         path = shared(spark, f"series-{value}")
         write_station_csvs(rows, value, path)
-        found = stations.read_series(spark, f"{path}/*.csv")
+        found = stations.read_series(spark, path)
         read[value] = found.select(F.regexp_extract("file", "station_([0-9]+)_", 1).cast("long").alias("station"), "ts", "value")
     both = stations.wind_series(read["dir"], read["vel"], ["station"])
     lost = lambda c: F.when(~F.isnan(c), F.col(c)).alias(c)
@@ -64,7 +64,7 @@ def month_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
         # The rows of a month.
         pages = rows.groupBy(F.concat(name, F.lit(f"_{k}.xls")).alias("name")).agg(F.concat(F.lit(head), F.array_join(F.sort_array(F.collect_list(line(dd))), ""), F.lit("<tr><td>none</td><td></td><td>x</td><td></td></tr></table></body></html>")).alias("page"))
         write_files(pages.select("name", F.encode("page", "UTF-8").alias("content")), path)
-    found = stations.read_months(spark, f"{path}/*.xls").withColumn("station", F.regexp_extract("file", "station_([0-9]+)_", 1).cast("long"))
+    found = stations.read_months(spark, path).withColumn("station", F.regexp_extract("file", "station_([0-9]+)_", 1).cast("long"))
     out = stations.joined_months(found, ["station"])
     return out.select("station", micros("ts").alias("us"), F.round("dir", 3).alias("dir"), F.round("vel", 6).alias("vel"), F.lit("knots").alias("unit"))
 

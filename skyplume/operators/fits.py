@@ -83,15 +83,18 @@ def world_sigmas(px: DataFrame, keys: list[str], camera, z: Column, weight: Colu
     meet the plane or weigh nothing are left out, keys with fewer than ``least``
     are too. All pixels count, none are sampled.
     """
-    u, v = F.col("u").cast("double"), F.col("v").cast("double")
-    # The pixel, and half a pixel across and down.
-    places = {"": (u, v), "u": (u + 0.5, v), "v": (u, v + 0.5)}
-    at = [c.alias(f"_{axis}{k}") for k, (a, b) in places.items() for axis, c in zip("xy", camera.on_plane(a, b, z), strict=True)]
-    rows = px.select(*keys, *at, finite(weight).alias("_weight"))
+    # Directions of the pixel's ray, and of those half a pixel across and down, in steps that are each computed once.
+    half = 0.5 / camera.focal
+    rows = px.select(*keys, ((F.col("u") - camera.cx) / camera.focal).alias("_a"), ((F.col("v") - camera.cy) / camera.focal).alias("_b"), (z - camera.centre[2]).alias("_h"), finite(weight).alias("_weight"))
+    rows = rows.select(*keys, "_h", "_weight", *[(r * F.col("_a") + d * F.col("_b") + f).alias(f"_{n}") for n, (r, d, f) in zip("xyz", camera.axes, strict=True)])
+    reach = {"": (0.0, 0.0), "u": (half, 0.0), "v": (0.0, half)}
+    toward = lambda n, p: F.col(f"_{n}") + sum(s * c for s, c in zip(reach[p], camera.axes["xyz".index(n)], strict=False))
+    rows = rows.select("*", *[(F.col("_h") / F.nullif(toward("z", p), F.lit(0.0))).alias(f"_t{p}") for p in reach])
+    # Places on the plane, about the point below the camera: clouds lie within some kilometres of it, so that squares keep their digits.
+    rows = rows.select(*keys, "_weight", *[F.when(F.col(f"_t{p}") > 0, F.col(f"_t{p}") * toward(n, p)).alias(f"_{n}{p}") for n in "xy" for p in reach])
     area = 4 * F.abs((F.col("_xu") - F.col("_x")) * (F.col("_yv") - F.col("_y")) - (F.col("_yu") - F.col("_y")) * (F.col("_xv") - F.col("_x")))
     rows = rows.select(*keys, "_x", "_y", (F.col("_weight") * area).alias("_w")).select(*keys, "_x", "_y", F.when(F.col("_w") > 0, F.col("_w")).alias("_w"))
-    # One pass over all rows, about the point below the camera: clouds lie within some kilometres of it, so that squares keep their digits.
-    x, y, w = F.col("_x") - camera.centre[0], F.col("_y") - camera.centre[1], F.col("_w")
+    x, y, w = F.col("_x"), F.col("_y"), F.col("_w")
     sums = rows.groupBy(*keys).agg(F.count(w).alias("n_used"), F.sum(w).alias("_m"), *[F.sum(w * e).alias(n) for e, n in ((x, "_sx"), (y, "_sy"), (x * x, "_sxx"), (y * y, "_syy"), (x * y, "_sxy"))]).filter(F.col("n_used") >= least)
     mx, my = F.col("_sx") / F.col("_m"), F.col("_sy") / F.col("_m")
     m = sums.select(*keys, "n_used", (mx + camera.centre[0]).alias("mean_u"), (my + camera.centre[1]).alias("mean_v"), *[(F.col(s) / F.col("_m") - p).alias(n) for s, p, n in (("_sxx", mx * mx, "var_u"), ("_syy", my * my, "var_v"), ("_sxy", mx * my, "cov_uv"))])
