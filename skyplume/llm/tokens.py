@@ -24,9 +24,9 @@ LIMIT = 0x250
 #: Letters of a unit that is remembered, at most.
 LONG = 256
 #: Bytes of units that a worker remembers before it starts anew: letters, ids and what finds them.
-KNOWN = 96 << 20
-#: Bytes that a unit takes besides its ids and, if it is longer than two words, its letters.
-UNIT = 72
+KNOWN = 48 << 20
+#: Bytes that a unit takes besides its ids and, if it is longer than two words, its letters; arrays have room to grow.
+UNIT = 160
 #: Units that wait to be merged into the sorted ones.
 RECENT = 1 << 16
 #: Characters that are handled together.
@@ -137,7 +137,7 @@ class Store:
         self.starts[number], self.sizes[number] = ends - sizes, sizes
         self.told[:, number] = told
         self.n, self.used = self.n + len(keys), int(ends[-1])
-        self.bytes += UNIT * len(keys) + 4 * int(sizes.sum())
+        self.bytes += UNIT * len(keys) + 8 * int(sizes.sum())
         self.runs[1] = self._merged(self.runs[1], (keys, number))
         if len(self.runs[1][0]) > RECENT:
             self.runs = [self._merged(*self.runs), (keys[:0], number[:0])]
