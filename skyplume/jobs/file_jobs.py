@@ -78,7 +78,7 @@ def hull_files(spark: SparkSession, sf_dir: str) -> str:
     is_box, turned, torn = F.col("p_partkey") % 2 == 0, F.col("p_partkey") % 5 == 3, F.col("p_partkey") % 9 == 4
     all_faces = F.when(is_box, F.when(turned, faces(BOX, True)).otherwise(faces(BOX, False))).otherwise(F.when(turned, faces(TETRA, True)).otherwise(faces(TETRA, False)))
     hulls = p.select(
-        F.concat(F.lit("hulls_"), (F.col("p_partkey") % 8).cast("string")).alias("file"), F.concat(F.lit("hull_f"), F.lpad(F.col("p_partkey").cast("string"), 5, "0")).alias("mesh"),
+        F.concat(F.lit("hulls_"), (F.col("p_partkey") % 8).cast("string")).alias("file"), F.format_string("hull_f%05d", "p_partkey").alias("mesh"),
         F.when(is_box, points(BOX)).otherwise(points(TETRA)).alias("points"), F.when(torn, F.slice(all_faces, 1, F.size(all_faces) - 1)).otherwise(all_faces).alias("faces"),
     )
     folder = shared(spark, "hulls")

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 
 def encoded(parts: list[tuple[str, np.ndarray, np.ndarray]]) -> bytes:
     """A file of (name, vertices, faces); vertices are (east, north, up), the file is y up."""
-    body, views, accessors, meshes = b"", [], [], []
+    body, views, accessors, meshes = bytearray(), [], [], []
     for name, points, faces in parts:
         p = np.stack([points[:, 0], points[:, 2], -points[:, 1]], axis=1).astype("<f4")
         for raw, what in ((p.tobytes(), {"componentType": 5126, "count": len(p), "type": "VEC3", "min": p.min(axis=0).tolist(), "max": p.max(axis=0).tolist()}), (faces.astype("<u4").tobytes(), {"componentType": 5125, "count": faces.size, "type": "SCALAR"})):
@@ -24,7 +24,7 @@ def encoded(parts: list[tuple[str, np.ndarray, np.ndarray]]) -> bytes:
     head = {"asset": {"version": "2.0"}, "scene": 0, "scenes": [{"nodes": [*n]}], "nodes": [{"mesh": k} for k in n], "meshes": meshes, "accessors": accessors, "bufferViews": views, "buffers": [{"byteLength": len(body)}]}
     text = json.dumps(head).encode()
     text += b" " * (-len(text) % 4)
-    return struct.pack("<III", 0x46546C67, 2, 28 + len(text) + len(body)) + struct.pack("<II", len(text), 0x4E4F534A) + text + struct.pack("<II", len(body), 0x004E4942) + body
+    return struct.pack("<III", 0x46546C67, 2, 28 + len(text) + len(body)) + struct.pack("<II", len(text), 0x4E4F534A) + text + struct.pack("<II", len(body), 0x004E4942) + bytes(body)
 
 
 def mesh_files(hulls: DataFrame, key: str) -> DataFrame:
