@@ -16,6 +16,11 @@ def cos_deg(angle: Column) -> Column:
     return F.cos(F.radians(angle))
 
 
+def turned(angle: Column) -> Column:
+    """``angle`` in [0, 360); what lies below 360 by less than the last digits of a full turn is 0."""
+    return (angle % 360.0 + 360.0) % 360.0
+
+
 def angle_of(s: Column, c: Column) -> Column:
     """The direction of (c, s) in [0, 360)."""
     return F.pmod(F.degrees(F.atan2(s, c)), F.lit(360.0))
@@ -56,5 +61,5 @@ def von_mises(angle: Column, nonzero: Column, least: int = 10) -> tuple[Column,
 
 
 def difference(a: Column, b: Column) -> Column:
-    """a - b in [-180, 180)."""
-    return F.pmod(a - b + 180.0, F.lit(360.0)) - 180.0
+    """a - b in [-180, 180); a half turn but for the last digits of doubles is one back, whichever side of it they lie on."""
+    return turned(a - b + 180.0) - 180.0

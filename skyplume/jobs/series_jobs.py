@@ -20,7 +20,7 @@ HOURLY_SQL = "SELECT event_type, CAST(floor(epoch_us(ts) / 3600000000.0) AS BIGI
 
 
 def azimuth():
-    return F.pmod(F.col("value") * 7, F.lit(360.0))
+    return C.turned(F.col("value") * 7)
 
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
