@@ -160,9 +160,11 @@ def station_files(files: DataFrame, stations: DataFrame, patterns: dict[str, str
     f = files.select("path", "length", "modified", F.lower(name).alias("_name"), folder.alias("_folder"), F.explode(F.filter(kinds, lambda k: k.isNotNull())).alias("kind"))
     s = stations.select("id", "folder", F.lower(F.split("id", "_")[0]).alias("_first"))
     own = f.join(s, F.col("_folder") == F.col("folder")).select("id", "kind", "path", "length", "modified", F.lit("folder").alias("origin"))
-    # A loose file belongs to the stations whose id's first part is a word of its name.
+    # A loose file belongs to the stations whose id's first part is a word of its name; only stations that lack a kind are asked.
+    kind = F.explode(F.array(*[F.lit(k) for k in patterns])).alias("kind")
+    lacking = s.select("id", "_first", kind).join(own.select("id", "kind").distinct(), ["id", "kind"], "left_anti")
     loose = f.filter(F.col("_folder") == top).withColumn("_word", F.explode(F.array_distinct(F.split("_name", "[^a-z0-9]+"))))
-    loose = loose.join(s, F.col("_word") == F.col("_first")).select("id", "kind", "path", "length", "modified", F.lit("loose").alias("origin")).join(own.select("id", "kind").distinct(), ["id", "kind"], "left_anti")
+    loose = loose.join(lacking.withColumnRenamed("_first", "_word"), ["_word", "kind"]).select("id", "kind", "path", "length", "modified", F.lit("loose").alias("origin"))
     key = W.partitionBy("id", "kind")
     rows = own.union(loose).withColumn("_some", F.max("length").over(key) > large).filter((F.col("length") > large) | ~F.col("_some"))
     return rows.select("id", "kind", "path", "origin", F.row_number().over(key.orderBy(F.desc("modified"), "path")).alias("place"))
