@@ -10,6 +10,21 @@ from skyplume.functions.guards import finite
 from skyplume.functions.physics import sigmoid
 from skyplume.operators import frames
 from skyplume.operators.quantiles import quantiles
+from skyplume.sources.folder import settled
+
+#: Pixels of a frame that is handed to all tasks.
+HELD = 1_000_000
+
+
+def held(frame: DataFrame) -> DataFrame:
+    """One frame, computed once, for a join with many.
+
+    It is broadcast up to ``HELD`` pixels and merged beyond. The planner is not left
+    to choose: it takes exploded pixels for as small as what they come from, and would
+    broadcast those.
+    """
+    rows = settled(frame)
+    return F.broadcast(rows) if rows.count() <= HELD else rows.hint("merge")
 
 
 def convolved(px: DataFrame, kernel: list[list[float]], height: int, width: int, name: str = "value") -> DataFrame:
@@ -38,10 +53,10 @@ def photometric_fit(px: DataFrame, background: DataFrame, limits: tuple[float, f
     return q.join(F.broadcast(r)).select("frame", gain.alias("gain"), offset.alias("offset"))
 
 
-def novelty(px: DataFrame, background: DataFrame, fit: DataFrame) -> DataFrame:
-    """(frame, v, u, value): distance of the fitted grey level from the background's."""
-    rows = px.join(fit, "frame").join(background.select("v", "u", F.col("value").alias("_b")), ["v", "u"])
-    return rows.select("frame", "v", "u", F.abs(F.col("gain") * F.col("value") + F.col("offset") - F.col("_b")).alias("value"))
+def novelty(px: DataFrame, background: DataFrame, fit: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(frame, v, u, *keep, value): distance of the fitted grey level from the background's; ``keep``: columns of ``px`` that go along."""
+    rows = px.join(fit.hint("shuffle_hash"), "frame").join(held(background.select("v", "u", F.col("value").alias("_b"))), ["v", "u"])
+    return rows.select("frame", "v", "u", *keep, F.abs(F.col("gain") * F.col("value") + F.col("offset") - F.col("_b")).alias("value"))
 
 
 def candidates(heat: Column, new: Column, least_heat: float, least_new: float) -> Column:
@@ -60,7 +75,7 @@ def shadow_score(parts: dict[str, Column], weights: dict = SHADOW) -> Column:
 
 def matched(template: DataFrame, images: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, correlation): normalised correlation of each candidate image (keys, v, u, value) with the template (v, u, value) on the pixels that both have."""
-    rows = images.join(template.select("v", "u", F.col("value").alias("_t")), ["v", "u"])
+    rows = images.join(held(template.select("v", "u", F.col("value").alias("_t"))), ["v", "u"])
     return rows.groupBy(*keys).agg(F.corr("value", "_t").alias("correlation"))
 
 
