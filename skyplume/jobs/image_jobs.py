@@ -12,6 +12,7 @@ from skyplume.jobs.geometry_jobs import PX_SQL
 from skyplume.jobs.mask_jobs import all_pixels
 from skyplume.jobs.registry import query, table
 from skyplume.operators import images, series
+from skyplume.sources.folder import settled
 
 #: Grey levels.
 GREY_SQL = f"SELECT frame, label, v, u, round(128 + value * 200, 6) AS value FROM ({PX_SQL})"
@@ -62,10 +63,9 @@ def photometric_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("novel_and_hot", FIT_SQL + ", n AS (SELECT g.frame, g.v, g.u, abs(gain * g.value + off - b.value) AS nov, g.value FROM g JOIN h ON g.frame = h.frame JOIN b ON b.v = g.v AND b.u = g.u) SELECT frame, v, u, round(nov + 1e-9::DOUBLE, 4) AS novelty FROM n WHERE value > 130 AND nov > 12")
 def novel_and_hot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pixels that are hot and unlike the background."""
-    px, back = grey(spark, sf_dir), background(spark, sf_dir)
-    new = images.novelty(px, back, images.photometric_fit(px, back)).withColumnRenamed("value", "novelty")
-    rows = px.select("frame", "v", "u", "value").join(new, ["frame", "v", "u"])
-    return rows.filter(images.candidates(F.col("value"), F.col("novelty"), 130, 12)).select("frame", "v", "u", F.round(F.col("novelty") + 1e-9, 4).alias("novelty"))
+    px, back = grey(spark, sf_dir).withColumn("heat", F.col("value")), settled(background(spark, sf_dir))
+    rows = images.novelty(px, back, images.photometric_fit(px, back), ("heat",)).withColumnRenamed("value", "novelty")
+    return rows.filter(images.candidates(F.col("heat"), F.col("novelty"), 130, 12)).select("frame", "v", "u", F.round(F.col("novelty") + 1e-9, 4).alias("novelty"))
 
 
 SIGMOID_SQL = "1 / (1 + exp(least(greatest(-({p}::DOUBLE) * ({x} - {c}::DOUBLE), -60), 60)))"
