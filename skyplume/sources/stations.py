@@ -31,7 +31,17 @@ def read_series(spark: SparkSession, path: str) -> DataFrame:
     and is an error, as is a value that is no number. Of repeated times in a file
     the last line's value stays.
     """
-    lines = spark.read.option("encoding", "ISO-8859-1").option("sep", "\u0001").option("quote", "").option("header", True).schema("line string").csv(path).select("line", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_i"))
+    return _series(spark.read.option("encoding", "ISO-8859-1").option("sep", "\u0001").option("quote", "").option("header", True).schema("line string").csv(path).select("line", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_i")))
+
+
+def series_of(files: DataFrame) -> DataFrame:
+    """``read_series`` of files held as rows (path, content): many small ones, kept together."""
+    lines = files.select(F.col("path").alias("file"), F.posexplode(F.split(F.decode("content", "ISO-8859-1"), "\r\n|\r|\n")).alias("_i", "line"))
+    return _series(lines.filter("_i > 0 and line <> ''").select("line", "file", F.lit(0).alias("_block"), "_i"))
+
+
+def _series(lines: DataFrame) -> DataFrame:
+    """``read_series`` of (line, file, _block, _i) without headers."""
     f = F.split("line", ";", -1)
     day, hour = F.trim(f[0]), F.trim(f[1])
     rows = lines.filter((F.size(f) >= 3) & (day != "")).select("file", "_block", "_i", "line", day.alias("day"), hour.alias("hour"), F.trim(f[2]).alias("raw"))
@@ -95,7 +105,12 @@ PREFIXES = ("fecha", "hora", "dd", "ff")
 
 
 def read_months(spark: SparkSession, path: str) -> DataFrame:
-    """(file, ts, dir, vel, unit) of HTML tables saved as spreadsheets: UTC times, knots turned to metres per second.
+    """``months_of`` the files under ``path``."""
+    return months_of(spark.read.format("binaryFile").load(path))
+
+
+def months_of(files: DataFrame) -> DataFrame:
+    """(file, ts, dir, vel, unit) of HTML tables saved as spreadsheets (path, content): UTC times, knots turned to metres per second.
 
     Columns are found by prefix (``PREFIXES``), of several the last; a file
     without a table or one of the columns is an error. Rows without a valid time
@@ -114,7 +129,7 @@ def read_months(spark: SparkSession, path: str) -> DataFrame:
                 out += [(name, *(r[at[p]] if at[p] < len(r) else "" for p in PREFIXES), unit) for r in rows]
             yield pd.DataFrame(out, columns=["file", "day", "hour", "dd", "ff", "unit"])
 
-    raw = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "file string, day string, hour string, dd string, ff string, unit string")
+    raw = files.select("path", "content").mapInPandas(run, "file string, day string, hour string, dd string, ff string, unit string")
     ts = F.try_to_timestamp(F.concat_ws(" ", "day", "hour"), F.lit("dd-MM-yyyy HH:mm")).cast("timestamp_ntz")
     vel = number(F.col("ff")) * F.when(F.col("unit") == "knots", KNOT).otherwise(1.0)
     return raw.select("file", ts.alias("ts"), number(F.col("dd")).alias("dir"), vel.alias("vel"), "unit").filter("ts is not null")
