@@ -116,7 +116,7 @@ def principal_axis(df: DataFrame, keys: list[str], fx: str, fy: str) -> DataFram
 def projected_speed(df: DataFrame, keys: list[str], fx: str, fy: str, gap: Column) -> DataFrame:
     """Per key, ``principal_axis`` and the median flow along it over ``gap`` (constant within a key)."""
     axes = principal_axis(df, keys, fx, fy)
-    along = df.select(*keys, F.col(fx).alias("_x"), F.col(fy).alias("_y"), gap.alias("_gap")).join(axes, keys)
+    along = df.select(*keys, F.col(fx).alias("_x"), F.col(fy).alias("_y"), gap.alias("_gap")).join(axes.hint("shuffle_hash"), keys)  # the field is not sorted for it
     gaps = along.groupBy(*keys).agg(F.max("_gap").alias("_gap"))
     speed = quantiles(along, keys, F.col("_x") * F.col("ax") + F.col("_y") * F.col("ay"), [0.5], ["speed"])
     return speed.join(axes, keys).join(gaps, keys).select(*keys, "ax", "ay", (F.col("speed") / F.col("_gap")).alias("speed"))

@@ -17,6 +17,8 @@ from skyplume.sources.folder import settled
 
 #: Values of a key that are held in one buffer.
 BOUND = 100_000
+#: Values that a task orders.
+DEAL = 1_000_000
 #: Slices of a larger key: about one for each BOUND of its values, within these.
 SLICES, MOST_SLICES = 64, 4096
 
@@ -28,14 +30,20 @@ def quantiles(df: DataFrame, keys: list[str], value: Column, qs: list[float], na
     Keys are counted first, and those with more than ``bound`` values go the other way.
     """
     rows = df.select(*keys, finite(value).alias("_x")).filter("_x is not null")
-    large = settled(rows.groupBy(*keys).agg(F.count("*").alias("_n")).filter(F.col("_n") > bound))
-    most = large.agg(F.count("*"), F.max("_n")).first()
+    counts = rows.groupBy(*keys).agg(F.count("*").alias("_n"))
+    most = counts.agg(F.count_if(F.col("_n") > bound), F.max("_n"), F.sum("_n")).first()
+    # Tasks by the number of values, so that what one holds does not grow with the table.
+    tasks = (most[2] or 0) // DEAL + 1
+    if tasks > int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")):
+        dealt = rows.repartition(tasks, *keys)
+    else:
+        dealt = rows
     if not most[0]:
-        return plain(rows, keys, qs, names)
-    side = large.select(*keys)
+        return plain(dealt, keys, qs, names)
+    side = settled(counts.filter(F.col("_n") > bound).select(*keys))
     side = F.broadcast(side) if most[0] <= 50_000 else side
     slices = min(MOST_SLICES, max(SLICES, most[1] // bound))
-    return plain(_joined(rows, side, keys, "left_anti"), keys, qs, names).union(sliced(_joined(rows, side, keys, "left_semi"), keys, F.col("_x"), qs, names, slices))
+    return plain(_joined(dealt, side, keys, "left_anti"), keys, qs, names).union(sliced(_joined(rows, side, keys, "left_semi"), keys, F.col("_x"), qs, names, slices))
 
 
 def plain(rows: DataFrame, keys: list[str], qs: list[float], names: list[str]) -> DataFrame:
