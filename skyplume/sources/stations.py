@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skyplume.functions.guards import finite
@@ -140,8 +140,8 @@ def joined_months(tables: DataFrame, keys: list[str]) -> DataFrame:
     base = F.regexp_extract("file", "([^/]*)$", 1)
     asked = F.concat_ws("-", F.regexp_extract(base, r"(?<!\d)(20\d{2})[-_]?(0[1-9]|1[0-2])(?!\d)", 1), F.regexp_extract(base, r"(?<!\d)(20\d{2})[-_]?(0[1-9]|1[0-2])(?!\d)", 2))
     month = F.date_format("ts", "yyyy-MM")
-    files = tables.groupBy("file").agg(F.bool_or(month == asked).alias("_has"), F.first(asked).alias("_asked")).select("file", ((F.col("_asked") != "-") & ~F.col("_has")).alias("misnamed"))
-    rows = tables.join(files, "file")
+    # A window over a file's rows (a month): a join would read each page twice.
+    rows = tables.withColumn("misnamed", (asked != "-") & ~F.bool_or(month == asked).over(Window.partitionBy("file")))
     return rows.groupBy(*keys, "ts").agg(F.max_by(F.struct("dir", "vel", "misnamed"), "file").alias("_l")).select(*keys, "ts", "_l.*")
 
 
