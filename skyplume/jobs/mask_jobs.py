@@ -150,7 +150,8 @@ def box_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def annotated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Annotation files as text: each part a triangle and a rectangle in two frames."""
-    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("s"), (F.col("p_partkey") % 17).cast("double").alias("r"))
+    # Few bytes become many texts and pixels: dealt out before they do.
+    p = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("s"), (F.col("p_partkey") % 17).cast("double").alias("r")).repartition("p_partkey")
     point = lambda x, y: F.array(x, y)
     zero = F.lit(0.0)
     triangle, box = F.array(point(zero, zero), point(F.col("s"), zero), point(zero, F.col("r"))), F.array(point(F.col("r"), zero), point(F.col("r") + 3, zero), point(F.col("r") + 3, F.col("s")), point(F.col("r"), F.col("s")))

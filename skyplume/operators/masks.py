@@ -279,9 +279,16 @@ def polygon_pixels(polygons: DataFrame, keys: list[str], points: str, height: in
     """(keys, v, u) of the pixels whose centres lie within a polygon (array of [x, y]) by the even-odd rule, row by row."""
     n = F.size(points)
     edges = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.named_struct(F.lit("x0"), F.get(points, i)[0], F.lit("y0"), F.get(points, i)[1], F.lit("x1"), F.get(points, (i + 1) % n)[0], F.lit("y1"), F.get(points, (i + 1) % n)[1]))
-    rows = polygons.filter(n >= 3).select(*keys, edges.alias("_e"), F.explode(F.sequence(F.lit(0), F.lit(height - 1))).alias("v"))
+    # Cut to 0 and ``most`` and rounded up: the first whole number that is not below.
+    whole = lambda c, most: F.ceil(F.least(F.greatest(c, F.lit(0.0)), F.lit(float(most)))).cast("int")
+    ys = F.transform(points, lambda p: p[1])
+    rows = polygons.filter(n >= 3).select(*keys, edges.alias("_e"), whole(F.array_min(ys), height).alias("_low"), whole(F.array_max(ys), height).alias("_high")).filter("_low < _high")
+    rows = rows.select(*keys, "_e", F.explode(F.sequence("_low", F.col("_high") - 1)).alias("v"))
     y = F.col("v").cast("double")
     # An edge within a billionth of a pixel's centre runs through it.
     cut = F.transform(F.filter("_e", lambda e: (e["y0"] <= y) != (e["y1"] <= y)), lambda e: F.round(e["x0"] + (y - e["y0"]) * (e["x1"] - e["x0"]) / (e["y1"] - e["y0"]), 9))
-    inside = F.filter(F.sequence(F.lit(0), F.lit(width - 1)), lambda u: F.size(F.filter("_c", lambda c: c > u)) % 2 == 1)
-    return rows.select(*keys, "v", cut.alias("_c")).filter(F.size("_c") > 0).select(*keys, "v", F.explode(inside).alias("u"))
+    rows = rows.select(*keys, "v", F.transform(F.sort_array(cut, asc=False), lambda c: whole(c, width)).alias("_c")).filter(F.size("_c") > 0)
+    # From the right, a row is inside from each second edge to the one before it.
+    pairs = F.transform(F.sequence(F.lit(0), F.size("_c") - 1, F.lit(2)), lambda k: F.struct(F.coalesce(F.get("_c", k + 1), F.lit(0)).alias("a"), F.get("_c", k).alias("b")))
+    rows = rows.select(*keys, "v", F.explode(F.filter(pairs, lambda p: p["a"] < p["b"])).alias("_p"))
+    return rows.select(*keys, "v", F.explode(F.sequence(F.col("_p.a"), F.col("_p.b") - 1)).alias("u"))
