@@ -71,14 +71,19 @@ def fill_linear(df: DataFrame, x: str, y: str, keys: list[str]) -> DataFrame:
     return df.withColumn("filled", F.coalesce(between, F.col("_p.y"), F.col("_n.y"))).drop("_p", "_n")
 
 
+def sustained(value: str, threshold: float, at: str, span: int, keys: list[str], sense: str = "below") -> Column:
+    """Whether ``value`` is below or above ``threshold`` from a row on for all rows within ``span``, two rows at least."""
+    ahead = W.partitionBy(*keys).orderBy(at).rangeBetween(0, span)
+    ok = below(F.col(value), threshold) if sense == "below" else above(F.col(value), threshold)
+    return F.bool_and(ok).over(ahead) & (F.count(F.lit(1)).over(ahead) >= 2) & is_finite(F.col(value))
+
+
 def first_sustained(df: DataFrame, value: str, threshold: float, at: str, span: int, keys: list[str], sense: str = "below", since: Column | None = None) -> DataFrame:
     """Per key, the first ``at`` (not before ``since``) from which ``value`` is below or above ``threshold`` for all rows within ``span``, two rows at least; null: never.
 
     A null or NaN is neither below nor above, and the first value is finite.
     """
-    ahead = W.partitionBy(*keys).orderBy(at).rangeBetween(0, span)
-    rows = df.withColumn("_ok", below(F.col(value), threshold) if sense == "below" else above(F.col(value), threshold))
-    rows = rows.withColumn("_all", F.bool_and("_ok").over(ahead) & (F.count(F.lit(1)).over(ahead) >= 2) & is_finite(F.col(value)))
+    rows = df.withColumn("_all", sustained(value, threshold, at, span, keys, sense))
     if since is not None:
         rows = rows.withColumn("_all", F.col("_all") & F.coalesce(F.col(at) >= since, F.lit(True)))
     return rows.groupBy(*keys).agg(F.min(F.when(F.col("_all"), F.col(at))).alias("first_at"))

@@ -13,6 +13,7 @@ from skyplume.functions import circular as C
 from skyplume.functions.guards import finite
 from skyplume.operators import series
 from skyplume.operators.quantiles import quantiles
+from skyplume.sources.folder import settled
 
 
 def steadied(value: str, size: int, keys: list[str], at: str) -> Column:
@@ -38,19 +39,20 @@ def established(
     rows = series.unwrap(flow, "angle", keys, [at])
     rows = rows.withColumn("_turn", F.abs(series.rate("unwrapped", at, keys, [at])) * per_second)
     rows = rows.withColumns({"_texture": steadied("texture", smooth, keys, at), "_edge": steadied("edge_distance", smooth, keys, at)})
-    found = flow.groupBy(*keys).agg(F.min(at).alias("_first"), F.max(at).alias("_last"))
-    joined = lambda a, b, name: a.join(b.withColumnRenamed("first_at", name), keys, "left")
-    found = joined(found, series.first_sustained(rows, "_turn", turn, at, span(hold), keys), "turn_at")
+    # All moments in one order of each key's rows, and one row a key at the end.
+    key = W.partitionBy(*keys)
+    rows = rows.withColumn("_turned", series.sustained("_turn", turn, at, span(hold), keys))
     if hull is None:
-        found = found.withColumn("rise_at", F.lit(None).cast(flow.schema[at].dataType))
+        rows = rows.withColumn("rise_at", F.lit(None).cast(flow.schema[at].dataType))
     else:
         lift = hull.withColumn("_rise", F.abs(finite(F.col("up"))) / F.greatest(finite(F.col("speed")), F.lit(1e-6)))
-        found = joined(found, series.first_sustained(lift, "_rise", rise, at, span(hold), keys), "rise_at")
-    found = found.withColumn("start", F.coalesce(F.greatest("turn_at", "rise_at"), "_first"))
-    late = rows.join(found.select(*keys, "start"), keys)
-    for name, value, bound, hold_, sense in (("texture_at", "_texture", texture, hold, "below"), ("_near", "_edge", margin * side, hold_edge, "below"), ("_cut", "cut", cut, hold_edge, "above")):
-        found = joined(found, series.first_sustained(late, value, bound, at, span(hold_), keys, sense, F.col("start")), name)
-    found = found.withColumn("edge_at", F.least("_near", "_cut")).withColumn("_stop", F.coalesce(F.least("texture_at", "edge_at"), "_last"))
+        rows = rows.join(series.first_sustained(lift, "_rise", rise, at, span(hold), keys).withColumnRenamed("first_at", "rise_at"), keys, "left")
+    rows = rows.withColumns({"turn_at": F.min(F.when(F.col("_turned"), F.col(at))).over(key), "_first": F.min(at).over(key), "_last": F.max(at).over(key)})
+    rows = rows.withColumn("start", F.coalesce(F.greatest("turn_at", "rise_at"), "_first"))
+    tests = (("texture_at", "_texture", texture, hold, "below"), ("_near", "_edge", margin * side, hold_edge, "below"), ("_over", "cut", cut, hold_edge, "above"))
+    rows = rows.withColumns({name: series.sustained(value, bound, at, span(hold_), keys, sense) & F.coalesce(F.col(at) >= F.col("start"), F.lit(True)) for name, value, bound, hold_, sense in tests})
+    found = rows.groupBy(*keys).agg(*[F.max(c).alias(c) for c in ("start", "_first", "_last", "rise_at", "turn_at")], *[F.min(F.when(F.col(c), F.col(at))).alias(c) for c, *_ in tests])
+    found = found.withColumn("edge_at", F.least("_near", "_over")).withColumn("_stop", F.coalesce(F.least("texture_at", "edge_at"), "_last"))
     degenerate = F.col("_stop") <= F.col("start")
     return found.select(*keys, "start", F.when(degenerate, F.col("_last")).otherwise(F.col("_stop")).alias("stop"), "rise_at", "turn_at", "texture_at", "edge_at", degenerate.alias("degenerate"))
 
@@ -58,7 +60,8 @@ def established(
 def summarised(flow: DataFrame, keys: list[str], at: str, windows: DataFrame) -> DataFrame:
     """(keys, n, toward, comes_from, spread, mean, middle, slowest, fastest) of the rows of ``flow`` (keys, at, azimuth, speed) within each key's window (keys, start, stop), directions weighted by speed; keys without rows there are left out."""
     rows = flow.join(windows.select(*keys, "start", "stop"), keys).filter((F.col(at) >= F.col("start")) & (F.col(at) <= F.col("stop")))
-    rows = rows.select(*keys, finite(F.col("azimuth")).alias("_a"), finite(F.col("speed")).alias("_v")).dropna(subset=["_a", "_v"])
+    # Counted, summed up and ordered: found once.
+    rows = settled(rows.select(*keys, finite(F.col("azimuth")).alias("_a"), finite(F.col("speed")).alias("_v")).dropna(subset=["_a", "_v"]))
     toward = C.circular_mean(F.col("_a"), F.col("_v"))
     out = rows.groupBy(*keys).agg(F.count("*").alias("n"), toward.alias("toward"), C.circular_spread(F.col("_a"), F.col("_v")).alias("spread"), F.avg("_v").alias("mean"), F.min("_v").alias("slowest"), F.max("_v").alias("fastest"))
     middle = quantiles(rows, keys, F.col("_v"), [0.5], ["middle"])
