@@ -7,8 +7,11 @@ into bands of rows, so that a large frame is dealt out.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,32 +42,57 @@ def runs_of(on: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return row, first, np.nonzero(edge == -1)[1] - 1
 
 
+def parted(column: pa.Array) -> np.ndarray:
+    """Whether each value but the first differs from the one before it; nulls are equal, and so are NaN."""
+    a, b = column.slice(0, len(column) - 1), column.slice(1)
+    same = pc.fill_null(pc.equal(a, b), False)
+    same = pc.or_(same, pc.and_(pc.is_null(a, nan_is_null=True), pc.is_null(b, nan_is_null=True)))
+    return ~same.to_numpy(zero_copy_only=False)
+
+
 def covered_runs(boxes: DataFrame, keys: list[str], height: int, width: int, band: int = BAND) -> DataFrame:
     """(keys, v, u0, u1): maximal runs of pixels that any box (v0, u0, v1, u1, ends included) covers.
 
-    A box is four corners of a difference array, whatever its area: corners that
-    meet are added up before they are shuffled, and a band of rows of a frame is
-    cumulated along both axes at once. Boxes beyond the frame are cut to it; those
+    A box is four corners of a difference array, whatever its area, and a band of rows
+    of a frame is cumulated along both axes at once. Boxes beyond the frame are cut to it; those
     with a null or reversed bound cover nothing.
     """
     inside = boxes.filter("v0 <= v1 and u0 <= u1").filter(f"v1 >= 0 and u1 >= 0 and v0 < {height} and u0 < {width}")
     cut = inside.select(*keys, F.greatest("v0", F.lit(0)).alias("v0"), F.greatest("u0", F.lit(0)).alias("u0"), F.least("v1", F.lit(height - 1)).alias("v1"), F.least("u1", F.lit(width - 1)).alias("u1"))
     part = cut.withColumn("_b", F.explode(F.sequence(F.floor(F.col("v0") / band).cast("int"), F.floor(F.col("v1") / band).cast("int"))))
     low, high = F.greatest(F.col("v0") - F.col("_b") * band, F.lit(0)), F.least(F.col("v1") - F.col("_b") * band + 1, F.lit(band))
-    corner = lambda v, u, d: F.struct(v.cast("int").alias("v"), u.cast("int").alias("u"), F.lit(d).alias("d"))
-    corners = F.array(corner(low, F.col("u0"), 1), corner(low, F.col("u1") + 1, -1), corner(high, F.col("u0"), -1), corner(high, F.col("u1") + 1, 1))
-    deltas = part.select(*keys, "_b", F.explode(corners).alias("_c")).groupBy(*keys, "_b", "_c.v", "_c.u").agg(F.sum("_c.d").alias("d")).filter("d <> 0")
-
-    def run(table: pa.Table) -> pa.Table:
-        array = np.zeros((band + 1, width + 1), np.int64)
-        array[table.column("v").to_numpy(), table.column("u").to_numpy()] = table.column("d").to_numpy()
-        v, u0, u1 = runs_of(array.cumsum(axis=0).cumsum(axis=1)[:band, :width] > 0)
-        first = pa.array(np.zeros(len(v), np.int64))
-        out = {k: table.column(k).combine_chunks().take(first) for k in keys}
-        return pa.table({**out, "v": pa.array(v + band * table.column("_b")[0].as_py(), pa.int32()), "u0": pa.array(u0, pa.int32()), "u1": pa.array(u1, pa.int32())})
+    part = part.select(*keys, "_b", low.cast("int").alias("_low"), high.cast("int").alias("_high"), F.col("u0").cast("int").alias("u0"), (F.col("u1") + 1).cast("int").alias("u1"))
+    # One shuffle of a row a box and band; rows of a band come one after another, so that a task holds one band's array however many boxes it has.
+    part = part.repartition(*keys, "_b").sortWithinPartitions(*keys, "_b")
+    names = [*keys, "_b"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        array, last = np.zeros((band + 1, width + 1), np.int64), None
+
+        def found(row: pa.RecordBatch) -> pa.RecordBatch:
+            v, u0, u1 = runs_of(array.cumsum(axis=0).cumsum(axis=1)[:band, :width] > 0)
+            first = pa.array(np.zeros(len(v), np.int64))
+            columns = [row.column(k).take(first) for k in range(len(keys))]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(v + band * row.column(len(keys))[0].as_py(), pa.int32()), pa.array(u0, pa.int32()), pa.array(u1, pa.int32())], [*keys, "v", "u0", "u1"])
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            starts = np.flatnonzero(np.concatenate(([True], np.any([parted(b.column(k)) for k in range(len(names))], axis=0)))).tolist()
+            low, high, u0, u1 = (b.column(len(names) + k).to_numpy() for k in range(4))
+            for i, j in zip(starts, [*starts[1:], b.num_rows], strict=True):
+                here = b.slice(i, 1)
+                if last is not None and any(parted(pa.concat_arrays([last.column(k), here.column(k)]))[0] for k in range(len(names))):
+                    yield found(last)
+                    array[:] = 0
+                last = here
+                for v, u, d in ((low, u0, 1), (low, u1, -1), (high, u0, -1), (high, u1, 1)):
+                    np.add.at(array, (v[i:j], u[i:j]), d)
+        if last is not None:
+            yield found(last)
 
     kinds = ", ".join(f"`{k}` {boxes.schema[k].dataType.simpleString()}" for k in keys)
-    return deltas.groupBy(*keys, "_b").applyInArrow(run, f"{kinds}, v int, u0 int, u1 int")
+    return part.select(*names, "_low", "_high", "u0", "u1").mapInArrow(run, f"{kinds}, v int, u0 int, u1 int")
 
 
 def silhouette(boxes: DataFrame, keys: list[str], height: int, width: int, band: int = BAND) -> DataFrame:
