@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from skyplume.functions.camera import Camera
 from skyplume.operators.rasters import Grid, ray_hits
+from skyplume.operators.images import held
 from skyplume.operators.volumes import regularized
 from skyplume.sources.folder import settled
 
@@ -154,6 +155,7 @@ def reconstructed(grid: DataFrame, gas: DataFrame, evidence: DataFrame, scene: S
     """
     if order not in ("after", "before"):
         raise ValueError(f"order is 'after' or 'before', not {order!r}")
+    grid = held(grid)
     modes = [STRICT, PERMISSIVE] if strict else [PERMISSIVE]
     modes = modes if adaptive else modes[:1]
     keys, both = ["frame"], ["frame", "mode"]
