@@ -29,6 +29,8 @@ MAGIC, JSON_CHUNK, BINARY_CHUNK = 0x46546C67, 0x4E4F534A, 0x004E4942
 COMPONENTS = {5120: "<i1", 5121: "<u1", 5122: "<i2", 5123: "<u2", 5125: "<u4", 5126: "<f4"}
 PARTS = {"SCALAR": 1, "VEC2": 2, "VEC3": 3, "VEC4": 4}
 TRIANGLES = 4
+#: Frames that are lined up together.
+STRETCH = 4096
 ROW = "mesh string, n_vertices long, n_faces long, closed boolean, volume double, east double, north double, up double, top double, see double, snn double, suu double, sen double"
 
 
@@ -200,11 +202,22 @@ def hull_profile(hulls: DataFrame, ident: str, azimuth: float, series: DataFrame
 
 
 def last_confident(frames: DataFrame, heights: DataFrame, ident: str) -> DataFrame:
-    """(ident, frame, z) for ``frames`` (ident, frame): the confident heights between their frames, and beyond them the nearest one."""
-    good = heights.filter("confident").select(ident, "frame", "z", F.lit(0).alias("_q")).union(frames.select(ident, "frame", F.lit(None).cast("double"), F.lit(1)))
-    known = F.when(F.col("_q") == 0, F.struct("frame", "z"))
-    order = W.partitionBy(ident).orderBy("frame", "_q")
-    rows = good.withColumns({"_a": F.last(known, True).over(order.rowsBetween(W.unboundedPreceding, 0)), "_b": F.first(known, True).over(order.rowsBetween(0, W.unboundedFollowing))}).filter("_q = 1")
+    """(ident, frame, z) for ``frames`` (ident, frame): the confident heights between their frames, and beyond them the nearest one.
+
+    Frames and heights are lined up within stretches of ``STRETCH`` frames, so that
+    an ident with many frames is dealt out; what a stretch lacks at its edges comes
+    from the ends of the others, a row a stretch. Both tables are read twice.
+    """
+    stretch = F.floor(F.col("frame") / STRETCH).alias("_s")
+    known = heights.filter("confident and frame is not null").select(ident, "frame", stretch, F.lit(0).alias("_q"), F.struct("frame", "z").alias("_p"))
+    line = known.union(frames.select(ident, "frame", stretch, F.lit(1), F.lit(None).cast(known.schema["_p"].dataType)))
+    # Only frames that begin with the first row: Spark goes through the rest of a key anew for each row of one that ends with the last.
+    before = lambda c, order, end: F.last(c, True).over(order.rowsBetween(W.unboundedPreceding, end))
+    here, all_of = W.partitionBy(ident, "_s"), W.partitionBy(ident)
+    rows = line.withColumns({"_a": before("_p", here.orderBy("frame", "_q", "_p"), 0), "_b": before("_p", here.orderBy(F.desc("frame"), "_q", F.desc("_p")), 0)}).filter("_q = 1")
+    ends = line.groupBy(ident, "_s").agg(F.min("_p").alias("_first"), F.max("_p").alias("_last"))
+    ends = ends.select(ident, "_s", before("_last", all_of.orderBy("_s"), -1).alias("_l"), before("_first", all_of.orderBy(F.desc("_s")), -1).alias("_r"))
+    rows = rows.join(ends, [ident, "_s"], "left").withColumns({"_a": F.coalesce("_a", "_l"), "_b": F.coalesce("_b", "_r")})
     a, b = F.col("_a"), F.col("_b")
     part = (F.col("frame") - a["frame"]) / (b["frame"] - a["frame"])
     inside = F.when(b["frame"] > a["frame"], a["z"] + part * (b["z"] - a["z"])).otherwise(a["z"])
