@@ -71,7 +71,7 @@ TETRA = ([(0, 0, 0), (1, 0, 0), (0, 1, 0), (0, 0, 1)], [(0, 2, 1), (0, 1, 3), (0
 
 
 def hull_files(spark: SparkSession, sf_dir: str) -> str:
-    """A box or a tetrahedron for each part, some with a face left out, some turned inside out; eight files."""
+    """A box or a tetrahedron for each part, some with a face left out, some turned inside out; eight idents."""
     p = table(spark, sf_dir, "part").select("p_partkey", *[e.cast("double").alias(n) for n, e in zip("abc", (F.col("p_size") + 12.5, 3 + F.col("p_partkey") % 7, 1 + F.col("p_partkey") % 5), strict=True)], *[(F.col(c) % m).cast("double").alias(n) for n, c, m in (("e", "p_partkey", 11), ("n", "p_size", 13))])
     points = lambda solid: F.array(*[F.array(F.col("e") + x * F.col("a"), F.col("n") + y * F.col("b"), F.lit(2.0) + z * F.col("c")) for x, y, z in solid[0]])
     faces = lambda solid, turned: F.array(*[F.array(*[F.lit(i) for i in (reversed(f) if turned else f)]) for f in solid[1]])
@@ -88,7 +88,7 @@ def hull_files(spark: SparkSession, sf_dir: str) -> str:
 
 def hulls(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = meshes.read_meshes(spark, hull_files(spark, sf_dir))
-    return rows.withColumn("file", F.regexp_extract("file", r"([^/]+)\.glb$", 1))
+    return rows.withColumn("file", F.regexp_extract("file", r"([^/]+)\.\d+\.\d+\.glb$", 1))
 
 
 def hull_series(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,14 +1,20 @@
-"""Meshes as binary glTF files."""
+"""Meshes as binary glTF files of a bounded size."""
 
 from __future__ import annotations
 
 import json
 import struct
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+#: Bytes after which a task begins another file, and those of a mesh's description.
+MOST, DESCRIBED = 4 << 20, 400
+
 
 def encoded(parts: list[tuple[str, np.ndarray, np.ndarray]]) -> bytes:
     """A file of (name, vertices, faces); vertices are (east, north, up), the file is y up."""
@@ -27,11 +33,35 @@ def encoded(parts: list[tuple[str, np.ndarray, np.ndarray]]) -> bytes:
     return struct.pack("<III", 0x46546C67, 2, 28 + len(text) + len(body)) + struct.pack("<II", len(text), 0x4E4F534A) + text + struct.pack("<II", len(body), 0x004E4942) + bytes(body)
 
 
-def mesh_files(hulls: DataFrame, key: str) -> DataFrame:
-    """(name, content): a file for each ``key`` of ``hulls`` (key, mesh, points array<array<double>>, faces array<array<int>>)."""
+def threes(column: pa.Array, kind: str) -> list[np.ndarray]:
+    """An array (n, 3) for each row of lists of three numbers."""
+    rows = column.flatten()
+    if column.null_count or rows.null_count or pc.any(pc.not_equal(pc.list_value_length(rows), 3)).as_py():
+        raise ValueError("points and faces are lists of three numbers")
+    ends = np.cumsum(pc.list_value_length(column).to_numpy(zero_copy_only=False))[:-1]
+    return np.split(rows.flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, 3), ends)
+
+
+def mesh_files(hulls: DataFrame, key: str, most: int = MOST) -> DataFrame:
+    """(name, content): files ``key.task.number.glb`` of ``hulls`` (key, mesh, points array<array<double>>, faces array<array<int>>).
+
+    Meshes are dealt out in order of key and name. A task begins another file with
+    each key, and where a file has ``most`` bytes, so that what is held does not grow
+    with a key's meshes.
+    """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [(m, np.stack(p), np.stack(f)) for m, p, f in zip(pdf["mesh"], pdf["points"], pdf["faces"], strict=True)]
-        return pd.DataFrame({"name": [f"{pdf[key].iloc[0]}.glb"], "content": [encoded(parts)]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, number, now, parts, held = TaskContext.get().partitionId(), 0, None, [], 0
+        file = lambda: pa.RecordBatch.from_pydict({"name": [f"{now}.{task}.{number}.glb"], "content": pa.array([encoded(parts)], pa.binary())})
+        for b in batches:
+            for ident, mesh, points, faces in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), threes(b.column(2), "f8"), threes(b.column(3), "i8"), strict=True):
+                if parts and (ident != now or held >= most):
+                    yield file()
+                    number, parts, held = number + 1, [], 0
+                now = ident
+                parts.append((mesh, points, faces))
+                held += 12 * (len(points) + len(faces)) + DESCRIBED
+        if parts:
+            yield file()
 
-    return hulls.select(key, "mesh", "points", "faces").groupBy(key).applyInPandas(run, "name string, content binary")
+    return hulls.select(key, "mesh", "points", "faces").repartitionByRange(key, "mesh").sortWithinPartitions(key, "mesh").mapInArrow(run, "name string, content binary")

@@ -1,7 +1,8 @@
 """Hulls from binary glTF files: meshes to vertices and faces, and from these volumes, centres and spreads.
 
-A file holds one mesh a frame, named with its number. Meshes are read in tasks
-(``meshes_of``); each is bounded by a frame's grid. ``solid_moments`` sums signed
+A file holds one mesh a frame, named with its number; an ident with many frames has
+several files. Files are read in tasks (``meshes_of``), a file at a time, so that one
+has to fit into a task's memory; each mesh is bounded by a frame's grid. ``solid_moments`` sums signed
 tetrahedra over the faces, so a closed mesh's moments are exact whatever its
 shape. ``hull_heights`` and ``hull_profile`` then are column expressions over a row
 a mesh: where the hull is, whether the series trusts it, and how far it spreads
@@ -15,6 +16,7 @@ from __future__ import annotations
 import json
 import struct
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,14 +25,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from skyplume.operators.fits import directional_sigma
+from skyplume.operators.quantiles import quantiles
 
 #: Fixed values of the format: magic, chunk kinds, component types, components by type, triangles.
 MAGIC, JSON_CHUNK, BINARY_CHUNK = 0x46546C67, 0x4E4F534A, 0x004E4942
 COMPONENTS = {5120: "<i1", 5121: "<u1", 5122: "<i2", 5123: "<u2", 5125: "<u4", 5126: "<f4"}
 PARTS = {"SCALAR": 1, "VEC2": 2, "VEC3": 3, "VEC4": 4}
 TRIANGLES = 4
-#: Frames that are lined up together.
-STRETCH = 4096
+#: Frames that are lined up together, and meshes that a task describes at a time.
+STRETCH, ROWS = 4096, 4096
+#: Tasks that an ident's rows are dealt to.
+DEAL = 32
 ROW = "mesh string, n_vertices long, n_faces long, closed boolean, volume double, east double, north double, up double, top double, see double, snn double, suu double, sen double"
 
 
@@ -135,10 +140,10 @@ def meshes_of(files: DataFrame, ident: str, content: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [ident, *(x.split()[0] for x in ROW.split(", "))]
         for b in batches:
-            rows = [(name, *described(*m)) for name, data in zip(b.column(0).to_pylist(), b.column(1), strict=True) for m in meshes(data.as_py())]
             types = [b.schema.field(0).type, pa.string(), pa.int64(), pa.int64(), pa.bool_(), *[pa.float64()] * 9]
-            columns = list(zip(*rows, strict=True)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+            rows = ((name, *described(*m)) for name, data in zip(b.column(0).to_pylist(), b.column(1), strict=True) for m in meshes(data.as_py()))
+            while some := list(islice(rows, ROWS)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some, strict=True), types, strict=True)], names)
 
     rows = files.select(ident, content).mapInArrow(run, f"{ident} {kind.simpleString()}, {ROW}")
     return rows.withColumn("frame", F.nullif(F.regexp_extract("mesh", r"(\d+)", 1), F.lit("")).cast("long"))
@@ -150,6 +155,12 @@ def read_meshes(spark: SparkSession, path: str) -> DataFrame:
     return meshes_of(files.select(F.col("path").alias("file"), "content"), "file", "content")
 
 
+def dealt_join(rows: DataFrame, few: DataFrame, ident: str, how: str) -> DataFrame:
+    """``rows`` (ident, frame, ...) joined with ``few``, a row an ident, which is repeated so that an ident's rows go to ``DEAL`` tasks."""
+    few = few.withColumn("_deal", F.explode(F.sequence(F.lit(0), F.lit(DEAL - 1))))
+    return rows.withColumn("_deal", F.pmod(F.xxhash64("frame"), F.lit(DEAL)).cast("int")).join(few, [ident, "_deal"], how).drop("_deal")
+
+
 def hull_heights(hulls: DataFrame, ident: str, z_floor: float, series: DataFrame | None = None, weak: str = "no shadow") -> DataFrame:
     """(ident, frame, east, north, up, top, z, confident) of each frame's hull.
 
@@ -170,7 +181,7 @@ def hull_heights(hulls: DataFrame, ident: str, z_floor: float, series: DataFrame
 def voxel_step(series: DataFrame, ident: str) -> DataFrame:
     """(ident, step): median edge of a voxel, from the volumes and voxel counts of ``series`` (ident, vol, n_vox)."""
     edge = F.pow(F.col("vol") / F.col("n_vox"), F.lit(1 / 3))
-    return series.filter("n_vox > 0 and vol > 0").groupBy(ident).agg(F.median(edge).alias("step"))
+    return quantiles(series.filter("n_vox > 0 and vol > 0"), [ident], edge, [0.5], ["step"])
 
 
 def major_azimuth(see: Column, snn: Column, sen: Column) -> Column:
@@ -190,7 +201,7 @@ def hull_profile(hulls: DataFrame, ident: str, azimuth: float, series: DataFrame
     along, across = directional_sigma(F.col("see"), F.col("snn"), F.col("sen"), azimuth)
     clock = (F.col("frame") - F.lit(first_frame)) / F.lit(fps) if fps is not None and first_frame is not None else F.lit(None).cast("double")
     if series is not None:
-        rows = rows.join(series.groupBy(ident, "frame").agg(F.max("t").alias("_t")), [ident, "frame"], "left").join(voxel_step(series, ident), ident, "left")
+        rows = dealt_join(rows.join(series.groupBy(ident, "frame").agg(F.max("t").alias("_t")), [ident, "frame"], "left"), voxel_step(series, ident), ident, "left")
         clock, step = F.coalesce("_t", clock), F.col("step")
     else:
         step = F.lit(None).cast("double")
