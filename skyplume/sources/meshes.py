@@ -26,6 +26,7 @@ from pyspark.sql import functions as F
 
 from skyplume.operators.fits import directional_sigma
 from skyplume.operators.quantiles import quantiles
+from skyplume.sources.folder import settled
 
 #: Fixed values of the format: magic, chunk kinds, component types, components by type, triangles.
 MAGIC, JSON_CHUNK, BINARY_CHUNK = 0x46546C67, 0x4E4F534A, 0x004E4942
@@ -167,15 +168,15 @@ def hull_heights(hulls: DataFrame, ident: str, z_floor: float, series: DataFrame
     ``z`` is the centre's height over ``z_floor``. A frame is confident where
     ``series`` (ident, frame, mode) has it with another mode than ``weak``; if it
     has none such of an ident's hulls, or there is no series, all of that ident
-    are.
+    are. With a series the hulls are computed once and kept in the shared folder.
     """
     rows = hulls.filter("frame is not null").select(ident, "frame", "east", "north", "up", "top", (F.col("up") + z_floor).alias("z"))
     if series is None:
         return rows.withColumn("confident", F.lit(True))
     good = series.groupBy(ident, "frame").agg(F.bool_or(F.coalesce(F.col("mode"), F.lit("")) != weak).alias("_good"))
-    rows = rows.join(good, [ident, "frame"], "left").withColumn("_good", F.coalesce("_good", F.lit(False)))
+    rows = settled(rows.join(good, [ident, "frame"], "left").withColumn("_good", F.coalesce("_good", F.lit(False))))
     trusted = rows.groupBy(ident).agg(F.bool_or("_good").alias("_any"))  # a row an ident
-    return rows.join(trusted, ident).select(*rows.columns[:-1], (F.col("_good") | ~F.col("_any")).alias("confident"))
+    return dealt_join(rows, trusted, ident, "inner").select(*rows.columns[:-1], (F.col("_good") | ~F.col("_any")).alias("confident"))
 
 
 def voxel_step(series: DataFrame, ident: str) -> DataFrame:
